@@ -1,4 +1,8 @@
-"""All queries on the driver's tables, with the SQL they are held against."""
+"""All queries on the driver's tables, with the SQL they are held against.
+
+``query`` registers a function under its name; its SQL, where there is one, is
+what DuckDB runs on the same tables.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,441 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import codecs, formatters, media, money, numbers, text
+from tessella.operators import catalog as tools
+from tessella.operators import geometry, limits, packages, records
+from tessella.plans import tables as t
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and bytes per source and language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *, using: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = (f"WITH {', '.join(using)} " if using else "") + sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"documents_by_source": flagship}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"documents_by_source": "SELECT source, lang, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents GROUP BY source, lang"}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_dashboard(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- records
+
+_LATEST = "SELECT * FROM records ORDER BY created_at DESC, id DESC LIMIT 200"
+
+
+@query("SELECT tool, count(*) AS records, CAST(sum(input_bytes) AS BIGINT) AS bytes, max(created_at) AS newest FROM records GROUP BY tool", using=(t.RECORDS,))
+def records_dashboard(spark, sf_dir):
+    return t.records(spark, sf_dir).groupBy("tool").agg(F.count("*").alias("records"), F.sum("input_bytes").alias("bytes"), F.max("created_at").cast("timestamp_ntz").alias("newest"))
+
+
+@query("SELECT count(*) AS records, CAST(coalesce(sum(input_bytes), 0) AS BIGINT) AS bytes FROM records", using=(t.RECORDS,))
+def records_totals(spark, sf_dir):
+    return records.totals(t.records(spark, sf_dir))
+
+
+@query("SELECT CASE WHEN trim(coalesce(tool, '')) = '' THEN 'unknown' ELSE tool END AS tool, count(*) AS records FROM records GROUP BY 1", using=(t.RECORDS,))
+def records_by_tool(spark, sf_dir):
+    return records.counts_by_tool(t.records(spark, sf_dir))
+
+
+@query("SELECT id, tool, input_bytes FROM records ORDER BY created_at DESC, id DESC LIMIT 200", using=(t.RECORDS,))
+def records_latest(spark, sf_dir):
+    return records.latest(t.records(spark, sf_dir), 200).select("id", "tool", "input_bytes")
+
+
+@query("SELECT id, tool, input_bytes FROM records ORDER BY created_at DESC, id DESC LIMIT 1", using=(t.RECORDS,))
+def records_newest(spark, sf_dir):
+    return records.newest(t.records(spark, sf_dir)).select("id", "tool", "input_bytes")
+
+
+@query(f"SELECT id, tool FROM ({_LATEST}) WHERE tool = '1-URGENT' AND (contains(lower(original_name), '7') OR contains(CAST(id AS VARCHAR), '7'))", using=(t.RECORDS,))
+def records_search(spark, sf_dir):
+    """The limit comes before the filters."""
+    return records.search(t.records(spark, sf_dir), tool="1-URGENT", q="7", limit=200).select("id", "tool")
+
+
+@query(f"SELECT array_to_string(list_sort(list(DISTINCT tool)), ',') AS tools FROM ({_LATEST})", using=(t.RECORDS,))
+def records_page_tools(spark, sf_dir):
+    return records.tools_of_page(t.records(spark, sf_dir), 200).select(F.array_join("tools", ",").alias("tools"))
+
+
+@query("SELECT id, tool, original_name FROM records WHERE id = 77", using=(t.RECORDS,))
+def records_by_id(spark, sf_dir):
+    return records.by_id(t.records(spark, sf_dir), 77).select("id", "tool", "original_name")
+
+
+@query("SELECT r.id, f.path IS NOT NULL AS file_exists FROM records r LEFT JOIN files f ON r.input_rel = f.path", using=(t.RECORDS, t.FILES))
+def records_presence(spark, sf_dir):
+    return records.with_presence(t.records(spark, sf_dir), t.files(spark, sf_dir)).select("id", "file_exists")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE f.path IS NOT NULL) AS present FROM records r LEFT JOIN files f ON r.input_rel = f.path", using=(t.RECORDS, t.FILES))
+def records_presence_total(spark, sf_dir):
+    return records.presence(t.records(spark, sf_dir), t.files(spark, sf_dir))
+
+
+@query("SELECT total, sampled, CAST(round_even(CAST(total * present AS DOUBLE) / sampled, 0) AS BIGINT) AS present FROM (SELECT (SELECT count(*) FROM records) AS total, count(*) AS sampled, count(*) FILTER (WHERE input_rel IN (SELECT path FROM files)) AS present FROM (SELECT * FROM records ORDER BY created_at DESC, id DESC LIMIT 200))", using=(t.RECORDS, t.FILES))
+def records_presence_estimate(spark, sf_dir):
+    return records.presence_estimate(t.records(spark, sf_dir), t.files(spark, sf_dir))
+
+
+@query("SELECT id, input_bytes FROM records WHERE created_at >= TIMESTAMP '2001-01-01' - INTERVAL 365 DAY", using=(t.RECORDS,))
+def records_retained(spark, sf_dir):
+    return records.retained(t.records(spark, sf_dir), t.NOW, 365).select("id", "input_bytes")
+
+
+@query("SELECT count(*) AS purged, CAST(sum(input_bytes) AS BIGINT) AS bytes FROM records WHERE created_at < TIMESTAMP '2001-01-01' - INTERVAL 365 DAY", using=(t.RECORDS,))
+def records_purged(spark, sf_dir):
+    return records.purged(t.records(spark, sf_dir), t.NOW, 365).agg(F.count("*").alias("purged"), F.sum("input_bytes").alias("bytes"))
+
+
+@query("SELECT id, tool FROM records WHERE id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')", using=(t.RECORDS,))
+def records_deleted(spark, sf_dir):
+    gone = t.events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("id"))
+    return records.without(t.records(spark, sf_dir), gone).select("id", "tool")
+
+
+@query("SELECT count(*) AS found FROM records WHERE id IN (SELECT event_id FROM events WHERE event_type = 'error')", using=(t.RECORDS,))
+def records_found(spark, sf_dir):
+    return records.found(t.records(spark, sf_dir), t.events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("id")))
+
+
+@query("SELECT id, tool FROM records UNION ALL SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT id FROM records)", using=(t.RECORDS,))
+def records_insert_or_ignore(spark, sf_dir):
+    new = t.events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("event_type").alias("tool"))
+    return records.inserted_or_ignored(t.records(spark, sf_dir).select("id", "tool"), new)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def records_extra(spark, sf_dir):
+    rows = t.table(spark, sf_dir, "events").select("event_id", F.col("props").alias("extra_json"))
+    return records.unpacked_extra(rows).select("event_id", F.try_element_at("extra", F.lit("k")).cast("long").alias("k"))
+
+
+@query("SELECT o_orderkey, CASE WHEN b = 0 THEN 400 WHEN b > 200000 THEN 413 ELSE 200 END AS status FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders)")
+def upload_status(spark, sf_dir):
+    rows = t.records(spark, sf_dir)
+    return rows.select(F.col("id").alias("o_orderkey"), records.upload_status(F.col("input_bytes"), 200_000).alias("status"))
+
+
+# ---------------------------------------------------------------- packages
+
+
+def _state(spark, sf_dir) -> DataFrame:
+    rows = records.with_presence(t.packages(spark, sf_dir), t.files(spark, sf_dir), "stored_rel")
+    return packages.with_state(rows, t.NOW)
+
+
+@query("SELECT id, expired, exhausted, NOT expired AND NOT exhausted AS available, CASE WHEN max_downloads > 0 THEN greatest(0, max_downloads - download_count) END AS downloads_left, CASE WHEN until IS NOT NULL THEN greatest(0, date_diff('second', TIMESTAMP '2001-01-01', until)) END AS seconds_remaining, file_exists FROM state", using=(t.PACKAGES,))
+def packages_state(spark, sf_dir):
+    return _state(spark, sf_dir).select("id", "expired", "exhausted", "available", F.col("downloads_left").cast("long").alias("downloads_left"), "seconds_remaining", "file_exists")
+
+
+@query("SELECT count(*) FILTER (WHERE NOT expired AND NOT exhausted AND file_exists) AS available, count(*) FILTER (WHERE expired) AS expired, count(*) FILTER (WHERE exhausted AND NOT expired) AS exhausted, count(*) FILTER (WHERE NOT file_exists) AS missing FROM state", using=(t.PACKAGES,))
+def packages_by_status(spark, sf_dir):
+    return _state(spark, sf_dir).agg(*[F.count_if(packages.status_is(s)).alias(s) for s in ("available", "expired", "exhausted", "missing")])
+
+
+@query("SELECT id, code FROM (SELECT * FROM state ORDER BY created_at DESC, id DESC LIMIT 250) WHERE (contains(lower(code), '1') OR contains(lower(original_name), '1') OR contains(lower(note), '1')) AND NOT expired AND NOT exhausted AND file_exists ORDER BY created_at DESC, id DESC LIMIT 50", using=(t.PACKAGES,))
+def packages_search(spark, sf_dir):
+    return packages.listing(_state(spark, sf_dir), limit=50, q="1", status="available").select("id", "code")
+
+
+@query("SELECT count(*) AS packages, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM packages", using=(t.PACKAGES,))
+def packages_totals(spark, sf_dir):
+    return packages.totals(t.packages(spark, sf_dir))
+
+
+@query("SELECT id FROM packages WHERE expires_at > '2001-01-01T00:00:00Z'", using=(t.PACKAGES,))
+def packages_unexpired(spark, sf_dir):
+    return packages.unexpired(t.packages(spark, sf_dir), t.NOW).select("id")
+
+
+@query(
+    """SELECT claim_no, code, package_id, error, error IS NULL AS granted FROM (SELECT claim_no, c.code, s.id AS package_id, CASE WHEN NOT regexp_full_match(c.code, '[0-9]{6}') OR s.id IS NULL THEN 'invalid' WHEN s.expired THEN 'expired'
+       WHEN NOT (max_downloads <= 0 OR rnk <= max_downloads - download_count) THEN 'exhausted' WHEN NOT file_exists THEN 'missing' END AS error FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY claim_no) AS rnk FROM claims) c LEFT JOIN state s ON c.code = s.code)""",
+    using=(t.PACKAGES, "claims AS (SELECT event_id AS claim_no, CASE WHEN event_type = 'error' THEN 'x' || user_id ELSE lpad(CAST(user_id AS VARCHAR), 6, '0') END AS code FROM events)"),
+)
+def packages_claims(spark, sf_dir):
+    """Events claim the package of their user's number."""
+    code = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), "user_id")).otherwise(F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    asked = t.events(spark, sf_dir).select(F.col("event_id").alias("claim_no"), code.alias("code"))
+    rows = records.with_presence(t.packages(spark, sf_dir), t.files(spark, sf_dir), "stored_rel")
+    return packages.claims(rows, asked, t.NOW)
+
+
+@query()
+def packages_fresh_codes(spark, sf_dir):
+    wanted = t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return packages.fresh_codes(wanted, t.packages(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- tool catalog
+
+
+@query("SELECT slug, category FROM tools WHERE slug NOT IN (SELECT slug FROM disabled) AND NOT featured", using=(t.TOOLS, t.DISABLED))
+def tools_enabled(spark, sf_dir):
+    return tools.enabled(t.tools(spark, sf_dir), t.disabled(spark, sf_dir)).select("slug", "category")
+
+
+@query("SELECT slug FROM tools WHERE slug NOT IN (SELECT slug FROM disabled) AND featured", using=(t.TOOLS, t.DISABLED))
+def tools_featured(spark, sf_dir):
+    return tools.featured(t.tools(spark, sf_dir), t.disabled(spark, sf_dir)).select("slug")
+
+
+@query("SELECT category, coalesce(c.name, 'Other') AS name, n AS n_tools, slugs FROM (SELECT coalesce(c.id, '_other') AS category, count(*) AS n, string_agg(slug, ',' ORDER BY pos) AS slugs FROM tools t LEFT JOIN categories c ON t.category = c.id GROUP BY 1) x LEFT JOIN categories c ON x.category = c.id", using=(t.TOOLS, t.CATEGORIES))
+def tools_by_category(spark, sf_dir):
+    out = tools.by_category(t.categories(spark, sf_dir), t.tools(spark, sf_dir))
+    return out.select("category", "name", "n_tools", F.array_join(F.transform("tools", lambda x: x["slug"]), ",").alias("slugs"))
+
+
+@query("SELECT c.id, c.name, count(t.slug) AS n_tools, coalesce(string_agg(t.name, ',' ORDER BY pos), '') AS names FROM categories c LEFT JOIN tools t ON t.category = c.id GROUP BY c.id, c.name", using=(t.TOOLS, t.CATEGORIES))
+def tools_navigation(spark, sf_dir):
+    return tools.navigation(t.categories(spark, sf_dir), t.tools(spark, sf_dir)).select("id", "name", "n_tools", F.array_join("tool_names", ",").alias("names"))
+
+
+@query("SELECT slug, sibling, rank FROM (SELECT a.slug, b.slug AS sibling, row_number() OVER (PARTITION BY a.slug ORDER BY b.pos, b.slug) AS rank FROM tools a JOIN tools b ON a.category = b.category AND a.slug <> b.slug) WHERE rank <= 6", using=(t.TOOLS,))
+def tools_siblings(spark, sf_dir):
+    return tools.siblings(t.tools(spark, sf_dir))
+
+
+@query("SELECT slug, slug NOT IN (SELECT slug FROM disabled) AS enabled FROM tools", using=(t.TOOLS, t.DISABLED))
+def tools_flags(spark, sf_dir):
+    off = t.disabled(spark, sf_dir).withColumn("enabled", F.lit(False))
+    return tools.with_flags(t.tools(spark, sf_dir), off).select("slug", "enabled")
+
+
+@query("SELECT count(*) AS known, count(*) FILTER (WHERE slug IN (SELECT slug FROM disabled)) AS disabled, count(*) FILTER (WHERE slug NOT IN (SELECT slug FROM disabled)) AS enabled FROM tools", using=(t.TOOLS, t.DISABLED))
+def tools_flag_counts(spark, sf_dir):
+    return tools.flag_counts(tools_flags(spark, sf_dir))
+
+
+@query("SELECT slug FROM tools WHERE contains(lower(concat_ws(' ', name, description, slug, category)), '00')", using=(t.TOOLS,))
+def tools_matching(spark, sf_dir):
+    return tools.matching(t.tools(spark, sf_dir), "00").select("slug")
+
+
+_RECENT = "SELECT user_id, event_type, max(ts) AS last FROM events GROUP BY user_id, event_type"
+
+
+@query(f"SELECT user_id, event_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last DESC, event_type) AS rank FROM ({_RECENT})) WHERE rank <= 3")
+def recents(spark, sf_dir):
+    return tools.recents(t.events(spark, sf_dir), user="user_id", item="event_type", time="ts", most=3).select("user_id", "event_type", "rank")
+
+
+@query("SELECT slug, CASE WHEN s_nationkey % 2 = 0 THEN name ELSE 'given' END AS name FROM tools JOIN supplier ON lower(s_name) = slug", using=(t.TOOLS,))
+def tools_merged(spark, sf_dir):
+    given = t.table(spark, sf_dir, "supplier").select(F.lower("s_name").alias("slug"), F.when(F.col("s_nationkey") % 2 == 1, "given").alias("name"))
+    return tools.merged_fields(given, t.tools(spark, sf_dir), ("name",))
+
+
+@query("SELECT page_id, CASE WHEN split_part(url, '/', 4) = 'tools' THEN split_part(url, '/', 5) END AS slug FROM pages")
+def tool_of_url(spark, sf_dir):
+    path = F.concat(F.lit("/"), F.regexp_replace("url", "^[^/]*//[^/]*/?", ""))
+    return t.table(spark, sf_dir, "pages").select("page_id", tools.slug_of_path(path).alias("slug"))
+
+
+# ---------------------------------------------------------------- limits and jobs
+
+
+@query()
+def rate_limited(spark, sf_dir):
+    return limits.rate_limit(t.events(spark, sf_dir), key="user_id", time="t", item="event_id", limit=2, window=21600.0)
+
+
+@query()
+def lockouts(spark, sf_dir):
+    rows = t.events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
+    return limits.lockouts(rows, key="user_id", time="t", item="event_id", failed="failed", max_failures=3, window=86400.0, lockout=43200.0)
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY user_id")
+def latest_states(spark, sf_dir):
+    return limits.latest_state(t.table(spark, sf_dir, "events"), key="user_id", time="ts", order="event_id", fields=("event_type", "value"))
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rank FROM events WHERE ts >= TIMESTAMP '2024-01-15') WHERE rank <= 12")
+def recent_jobs(spark, sf_dir):
+    now = F.lit("2024-01-31").cast("timestamp")
+    rows = t.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return limits.top_recent_jobs(rows, user="user_id", job="event_id", time="ts", now=now, ttl=16 * 86400).select("user_id", "event_id", "rank")
+
+
+# ---------------------------------------------------------------- codecs
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS result, strlen(text) AS input_bytes FROM documents")
+def base64_encoded(spark, sf_dir):
+    r = codecs.encode_base64(F.col("text"))
+    return t.table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.result", "r.input_bytes")
+
+
+@query("SELECT doc_id, text AS result, lower(hex(encode(text))) AS raw_hex FROM documents")
+def base64_round_trip(spark, sf_dir):
+    d = t.table(spark, sf_dir, "documents").select("doc_id", codecs.encode_base64(F.col("text"), variant="urlsafe", wrap=64)["result"].alias("b"))
+    return d.select("doc_id", codecs.decode_base64(F.col("b")).alias("r")).select("doc_id", "r.result", "r.raw_hex")
+
+
+@query("SELECT doc_id, reason IS NULL AS looks_like, reason FROM (SELECT doc_id, CASE WHEN c = '' THEN 'empty' WHEN NOT regexp_full_match(c, '[A-Za-z0-9+/_-]+={0,2}') THEN 'invalid_alphabet' WHEN length(c) % 4 = 1 THEN 'bad_length' END AS reason FROM (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS c FROM documents))")
+def base64_probed(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", codecs.probe_base64(F.col("text")).alias("r")).select("doc_id", "r.looks_like", "r.reason")
+
+
+@query("SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE '\\u' || format('{:04x}', unicode(c)) END), '') AS result FROM documents")
+def unicode_encoded(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", codecs.encode_unicode(F.col("text"))["result"].alias("result"))
+
+
+@query("SELECT doc_id, text AS result FROM documents")
+def unicode_round_trip(spark, sf_dir):
+    d = t.table(spark, sf_dir, "documents").select("doc_id", codecs.encode_unicode(F.col("text"))["result"].alias("e"))
+    return d.select("doc_id", codecs.decode_unicode(F.col("e"), mode="backslash_u")["result"].alias("result"))
+
+
+@query(
+    """SELECT o_orderkey, '人民币' || CASE WHEN yuan = '' THEN '零' ELSE yuan END || '元' || CASE WHEN j = 0 AND f = 0 THEN '整' WHEN j = 0 THEN '零' || d[f + 1] || '分' WHEN f = 0 THEN d[j + 1] || '角' ELSE d[j + 1] || '角' || d[f + 1] || '分' END AS result
+       FROM (SELECT *, CASE WHEN hi > 0 THEN sec_hi || '万' ELSE '' END || CASE WHEN lo = 0 THEN '' WHEN hi > 0 AND lo < 1000 THEN '零' || sec_lo ELSE sec_lo END AS yuan FROM spelled)""",
+    using=(
+        "cents AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS c, ['零','壹','贰','叁','肆','伍','陆','柒','捌','玖'] AS d FROM orders)",
+        "parts AS (SELECT *, c // 1000000 AS hi, (c // 100) % 10000 AS lo, (c // 10) % 10 AS j, c % 10 AS f FROM cents)",
+        "spelled AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN hi // 1000 = 0 THEN '零' ELSE d[hi // 1000 + 1] || '仟' END || CASE WHEN hi // 100 % 10 = 0 THEN '零' ELSE d[hi // 100 % 10 + 1] || '佰' END || CASE WHEN hi // 10 % 10 = 0 THEN '零' ELSE d[hi // 10 % 10 + 1] || '拾' END || d[hi % 10 + 1], '零+', '零', 'g'), '^零|零$', '', 'g') AS sec_hi, regexp_replace(regexp_replace(CASE WHEN lo // 1000 = 0 THEN '零' ELSE d[lo // 1000 + 1] || '仟' END || CASE WHEN lo // 100 % 10 = 0 THEN '零' ELSE d[lo // 100 % 10 + 1] || '佰' END || CASE WHEN lo // 10 % 10 = 0 THEN '零' ELSE d[lo // 10 % 10 + 1] || '拾' END || d[lo % 10 + 1], '零+', '零', 'g'), '^零|零$', '', 'g') AS sec_lo FROM parts)",
+    ),
+)
+def money_text(spark, sf_dir):
+    amount = F.round(F.col("o_totalprice").cast("decimal(20,4)"), 2)
+    return t.table(spark, sf_dir, "orders").select("o_orderkey", money.to_capital_money(amount)["result"].alias("result"))
+
+
+@query("SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '\\s+', '', 'g')) AS chars_no_ws, CASE WHEN text = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) END AS lines, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS words FROM documents")
+def text_statistics(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.text_statistics(F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
+@query("SELECT doc_id, text AS spaced FROM (SELECT doc_id, regexp_replace(text, ' {2,}', ' ', 'g') AS text FROM documents)")
+def spacing(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.normalize_spacing(F.col("text")).alias("spaced"))
+
+
+@query()
+def newlines(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", text.normalize_newlines(F.col("text")).alias("joined"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS stem, replace(p_name, ' ', '_') || '.pdf' AS name FROM part")
+def safe_names(spark, sf_dir):
+    raw = F.concat(F.lit("/tmp/"), "p_name", F.lit(".pdf"))
+    return t.table(spark, sf_dir, "part").select("p_partkey", text.safe_stem(raw).alias("stem"), text.safe_name(raw).alias("name"))
+
+
+@query("SELECT p_partkey, array_to_string(list_distinct_ordered, ',') AS pages FROM (SELECT p_partkey, list_transform(range(least(p_size, 60)), lambda x: CAST(x AS VARCHAR)) AS list_distinct_ordered FROM part)")
+def page_ranges(spark, sf_dir):
+    spec = F.concat(F.lit("1-"), F.least("p_size", F.lit(60)), F.lit(",1"))
+    pages = numbers.page_range(spec, F.lit(60))["pages"]
+    return t.table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(pages, lambda x: x.cast("string")), ",").alias("pages"))
+
+
+@query("SELECT o_orderkey, CAST(least(180 + floor(greatest(0, o_totalprice * 100 / 1048576 - 2) * 15), 600) AS BIGINT) AS seconds FROM orders")
+def timeouts(spark, sf_dir):
+    return t.table(spark, sf_dir, "orders").select("o_orderkey", numbers.scaled_timeout(F.col("o_totalprice") * 100).alias("seconds"))
+
+
+# ---------------------------------------------------------------- markup and media
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(trim(html, E' \\n\\t\\r'), '>\\s+<', '><', 'g'), '\\s{2,}', ' ', 'g') AS result FROM pages")
+def html_minified(spark, sf_dir):
+    return t.table(spark, sf_dir, "pages").select("page_id", formatters.minify_html(F.trim(F.regexp_replace("html", r"^\s+|\s+$", ""))).alias("result"))
+
+
+@query()
+def html_pretty(spark, sf_dir):
+    return t.table(spark, sf_dir, "pages").select("page_id", formatters.format_code(F.col("html"), lang="html").alias("r")).select("page_id", "r.*")
+
+
+@query("SELECT event_id, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS result, 'object' AS kind FROM events")
+def json_minified(spark, sf_dir):
+    return t.table(spark, sf_dir, "events").select("event_id", formatters.format_code(F.col("props"), lang="json", mode="minify").alias("r")).select("event_id", "r.result", "r.kind")
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS result FROM documents")
+def sql_minified(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select("doc_id", formatters.minify_sql(F.col("text")).alias("result"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'png' WHEN page_id % 3 = 1 THEN 'jpeg' END AS kind FROM pages")
+def media_types(spark, sf_dir):
+    data = F.when(F.col("page_id") % 3 == 0, F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("html").cast("binary"))).otherwise(F.col("html").cast("binary"))
+    name = F.when(F.col("page_id") % 3 == 1, "photo.JPG").otherwise("page.bin")
+    return t.table(spark, sf_dir, "pages").select("page_id", media.detect_format(data, name).alias("kind"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN greatest(w, h) <= 400 THEN w ELSE greatest(1, round_even(w * (400.0 / greatest(w, h)), 0)) END AS BIGINT) AS width, CAST(CASE WHEN greatest(w, h) <= 400 THEN h ELSE greatest(1, round_even(h * (400.0 / greatest(w, h)), 0)) END AS BIGINT) AS height FROM (SELECT p_partkey, p_size * 13 AS w, p_size * 7 + 50 AS h FROM part)")
+def image_sizes(spark, sf_dir):
+    r = media.resized(F.col("p_size") * 13, F.col("p_size") * 7 + 50, 400)
+    return t.table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.*")
+
+
+# ---------------------------------------------------------------- geometry
+
+
+@query("SELECT r.rect_id, w.doc_id, w.word_no FROM words w JOIN rects r ON w.doc_id = r.doc_id AND (w.x0 + w.x1) / 2 BETWEEN r.x0 - 1 AND r.x1 + 1 AND (w.top + w.bottom) / 2 BETWEEN r.top - 1 AND r.bottom + 1", using=(t.WORDS, t.RECTS))
+def words_in_rects(spark, sf_dir):
+    return geometry.words_in_rects(t.words(spark, sf_dir), t.rects(spark, sf_dir)).select("rect_id", "doc_id", "word_no")
+
+
+@query("SELECT doc_id, count(*) AS n, CAST(sum(word_no) AS BIGINT) AS s FROM words w WHERE NOT EXISTS (SELECT 1 FROM rects r WHERE w.doc_id = r.doc_id AND (w.x0 + w.x1) / 2 BETWEEN r.x0 - 1 AND r.x1 + 1 AND (w.top + w.bottom) / 2 BETWEEN r.top - 1 AND r.bottom + 1) GROUP BY doc_id", using=(t.WORDS, t.RECTS))
+def words_outside_rects(spark, sf_dir):
+    return geometry.words_outside_rects(t.words(spark, sf_dir), t.rects(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("word_no").alias("s"))
+
+
+@query("SELECT doc_id, count(*) AS words, CAST(sum(word_no // 10) AS BIGINT) AS lines FROM words GROUP BY doc_id", using=(t.WORDS,))
+def word_lines(spark, sf_dir):
+    """Lines sixteen points apart come back as they were set."""
+    return geometry.numbered_lines(t.words(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("words"), F.sum("line_no").alias("lines"))
+
+
+@query("SELECT doc_id, CAST(sum(brk) AS BIGINT) AS breaks FROM (SELECT doc_id, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, word_no // 10 ORDER BY x0) > 40 THEN 1 ELSE 0 END AS brk FROM words) GROUP BY doc_id", using=(t.WORDS,))
+def word_segments(spark, sf_dir):
+    lined = geometry.with_segments(geometry.numbered_lines(t.words(spark, sf_dir)))
+    return lined.groupBy("doc_id", "line_no").agg(F.max("seg_no").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("breaks"))
+
+
+@query()
+def page_paragraphs(spark, sf_dir):
+    blocks = geometry.text_blocks(t.words(spark, sf_dir), 595.0)
+    return geometry.paragraphs(blocks, page_right=595.0).select("doc_id", "block_no", "text", "align")
+
+
+@query("SELECT doc_id, CAST(least(10, count(*)) AS BIGINT) AS columns FROM words GROUP BY doc_id", using=(t.WORDS,))
+def word_columns(spark, sf_dir):
+    pages = t.words(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("x0").alias("xs"))
+    return pages.select("doc_id", geometry.aligned_columns(F.col("xs")).alias("columns"))
+
+
+@query("SELECT doc_id, greatest(36.0, least(50.0, 144.0)) AS left_margin FROM (SELECT DISTINCT doc_id FROM words WHERE x1 > x0)", using=(t.WORDS,))
+def page_margins(spark, sf_dir):
+    blocks = t.words(spark, sf_dir)
+    found = blocks.groupBy("doc_id").agg(F.min(F.when(F.col("x1") > F.col("x0"), F.col("x0"))).alias("l")).where("l IS NOT NULL")
+    return found.select("doc_id", F.greatest(F.lit(36.0), F.least("l", F.lit(144.0))).alias("left_margin"))
+
+
+@query("SELECT doc_id, mode_font, n FROM (SELECT doc_id, fontname AS mode_font, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r FROM (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN 'Song' ELSE 'Hei' END AS fontname FROM flat) GROUP BY doc_id, fontname) WHERE r = 1", using=(t.WORDS,))
+def page_fonts(spark, sf_dir):
+    """The most frequent font; of equal ones the first met."""
+    n = t.words(spark, sf_dir).groupBy("doc_id", "fontname").agg(F.count("*").alias("n"), F.min("word_no").alias("at"))
+    return n.groupBy("doc_id").agg(F.max_by(F.struct("fontname", "n"), F.struct("n", -F.col("at"))).alias("f")).select("doc_id", F.col("f.fontname").alias("mode_font"), F.col("f.n").alias("n"))
