@@ -11,8 +11,9 @@ insult or a threat are read; a text's clause scores, not its words, are what a
 small logistic model turns into a probability.
 
 The insult lexicon is learned: words and word beginnings with their log-odds
-in the labelled texts, less one standard error.  One half of the labelled
-sample trains the lexicon and the other the logistic model.
+in the labelled texts, less one standard error.  The logistic model is fitted
+on each half of the sample read with the lexicon of the other half, so it sees
+words as they meet in new texts; the lexicon then used is that of both halves.
 """
 
 from __future__ import annotations
@@ -212,9 +213,9 @@ def held_out() -> Column:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token hash, toxic texts, other texts) of each batch."""
+    """(token hash, half of the sample, toxic texts, other texts) of each batch."""
     for batch in batches:
-        toxic = np.asarray(batch.column(1))
+        toxic, side = np.asarray(batch.column(1)), np.asarray(batch.column(2))
         for a, b, buf, offs in runs(batch.column(0)):
             w = words(buf, offs)
             text = np.repeat(np.arange(b - a), np.diff(w.first))
@@ -223,9 +224,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(h)
                 owners.append(text[long])
             once = np.unique(np.column_stack((np.concatenate(parts), np.concatenate(owners).astype(np.uint64))), axis=0)
-            keys, at = np.unique(once[:, 0], return_inverse=True)
-            label = toxic[a:b][once[:, 1].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(at, label == 1, len(keys)).astype(np.int64)), pa.array(np.bincount(at, label != 1, len(keys)).astype(np.int64))], names=["token", "pos", "neg"])
+            owner = once[:, 1].astype(np.int64)
+            for half in (0, 1):
+                mine = side[a:b][owner] == half
+                keys, at = np.unique(once[mine, 0], return_inverse=True)
+                label = toxic[a:b][owner[mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), half, dtype=np.int32)), pa.array(np.bincount(at, label == 1, len(keys)).astype(np.int64)), pa.array(np.bincount(at, label != 1, len(keys)).astype(np.int64))], names=["token", "side", "pos", "neg"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -280,25 +284,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Model:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     texts = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
     side = F.pmod(F.shiftrightunsigned("h", 7), F.lit(2))
-    texts = Workspace(docs.sparkSession, "toxic").keep(texts.select("text", "toxic", side.alias("side")), "sample")
+    work = Workspace(docs.sparkSession, "toxic")
+    texts = work.keep(texts.select("text", "toxic", side.cast("int").alias("side")), "sample")
     counts = {(int(s), int(t)): n for s, t, n in texts.groupBy("side", "toxic").count().collect()}
     total, toxic = sum(counts.values()), counts.get((0, 1), 0) + counts.get((1, 1), 0)
     share = np.log((toxic + 0.5) / (total - toxic + 0.5)) if total else 0.0
     flat = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), np.array([share] + [0.0] * FEATURES))
     if not all(counts.get((s, t)) for s in (0, 1) for t in (0, 1)):
         return flat
-    pos, neg = float(counts[0, 1]), float(counts[0, 0])
-    tokens = texts.where("side = 0").select("text", "toxic").mapInArrow(_tokens, "token long, pos long, neg long")
-    tokens = tokens.groupBy("token").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).where(F.col("p") >= LEAST_TEXTS)
-    odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    found = tokens.select("token", (odds - error).alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "token").limit(LEXICON).collect()
-    hashes = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
-    weights = np.array([r[1] for r in found], dtype=np.float64)
+    tokens = texts.select("text", "toxic", "side").mapInArrow(_tokens, "token long, side int, pos long, neg long")
+    sums = [F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("pos", "neg")]
+    tokens = work.keep(tokens.groupBy("token").agg(*sums).na.fill(0).where(F.col("pos0") + F.col("pos1") >= LEAST_TEXTS), "tokens")
+
+    def lexicon(*sides: int) -> tuple[np.ndarray, np.ndarray]:
+        pos, neg = (float(sum(counts[s, t] for s in sides)) for t in (1, 0))
+        p, n = (sum((F.col(f"{c}{s}") for s in sides[1:]), F.col(f"{c}{sides[0]}")) for c in ("pos", "neg"))
+        odds = F.log((p + 0.5) / (pos + 1)) - F.log((n + 0.5) / (neg + 1))
+        error = F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
+        found = tokens.where(p >= LEAST_TEXTS).select("token", (odds - error).alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "token").limit(LEXICON).collect()
+        return np.array([r[0] for r in found], dtype=np.int64).view(np.uint64), np.array([r[1] for r in found], dtype=np.float64)
+
     ddl = "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))
-    seen = texts.where("side = 1").select("text", "toxic").mapInArrow(_features(hashes, weights), ddl).toPandas()
+    seen = [texts.where(F.col("side") == 1 - s).select("text", "toxic").mapInArrow(_features(*lexicon(s)), ddl) for s in (0, 1)]
+    seen = seen[0].unionByName(seen[1]).toPandas()
     beta = _logistic(seen[[f"x{k}" for k in range(FEATURES)]].to_numpy(), seen["toxic"].to_numpy(dtype=np.float64))
-    return Model(hashes, weights, beta)
+    return Model(*lexicon(0, 1), beta)
 
 
 # ---------------------------------------------------------------- scoring
