@@ -241,7 +241,7 @@ class LineIndex:
 
     def _recount(self, rows: DataFrame, touched: DataFrame) -> None:
         keys = touched.select("k1", "k2").distinct()
-        self.references = self._keep(rows, "references")
+        self.references = self._keep(rows.select("k1", "k2", "doc_id"), "references")
         fresh = self._keep(self._count(self.references.join(keys, ["k1", "k2"], "left_semi")), "fresh")
         before = self.refcounts.join(keys, ["k1", "k2"], "left_semi")
         over = lambda c: F.coalesce(F.col(c), F.lit(0)) >= self.min_docs
@@ -279,7 +279,7 @@ class LineIndex:
                 yield batch.filter(pa.array(out))
 
         arrow_rows(self.spark, 50_000)
-        return rows.mapInArrow(ask, _REFERENCE_DDL)
+        return rows.select("k1", "k2", "doc_id").mapInArrow(ask, _REFERENCE_DDL)
 
     def dropped(self) -> DataFrame:
         """(doc_id, keys): the keys that lose their lines in a document."""

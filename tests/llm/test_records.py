@@ -1,0 +1,259 @@
+"""Sharding, mixing, WARC, toxicity, personal data, fingerprints and the pipeline."""
+
+import hashlib
+import io
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tessella.llm import catalog, fingerprint, mixing, pii, sharding, toxicity, warc
+from tessella.llm.workspace import Workspace
+
+# ---------------------------------------------------------------- sharding
+
+
+def test_shards_are_whole_and_even(docs, corpus):
+    rows = sharding.shard(docs, shards=5).collect()
+    texts = {r[0]: r[1] or "" for r in corpus}
+    assert len(rows) == len(corpus)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+    for s in range(5):
+        own = [r.slot for r in rows if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    largest = max(r.size for r in rows)
+    assert max(loads.values()) - min(loads.values()) <= largest
+
+
+def test_slot_map_versions(spark, tmp_path):
+    weights = [int(x) for x in np.random.default_rng(1).integers(1, 100, 512)]
+    first = sharding.SlotMap.fit(weights, 8)
+    assert max(first.loads(weights)) - min(first.loads(weights)) <= max(weights)
+    weights[:40] = [x * 3 for x in weights[:40]]
+    second = first.rebalance(weights)
+    mean = sum(weights) / 8
+    assert second.version == 2 and 0 < len(second.moved) < 128 and max(second.loads(weights)) <= mean * 1.05
+    wider = second.rebalance(weights, 9)
+    assert max(wider.loads(weights)) <= mean * 8 / 9 * 1.1 and len(wider.moved) < 256
+    fewer = second.rebalance(weights, 7)
+    assert max(fewer.owner) == 6
+    path = f"file://{tmp_path}/map"
+    first.save(spark, path), second.save(spark, path)
+    assert sharding.SlotMap.load(spark, path).owner == second.owner and sharding.SlotMap.load(spark, path, 1).owner == first.owner
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_targets_refill():
+    sizes = [10, 100, 1000, 10, 500, 0]
+    got = mixing.targets(sizes)
+    assert sum(got) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
+    free = [k for k, (t, s) in enumerate(zip(got, sizes, strict=True)) if t < 2 * s - 1e-9]
+    units = [got[k] / (5, 2, 1)[k % 3] for k in free]
+    assert max(units) == pytest.approx(min(units))
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_mix_meets_targets(docs, corpus, block):
+    rows = mixing.mix(docs, block=block).collect()
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in corpus}
+    assert {r.doc_id: r["size"] for r in rows} == size and len(rows) == len(corpus)
+    taken, target = Counter(), {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+    assert {(r.doc_id, r.taken, r.first_slot) for r in mixing.mix(docs, block=block).collect()} == {(r.doc_id, r.taken, r.first_slot) for r in rows}
+
+
+def test_schedule_spreads_sources(spark):
+    p = mixing.Plan(["a", "b", "c"], [50_000, 20_000, 7], [75_000.0, 30_000.0, 3.0], 10)
+    rows = mixing.schedule(spark, p, Workspace(spark, "test")).collect()
+    assert sorted(r.k for r in rows) == list(range(sum(p.slots)))
+    for sid, n in enumerate(p.slots):
+        assert sorted(r["rank"] for r in rows if r.sid == sid) == list(range(n))
+    first = Counter(r.sid for r in rows if r.k < 1000)
+    assert abs(first[0] - 1000 * p.slots[0] / sum(p.slots)) < 5
+
+
+def test_mixed_documents_repeat(docs):
+    taken = {r.doc_id: (r["size"], r.taken) for r in mixing.mix(docs).collect()}
+    out = Counter(r[0] for r in mixing.mixed_documents(docs).collect())
+    for d, (size, n) in taken.items():
+        if not size:
+            assert out[d] == 1
+        elif abs((2 * n / size) % 2 - 1) > 1e-9:
+            assert out[d] == round(n / size)
+
+
+# ---------------------------------------------------------------- WARC
+
+
+def test_warc_round_trip(spark, folder):
+    for t in ("pages",):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{folder.removeprefix('file://')}/{t}.parquet/*.parquet'")
+    wanted = duckdb.sql(warc.OP4_SQL).fetchall()
+    columns = [d[0] for d in duckdb.sql(warc.OP4_SQL).description]
+    found = [tuple(r) for r in warc.op4_warc(spark, folder).select(*columns).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_warc_chunks_carry_digests(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet").where("page_id = 92")
+    work = Workspace(spark, "test")
+    index = warc.write_archives(pages, work)
+    rows = warc.read_archives(index, work).orderBy("chunk_no").collect()
+    data = pages.first().html.encode()
+    assert len(rows) == -(-len(data) // warc.CHUNK) > 2 and b"".join(bytes(r.chunk) for r in rows) == data
+    for r in rows:
+        assert r.upto_digest == hashlib.sha256(data[: r.upto_bytes]).hexdigest() and r["last"] == (r.upto_bytes == len(data))
+
+
+def test_warc_record_form():
+    data = b"".join(warc.record_parts(5, "http://x\r\nEvil: 1", b"abc", 3, "d", None, 0))
+    assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"abc\r\n\r\n") and b"\r\nEvil" not in data
+    packed = zlib.compressobj(1, zlib.DEFLATED, 31)
+    blob = packed.compress(data) + packed.flush()
+    (row,) = warc.record_chunks(io.BytesIO(blob), "a", 0, len(blob))
+    assert row[2] == 5 and row[8] == b"abc" and row[-1]
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.record_chunks(io.BytesIO(blob[:-30]), "a", 0, len(blob) - 30))
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_grammar_weighs_clauses():
+    g = toxicity.grammar()
+    O, I, T, P, N, R = range(6)
+    plain = g.score([O, I, O], [0, 2.0, 0])[0]
+    assert plain == 2.0
+    assert g.score([P, O, I], [0, 0, 2.0])[0] > plain > g.score([N, O, I], [0, 0, 2.0])[0] > 0
+    assert g.score([R, O, O, O, O, O, I], [0.0] * 6 + [2.0])[0] < plain
+    assert g.score([O, T, O], [0, 4.0, 0]) == (0.0, 0) and g.score([P, T], [0, 4.0])[0] > 0
+    assert g.score([N, O, O, O, O, O, I], [0.0] * 6 + [2.0])[0] == plain
+
+
+def test_toxic_texts_are_found(spark, folder):
+    texts = spark.read.parquet(f"{folder}/labelled.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(texts, labels)
+    rows = toxicity.score(texts, model).join(labels, "doc_id").withColumn("held", toxicity.held_out()).where("held").collect()
+    assert len(rows) > 40 and np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in rows]) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+    clean = toxicity.without_toxic(texts, labels)
+    assert clean.columns == texts.columns and clean.where("doc_id < 2000").count() < 6 and clean.where("doc_id >= 2000").count() > 230
+
+
+def test_no_labels(spark, docs, folder, none):
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("false")
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()} == {0.5}
+    assert toxicity.score(none, toxicity.fit(none, labels)).count() == 0
+
+
+# ---------------------------------------------------------------- personal data
+
+PII = [
+    "mail bob.x+1@mail.example.org, or a@b@c.de or @nobody.com and x@y",
+    "hosts 10.0.0.1 and 300.1.1.1 then 1.2.3.4.5.6.7.8 v1.2.3",
+    "card 4111 1111 1111 1111 or 4111-1111-1111-1112 or 1 2 3 4 5 6 7 8 9 0 1 2",
+    "call +49 (30) 1234-567 or +1 2 or ++491234567890 or + 12345678901",
+    "see https://example.org/a?b=c. or www.example.com/x, Account number: 12345678 IBAN DE89 3704 0044 0532 0130 00",
+    "at 221B Baker Street today, ﷽ ünïcode ٣٤٥ 5@é.com a@b-c.d.e",
+    "", "no data here",
+]
+
+
+def test_personal_data_base_spans():
+    automaton = pii._automaton()
+    draw = np.random.default_rng(4)
+    alphabet = list("0123456789.+-@ ()ab")
+    texts = PII + ["".join(draw.choice(alphabet, 60)) for _ in range(3000)]
+    for text in texts:
+        found = [(s, k, e) for s, k, e in pii.find_spans(text, automaton) if k < 4]
+        assert hashlib.sha256(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in found).encode()).hexdigest() == pii.base_digest(text), text
+
+
+def test_personal_data_table(spark):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(PII)] + [(None, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    kinds = {k: [(s.kind, s.value) for s in spans] for k, spans in rows.items()}
+    assert kinds[0][0] == ("email", "bob.x+1@mail.example.org") and ("card", "4111 1111 1111 1111") in kinds[2]
+    assert ("url", "https://example.org/a?b=c") in kinds[4] and ("account", "12345678") in kinds[4] and any(k == "address" for k, _ in kinds[5])
+    assert rows[None] == [] and rows[7] == []
+    for k, spans in rows.items():
+        assert all(PII[k][s.start : s.stop] == s.value for s in spans)
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def test_fingerprints_estimate_similarity(spark, folder, corpus):
+    rows = {r.doc_id: r for r in fingerprint.op8_fingerprint(spark, folder).collect()}
+    texts = {r[0]: r[1] or "" for r in corpus}
+    ids = sorted(texts, reverse=True)
+
+    def grams(t):
+        w = [x for x in re.split(r"[\x20\t-\r]+", t) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
+
+    errors = []
+    for k, d in enumerate(ids):
+        after, n = texts[ids[(k + 1) % len(ids)]], len(texts[d])
+        edited = texts[d][: n - n // 2] + after[: n // 2]
+        r = rows[d]
+        assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b, c = grams(texts[d]), grams(edited), grams(after)
+        errors += [r.near_edited - (len(a & b) / len(a | b) if a or b else 1), r.near_next - (len(a & c) / len(a | c) if a or c else 1)]
+        assert len(r.fingerprint) == (fingerprint.BINS * 2 if a else 0)
+    assert np.sqrt(np.mean(np.square(errors))) < 0.06
+    assert rows[200].fingerprint == rows[201].fingerprint == rows[9].fingerprint
+
+
+def test_fingerprint_plan_is_native(spark, folder):
+    plan = fingerprint.op8_fingerprint(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# ---------------------------------------------------------------- odd input and the whole
+
+
+def test_odd_rows(odd, none, spark):
+    n = odd.count()
+    assert sharding.shard(odd, shards=3).count() == n and sharding.shard(none).count() == 0
+    mixed = mixing.mix(odd).collect()
+    assert len(mixed) == n and all(0 <= r.taken <= 2 * r["size"] for r in mixed) and mixing.mix(none).count() == 0
+    assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0
+    assert fingerprint.fingerprints(odd).count() == n and pii.find_personal_data(odd).count() == n and pii.find_personal_data(none).count() == 0
+    paired = fingerprint.with_next(odd.select("doc_id", "text"), ("text",), lambda x: x, ())
+    assert paired.count() == n and fingerprint.with_next(none.select("doc_id", "text"), ("text",), lambda x: x, ()).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(pages).count() == 0
+
+
+def test_pipeline(spark, folder, docs):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "mixing", "sharding"]
+    at = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, folder)
+        assert out.schema == docs.schema
+        at = spark.createDataFrame(out.collect(), docs.schema)
+    kept = {r[0] for r in at.collect()}
+    assert 8 not in kept and 0 not in kept and 201 not in kept and not kept & {100, 101, 102}
+    final = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r.doc_id for r in final) == Counter(r[0] for r in at.collect())
+
+
+def test_catalog_names():
+    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.QUERIES if k.startswith("op")} and "pipeline" in catalog.QUERIES
