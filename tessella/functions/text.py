@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Character classes of the layout rules.
 CJK = r"\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef"
-CJK_PUNCT = "，。！？；：、…—·「」『』【】《》（）\"\"''［］｛｝～—‘’“”"
+CJK_PUNCT = "，。！？；：、…—·「」『』【】《》（）'［］｛｝～\u2018\u2019\u201c\u201d"
 CLOSERS_BY_CJK = ".,;:!?)]}"
 SENTENCE_ENDS = "。！？；：.!?;…"
 OPENERS, CLOSERS = "([{<", ")]}>.,;:!?"

@@ -336,7 +336,10 @@ def text_statistics(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select("doc_id", text.text_statistics(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
-@query("SELECT doc_id, text AS spaced FROM (SELECT doc_id, regexp_replace(text, ' {2,}', ' ', 'g') AS text FROM documents)")
+_MARKS = "[，。！？；：、…—·「」『』【】《》（）''［］｛｝～‘’“”]"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{{00a0}}\\x{{2000}}-\\x{{200b}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' +({_MARKS})', '\\1', 'g'), '({_MARKS}) +', '\\1', 'g'), ' {{2,}}', ' ', 'g') AS spaced FROM documents")
 def spacing(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select("doc_id", text.normalize_spacing(F.col("text")).alias("spaced"))
 
