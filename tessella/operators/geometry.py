@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessella.functions import wrap
@@ -152,7 +153,7 @@ def with_segments(lined: DataFrame, gap: float = SEGMENT_GAP) -> DataFrame:
     return lined.withColumn("_wide", wide).withColumn("seg_no", F.sum("_wide").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_wide")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def joined_words(items: pd.Series) -> pd.Series:
     """Text of each array of words in order (struct of text, x0, x1): spaces by script and gap."""
     return items.map(lambda words: None if words is None else wrap.gap_join(list(words)))

@@ -440,7 +440,7 @@ def word_columns(spark, sf_dir):
     return pages.select("doc_id", geometry.aligned_columns(F.col("xs")).alias("columns"))
 
 
-@query("SELECT doc_id, greatest(36.0, least(50.0, 144.0)) AS left_margin FROM (SELECT DISTINCT doc_id FROM words WHERE x1 > x0)", using=(t.WORDS,))
+@query("SELECT doc_id, CAST(greatest(36.0, least(50.0, 144.0)) AS DOUBLE) AS left_margin FROM (SELECT DISTINCT doc_id FROM words WHERE x1 > x0)", using=(t.WORDS,))
 def page_margins(spark, sf_dir):
     blocks = t.words(spark, sf_dir)
     found = blocks.groupBy("doc_id").agg(F.min(F.when(F.col("x1") > F.col("x0"), F.col("x0"))).alias("l")).where("l IS NOT NULL")

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """path (relative), length and modificationTime of all files below a folder; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
-    return files.withColumn("path", F.substring_index("path", folder.rstrip("/").split(":")[-1] + "/", -1))
+    inside = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", folder).rstrip("/") + "/"
+    return files.withColumn("path", F.substring_index("path", inside, -1))
 
 
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,7 +46,7 @@ def zipped(rows: DataFrame, *, group: str = "batch_id", index: str = "idx") -> D
     return rows.groupBy(group).applyInPandas(pack, f"{group} {kind}, files long, content binary")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def zip_entries(content: pd.Series) -> pd.Series:
     """Names in a ZIP; null if it is none."""
 

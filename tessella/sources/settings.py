@@ -31,8 +31,19 @@ def dotenv(lines: DataFrame, existing: DataFrame | None = None, *, override: boo
 
 
 def read_dotenv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a settings file, in order; such a file is one partition."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(line_no, line) of one settings file.
+
+    Spark's readers pass over names that begin with a dot, so the driver opens
+    the file, by the same file system.
+    """
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).open(target)
+    try:
+        text = context._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return spark.createDataFrame(list(enumerate(text.splitlines())), "line_no int, line string")
 
 
 def disabled_slugs(text: DataFrame, known: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
