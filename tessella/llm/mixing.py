@@ -107,8 +107,8 @@ def schedule(spark: SparkSession, p: Plan, work: Workspace) -> DataFrame:
 
     drawn = spark.range(total).mapInArrow(named, "k long, sid int").withColumn("stretch", F.floor(F.col("k") / STRETCH))
     drawn = _ranked(drawn, ["sid"], "rank")
-    have = F.get(F.array(*[F.lit(s) for s in slots]) if slots else F.array(), F.col("sid"))
-    drawn = work.keep(drawn.withColumn("over", F.col("rank") >= have).select("k", "sid", "stretch", "rank", "over"), "drawn")
+    quotas = spark.createDataFrame(list(enumerate(slots)), "sid int, slots long")
+    drawn = work.keep(drawn.join(F.broadcast(quotas), "sid").withColumn("over", F.col("rank") >= F.col("slots")).select("k", "sid", "stretch", "rank", "over"), "drawn")
     kept = drawn.where("NOT over").select("k", "sid", "rank")
     # Surplus slots, in order, fill up the sources that are short.
     got = {r[0]: r[1] for r in kept.groupBy("sid").count().collect()}
