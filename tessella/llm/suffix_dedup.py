@@ -382,6 +382,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", span: int = SPAN, gra
     parts = cool.select("anchor", "seg", "key", "chash", "base").unionByName(warm.select("anchor", "seg", "key", "chash", "base")).distinct()
     pairs = F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda i: F.struct(F.element_at("marks", i + 1).alias("s"), F.element_at("marks", i + 2).alias("e")))
     hits = parts.join(marks, ["key", "chash"]).select("anchor", "seg", F.explode(F.transform(pairs, lambda p: F.struct((p["s"] + F.col("base")).alias("s"), (p["e"] + F.col("base")).alias("e")))).alias("p")).groupBy("anchor", "seg").agg(F.collect_list("p").alias("cuts"))
+    hits = work.keep(hits, "hits")  # a table, so that Spark can split an anchor that very many texts hold
 
     some = seen.where("mixed").select("id", "crc", "anchor", "seg", "lo").join(hits, ["anchor", "seg"])
     some = some.select("id", "crc", F.transform("cuts", lambda p: F.struct((F.col("lo") + p["s"]).alias("s"), (F.col("lo") + p["e"] - 1 + span).alias("e"))).alias("cuts"))
