@@ -24,7 +24,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm.kernel import SHINGLE, Words, gram_of, grams, runs, words
 from tessella.llm.workspace import arrow_rows
