@@ -212,6 +212,7 @@ def _leaves(paths: DataFrame, work: Workspace, leaf: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         key = F.col(f"p{depth}")
         sizes = active.groupBy(key.alias("leaf")).agg(F.count("*").alias("c")).where("c > 1")
+        sizes = work.keep(sizes, f"sizes{depth}")  # a table, so that Spark can split a large node
         met = active.withColumn("leaf", key).join(sizes, "leaf")
         if depth < DEPTH:
             met = work.keep(met, f"level{depth}")
