@@ -25,7 +25,7 @@ BINS = 1 << BIN_BITS
 LOW_BITS = 8
 SPACE = r"[\x20\x09-\x0D]+"
 SEGMENTS = 64
-SUBSEGMENTS = 16
+RANGES_A_PARTITION = 20
 
 
 def _bin(x: Column) -> Column:
@@ -80,8 +80,10 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def _bucketed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Adds ``bucket``: a row with a larger id has no larger bucket, and buckets are about equally full.
 
-    The driver gets SEGMENTS quantiles of the ids; between two of them buckets are of equal width.
+    The driver gets SEGMENTS quantiles of the ids; between two of them buckets
+    are of equal width.  Their number follows that of shuffle partitions.
     """
+    parts = max(1, -(-RANGES_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SEGMENTS))
     cuts = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 1e-3)))
     if not cuts:
         return docs.withColumn("bucket", F.lit(0))
@@ -89,9 +91,9 @@ def _bucketed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     x = F.col("doc_id").cast("double")
     segment = F.greatest(F.lit(1), F.size(F.filter(low, lambda c: c <= x)))
     base, top = F.element_at(low, segment), F.coalesce(F.get(low, segment), F.lit(float(cuts[-1]) + 1))
-    part = F.least(F.lit(SUBSEGMENTS - 1), F.greatest(F.lit(0), F.floor((x - base) / (top - base) * SUBSEGMENTS).cast("int")))
-    top_bucket = (len(cuts) + 1) * SUBSEGMENTS
-    return docs.withColumn("bucket", F.coalesce(F.lit(top_bucket) - (segment * SUBSEGMENTS + part), F.lit(top_bucket + 1)).cast("int"))
+    part = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((x - base) / (top - base) * parts).cast("int")))
+    top_bucket = (len(cuts) + 1) * parts
+    return docs.withColumn("bucket", F.coalesce(F.lit(top_bucket) - (segment * parts + part), F.lit(top_bucket + 1)).cast("int"))
 
 
 def with_next(docs: DataFrame, columns: tuple[str, ...], extend: Callable[[DataFrame], DataFrame], more: tuple[str, ...]) -> DataFrame:
@@ -102,7 +104,8 @@ def with_next(docs: DataFrame, columns: tuple[str, ...], extend: Callable[[DataF
     its end sees what follows.  ``extend`` adds the columns ``more`` to all
     rows on the way.  Null ids come last; rows of one id follow each other in
     descending order of ``columns``.  The driver gets one number and one id
-    for each range, of which there are at most about SEGMENTS x SUBSEGMENTS.
+    for each range, of which there are about RANGES_A_PARTITION for each
+    shuffle partition.
     """
     spark: SparkSession = docs.sparkSession
     dealt = _bucketed(docs, docs.select("doc_id"))
