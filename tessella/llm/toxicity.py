@@ -5,8 +5,11 @@ aimed at, a negation, a word of reported speech, or anything else.  Five
 transducers rewrite and weigh them: two pass insults and threats on with their
 weights, one raises what stands near a person and lets threats count only
 there, one lowers what a negation governs, and one lowers what follows a word
-of reported speech.  Their composition is one table of states, and the score of
-a clause is the weight of its accepting path.  Only clauses that hold an
+of reported speech.  As a person can stand on either side ("you I will kill",
+"kill you"), a pass from the end of the clause first marks what a person
+follows; the rest reads from its start.  Each pass is a composition, one table
+of states, and the score of a clause is the weight of its accepting path.
+Only clauses that hold an
 insult or a threat are read; a text's clause scores, not its words, are what a
 small logistic model turns into a probability.
 
@@ -18,7 +21,7 @@ words as they meet in new texts; the lexicon then used is that of both halves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +46,8 @@ NEGATIONS = ("not", "never", "isn", "aren", "wasn", "don", "doesn", "nicht", "ke
 REPORTS = ("said", "says", "wrote", "called", "quoted", "claimed", "sagte", "schrieb", "nannte", "dit", "écrit", "appelé", "dijo", "escribió", "llamó")
 
 OTHER, INSULT, THREAT, PERSON, NEGATION, REPORT = range(6)
+AIMED_INSULT, AIMED_THREAT = 6, 7  # with a person among the next REACH words; written by the pass from the end
+SYMBOLS = 8
 _U = np.uint64
 
 
@@ -74,30 +79,49 @@ class Transducer:
             arcs.append(tuple(row))
         return Transducer(tuple(arcs))
 
+    def read(self, symbols: Iterable[int]) -> Iterator[tuple[int, float]]:
+        """(symbol written, factor) of each symbol."""
+        state = 0
+        for symbol in symbols:
+            state, out, factor = self.arcs[state][symbol]
+            yield out, factor
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """A pass from the end of a clause and one from its start, which reads what the first wrote."""
+
+    from_end: Transducer
+    from_start: Transducer
+
     def score(self, symbols: list[int], weights: list[float]) -> tuple[float, int]:
         """Weight of a clause and the number of words that count in it."""
-        state, total, count = 0, 0.0, 0
-        for symbol, weight in zip(symbols, weights, strict=True):
-            state, out, factor = self.arcs[state][symbol]
-            if out in (INSULT, THREAT) and factor > 0:
-                total += weight * factor
+        marked = list(self.from_end.read(reversed(symbols)))[::-1]
+        total, count = 0.0, 0
+        for weight, (_, first), (out, factor) in zip(weights, marked, self.from_start.read(x for x, _ in marked), strict=True):
+            if out in (INSULT, THREAT) and first * factor > 0:
+                total += weight * first * factor
                 count += 1
         return total, count
 
 
 def _machine(states: int, rule) -> Transducer:
-    return Transducer(tuple(tuple(rule(state, symbol) for symbol in range(6)) for state in range(states)))
+    return Transducer(tuple(tuple(rule(state, symbol) for symbol in range(SYMBOLS)) for state in range(states)))
 
 
-def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, negated: float = 0.6, reported: float = 0.7) -> Transducer:
-    """The composition of the five transducers."""
+def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, negated: float = 0.6, reported: float = 0.7) -> Grammar:
+    """The composition of the five transducers; that of persons has a half in each pass."""
     insult = _machine(1, lambda s, x: (0, x, 1.0))
     threat = _machine(1, lambda s, x: (0, x, 1.0))
 
+    def person_after(s, x):
+        near = reach if x == PERSON else max(0, s - 1)
+        return near, {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}.get(x, x) if s else x, 1.0
+
     def person(s, x):
         near = reach if x == PERSON else max(0, s - 1)
-        factor = {INSULT: aimed if s else 1.0, THREAT: 1.0 if s else stray}.get(x, 1.0)
-        return near, x, factor
+        factor = {INSULT: aimed if s else 1.0, THREAT: 1.0 if s else stray, AIMED_INSULT: aimed}.get(x, 1.0)
+        return near, {AIMED_INSULT: INSULT, AIMED_THREAT: THREAT}.get(x, x), factor
 
     def negation(s, x):
         return (reach if x == NEGATION else max(0, s - 1)), x, (negated if s and x in (INSULT, THREAT) else 1.0)
@@ -105,10 +129,8 @@ def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, nega
     def report(s, x):
         return (1 if s or x == REPORT else 0), x, (reported if s and x in (INSULT, THREAT) else 1.0)
 
-    out = insult.compose(threat)
-    for part in (_machine(reach + 1, person), _machine(reach + 1, negation), _machine(2, report)):
-        out = out.compose(part)
-    return out
+    from_end = insult.compose(threat).compose(_machine(reach + 1, person_after))
+    return Grammar(from_end, _machine(reach + 1, person).compose(_machine(reach + 1, negation)).compose(_machine(2, report)))
 
 
 # ---------------------------------------------------------------- words to symbols

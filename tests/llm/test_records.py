@@ -145,6 +145,20 @@ def test_grammar_weighs_clauses():
     assert g.score([N, O, O, O, O, O, I], [0.0] * 6 + [2.0])[0] == plain
 
 
+def test_threats_count_on_either_side_of_a_person():
+    g = toxicity.grammar()
+    O, I, T, P, N, R = range(6)
+    assert g.score([T, P], [4.0, 0]) == g.score([P, T], [0, 4.0]) == (4.0, 1)
+    assert g.score([T, O, O, O, P], [4.0, 0, 0, 0, 0]) == (4.0, 1) and g.score([T, O, O, O, O, P], [4.0] + [0] * 5) == (0.0, 0)
+    assert g.score([I, P], [2.0, 0])[0] == g.score([P, I, P], [0, 2.0, 0])[0] == g.score([P, I], [0, 2.0])[0] > 2.0
+    assert 0 < g.score([N, T, P], [0, 4.0, 0])[0] < 4.0 and 0 < g.score([R, T, P], [0, 4.0, 0])[0] < 4.0
+    reader = toxicity.Reader(np.zeros(0, dtype=np.uint64), np.zeros(0))
+    texts = ["I will kill you", "hurt them", "matar a usted", "you will burn", "we burn wood", "they kill. You win"]
+    column = toxicity.pa.array(texts)
+    rows = np.concatenate([reader.features(buf, offs) for _, _, buf, offs in toxicity.runs(column)])
+    assert (rows[:, 0] > 0).tolist() == [True] * 4 + [False] * 2
+
+
 def test_toxic_texts_are_found(spark, folder):
     texts = spark.read.parquet(f"{folder}/labelled.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
