@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-The words of a clause are read as symbols: an insult, a threat, a person
-aimed at, a negation, a word of reported speech, or anything else.  Five
-transducers rewrite and weigh them: two pass insults and threats on with their
-weights, one raises what stands near a person and lets threats count only
+The words of a clause are read as symbols: a word of the lexicon, a listed
+threat, one that is both, a person aimed at, a negation, a word of reported
+speech, or anything else.  Five transducers rewrite and weigh them: one tags
+words of the lexicon as insults, at their log-odds, one tags listed words that
+are no insults as threats, at a fixed weight, one raises what stands near a person and lets threats count only
 there, one lowers what a negation governs, and one lowers what follows a word
 of reported speech.  As a person can stand on either side ("you I will kill",
 "kill you"), a pass from the end of the clause first marks what a person
@@ -37,6 +38,7 @@ LEXICON = 20_000  # entries of the lexicon, at most
 LEAST_TEXTS = 3  # toxic texts that must hold a lexicon entry
 LEAST_WEIGHT = 1.5
 PREFIXES = (4, 5, 6)  # lengths in bytes of the word beginnings that are learned
+THREAT_WEIGHT = 4.0
 REACH = 4  # words over which a negation or a person has effect
 
 # Closed word classes of the grammar (English, German, French, Spanish).
@@ -47,7 +49,8 @@ REPORTS = ("said", "says", "wrote", "called", "quoted", "claimed", "sagte", "sch
 
 OTHER, INSULT, THREAT, PERSON, NEGATION, REPORT = range(6)
 AIMED_INSULT, AIMED_THREAT = 6, 7  # with a person among the next REACH words; written by the pass from the end
-SYMBOLS = 8
+LEXICAL, LISTED, BOTH = 8, 9, 10  # what a word was found in, not yet tagged: the lexicon, the list of threats, both
+SYMBOLS = 11
 _U = np.uint64
 
 
@@ -111,8 +114,8 @@ def _machine(states: int, rule) -> Transducer:
 
 def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, negated: float = 0.6, reported: float = 0.7) -> Grammar:
     """The composition of the five transducers; that of persons has a half in each pass."""
-    insult = _machine(1, lambda s, x: (0, x, 1.0))
-    threat = _machine(1, lambda s, x: (0, x, 1.0))
+    insult = _machine(1, lambda s, x: (0, INSULT if x in (LEXICAL, BOTH) else x, 1.0))
+    threat = _machine(1, lambda s, x: (0, THREAT, THREAT_WEIGHT) if x == LISTED else (0, x, 1.0))
 
     def person_after(s, x):
         near = reach if x == PERSON else max(0, s - 1)
@@ -173,10 +176,9 @@ class Lexicon:
         return maybe[hit], self.weights[at[hit]]
 
 
-_CLASSES = {THREAT: THREATS, PERSON: PERSONS, NEGATION: NEGATIONS, REPORT: REPORTS}
+_CLASSES = {LISTED: THREATS, PERSON: PERSONS, NEGATION: NEGATIONS, REPORT: REPORTS}
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".!?;\n"]] = True
-THREAT_WEIGHT = 4.0
 FEATURES = 5
 
 
@@ -202,9 +204,9 @@ class Reader:
         symbol = np.zeros(len(w.hash), dtype=np.int64)
         at, kind = self.classes.find(w.hash)
         symbol[at] = kind.astype(np.int64)
-        symbol[weight > 0] = INSULT
-        weight[symbol == THREAT] = THREAT_WEIGHT
-        marks = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
+        symbol[weight > 0] = np.where(symbol[weight > 0] == LISTED, BOTH, LEXICAL)
+        weight[symbol == LISTED] = 1.0
+        marks = np.flatnonzero(symbol >= LEXICAL)
         if not len(marks):
             return out
         cuts = np.flatnonzero(_BREAK[buf])

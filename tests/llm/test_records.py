@@ -159,6 +159,13 @@ def test_threats_count_on_either_side_of_a_person():
     assert (rows[:, 0] > 0).tolist() == [True] * 4 + [False] * 2
 
 
+def test_grammar_tags_and_weighs_words():
+    g = toxicity.grammar()
+    assert g.score([toxicity.LEXICAL], [2.0]) == g.score([toxicity.BOTH], [2.0]) == g.score([toxicity.INSULT], [2.0]) == (2.0, 1)
+    assert g.score([toxicity.LISTED], [1.0]) == (0.0, 0)
+    assert g.score([toxicity.LISTED, toxicity.PERSON], [1.0, 0]) == g.score([toxicity.PERSON, toxicity.LISTED], [0, 1.0]) == (toxicity.THREAT_WEIGHT, 1)
+
+
 def test_toxic_texts_are_found(spark, folder):
     texts = spark.read.parquet(f"{folder}/labelled.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
