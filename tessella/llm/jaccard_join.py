@@ -73,7 +73,7 @@ def _signatures(functions: int):
                 keys = [_set_key(values[offs[i] : offs[i + 1]]) if n[i] else hashlib.blake2b(b"text:" + (text[a + i].as_py() or "").encode(), digest_size=16).digest() for i in range(len(n))]
                 pairs = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int32)), list_array(mix(sig).view(np.int64).ravel(), np.arange(len(n) + 1) * functions, pa.int64())], names=["id", "k1", "k2", "n", "sig"]
+                    [batch.column(0).slice(a, len(n)), batch.column(2).slice(a, len(n)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int32)), list_array(mix(sig).view(np.int64).ravel(), np.arange(len(n) + 1) * functions, pa.int64())], names=["id", "body", "k1", "k2", "n", "sig"]
                 )
 
     return rows
@@ -142,7 +142,7 @@ def _plausible(threshold: float, functions: int):
         for f in range(functions):
             same += sig[:, f][:, None] == sig[:, f][None, :]
         due = _due(rows, threshold) & (same >= APART * functions)
-        return [(r["leaf"], r["i"], r["j"], r["r"], r["block"], r["rep"], r["n"], r["members"], r["leaves"]) for r, any_ in zip(rows, due.any(axis=1), strict=True) if any_]
+        return [(r["leaf"], r["i"], r["j"], r["r"], r["block"], r["node"], r["n"], r["members"], r["leaves"]) for r, any_ in zip(rows, due.any(axis=1), strict=True) if any_]
 
     return solve
 
@@ -182,16 +182,16 @@ def _verify(threshold: float):
         union = sizes[:, None] + sizes[None, :] - both
         linked = _due(rows, threshold) & (both >= threshold * union - 1e-9)
         members = np.array([r["members"] for r in rows], dtype=np.int64)
-        rep = np.array([r["rep"] for r in rows], dtype=np.int64)
+        node = np.array([r["node"] for r in rows], dtype=np.int64)
         docs, classes = linked @ members, linked.sum(axis=1)
         # The smallest set each one is connected to within the leaf.
-        root = rep.copy()
+        root = node.copy()
         while True:
             low = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
             if (low == root).all():
                 break
             root = low
-        return [(int(rep[k]), int(docs[k]), int(classes[k]), int(root[k])) for k in np.flatnonzero(classes)]
+        return [(int(node[k]), int(docs[k]), int(classes[k]), int(root[k])) for k in np.flatnonzero(classes)]
 
     return solve
 
@@ -207,7 +207,7 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 
 def _leaves(paths: DataFrame, work: Workspace, leaf: int) -> DataFrame:
-    """(rep, r, leaf, c) of all leaves with more than one set; c: the sets in it."""
+    """(node, r, leaf, c) of all leaves with more than one set; c: the sets in it."""
     active, done = paths, None
     for depth in range(1, DEPTH + 1):
         key = F.col(f"p{depth}")
@@ -216,7 +216,7 @@ def _leaves(paths: DataFrame, work: Workspace, leaf: int) -> DataFrame:
         met = active.withColumn("leaf", key).join(sizes, "leaf")
         if depth < DEPTH:
             met = work.keep(met, f"level{depth}")
-        here = (met if depth == DEPTH else met.where(F.col("c") <= leaf)).select("rep", "r", "leaf", "c")
+        here = (met if depth == DEPTH else met.where(F.col("c") <= leaf)).select("node", "r", "leaf", "c")
         done = here if done is None else done.unionByName(here)
         if depth < DEPTH:
             active = met.where(F.col("c") > leaf).drop("leaf", "c")
@@ -225,62 +225,73 @@ def _leaves(paths: DataFrame, work: Workspace, leaf: int) -> DataFrame:
     return done
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
-    """One row per document: its group of linked documents and its number of links.
-
-    Returns doc_id; class_id, the smallest id among the documents that links
-    connect to it, itself included; n_links, how many other documents have
-    similarity at least ``threshold`` to it; n_class_links, the same counted in
-    different shingle sets; copy_of, the smallest id with an equal set; n_copies,
-    documents with that set.
-
-    A text of one to four words has one shingle, all its words.  Texts without
-    words (null, empty, punctuation) are alike only if equal, null as empty.  A
-    row without an id gets one from its text.  Repeated rows are copies of each
-    other.  Only ``doc_id`` and the text are read.
-    """
+def _grouped(docs: DataFrame, *, text: str, threshold: float, leaf: int, recall: float) -> DataFrame:
+    """What near_duplicates returns, with body (the text's hash), the key k1, k2 of its set, and first: whether the set is its group's first by id and key."""
     spark: SparkSession = docs.sparkSession
     arrow_rows(spark, 1000)
     work = Workspace(spark, "jaccard")
     times = runs_for(threshold, DEPTH, recall)
     functions = times * DEPTH
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.coalesce("doc_id", F.xxhash64(body)).alias("id"), body.alias("text"))
-    signed = work.keep(keyed.mapInArrow(_signatures(functions), "id long, k1 long, k2 long, n int, sig array<long>"), "signed")
-    classes = work.keep(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    keyed = docs.select(F.coalesce("doc_id", F.xxhash64(body)).alias("id"), body.alias("text"), F.xxhash64(body).alias("body"))
+    signed = work.keep(keyed.mapInArrow(_signatures(functions), "id long, body long, k1 long, k2 long, n int, sig array<long>"), "signed")
+    classes = work.keep(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
 
     def step(r: Column, d: int) -> Column:
         return F.element_at("sig", r * DEPTH + d + 1)
 
-    sets = classes.where("n > 0").select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("r"))
+    sets = classes.where("n > 0").select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("r"))
     r = F.col("r")
     paths = sets.withColumn("p1", F.xxhash64("r", step(r, 0))).withColumn("p2", F.xxhash64("p1", step(r, 1))).withColumn("p3", F.xxhash64("p2", step(r, 2))).drop("sig")
     leaves = _leaves(work.keep(paths, "paths"), work, leaf)
-    mine = leaves.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("r", F.struct("leaf", "c").alias("at")))).alias("by"))
+    mine = leaves.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("r", F.struct("leaf", "c").alias("at")))).alias("by"))
     every = F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: F.coalesce(F.element_at("by", k)["leaf"], F.lit(0)))
-    mine = work.keep(mine.withColumn("leaves", every).join(classes.select("rep", "k1", "k2", "n", "members", "sig"), "rep"), "members")
-    at = mine.select("rep", "n", "members", "sig", "leaves", F.explode("by").alias("r", "at")).withColumn("leaf", F.col("at")["leaf"])
+    mine = work.keep(mine.withColumn("leaves", every).join(classes.select("node", "n", "members", "sig"), "node"), "members")
+    at = mine.select("node", "n", "members", "sig", "leaves", F.explode("by").alias("r", "at")).withColumn("leaf", F.col("at")["leaf"])
     blocks = F.ceil(F.col("at")["c"] / F.lit(leaf)).cast("int")
-    at = at.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    at = at.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     at = at.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("at", "blocks", "other")
-    columns = "leaf long, i int, j int, r int, block int, rep long, n int, members long, leaves array<long>"
+    columns = "leaf long, i int, j int, r int, block int, node long, n int, members long, leaves array<long>"
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-    names = ["leaf", "i", "j", "r", "block", "rep", "n", "members", "leaves"]
+    names = ["leaf", "i", "j", "r", "block", "node", "n", "members", "leaves"]
     open_ = work.keep(_dealt(at).mapInArrow(_by_leaf(_plausible(threshold, functions), names, kinds), columns), "plausible")
 
-    asked = open_.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
-    texts = keyed.join(asked.select(F.col("rep").alias("id")).distinct(), "id")
+    asked = open_.select("node").distinct().join(classes.select("node", "rep", "k1", "k2"), "node")
+    texts = keyed.select("id", "text").join(asked.select(F.col("rep").alias("id")).distinct(), "id")
     tokens = texts.mapInArrow(_shingle_sets, "id long, k1 long, k2 long, tokens binary").withColumnRenamed("id", "rep").dropDuplicates(["rep", "k1", "k2"])
-    tokens = work.keep(tokens.join(asked, ["rep", "k1", "k2"], "left_semi").select("rep", "tokens"), "tokens")
-    full = open_.join(tokens, "rep")
-    found = work.keep(_dealt(full).mapInArrow(_by_leaf(_verify(threshold), ["rep", "docs", "sets", "root"], [pa.int64()] * 4), "rep long, docs long, sets long, root long"), "links")
+    tokens = work.keep(tokens.join(asked, ["rep", "k1", "k2"]).select("node", "tokens"), "tokens")
+    full = open_.join(tokens, "node")
+    found = work.keep(_dealt(full).mapInArrow(_by_leaf(_verify(threshold), ["node", "docs", "sets", "root"], [pa.int64()] * 4), "node long, docs long, sets long, root long"), "links")
+
+    links = found.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("sets").alias("sets"))
+    groups = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), work)
+    ends = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    firsts = ends.join(classes.select("node", "rep", "k1", "k2"), "node").groupBy("root").agg(F.min(F.struct("rep", "k1", "k2")).alias("low"))
+    lows = work.keep(ends.join(firsts, "root").select("node", "low"), "lows")
+    known = classes.select("node", "k1", "k2", "rep", "members").join(links, "node", "left").join(lows, "node", "left")
+    first = F.col("low").isNull() | ((F.col("low.k1") == F.col("k1")) & (F.col("low.k2") == F.col("k2")))
+    known = known.select("k1", "k2", F.coalesce("low.rep", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("sets", F.lit(0)).alias("n_class_links"), F.col("rep").alias("copy_of"), F.col("members").alias("n_copies"), first.alias("first"))
+    return signed.select(F.col("id").alias("doc_id"), "body", "k1", "k2").join(known, ["k1", "k2"])
 
-    links = found.groupBy("rep").agg(F.sum("docs").alias("docs"), F.sum("sets").alias("sets"))
-    groups = connected(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), work)
-    known = classes.select("k1", "k2", "rep", "members").join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("k1", "k2", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("sets", F.lit(0)).alias("n_class_links"), F.col("rep").alias("copy_of"), F.col("members").alias("n_copies"))
-    return signed.select(F.col("id").alias("doc_id"), "k1", "k2").join(known, ["k1", "k2"]).drop("k1", "k2")
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
+    """One row per document: its group of linked documents and its number of links.
+
+    Returns doc_id; class_id, the smallest id among the documents that links
+    connect to it, itself included; n_links, how many other documents have
+    similarity at least ``threshold`` to it; n_class_links, the same counted in
+    different shingle sets; copy_of, the smallest id with an equal set; n_copies,
+    documents with that set.
+
+    A text of one to four words has one shingle, all its words.  Texts without
+    words (null, empty, punctuation) are alike only if equal, null as empty.  A
+    row without an id gets one from its text.  Repeated rows are copies of each
+    other; rows that share an id but differ in text are documents of their own.
+    Only ``doc_id`` and the text are read.
+    """
+    found = _grouped(docs, text=text, threshold=threshold, leaf=leaf, recall=recall)
+    return found.select("doc_id", "class_id", "n_links", "n_class_links", "copy_of", "n_copies")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,10 +301,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs but for all documents of a group except the one with the smallest id.
 
-    Of rows that repeat that id, as of a null id and an equal text, one stays.
+    Of rows of a group that repeat that id, as of a null id and an equal text,
+    one stays.  Rows of different groups stay though they share an id.
     """
     body = F.coalesce("text", F.lit(""))
-    found = near_duplicates(docs, threshold=threshold)
-    keep = found.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    keyed = docs.withColumn("_id", F.coalesce("doc_id", F.xxhash64(body)))
-    return keyed.join(keep, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    found = _grouped(docs, text="text", threshold=threshold, leaf=LEAF, recall=RECALL)
+    keep = found.where("first AND doc_id = copy_of").groupBy("k1", "k2").agg(F.min("doc_id").alias("_id"), F.min("body").alias("_body")).drop("k1", "k2")
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.xxhash64(body)), "_body": F.xxhash64(body)})
+    return keyed.join(keep, ["_id", "_body"], "left_semi").dropDuplicates(["_id", "_body"]).select(*docs.columns)

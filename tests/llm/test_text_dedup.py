@@ -154,6 +154,22 @@ def test_one_of_each_keeps_the_smallest(docs, corpus):
     assert kept == {r[0] for r in corpus if r[0] < min(links[r[0]], default=10**9)}
 
 
+def test_one_id_with_two_texts(spark):
+    def prose(seed, n=60):
+        draw = np.random.default_rng(seed)
+        return [str(x) for x in draw.integers(10**6, size=n)]
+
+    near = [" ".join(prose(k)) for k in (1, 2)]
+    far = [" ".join([*prose(k)[:-1], "end"]) for k in (1, 2)]
+    alike = [" ".join(prose(3)), " ".join([*prose(3)[:-1], "end"])]
+    rows = [(5, near[0]), (5, near[1]), (6, far[0]), (7, far[1]), (8, alike[0]), (8, alike[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(tuple(r)[:4] for r in jaccard_join.near_duplicates(docs).collect())
+    assert found == [(5, 5, 1, 1), (5, 5, 1, 1), (6, 5, 1, 1), (7, 5, 1, 1), (8, 8, 1, 1), (8, 8, 1, 1)]
+    kept = sorted(tuple(r) for r in jaccard_join.one_of_each(docs).collect())
+    assert kept[:2] == sorted(rows[:2]) and len(kept) == 3 and kept[2] in rows[4:]
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**3) ** jaccard_join.runs_for(0.8) >= 0.999
 
