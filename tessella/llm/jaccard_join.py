@@ -9,9 +9,10 @@ sets is a leaf and is compared by brute force; one still larger after
 runs that reach the target recall at the threshold.
 
 Texts with equal shingle sets form one class and take part once.  In a leaf,
-signatures first rule out pairs that are clearly apart and pairs that an
-earlier run has already put into one leaf; only then do the shingle sets of
-those left travel to the leaf for exact similarities.  A leaf returns one row
+pairs that an earlier run has already put into one leaf are left out, and so
+are those whose sizes, or whose shingles counted by bucket, show that they
+cannot reach the threshold; these bounds never drop a pair at the threshold.
+Only then do the shingle sets of those left travel to the leaf for exact similarities.  A leaf returns one row
 per set (links found, and one edge towards the smallest set it is connected
 to), never its pairs; groups of linked sets come from these edges.
 """
@@ -35,7 +36,7 @@ THRESHOLD = 0.8
 DEPTH = 3
 LEAF = 512
 RECALL = 0.999
-APART = 0.5  # a pair whose signatures agree in fewer than this share is not verified
+BUCKETS = 256  # of the shingles of a set, by their lowest bits, whose counts bound what two sets share
 
 _U = np.uint64
 
@@ -57,6 +58,25 @@ def _set_key(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def bucket_counts(values: np.ndarray) -> np.ndarray:
+    """Shingles of a set in each bucket; nothing is cut off, as a byte that is full makes all of them 255."""
+    counts = np.bincount((values & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return (counts if counts.max() < 255 else np.full(BUCKETS, 255)).astype(np.uint8)
+
+
+def reachable(counts: np.ndarray, n: np.ndarray, due: np.ndarray, threshold: float) -> np.ndarray:
+    """The pairs of ``due`` (symmetric) whose bucket counts leave room for the threshold; sets with full counts pass."""
+    out = np.zeros_like(due)
+    full = counts[:, 0] == 255
+    a, b = np.nonzero(np.triu(due))
+    for at in range(0, len(a), 4096):
+        i, j = a[at : at + 4096], b[at : at + 4096]
+        most = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64)
+        keep = full[i] | full[j] | (most * (1 + threshold) >= threshold * (n[i] + n[j]) - 1e-6)
+        out[i[keep], j[keep]] = out[j[keep], i[keep]] = True
+    return out
+
+
 def _signatures(functions: int):
     factor = mix(np.arange(1, functions + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
@@ -72,8 +92,9 @@ def _signatures(functions: int):
                         sig[has, f] = np.minimum.reduceat(values * factor[f], offs[:-1][has])
                 keys = [_set_key(values[offs[i] : offs[i + 1]]) if n[i] else hashlib.blake2b(b"text:" + (text[a + i].as_py() or "").encode(), digest_size=16).digest() for i in range(len(n))]
                 pairs = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
+                counts = [bucket_counts(values[offs[i] : offs[i + 1]]).tobytes() for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, len(n)), batch.column(2).slice(a, len(n)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int32)), list_array(mix(sig).view(np.int64).ravel(), np.arange(len(n) + 1) * functions, pa.int64())], names=["id", "body", "k1", "k2", "n", "sig"]
+                    [batch.column(0).slice(a, len(n)), batch.column(2).slice(a, len(n)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int32)), list_array(mix(sig).view(np.int64).ravel(), np.arange(len(n) + 1) * functions, pa.int64()), pa.array(counts, pa.binary())], names=["id", "body", "k1", "k2", "n", "sig", "counts"]
                 )
 
     return rows
@@ -133,15 +154,12 @@ def _due(rows: list[dict], threshold: float) -> np.ndarray:
     return due
 
 
-def _plausible(threshold: float, functions: int):
+def _plausible(threshold: float):
     def solve(rows: list[dict]) -> list[tuple]:
         if len(rows) < 2:
             return []
-        sig = np.array([r["sig"] for r in rows], dtype=np.int64)
-        same = np.zeros((len(rows), len(rows)), dtype=np.int16)
-        for f in range(functions):
-            same += sig[:, f][:, None] == sig[:, f][None, :]
-        due = _due(rows, threshold) & (same >= APART * functions)
+        counts = np.frombuffer(b"".join(r["counts"] for r in rows), dtype=np.uint8).reshape(len(rows), BUCKETS)
+        due = reachable(counts, np.array([r["n"] for r in rows]), _due(rows, threshold), threshold)
         return [(r["leaf"], r["i"], r["j"], r["r"], r["block"], r["node"], r["n"], r["members"], r["leaves"]) for r, any_ in zip(rows, due.any(axis=1), strict=True) if any_]
 
     return solve
@@ -234,8 +252,8 @@ def _grouped(docs: DataFrame, *, text: str, threshold: float, leaf: int, recall:
     functions = times * DEPTH
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.coalesce("doc_id", F.xxhash64(body)).alias("id"), body.alias("text"), F.xxhash64(body).alias("body"))
-    signed = work.keep(keyed.mapInArrow(_signatures(functions), "id long, body long, k1 long, k2 long, n int, sig array<long>"), "signed")
-    classes = work.keep(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
+    signed = work.keep(keyed.mapInArrow(_signatures(functions), "id long, body long, k1 long, k2 long, n int, sig array<long>, counts binary"), "signed")
+    classes = work.keep(signed.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("counts").alias("counts")).withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
 
     def step(r: Column, d: int) -> Column:
         return F.element_at("sig", r * DEPTH + d + 1)
@@ -246,8 +264,8 @@ def _grouped(docs: DataFrame, *, text: str, threshold: float, leaf: int, recall:
     leaves = _leaves(work.keep(paths, "paths"), work, leaf)
     mine = leaves.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("r", F.struct("leaf", "c").alias("at")))).alias("by"))
     every = F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: F.coalesce(F.element_at("by", k)["leaf"], F.lit(0)))
-    mine = work.keep(mine.withColumn("leaves", every).join(classes.select("node", "n", "members", "sig"), "node"), "members")
-    at = mine.select("node", "n", "members", "sig", "leaves", F.explode("by").alias("r", "at")).withColumn("leaf", F.col("at")["leaf"])
+    mine = work.keep(mine.withColumn("leaves", every).join(classes.select("node", "n", "members", "counts"), "node"), "members")
+    at = mine.select("node", "n", "members", "counts", "leaves", F.explode("by").alias("r", "at")).withColumn("leaf", F.col("at")["leaf"])
     blocks = F.ceil(F.col("at")["c"] / F.lit(leaf)).cast("int")
     at = at.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -255,7 +273,7 @@ def _grouped(docs: DataFrame, *, text: str, threshold: float, leaf: int, recall:
     columns = "leaf long, i int, j int, r int, block int, node long, n int, members long, leaves array<long>"
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
     names = ["leaf", "i", "j", "r", "block", "node", "n", "members", "leaves"]
-    open_ = work.keep(_dealt(at).mapInArrow(_by_leaf(_plausible(threshold, functions), names, kinds), columns), "plausible")
+    open_ = work.keep(_dealt(at).mapInArrow(_by_leaf(_plausible(threshold), names, kinds), columns), "plausible")
 
     asked = open_.select("node").distinct().join(classes.select("node", "rep", "k1", "k2"), "node")
     texts = keyed.select("id", "text").join(asked.select(F.col("rep").alias("id")).distinct(), "id")

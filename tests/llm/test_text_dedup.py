@@ -170,6 +170,17 @@ def test_one_id_with_two_texts(spark):
     assert kept[:2] == sorted(rows[:2]) and len(kept) == 3 and kept[2] in rows[4:]
 
 
+def test_leaves_drop_no_pair_at_the_threshold():
+    """Even if the signatures of two sets of similarity 0.8 agree nowhere."""
+    draw = np.random.default_rng(5)
+    pool = draw.integers(1 << 63, size=160_000).astype(np.uint64)
+    for n in (9, 90, 900, 9_000, 90_000):
+        sets = [pool[:n], pool[n // 9 : n // 9 + n], pool[n // 9 + n // 2 : n // 9 + n // 2 + n]]
+        rows = [{"leaf": 1, "i": 0, "j": 0, "r": 0, "block": 0, "node": k, "n": n, "members": 1, "leaves": [1], "counts": jaccard_join.bucket_counts(s).tobytes(), "sig": [k] * 30} for k, s in enumerate(sets)]
+        kept = {r[5] for r in jaccard_join._plausible(0.8)(rows)}
+        assert kept >= {0, 1} and (n > 900 or kept == {0, 1})
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**3) ** jaccard_join.runs_for(0.8) >= 0.999
 
