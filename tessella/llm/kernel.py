@@ -5,15 +5,18 @@ whole Arrow batch is tokenised and hashed with a handful of numpy passes and
 no per-row Python.  Runs are cut at ``CHUNK`` bytes; one text longer than that
 forms a run of its own, so memory follows the longest text, not the batch.
 
-A *word* is a maximal run of ASCII letters, digits and bytes of multi-byte
-characters; A-Z and the capital Latin-1 letters are folded to lower case.
-Punctuation and white space part words and have no other effect.
+A *word* is a maximal run of letters, digits and combining marks by Unicode's
+categories, folded to lower case where that takes as many bytes.  Punctuation,
+symbols and white space part words and have no other effect.  Bytes that are no
+valid UTF-8 count as letters.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,15 +90,58 @@ def runs(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         at = end
 
 
-def fold(buf: np.ndarray) -> np.ndarray:
-    """Lower-case ASCII and the capital letters U+00C0..U+00DE but U+00D7."""
+def _lower(cp: int) -> int:
+    """The lower case of a character if it is one character of as many bytes, else the character."""
+    low = chr(cp).lower()
+    return ord(low) if len(low) == 1 and len(low.encode()) == len(chr(cp).encode()) else cp
+
+
+def _is_word(cp: int) -> bool:
+    return unicodedata.category(chr(cp))[0] in "LNM"
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """(lower case, whether of a word) of the characters of at most three bytes."""
+    low, inside = np.arange(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=bool)
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 1 << 16)]:
+        low[cp], inside[cp] = _lower(cp), _is_word(cp)
+    return low, inside
+
+
+def fold(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes in lower case, and whether each lies in a word."""
     out = _FOLD[buf]
-    if len(buf) > 1:
-        lead = np.flatnonzero(buf[:-1] == 0xC3) + 1
-        tail = buf[lead]
-        up = lead[(tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)]
-        out[up] += 0x20
-    return out
+    inside = _WORD[out]
+    if not (buf >= 0xC2).any():
+        return out, inside
+    table, letters = _characters()
+    for size, first, after in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+        at = np.flatnonzero((buf[: len(buf) - size + 1] >= first) & (buf[: len(buf) - size + 1] < after)) if len(buf) >= size else buf[:0].astype(np.int64)
+        for k in range(1, size):
+            at = at[(buf[at + k] & 0xC0) == 0x80]
+        if not len(at):
+            continue
+        cp = buf[at].astype(np.int64) & (0xFF >> (size + 1))
+        for k in range(1, size):
+            cp = cp << 6 | (buf[at + k] & 0x3F)
+        valid = (cp >= (0, 0, 0x80, 0x800, 0x10000)[size]) & (cp < 0x110000)
+        at, cp = at[valid], cp[valid]
+        if size < 4:
+            low, word = table[cp], letters[cp]
+        else:
+            each, back = np.unique(cp, return_inverse=True)
+            low = np.array([_lower(x) for x in each.tolist()], dtype=np.int64)[back]
+            word = np.array([_is_word(x) for x in each.tolist()], dtype=bool)[back]
+        for k in range(size):
+            inside[at[~word] + k] = False
+        changed = low != cp
+        at, low = at[changed], low[changed]
+        for k in range(size - 1, 0, -1):
+            out[at + k] = 0x80 | low & 0x3F
+            low = low >> 6
+        out[at] = (0xF00 >> size) & 0xFF | low
+    return out, inside
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
@@ -126,8 +172,7 @@ class Words:
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
-    low = fold(buf)
-    inside = _WORD[low]
+    low, inside = fold(buf)
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(buf)]

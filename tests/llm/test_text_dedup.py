@@ -181,6 +181,20 @@ def test_leaves_drop_no_pair_at_the_threshold():
         assert kept >= {0, 1} and (n > 900 or kept == {0, 1})
 
 
+def test_words_end_at_any_punctuation_and_case_is_folded():
+    def spans(text):
+        data = text.encode() if isinstance(text, str) else text
+        w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return [w.buf[a:b].tobytes() for a, b in zip(w.start, w.end)], w.hash.tolist()
+
+    plain = spans("he said 'no' - not... now 7 times don t")
+    assert spans("He said \u2018no\u2019 \u2014 not\u2026\u00a0now\u30017\u3000times don\u2019t") == plain == spans("\u00abhe\u00bb said \u00bfno? not now 7 times don\u2011t \U0001f600")
+    for text in ("ÀÉÎ ÐÞ", "ПРИВЕТ МИР", "ΚΑΛΗΜΕΡΑ", "ŁÓDŹ ČEŠTINA", "VIỆT NAM", "\U00010400\U00010401", "日本 cafe\u0301 × x²"):
+        found, _ = spans(text)
+        assert found == [x.encode() for x in text.lower().replace("×", " ").split()]
+    assert spans(b"a\xe2\x80 b\xff")[0] == [b"a\xe2\x80", b"b\xff"]
+
+
 def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**3) ** jaccard_join.runs_for(0.8) >= 0.999
 
