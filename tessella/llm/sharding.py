@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.llm.workspace import Workspace
+
 SLOTS = 8192
 SHARDS = 40
 OVERHEAD = 16
@@ -93,6 +95,13 @@ class SlotMap:
         return cls(rows[0][0], tuple(s for _, _, s in sorted(rows, key=lambda r: r[1])), version)
 
 
+def stored(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest version at a path, if there is one."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return SlotMap.load(spark, path) if target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target) else None
+
+
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual slot of each row."""
     body = F.coalesce("text", F.lit(""))
@@ -117,14 +126,17 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS, store: s
     then doc_id), grown_shard (null: this law has none) and virtual_slot.  Rows
     without an id are placed by their text; repeated rows share a virtual slot
     and follow each other.  ``store``: a path that gets the slot map as a new
-    version.  Only ``doc_id`` and ``text`` are read.
+    version, the newest one there rebalanced; by default a new map in the run's
+    workspace.  Shards come from the version stored.  Only ``doc_id`` and ``text`` are read.
     """
     spark: SparkSession = docs.sparkSession
     rows = records(docs.select("doc_id", "text"), slots)
     weights, counts = slot_weights(rows, slots)
-    fitted = SlotMap.fit(weights, shards)
-    if store:
-        fitted.save(spark, store)
+    known = stored(spark, store) if store else None
+    path = store or f"{Workspace(spark, 'shard').path}/map"
+    made = known.rebalance(weights, shards) if known else SlotMap.fit(weights, shards)
+    made.save(spark, path)
+    fitted = SlotMap.load(spark, path, made.version)
     base, filled = [], [0] * shards
     for slot, owner in enumerate(fitted.owner):
         base.append((slot, owner, filled[owner]))

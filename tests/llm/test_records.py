@@ -51,6 +51,21 @@ def test_slot_map_versions(spark, tmp_path):
     assert sharding.SlotMap.load(spark, path).owner == second.owner and sharding.SlotMap.load(spark, path, 1).owner == first.owner
 
 
+def test_shards_come_from_the_stored_map(docs, tmp_path, monkeypatch):
+    saved, loaded = [], []
+    save, load = sharding.SlotMap.save, sharding.SlotMap.load.__func__
+    monkeypatch.setattr(sharding.SlotMap, "save", lambda self, spark, path: (saved.append((path, self.version)), save(self, spark, path)))
+    monkeypatch.setattr(sharding.SlotMap, "load", classmethod(lambda cls, spark, path, version=None: (loaded.append(path), load(cls, spark, path, version))[1]))
+    sharding.shard(docs, shards=5)
+    assert len(saved) == 1 and loaded == [saved[0][0]]
+    path = f"file://{tmp_path}/map"
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, shards=5, store=path).collect()}
+    again = {r.doc_id: r.shard for r in sharding.shard(docs, shards=5, store=path).collect()}
+    fewer = {r.doc_id: r.shard for r in sharding.shard(docs, shards=4, store=path).collect()}
+    assert [v for p, v in saved if p == path] == [1, 2, 3] and len(first) == len(again)
+    assert set(fewer.values()) == set(range(4)) and sum(fewer[d] == s for d, s in again.items()) > len(again) / 3
+
+
 # ---------------------------------------------------------------- mixing
 
 
