@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.kernel import SHINGLE, Words, gram_of, grams, runs, words
-from tessella.llm.workspace import arrow_rows
 
 RADIUS = 23
 BLOCKS = 8
@@ -218,7 +217,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESH
     give a row of their own; of equal windows the first counts.
     """
     spark: SparkSession = docs.sparkSession
-    arrow_rows(spark, 1000)
     docs = docs.select("doc_id", "text")
     out = spark.createDataFrame([], _DDL)
     for block in _item_blocks(items.select("item_id", "text")):
@@ -248,7 +246,6 @@ def _keep(index, threshold: float, at: int):
 def clean_documents(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns; nothing is shuffled."""
     spark: SparkSession = docs.sparkSession
-    arrow_rows(spark, 1000)
     for block in _item_blocks(items.select("item_id", "text")):
         index = spark.sparkContext.broadcast(ItemIndex(block))
         docs = docs.mapInArrow(_keep(index, threshold, docs.columns.index("text")), docs.schema)

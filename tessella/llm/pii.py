@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.kernel import runs
-from tessella.llm.workspace import arrow_rows
 
 KINDS = ("email", "ip", "card", "phone", "url", "account", "address")
 
@@ -150,7 +149,6 @@ def find_personal_data(docs: DataFrame, *, text: str = "text") -> DataFrame:
     not overlap; spans of different kinds can.  Null and empty texts have no
     spans; repeated rows each give a row.  Only ``doc_id`` and the text are read.
     """
-    arrow_rows(docs.sparkSession, 1000)
     return docs.select("doc_id", F.col(text)).mapInArrow(_scan, _DDL)
 
 

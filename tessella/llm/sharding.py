@@ -5,6 +5,9 @@ Bytes are added up per slot, and a slot map gives each slot to a shard, the
 heaviest slot first to the lightest shard.  Rebalancing edits the map: it moves
 as few slots as bring the shards back together, and each edit is a new version
 beside the old ones.  Records never move between slots.
+
+The hash takes the record's id and, of rows that are equal in id and text, the
+place among them, so a row repeated a million times does not fill one slot.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.llm.ranks import copies
 from tessella.llm.workspace import Workspace
 
 SLOTS = 8192
@@ -102,11 +106,14 @@ def stored(spark: SparkSession, path: str) -> SlotMap | None:
     return SlotMap.load(spark, path) if target.getFileSystem(context._jsc.hadoopConfiguration()).exists(target) else None
 
 
-def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual slot of each row."""
+def records(docs: DataFrame, work: Workspace, slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32, copy (place among rows of equal id and text) and virtual slot of each row, as a table."""
     body = F.coalesce("text", F.lit(""))
-    slot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64(body))), F.lit(slots)).cast("int")
-    return docs.select("doc_id", (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), slot.alias("virtual_slot"))
+    rows = docs.select("doc_id", (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.coalesce("doc_id", F.xxhash64(body)).alias("key"), F.xxhash64(body).alias("body"))
+    rows = work.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = copies(rows, ["key", "body"], "row")
+    slot = F.pmod(F.xxhash64("key", "copy"), F.lit(slots)).cast("int")
+    return work.keep(rows.select("doc_id", "size", "text_crc32", "body", "copy", slot.alias("virtual_slot")), "records")
 
 
 def slot_weights(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -117,35 +124,56 @@ def slot_weights(rows: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[i
     return size, count
 
 
-def shard(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+def place(rows: DataFrame, fitted: SlotMap, counts: list[int]) -> DataFrame:
+    """Shard and place of each of ``records`` by a version of the map; counts: rows of each virtual slot."""
+    base, filled = [], [0] * fitted.shards
+    for slot, owner in enumerate(fitted.owner):
+        base.append((slot, owner, filled[owner]))
+        filled[owner] += counts[slot]
+    table = rows.sparkSession.createDataFrame(base, "virtual_slot int, shard int, base long")
+    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "body", "copy")) - 1
+    out = rows.withColumn("place", within).join(F.broadcast(table), "virtual_slot")  # the map has one row a slot
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(fitted.version).alias("map_version"))
+
+
+def shard(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS, store: str | None = None, use: int | None = None) -> DataFrame:
     """Every row of docs with its shard and its place there.
 
-    Returns doc_id, size (UTF-8 bytes and 16 more; a null text has no bytes),
-    text_crc32, law (``bytes``: shards are of nearly equal size), shard, slot
-    (the row's place in its shard, without gaps from 0, by virtual slot and
-    then doc_id), grown_shard (null: this law has none) and virtual_slot.  Rows
-    without an id are placed by their text; repeated rows share a virtual slot
-    and follow each other.  ``store``: a path that gets the slot map as a new
-    version, the newest one there rebalanced; by default a new map in the run's
-    workspace.  Shards come from the version stored.  Only ``doc_id`` and ``text`` are read.
+    Returns doc_id, size (UTF-8 bytes and 16 more), text_crc32, law (``bytes``:
+    shards are of nearly equal size), shard, slot (the row's place in its
+    shard, without gaps from 0, by virtual slot and then doc_id), grown_shard
+    (null: this law has none), virtual_slot and map_version.
+
+    ``store``: a path that keeps the slot map, by default one in the run's
+    workspace.  Where it has no version yet, one is fitted and saved; else the
+    newest is rebalanced to ``shards`` and saved as the next version, and only
+    the slots it moves change shards.  ``use``: place rows by this stored
+    version as it is, without a new one.  Shards always come from the version
+    read back from the store.
+
+    Nulls and empty texts: no bytes.  A row without an id is placed by its
+    text.  Ties and repeated rows: rows equal in id and text are told apart by
+    their place among each other and spread over slots.  Empty table: no rows,
+    and a map of empty slots.  Very long texts: a text is weighed whole and
+    never leaves the scan.  Only ``doc_id`` and ``text`` are read, so further
+    columns of any name do no harm.
     """
     spark: SparkSession = docs.sparkSession
-    rows = records(docs.select("doc_id", "text"), slots)
+    work = Workspace(spark, "shard")
+    rows = records(docs.select("doc_id", "text"), work, slots)
     weights, counts = slot_weights(rows, slots)
-    known = stored(spark, store) if store else None
-    path = store or f"{Workspace(spark, 'shard').path}/map"
-    made = known.rebalance(weights, shards) if known else SlotMap.fit(weights, shards)
-    made.save(spark, path)
-    fitted = SlotMap.load(spark, path, made.version)
-    base, filled = [], [0] * shards
-    for slot, owner in enumerate(fitted.owner):
-        base.append((slot, owner, filled[owner]))
-        filled[owner] += counts[slot]
-    table = spark.createDataFrame(base, "virtual_slot int, shard int, base long")
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = rows.withColumn("place", place).join(F.broadcast(table), "virtual_slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    path = store or f"{work.path}/map"
+    if use is None:
+        known = stored(spark, path)
+        made = known.rebalance(weights, shards) if known else SlotMap.fit(weights, shards)
+        made.save(spark, path)
+        use = made.version
+    return place(rows, SlotMap.load(spark, path, use), counts)
 
 
 def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards by a stored slot map; see ``shard`` for nulls, ties, repeats, empty tables and long texts.
+
+    This law scatters groups of equal texts, as a row's id places it.
+    """
     return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))

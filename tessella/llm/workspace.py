@@ -5,19 +5,39 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a local one."""
+    """The folder in spark.checkpoint.dir.  Only a local master can do without; it gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextmanager
+def _shuffles_end_with_the_write(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs here go when it ends, as its result is a table by then."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Workspace:
     """Tables of one run of an operator.
 
@@ -33,8 +53,8 @@ class Workspace:
 
     def keep(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.path}/{name}"
-        df.write.partitionBy(*partition_by).parquet(path)
-        release(self.spark)
+        with _shuffles_end_with_the_write(self.spark):
+            df.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -44,20 +64,3 @@ class Workspace:
             return
         target = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def arrow_rows(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of a batch that a Python worker gets; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver notice what it no longer needs, so its shuffle files go."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

@@ -43,6 +43,41 @@ def test_lines_match_plain_rule(docs, corpus):
     assert sum(x[1] for x in found.values()) > 10
 
 
+@pytest.mark.parametrize("heavy", [0, line_dedup.HEAVY])
+def test_lines_with_dealt_filters_and_repeated_ids(spark, docs, corpus, monkeypatch, heavy):
+    """Filters beyond the broadcast size, several shards, keys with many references; ids that repeat or lack, as the SQL has it."""
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(line_dedup, "DEALT_ROWS", 5)
+    index = line_dedup.LineIndex(spark, shard_keys=2)
+    index.insert(docs)
+    assert index.shards > 1 or index.refcounts.where("refs >= 3").count() <= 2
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_repeated_lines(docs, index=index).collect()}
+    assert found == plain_lines([(r[0], r[1]) for r in corpus])
+    line, other = "a line of more than twenty letters", "Another Line Of More Than Twenty Letters"
+    rows = [(1, line), (1, f"{line}\nx"), (2, line), (5, other), (5, other), (6, f" {other.lower()}\t"), (None, f"{other}\n{other}"), (None, f"{other}\n{other}"), (7, None), (8, ""), (None, None)]
+    import duckdb
+
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    with duckdb.connect() as duck:
+        documents = table.toPandas()
+        documents["doc_id"] = documents["doc_id"].astype("Int64")
+        duck.register("documents", documents)
+        wanted = sorted(map(str, duck.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({line_dedup.OP1_SQL})").fetchall()))
+    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in line_dedup.drop_repeated_lines(table).collect()]
+    assert sorted(map(str, got)) == wanted and sum(r[2] for r in got) == 6
+
+
+def test_line_index_is_compacted(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMPACT", 2)
+    index = line_dedup.LineIndex(spark)
+    for part in range(3):
+        index.insert(docs.where(f"doc_id % 3 = {part}"))
+    index.delete(spark.createDataFrame([(r[0],) for r in corpus if r[0] % 8 == 0], "doc_id long"))
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in line_dedup.drop_repeated_lines(docs.where("doc_id % 8 <> 0"), index=index).collect()}
+    assert len(index._counted) == 2 and found == plain_lines([(r[0], r[1]) for r in corpus if r[0] % 8])
+
+
 def test_line_index_forgets_and_learns(spark, docs, corpus):
     index = line_dedup.LineIndex(spark)
     index.insert(docs)
