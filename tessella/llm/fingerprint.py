@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm.kernel import SHINGLE
+from tessella.llm.workspace import Workspace
 
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
@@ -26,6 +27,8 @@ LOW_BITS = 8
 SPACE = r"[\x20\x09-\x0D]+"
 SEGMENTS = 64
 RANGES_A_PARTITION = 20
+REPEATS = 1000  # copies of a row above which one travels for all
+HOT_ROWS = 10_000  # rows of an id above which they are dealt by a hash of the text
 
 
 def _bin(x: Column) -> Column:
@@ -77,54 +80,98 @@ def fingerprints(docs: DataFrame, *, text: str = "text") -> DataFrame:
 # ---------------------------------------------------------------- each text and the next one
 
 
-def _bucketed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Adds ``bucket``: a row with a larger id has no larger bucket, and buckets are about equally full.
+def _bucketed(docs: DataFrame, hot: list[int]) -> DataFrame:
+    """Adds ``bucket``: of two rows the later one by (doc_id, h), descending, has no smaller bucket.
 
-    The driver gets SEGMENTS quantiles of the ids; between two of them buckets
-    are of equal width.  Their number follows that of shuffle partitions.
+    Buckets are about equally full: the driver gets SEGMENTS quantiles of the
+    ids, and between two of them buckets are of equal width.  Each of the few
+    ids in ``hot``, and the null id, has a segment of its own, whose buckets
+    are ranges of h.  The number of buckets follows that of shuffle partitions.
     """
     parts = max(1, -(-RANGES_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SEGMENTS))
-    cuts = sorted(set(ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 1e-3)))
+    quantiles = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)], 1e-3)
+    cuts = sorted({int(c) for c in quantiles} | set(hot) | {h + 1 for h in hot})
+    by_hash = F.least(F.lit(parts - 1), F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts).cast("int"))
     if not cuts:
-        return docs.withColumn("bucket", F.lit(0))
-    low = F.array(*[F.lit(float(c)) for c in cuts])
-    x = F.col("doc_id").cast("double")
-    segment = F.greatest(F.lit(1), F.size(F.filter(low, lambda c: c <= x)))
-    base, top = F.element_at(low, segment), F.coalesce(F.get(low, segment), F.lit(float(cuts[-1]) + 1))
-    part = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((x - base) / (top - base) * parts).cast("int")))
-    top_bucket = (len(cuts) + 1) * parts
-    return docs.withColumn("bucket", F.coalesce(F.lit(top_bucket) - (segment * parts + part), F.lit(top_bucket + 1)).cast("int"))
-
-
-def with_next(docs: DataFrame, columns: tuple[str, ...], extend: Callable[[DataFrame], DataFrame], more: tuple[str, ...]) -> DataFrame:
-    """Adds next_<column>: the value in the next row by descending doc_id, after the last that in the first.
-
-    Rows are dealt by ranges of the id and each range is ordered by itself.
-    The first row of each range also joins the range before it as a guest, so
-    its end sees what follows.  ``extend`` adds the columns ``more`` to all
-    rows on the way.  Null ids come last; rows of one id follow each other in
-    descending order of ``columns``.  The driver gets one number and one id
-    for each range, of which there are about RANGES_A_PARTITION for each
-    shuffle partition.
+        return docs.withColumn("bucket", F.lit(parts) - by_hash)
+    low = F.array(*[F.lit(c) for c in cuts])
+    segment = F.greatest(F.lit(1), F.size(F.filter(low, lambda c: c <= F.col("doc_id"))))
+    base, top = F.element_at(low, segment), F.coalesce(F.get(low, segment), F.lit(cuts[-1] + 1))
+    by_id = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - base) / (top - base) * parts).cast("int")))
+    part = F.when(F.col("doc_id").isin(hot), by_hash).otherwise(by_id) if hot else by_id
+    last = (len(cuts) + 2) * parts
+    return docs.withColumn("bucket", F.coalesce(F.lit(last) - (segment * parts + part), F.lit(last + parts) - by_hash).cast("int"))
+
+
+def with_next(docs: DataFrame, extend: Callable[[DataFrame], DataFrame], more: tuple[str, ...], *, repeats: int = REPEATS, hot: int = HOT_ROWS) -> DataFrame:
+    """Adds next_text and next_<more>: those of the next row by descending doc_id, after the last those of the first.
+
+    docs: doc_id and text.  Rows are dealt by ranges of the order and each
+    range is ordered by itself.  The first row of each range also joins the
+    range before it as a guest, so its end sees what follows.  ``extend`` adds
+    the columns ``more`` to all rows on the way.
+
+    Null ids come last; rows of one id follow each other by a hash of their
+    text.  An id of more than ``hot`` rows is split by that hash.  A row that
+    is there more than ``repeats`` times, as it is, travels once: each of its
+    copies but the last is followed by a copy, and these are made again at the
+    end.  The driver gets SEGMENTS ids and the hot ids, of which there are no
+    more than SEGMENTS.
     """
-    spark: SparkSession = docs.sparkSession
-    dealt = _bucketed(docs, docs.select("doc_id"))
-    tops = sorted(tuple(r) for r in dealt.groupBy("bucket").agg(F.max("doc_id")).collect())
-    before = spark.createDataFrame([(b, tops[k - 1][0], top) for k, (b, top) in enumerate(tops)], "bucket int, host int, top long")
-    heads = dealt.join(F.broadcast(before), (dealt["bucket"] == before["bucket"]) & dealt["doc_id"].eqNullSafe(before["top"]))
-    heads = heads.groupBy("host").agg(F.max(F.struct(*columns)).alias("row"))
-    guests = heads.select(F.col("host").alias("bucket"), F.lit(True).alias("guest"), *[F.col("row")[c].alias(c) for c in columns])
-    rows = extend(dealt.withColumn("guest", F.lit(False)).unionByName(guests, allowMissingColumns=True))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), *[F.col(c).desc() for c in columns])
-    return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in (*columns, *more)]).where("NOT guest").drop("guest", "bucket")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ids = docs.select("doc_id", "h")
+    rows = ids.count()
+    limit = max(hot, rows // SEGMENTS)
+    crowded = [r[0] for r in ids.groupBy("doc_id").count().where((F.col("count") > limit) & F.col("doc_id").isNotNull()).collect()]
+    many = ids.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where(F.col("n") > repeats)
+    work = Workspace(docs.sparkSession, "fingerprint")
+    many = work.keep(many.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "n"), "many")
+    docs = docs.withColumn("n", F.lit(1).cast("long"))
+    if not many.isEmpty():
+        same = (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        once = docs.drop("n").join(many, same).groupBy("doc_id", "h", "n").agg(F.first("text").alias("text"))
+        docs = docs.join(many.drop("n"), same, "left_anti").unionByName(once)
+    dealt = _bucketed(docs, crowded)
+    key = F.struct("doc_id", "h")
+    tops = dealt.groupBy("bucket").agg(F.max(key).alias("top"))
+    # One row a range: a few for each shuffle partition, however many rows there are.
+    every = Window.orderBy("bucket")
+    hosts = tops.select(F.col("bucket").alias("_b"), "top", F.coalesce(F.lag("bucket").over(every), F.max("bucket").over(Window.partitionBy())).alias("host"))
+    hosts = work.keep(hosts, "hosts")  # a table, so that its size is known when the join is planned
+    heads = dealt.join(hosts, (F.col("bucket") == F.col("_b")) & (F.col("h") == F.col("top.h")) & F.col("doc_id").eqNullSafe(F.col("top.doc_id")))
+    heads = heads.groupBy("host").agg(F.max(F.struct("text", "h", "n")).alias("r"))
+    guests = heads.select(F.lit(None).cast("long").alias("doc_id"), F.col("r.text").alias("text"), F.col("r.h").alias("h"), F.col("r.n").alias("n"), F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+    placed = extend(dealt.withColumn("guest", F.lit(False)).unionByName(guests))
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
+    columns = ("text", *more)
+    out = placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("NOT guest").drop("guest", "bucket", "h")
+    # Of a row that stands for its copies: the last one, and the others, whose next row is a copy.
+    out = out.withColumn("_inner", F.explode(F.when(F.col("n") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    out = out.withColumns({f"next_{c}": F.when(F.col("_inner"), F.col(c)).otherwise(F.col(f"next_{c}")) for c in columns})
+    return out.withColumn("n", F.when(F.col("_inner"), F.col("n") - 1).otherwise(1)).drop("_inner")
+
+
+def _again(df: DataFrame) -> DataFrame:
+    """Each row as often as its column n says."""
+    return df.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "_i")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and what they tell of the next document.
+
+    Null counts as the empty text, which has the empty fingerprint; two empty
+    fingerprints are alike (1), an empty one is unlike any other (0).  Ties of
+    doc_id are ordered by a hash of the text; null ids come last; repeated rows
+    follow each other.  A single document is followed by itself.  Empty table:
+    no rows.  Very long texts are shingled whole, in one row.  Only ``doc_id``
+    and ``text`` are read, so further columns of any name do no harm.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    paired = with_next(docs, ("text",), lambda df: with_fingerprint(df, "text", "fingerprint"), ("fingerprint",))
+    paired = with_next(docs, lambda df: with_fingerprint(df, "text", "fingerprint"), ("fingerprint",))
     paired = paired.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
     paired = paired.withColumn("edited", edited).drop("text", "next_text")
     paired = with_fingerprint(paired, "edited", "edited_fingerprint")
-    return paired.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    out = paired.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), "n")
+    return _again(out)

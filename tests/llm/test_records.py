@@ -257,6 +257,29 @@ def test_fingerprints_estimate_similarity(spark, folder, corpus):
     assert rows[200].fingerprint == rows[201].fingerprint == rows[9].fingerprint
 
 
+@pytest.mark.parametrize(("repeats", "hot"), [(1000, 10_000), (2, 3)])
+def test_next_rows_of_repeats_and_one_id(spark, repeats, hot):
+    """The rows form one circle in which ids fall, whatever repeats; copies that travel once come back."""
+    rows = [(k, f"text {k}") for k in range(20)] + [(7, "text 7")] * 5 + [(None, f"none {k}") for k in range(6)] + [(None, "")] * 4 + [(11, f"other {k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = fingerprint._again(fingerprint.with_next(df, lambda x: x, (), repeats=repeats, hot=hot)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    assert Counter(r.next_text for r in out) == Counter(t for _, t in rows)
+    ids = {t: -1 if d is None else d for d, t in rows}
+    drops = [ids[r.text] - ids[r.next_text] for r in out]
+    assert sum(d < 0 for d in drops) == 1 and min(drops) == -20
+    # One circle: from any row, following the next ones, all others are met.
+    after = {}
+    for r in out:
+        after.setdefault(r.text, []).append(r.next_text)
+    at, seen = "text 19", 0
+    while after[at]:
+        following = sorted(after[at], key=lambda t: t != at)
+        after[at].remove(following[0])
+        at, seen = following[0], seen + 1
+    assert seen == len(rows)
+
+
 def test_fingerprint_plan_is_native(spark, folder):
     plan = fingerprint.op8_fingerprint(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -272,8 +295,7 @@ def test_odd_rows(odd, none, spark):
     assert len(mixed) == n and all(0 <= r.taken <= 2 * r["size"] for r in mixed) and mixing.mix(none).count() == 0
     assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0
     assert fingerprint.fingerprints(odd).count() == n and pii.find_personal_data(odd).count() == n and pii.find_personal_data(none).count() == 0
-    paired = fingerprint.with_next(odd.select("doc_id", "text"), ("text",), lambda x: x, ())
-    assert paired.count() == n and fingerprint.with_next(none.select("doc_id", "text"), ("text",), lambda x: x, ()).count() == 0
+    assert fingerprint.fingerprints(none).count() == 0 and fingerprint.with_next(none.select("doc_id", "text"), lambda x: x, ()).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(pages).count() == 0
 
