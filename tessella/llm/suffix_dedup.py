@@ -10,13 +10,14 @@ one *anchor*, the leftmost smallest hash among its ``GRAM``-byte substrings.
 Equal strings have equal anchors at equal places, so strings can be compared
 within the group of their anchor alone.  Strings owned by one occurrence of an
 anchor start at adjacent bytes and travel as one *segment*.  An anchor that
-occurs once is unique.  If all segments of an anchor are equal, all their
-strings are repeated.  Only groups with differing segments go to the sort,
-each distinct segment once with its count.  A group of more than
-``HOT`` occurrences is first split by ``SLICES`` ranges of string offsets and
-the content common to such a range, and equal contents are merged with their
-counts before they shuffle, so a passage that a third of all texts hold leaves
-a few short rows.
+occurs once is unique; the segments of all others go to the sort, each distinct
+one once with its count.  A group of more than ``HOT`` distinct segments is
+first split by ``SLICES`` ranges of string offsets and the content common to
+such a range, and equal contents are merged with their counts before they
+shuffle, so a passage that a third of all texts hold leaves a few short rows.
+A group that still holds more than ``GROUP_BYTES`` is split once more, by
+single strings, and equal strings are merged likewise, so no task sorts more
+than that at once.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SPAN = 200
 GRAM = 64
 HOT = 4096
 SLICE = 17
-BATCH = 1 << 20
+BATCH = 1 << 20  # bytes that are sorted together, about
+GROUP_BYTES = 2 << 20
+ROWS = 8192  # suffixes whose bytes are gathered together
 
 _U = np.uint64
 _LOW = _U((1 << 24) - 1)
@@ -92,19 +95,19 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int =
     return key, content, text, first - offsets[text], last - first + 1, left
 
 
-_ANCHOR_DDL = "id long, crc long, anchor long, seg long, lo int, n int, left int"
+_ANCHOR_DDL = "id long, body long, anchor long, seg long, lo int, n int, left int"
 
 
 def _anchor_rows(span: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, crcs = (np.asarray(batch.column(i)) for i in (0, 1))
+            ids, bodies = (np.asarray(batch.column(i)) for i in (0, 1))
             for a, _, buf, offs in runs(batch.column(2)):
                 key, content, text, lo, n, left = anchors(buf, offs, span, gram)
                 if len(key):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a + text]), pa.array(crcs[a + text]), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))],
-                        names=["id", "crc", "anchor", "seg", "lo", "n", "left"],
+                        [pa.array(ids[a + text]), pa.array(bodies[a + text]), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))],
+                        names=["id", "body", "anchor", "seg", "lo", "n", "left"],
                     )
 
     return rows
@@ -195,10 +198,12 @@ def _direct_sort(text, limit, group, starts, depth) -> np.ndarray:
     wide = np.zeros((len(starts), depth + 4), dtype=np.uint8)
     number = group[starts].astype(">u4")
     wide[:, :4] = number.view(np.uint8).reshape(-1, 4)
-    at = starts[:, None] + np.arange(depth)[None, :]
-    inside = at < limit[starts][:, None]
-    np.minimum(at, len(text) - 1, out=at)
-    wide[:, 4:] = np.where(inside, text[at], 0)
+    for k in range(0, len(starts), ROWS):
+        part = starts[k : k + ROWS]
+        at = part[:, None] + np.arange(depth)[None, :]
+        inside = at < limit[part][:, None]
+        np.minimum(at, len(text) - 1, out=at)
+        wide[k : k + ROWS, 4:] = np.where(inside, text[at], 0)
     return starts[np.argsort(wide.view(f"S{depth + 4}").ravel(), kind="stable")]
 
 
@@ -252,31 +257,34 @@ def _flag_runs(flags: np.ndarray) -> np.ndarray:
 
 
 def _sort_groups(span: int):
-    """Rows sorted by key -> (key, chash, marks): runs of repeated strings of each content."""
-
-    def solve(keys, hashes, counts, blobs):
-        lengths = np.array([len(x) for x in blobs], dtype=np.int64)
-        offsets = np.concatenate(([0], np.cumsum(lengths)))
-        text = np.frombuffer(b"".join(blobs), dtype=np.uint8)
-        _, group = np.unique(np.array(keys), return_inverse=True)
-        flags = repeated_strings(text, offsets, group.astype(np.int64), np.array(counts), span)
-        marks = [_flag_runs(flags[offsets[i] : offsets[i + 1] - span + 1]) for i in range(len(blobs))]
+    """Rows (key, chash, m, content) sorted by key -> (key, chash, marks): runs of repeated strings of each content."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        keys, hashes, counts = (rows.column(i).combine_chunks() for i in range(3))
+        buf, offs = string_buffers(rows.column(3))
+        text, offsets = buf[offs[0] : offs[-1]], offs - offs[0]
+        _, group = np.unique(np.asarray(keys), return_inverse=True)
+        flags = repeated_strings(text, offsets, group.astype(np.int64), np.asarray(counts), span)
+        marks = [_flag_runs(flags[offsets[i] : offsets[i + 1] - span + 1]) for i in range(len(offsets) - 1)]
         sizes = np.concatenate(([0], np.cumsum([len(m) for m in marks])))
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), list_array(np.concatenate(marks), sizes, pa.int32())], names=["key", "chash", "marks"])
+        return pa.RecordBatch.from_arrays([keys, hashes, list_array(np.concatenate(marks), sizes, pa.int32())], names=["key", "chash", "marks"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
-        size = 0
+        held = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if size >= BATCH and row[0] != held[0][-1]:
-                    yield solve(*held)
-                    held, size = [[], [], [], []], 0
-                for column, value in zip(held, row, strict=True):
-                    column.append(value)
-                size += len(row[3])
-        if held[0]:
-            yield solve(*held)
+            step = max(1, batch.num_rows * BATCH // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                part = pa.Table.from_batches([batch.slice(at, step)])
+                held = part if held is None else pa.concat_tables([held, part])
+                if held.nbytes < BATCH:
+                    continue
+                key = np.asarray(held.column(0).combine_chunks())
+                last = len(key) - int(np.argmax(key[::-1] != key[-1])) if key[0] != key[-1] else 0
+                if last:  # the last key may go on
+                    yield solve(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield solve(held)
 
     return rows
 
@@ -284,46 +292,85 @@ def _sort_groups(span: int):
 # ---------------------------------------------------------------- segments' content
 
 
+def _signed(data: bytes, key: bytes = b"") -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=key).digest(), "little", signed=True)
+
+
+def _packer(ddl: str, kinds: list[pa.DataType]):
+    names = [x.split()[0] for x in ddl.split(", ")]
+    return lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+_CONTENT_DDL = "anchor long, seg long, key long, chash long, base int, m long, size int, content binary"
+_CONTENT_KINDS = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+
 def _contents(span: int, hot: bool):
-    """Rows of (text, list of segments) -> content rows; those of a hot anchor by slices of string offsets."""
+    """Rows of (id, body, text, list of segments) -> content rows; those of a hot anchor by slices of string offsets.
+
+    Rows that repeat id and text give their contents once; a repeat that is
+    missed does no harm, as it only raises a count that is above 1 already.
+    """
+    pack = _packer(_CONTENT_DDL, _CONTENT_KINDS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "seg", "key", "chash", "base", "m", "content"]
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            buf, offs = string_buffers(batch.column(0))
+            ids, bodies = (batch.column(i).to_pylist() for i in (0, 1))
+            buf, offs = string_buffers(batch.column(2))
             out: list[tuple] = []
             size = 0
-            for i, segs in enumerate(batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                if (ids[i], bodies[i]) in seen:
+                    continue
+                if len(seen) >= 1 << 18:
+                    seen.clear()
+                seen.add((ids[i], bodies[i]))
                 text = buf[offs[i] : offs[i + 1]]
-                for s in segs:
+                for s in batch.column(3)[i].as_py():
                     lo, n, left = s["lo"], s["n"], s["left"]
                     if not hot:
-                        out.append((s["anchor"], s["seg"], s["anchor"], s["seg"], 0, s["m"], text[lo : lo + n - 1 + span].tobytes()))
+                        out.append((s["anchor"], s["seg"], s["anchor"], s["seg"], 0, s["m"], n - 1 + span, text[lo : lo + n - 1 + span].tobytes()))
                         size += n + span
-                        continue
-                    # String k of the segment starts left - k bytes before the anchor.
-                    for r in range((left - n + 1) // SLICE, left // SLICE + 1):
-                        k0, k1 = max(0, left - (r + 1) * SLICE + 1), min(n - 1, left - r * SLICE)
-                        if k0 > k1:
-                            continue
-                        core = lo + left - r * SLICE
-                        shared = text[core : core - SLICE + 1 + span].tobytes()
-                        content = text[lo + k0 : lo + k1 + span].tobytes()
-                        digest = hashlib.blake2b(shared, digest_size=8, key=f"{s['anchor']}:{r}".encode()).digest()
-                        whole = hashlib.blake2b(content, digest_size=8, key=str(left - k0).encode()).digest()
-                        out.append((s["anchor"], s["seg"], int.from_bytes(digest, "little", signed=True), int.from_bytes(whole, "little", signed=True), k0, s["m"], content))
-                        size += len(content)
+                    else:
+                        # String k of the segment starts left - k bytes before the anchor.
+                        for r in range((left - n + 1) // SLICE, left // SLICE + 1):
+                            k0, k1 = max(0, left - (r + 1) * SLICE + 1), min(n - 1, left - r * SLICE)
+                            if k0 > k1:
+                                continue
+                            core = lo + left - r * SLICE
+                            shared = text[core : core - SLICE + 1 + span].tobytes()
+                            content = text[lo + k0 : lo + k1 + span].tobytes()
+                            out.append((s["anchor"], s["seg"], _signed(shared, f"{s['anchor']}:{r}".encode()), _signed(content, str(left - k0).encode()), k0, s["m"], len(content), content))
+                            size += len(content)
                     if size > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                        yield pack(out)
                         out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pack(out)
 
     return rows
 
 
-_CONTENT_DDL = "anchor long, seg long, key long, chash long, base int, m long, content binary"
+_STRING_DDL = "key long, chash long, k int, string long, m long, content binary"
+
+
+def _strings(span: int):
+    """Rows of (key, chash, m, content) -> a row for each string of a content."""
+    pack = _packer(_STRING_DDL, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for key, chash, m, content in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(4)), strict=True):
+                    for k in range(len(content) - span + 1):
+                        string = content[k : k + span]
+                        out.append((key, chash, k, _signed(string), m, string))
+                if out:
+                    yield pack(out)
+
+    return rows
 
 
 # ---------------------------------------------------------------- the operator
@@ -332,16 +379,18 @@ _CONTENT_DDL = "anchor long, seg long, key long, chash long, base int, m long, c
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         buf, offs = string_buffers(batch.column(1))
+        flat = batch.column(2).flatten()
+        begin, end = (np.asarray(flat.field(i)) for i in (0, 1))
+        place = np.concatenate(([0], np.cumsum(np.asarray(batch.column(2).value_lengths().fill_null(0)))))
         removed, spans, kept = [], [], []
-        for i, cuts in enumerate(batch.column(2).to_pylist()):
-            text = buf[offs[i] : offs[i + 1]]
-            if not cuts:
+        for i in range(batch.num_rows):
+            text, own = buf[offs[i] : offs[i + 1]], slice(place[i], place[i + 1])
+            if place[i] == place[i + 1]:
                 removed.append(0), spans.append(0), kept.append(text.tobytes())
                 continue
             change = np.zeros(len(text) + 1, dtype=np.int64)
-            pairs = np.array([(c["s"], c["e"]) for c in cuts])
-            np.add.at(change, pairs[:, 0], 1)
-            np.add.at(change, pairs[:, 1], -1)
+            np.add.at(change, begin[own], 1)
+            np.add.at(change, end[own], -1)
             gone = np.cumsum(change[:-1]) > 0
             removed.append(int(gone.sum())), spans.append(len(_flag_runs(gone)) // 2), kept.append(text[~gone].tobytes())
         yield pa.RecordBatch.from_arrays(
@@ -349,48 +398,70 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sorted_marks(pieces: DataFrame, span: int) -> DataFrame:
+    """(key, chash, marks) of contents that hold a repeated string."""
+    dealt = pieces.select("key", "chash", "m", "content").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_sort_groups(span), "key long, chash long, marks array<int>").where(F.size("marks") > 0).distinct()
+
+
 def remove_repeats(docs: DataFrame, *, text: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """Texts without the bytes that lie in a repeated string of ``span`` bytes.
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept (binary; a cut can
     fall inside a character).  A null text counts as empty and an empty one
     stays as it is.  Rows that repeat an id or a whole text are occurrences of
-    their own, so both copies go.  Only ``doc_id`` and ``text`` are read, so
-    further columns of any name do no harm.
+    their own, so both copies go; a row without an id is known by its text.
+    Of overlapping repeats (ties) all bytes go.  Empty table: no rows.  A very
+    long text is read whole, and memory follows the longest one.  Only
+    ``doc_id`` and ``text`` are read, so further columns of any name do no harm.
     """
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "suffix")
     docs = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    keyed = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.crc32(F.col("text").cast("binary")).alias("crc"), "text", "doc_id")
-    found = work.keep(keyed.select("id", "crc", "text").mapInArrow(_anchor_rows(span, gram), _ANCHOR_DDL), "anchors")
-    repeated = work.keep(found.groupBy("anchor").agg(F.count("*").alias("total"), F.min("seg").alias("a"), F.max("seg").alias("b")).where("total > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"), (F.col("total") > HOT).alias("hot")), "repeated")
+    keyed = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("id"), F.xxhash64("text").alias("body"), "text", "doc_id")
+    found = work.keep(keyed.select("id", "body", "text").mapInArrow(_anchor_rows(span, gram), _ANCHOR_DDL), "anchors")
+    repeated = work.keep(found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1").select("anchor"), "repeated")
     seen = work.keep(found.join(repeated, "anchor"), "seen")
     work.drop("anchors")
 
-    mixed = seen.where("mixed").groupBy("anchor", "seg", "hot").agg(F.count("*").alias("m"), F.min(F.struct("id", "crc", "lo", "n", "left")).alias("at"))
-    mixed = work.keep(mixed.select("anchor", "seg", "hot", "m", "at.*"), "mixed")
-    wanted = mixed.groupBy("id", "crc").agg(F.collect_list(F.when(~F.col("hot"), F.struct("anchor", "seg", "m", "lo", "n", "left"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.struct("anchor", "seg", "m", "lo", "n", "left"))).alias("warm"))
-    held = keyed.select("id", "crc", "text").dropDuplicates(["id", "crc"]) if False else keyed.select("id", "crc", "text")
-    asked = held.join(wanted, ["id", "crc"])
-    cool = asked.where(F.size("cool") > 0).select("text", "cool").mapInArrow(_contents(span, False), _CONTENT_DDL)
-    warm = asked.where(F.size("warm") > 0).select("text", "warm").mapInArrow(_contents(span, True), _CONTENT_DDL)
-    cool, warm = work.keep(cool, "cool"), work.keep(warm, "warm")
-    merged = warm.groupBy("key", "chash").agg(F.sum("m").alias("m"), F.first("content").alias("content"))
-    pieces = cool.select("key", "chash", "m", "content").unionByName(merged)
-    marks = work.keep(pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups(span), "key long, chash long, marks array<int>").where(F.size("marks") > 0).distinct(), "marks")
-    parts = cool.select("anchor", "seg", "key", "chash", "base").unionByName(warm.select("anchor", "seg", "key", "chash", "base")).distinct()
-    pairs = F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda i: F.struct(F.element_at("marks", i + 1).alias("s"), F.element_at("marks", i + 2).alias("e")))
-    hits = parts.join(marks, ["key", "chash"]).select("anchor", "seg", F.explode(F.transform(pairs, lambda p: F.struct((p["s"] + F.col("base")).alias("s"), (p["e"] + F.col("base")).alias("e")))).alias("p")).groupBy("anchor", "seg").agg(F.collect_list("p").alias("cuts"))
+    segments = work.keep(seen.groupBy("anchor", "seg").agg(F.count("*").alias("m"), F.min(F.struct("id", "body", "lo", "n", "left")).alias("at")).select("anchor", "seg", "m", "at.*"), "segments")
+    hot = work.keep(segments.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    segments = segments.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    own = F.struct("anchor", "seg", "m", "lo", "n", "left")  # of a text: no more than it has bytes
+    wanted = segments.groupBy("id", "body").agg(F.collect_list(F.when(~F.col("hot"), own)).alias("cool"), F.collect_list(F.when(F.col("hot"), own)).alias("warm"))
+    asked = keyed.select("id", "body", "text").join(wanted, ["id", "body"])
+    cool = work.keep(asked.where(F.size("cool") > 0).select("id", "body", "text", "cool").mapInArrow(_contents(span, False), _CONTENT_DDL), "cool")
+    if hot.isEmpty():
+        pieces, parts = cool, cool
+    else:
+        warm = work.keep(asked.where(F.size("warm") > 0).select("id", "body", "text", "warm").mapInArrow(_contents(span, True), _CONTENT_DDL), "warm")
+        merged = warm.groupBy("key", "chash").agg(F.sum("m").alias("m"), F.first("size").alias("size"), F.first("content").alias("content"))
+        pieces = work.keep(cool.select("key", "chash", "m", "size", "content").unionByName(merged), "pieces")
+        parts = cool.unionByName(warm)
+    parts = parts.select("anchor", "seg", "key", "chash", "base").distinct()
+    large = work.keep(pieces.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > GROUP_BYTES).select("key"), "large")
+    if large.isEmpty():
+        marks = work.keep(_sorted_marks(pieces, span), "marks")
+    else:
+        strings = work.keep(pieces.join(large, "key", "left_semi").select("key", "chash", "m", "content").mapInArrow(_strings(span), _STRING_DDL), "strings")
+        single = strings.groupBy("string").agg(F.sum("m").alias("m"), F.first("content").alias("content")).select(F.col("string").alias("key"), F.col("string").alias("chash"), "m", "content")
+        small = pieces.join(large, "key", "left_anti")
+        marks = work.keep(_sorted_marks(small, span).unionByName(_sorted_marks(single, span)), "marks")
+        inner = strings.select("key", "chash", "k", "string").distinct()
+        split = parts.join(inner, ["key", "chash"]).select("anchor", "seg", F.col("string").alias("key"), F.col("string").alias("chash"), (F.col("base") + F.col("k")).alias("base"))
+        parts = parts.join(large, "key", "left_anti").select("anchor", "seg", "key", "chash", "base").unionByName(split)
+    pairs = F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda i: F.struct((F.element_at("marks", i + 1) + F.col("base")).alias("s"), (F.element_at("marks", i + 2) + F.col("base")).alias("e")))
+    hits = parts.join(marks, ["key", "chash"]).select("anchor", "seg", F.explode(pairs).alias("p")).groupBy("anchor", "seg").agg(F.collect_set("p").alias("cuts"))
     hits = work.keep(hits, "hits")  # a table, so that Spark can split an anchor that very many texts hold
 
-    some = seen.where("mixed").select("id", "crc", "anchor", "seg", "lo").join(hits, ["anchor", "seg"])
-    some = some.select("id", "crc", F.transform("cuts", lambda p: F.struct((F.col("lo") + p["s"]).alias("s"), (F.col("lo") + p["e"] - 1 + span).alias("e"))).alias("cuts"))
-    every = seen.where("NOT mixed").select("id", "crc", F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + span).alias("e"))).alias("cuts"))
-    cuts = work.keep(some.unionByName(every).groupBy("id", "crc").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
-    out = keyed.join(cuts, ["id", "crc"], "left").select("doc_id", "text", "cuts")
+    cuts = seen.select("id", "body", "anchor", "seg", "lo").join(hits, ["anchor", "seg"])
+    cuts = cuts.select("id", "body", F.explode(F.transform("cuts", lambda p: F.struct((F.col("lo") + p["s"]).alias("s"), (F.col("lo") + p["e"] - 1 + span).alias("e")))).alias("c"))
+    cuts = work.keep(cuts.groupBy("id", "body").agg(F.collect_set("c").alias("cuts")), "cuts")
+    out = keyed.join(cuts, ["id", "body"], "left").select("doc_id", "text", "cuts")
     return out.mapInArrow(_render, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix dedup of all documents; see ``remove_repeats`` for nulls, ties, repeats, empty tables and long texts."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -135,13 +135,32 @@ def plain_repeats(rows, span):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_repeated_bytes_go(docs, corpus, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "group"), [(4096, 2 << 20), (1, 2 << 20), (1, 300), (4096, 300)])
+def test_repeated_bytes_go(docs, corpus, monkeypatch, hot, group):
+    """Whole groups, groups split by slices, and groups split by single strings give the same."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
     found = [(r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeats(docs).collect()]
     assert sorted(found, key=str) == plain_repeats([(r[0], r[1]) for r in corpus], 200)
 
 
+def test_one_line_with_many_neighbours(spark):
+    """A group of one long line among different texts is sorted in parts."""
+    line = "".join(np.random.default_rng(5).choice(list("abcdefgh "), 190))
+    rows = [(k, f"{k:07d} {line} {k * 7919 % 100003:06d}") for k in range(20_000)] + [(30_000 + k, f"{k:07d} {line} {k * 7919 % 100003:06d}") for k in range(3)]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_removed").collect()
+    removed = {r.doc_id: r.n_removed for r in out}
+    texts, starts = dict(rows), Counter()
+    for t in texts.values():
+        starts.update({t[i : i + 200] for i in range(len(t) - 199)})
+    for d in (0, 1, 2, 9, 30_000, 12_345, 19_999):
+        gone = set()
+        for i in range(len(texts[d]) - 199):
+            if starts[texts[d][i : i + 200]] > 1:
+                gone |= set(range(i, i + 200))
+        assert removed[d] == len(gone)
+
+
 def test_repeats_within_one_text(spark):
     rows = [(1, "xyz" * 200), (2, "q" * 199), (3, "r" * 200), (4, "s" * 201)]
     found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
