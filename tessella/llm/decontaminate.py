@@ -12,8 +12,11 @@ Jaccard similarity of their shingles.
 A window that shares no shingle with any item has similarity 0 with all, so
 only windows around a shared shingle are fingerprinted; this skips no match.
 
-Items are broadcast in blocks of at most ``ITEM_BYTES`` of text, and every
-block is held against all documents, so the benchmark may be of any size.
+Items of at most ``ITEM_BYTES`` of text together are broadcast, and one scan of
+the documents finds all.  A larger benchmark is cut into blocks of about that
+size; a join on shared shingles tells which documents each block has to be held
+against, and each block then meets those documents in as many tasks as they
+need, so the documents are read twice however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -23,15 +26,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.kernel import SHINGLE, Words, gram_of, grams, runs, words
+from tessella.llm.workspace import Workspace
 
 RADIUS = 23
 BLOCKS = 8
 NEAR = 2
 ITEM_BYTES = 4 << 20
 THRESHOLD = 0.8
+DEALT_DOCS = 20_000  # documents that meet one copy of a block, about
+MAP_BITS, MAP_PARTS = 27, 4096  # a bit for each shingle of a large benchmark, by its lowest bits: 16 MiB
 
 _U = np.uint64
 _BITS = np.arange(64, dtype=np.uint64)
@@ -176,57 +183,174 @@ class ItemIndex:
 
 
 _DDL = "doc_id long, item_id long, similarity double, window_start long, window_words long, bits long"
+_NAMES = [x.split()[0] for x in _DDL.split(", ")]
+
+
+def _held_against(items: ItemIndex, ids: pa.Array, texts: pa.Array, threshold: float) -> Iterator[pa.RecordBatch]:
+    for a, _, buf, offs in runs(texts):
+        found = items.matches(words(buf, offs), threshold)
+        if found:
+            text, item, start, similarity, long, bits = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + t for t in text])), pa.array(item, pa.int64()), pa.array(similarity, pa.float64()), pa.array(start, pa.int64()), pa.array(long, pa.int64()), pa.array(bits, pa.int64())], names=_NAMES)
 
 
 def _scan(index, threshold: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemIndex = index.value
         for batch in batches:
-            ids = batch.column(0)
-            for a, _, buf, offs in runs(batch.column(1)):
-                found = items.matches(words(buf, offs), threshold)
-                if found:
-                    cols = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array([a + t for t in cols[0]])), pa.array(cols[1], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
-                        names=["doc_id", "item_id", "similarity", "window_start", "window_words", "bits"],
-                    )
+            yield from _held_against(index.value, batch.column(0), batch.column(1), threshold)
+
+    return rows
+
+
+# ---------------------------------------------------------------- a benchmark of any size
+
+
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, g, shingle) of items (block, text), each once a batch; g: words of the shingle."""
+    for batch in batches:
+        blocks = np.asarray(batch.column(0))
+        for a, b, buf, offs in runs(batch.column(1)):
+            w = words(buf, offs)
+            counts = np.diff(w.first)
+            rows = []
+            for g in range(1, SHINGLE + 1):
+                h, ok = grams(w, g)
+                at = np.flatnonzero(ok)
+                owner = np.searchsorted(w.first, at, side="right") - 1
+                mine = (counts[owner] == g) | ((g == SHINGLE) & (counts[owner] > g))
+                rows.append(np.column_stack((blocks[a:b][owner[mine]], np.full(mine.sum(), g), h[at[mine]].view(np.int64))))
+            once = np.unique(np.concatenate(rows), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1].astype(np.int32)), pa.array(once[:, 2])], names=["block", "g", "shingle"])
+
+
+def _map_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, place) sorted by part -> the bits of each part."""
+    size = (1 << MAP_BITS) // MAP_PARTS
+    at, bits = None, None
+
+    def emit():
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+
+    for batch in batches:
+        part, place = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        for p in np.unique(part):
+            if p != at:
+                if bits is not None:
+                    yield emit()
+                at, bits = int(p), np.zeros(size, dtype=bool)
+            bits[place[part == p]] = True
+    if bits is not None:
+        yield emit()
+
+
+def _maybe_shared(shared_map):
+    """Rows (id, body, text) -> (id, body, g, shingle) of shingles that an item may have, each once a text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (1 << MAP_BITS) // MAP_PARTS
+        known = np.zeros((MAP_PARTS, size // 8), dtype=np.uint8)
+        for part, bits in shared_map.value.items():
+            known[part] = np.frombuffer(bits, dtype=np.uint8)
+        known = known.ravel()
+        for batch in batches:
+            for a, _, buf, offs in runs(batch.column(2)):
+                w = words(buf, offs)
+                for g in range(1, SHINGLE + 1):
+                    h, ok = grams(w, g)
+                    low = (h & _U((1 << MAP_BITS) - 1)).astype(np.int64)
+                    at = np.flatnonzero(ok & ((known[low >> 3] >> (7 - (low & 7))) & 1).astype(bool))
+                    if not len(at):
+                        continue
+                    owner = np.searchsorted(w.first, at, side="right") - 1
+                    once = np.unique(np.column_stack((owner, h[at].view(np.int64))), axis=0)
+                    rows_ = pa.array(a + once[:, 0])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), batch.column(1).take(rows_), pa.array(np.full(len(once), g, dtype=np.int32)), pa.array(once[:, 1])], names=["id", "body", "g", "shingle"])
+
+    return rows
+
+
+def _meet(threshold: float):
+    """Rows (block, salt, item_id, doc_id, text) sorted by (block, salt), a block's items first -> matches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, items, index = None, [], None
+        for batch in batches:
+            block, salt, is_doc = (np.asarray(batch.column(i)) for i in (0, 1, 2))
+            change = np.flatnonzero((block[1:] != block[:-1]) | (salt[1:] != salt[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(block)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                if (block[lo], salt[lo]) != at:
+                    at, items, index = (block[lo], salt[lo]), [], None
+                if not is_doc[lo]:
+                    items += zip(part.column(3).to_pylist(), part.column(5).to_pylist(), strict=True)
+                    continue
+                index = index or ItemIndex(items)
+                yield from _held_against(index, part.column(4), part.column(5), threshold)
 
     return rows
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded text, one partition after the other on the driver."""
-    block, size = [], 0
-    for row in items.toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(row[1] or "")
-        if size >= ITEM_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _key() -> list[Column]:
+    body = F.xxhash64(F.coalesce("text", F.lit("")))
+    return [F.coalesce("doc_id", body).alias("id"), body.alias("body")]
+
+
+def _dealt(docs: DataFrame, items: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Matches for items of more than ITEM_BYTES together."""
+    spark: SparkSession = docs.sparkSession
+    work = Workspace(spark, "leaks")
+    blocks = -(-size // ITEM_BYTES)
+    items = work.keep(items.select(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"), "item_id", "text"), "items")
+    shingles = work.keep(items.select("block", "text").mapInArrow(_item_shingles, "block long, g int, shingle long").distinct(), "shingles")
+    place = F.col("shingle").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    width = (1 << MAP_BITS) // MAP_PARTS
+    places = shingles.select((place / width).cast("int").alias("part"), F.pmod(place, F.lit(width)).cast("int").alias("place")).distinct()
+    parts = places.repartition("part").sortWithinPartitions("part").mapInArrow(_map_parts, "part int, bits binary")
+    shared = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in parts.collect()})  # at most 2^MAP_BITS bits
+    keyed = docs.select(*_key(), "text", "doc_id")
+    asked = keyed.select("id", "body", "text").mapInArrow(_maybe_shared(shared), "id long, body long, g int, shingle long")
+    pairs = work.keep(asked.join(shingles, ["g", "shingle"]).select("id", "body", "block").distinct(), "pairs")
+    salts = pairs.groupBy("block").agg(F.ceil(F.count("*") / F.lit(DEALT_DOCS)).cast("long").alias("salts"))
+    salts = work.keep(salts, "salts")
+    none = F.lit(None).cast("long")
+    of_items = items.join(salts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("is_doc"), "item_id", none.alias("doc_id"), "text")
+    of_docs = keyed.join(pairs.join(salts, "block"), ["id", "body"]).select("block", F.pmod("body", "salts").alias("salt"), F.lit(True).alias("is_doc"), none.alias("item_id"), "doc_id", "text")
+    met = of_items.unionByName(of_docs).repartition("block", "salt").sortWithinPartitions("block", "salt", "is_doc")
+    return met.mapInArrow(_meet(threshold), _DDL)
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def _bytes(items: DataFrame) -> int:
+    return items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _shared_index(items: DataFrame):
+    """The items of a small benchmark, broadcast."""
+    return items.sparkSession.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in items.collect()]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs of a document and a benchmark item found in it, with the best window.
 
-    Only ``doc_id, text`` of docs and ``item_id, text`` of items are read.
-    Null, empty and word-free texts match nothing.  Items of fewer than five
-    words are compared by the one run of all their words.  Repeated rows each
-    give a row of their own; of equal windows the first counts.
+    Only ``doc_id, text`` of docs and ``item_id, text`` of items are read, so
+    further columns of any name do no harm.  Null, empty and word-free texts
+    match nothing.  Items of fewer than five words are compared by the one run
+    of all their words.  Repeated rows each give a row of their own; of equal
+    windows (ties) the first counts.  An empty table on either side: no rows.
+    Very long texts are read whole; memory follows the longest one.  A row
+    without an id gives rows without one.
     """
-    spark: SparkSession = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    out = spark.createDataFrame([], _DDL)
-    for block in _item_blocks(items.select("item_id", "text")):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
-        out = out.unionByName(docs.mapInArrow(_scan(index, threshold), _DDL))
-    return out
+    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
+    size = _bytes(items)
+    if size > ITEM_BYTES:
+        return _dealt(docs, items, size, threshold)
+    return docs.mapInArrow(_scan(_shared_index(items), threshold), _DDL)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each leaked item of each document."""
+    """One row for each leaked item of each document; see ``contaminated`` for nulls, ties, repeats, empty tables and long texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -244,9 +368,17 @@ def _keep(index, threshold: float, at: int):
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns; nothing is shuffled."""
-    spark: SparkSession = docs.sparkSession
-    for block in _item_blocks(items.select("item_id", "text")):
-        index = spark.sparkContext.broadcast(ItemIndex(block))
-        docs = docs.mapInArrow(_keep(index, threshold, docs.columns.index("text")), docs.schema)
-    return docs
+    """The rows of docs in which no item is found, with all their columns as they were.
+
+    Nulls, ties, repeats, empty tables and long texts as in ``contaminated``;
+    rows that share an id but differ in text are judged each by its text while
+    the items fit ITEM_BYTES, and go together beyond that.
+    """
+    items = items.select("item_id", "text")
+    size = _bytes(items)
+    if size <= ITEM_BYTES:
+        return docs.mapInArrow(_keep(_shared_index(items), threshold, docs.columns.index("text")), docs.schema)
+    known = docs.select(_key()[0].alias("doc_id"), "text")
+    gone = _dealt(known, items, size, threshold).select("doc_id").distinct()
+    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), _key()[0])
+    return whole.join(gone, F.col("id") == F.col("doc_id"), "left_anti").select("row.*")

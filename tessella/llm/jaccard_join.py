@@ -321,8 +321,8 @@ def one_of_each(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     Of rows of a group that repeat that id, as of a null id and an equal text,
     one stays.  Rows of different groups stay though they share an id.
     """
-    body = F.coalesce("text", F.lit(""))
+    body = F.coalesce(F.col("text"), F.lit(""))
     found = _grouped(docs, text="text", threshold=threshold, leaf=LEAF, recall=RECALL)
-    keep = found.where("first AND doc_id = copy_of").groupBy("k1", "k2").agg(F.min("doc_id").alias("_id"), F.min("body").alias("_body")).drop("k1", "k2")
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.xxhash64(body)), "_body": F.xxhash64(body)})
-    return keyed.join(keep, ["_id", "_body"], "left_semi").dropDuplicates(["_id", "_body"]).select(*docs.columns)
+    keep = found.where("first AND doc_id = copy_of").groupBy("k1", "k2").agg(F.min("doc_id").alias("a"), F.min("body").alias("b")).drop("k1", "k2")
+    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.xxhash64(body)).alias("a"), F.xxhash64(body).alias("b"))
+    return whole.join(keep, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("row.*")

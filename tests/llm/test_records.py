@@ -293,7 +293,8 @@ def test_odd_rows(odd, none, spark):
     assert sharding.shard(odd, shards=3).count() == n and sharding.shard(none).count() == 0
     mixed = mixing.mix(odd).collect()
     assert len(mixed) == n and all(0 <= r.taken <= 2 * r["size"] for r in mixed) and mixing.mix(none).count() == 0
-    assert mixing.mixed_documents(odd).columns == odd.columns and mixing.mixed_documents(none).count() == 0
+    again = mixing.mixed_documents(odd)
+    assert again.columns == odd.columns and {tuple(r)[5:] for r in again.collect()} == {tuple(range(20))} and mixing.mixed_documents(none).count() == 0
     assert fingerprint.fingerprints(odd).count() == n and pii.find_personal_data(odd).count() == n and pii.find_personal_data(none).count() == 0
     assert fingerprint.fingerprints(none).count() == 0 and fingerprint.with_next(none.select("doc_id", "text"), lambda x: x, ()).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")

@@ -313,8 +313,11 @@ def test_hamming_index_misses_nothing():
 def test_items_in_blocks(spark, docs, folder, monkeypatch):
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     whole = sorted(rows_of(decontaminate.contaminated(docs, items)))
+    clean = sorted(rows_of(decontaminate.clean_documents(docs, items)), key=str)
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
-    assert sorted(rows_of(decontaminate.contaminated(docs, items))) == whole
+    monkeypatch.setattr(decontaminate, "DEALT_DOCS", 2)
+    assert whole and sorted(rows_of(decontaminate.contaminated(docs, items))) == whole
+    assert sorted(rows_of(decontaminate.clean_documents(docs, items)), key=str) == clean
 
 
 # ---------------------------------------------------------------- odd input
@@ -330,6 +333,8 @@ def test_odd_rows_have_defined_results(odd, none, spark, folder):
     assert len(links) == n and {r.n_copies for r in links if r.doc_id == 3} == {3}
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
     assert decontaminate.contaminated(odd, items).count() >= decontaminate.contaminated(odd.dropDuplicates(["doc_id"]), items).count()
+    for out in (decontaminate.clean_documents(odd, items), jaccard_join.one_of_each(odd)):
+        assert out.columns == odd.columns and {tuple(r)[5:] for r in out.collect()} == {tuple(range(20))}  # values as they were
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 1
     for empty in (line_dedup.drop_repeated_lines(none), suffix_dedup.remove_repeats(none), jaccard_join.near_duplicates(none), decontaminate.contaminated(none, items), jaccard_join.one_of_each(none), decontaminate.clean_documents(none, items.where("false"))):
