@@ -4,8 +4,8 @@ The words of a clause are read as symbols: a word of the lexicon, a listed
 threat, one that is both, a person aimed at, a negation, a word of reported
 speech, or anything else.  Five transducers rewrite and weigh them: one tags
 words of the lexicon as insults, at their log-odds, one tags listed words that
-are no insults as threats, at a fixed weight, one raises what stands near a person and lets threats count only
-there, one lowers what a negation governs, and one lowers what follows a word
+are no insults as threats, at a fixed weight, one gives an insult its full weight only near a
+person, half of it elsewhere, and lets threats count only there, one lowers what a negation governs, and one lowers what follows a word
 of reported speech.  As a person can stand on either side ("you I will kill",
 "kill you"), a pass from the end of the clause first marks what a person
 follows; the rest reads from its start.  Each pass is a composition, one table
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,6 @@ from tessella.llm.kernel import Words, mix, runs, span_hash, words
 from tessella.llm.workspace import Workspace
 
 FIT_ROWS = 24_000  # labelled rows that the model is fitted on, at most
-LEXICON = 20_000  # entries of the lexicon, at most
 LEAST_TEXTS = 3  # toxic texts that must hold a lexicon entry
 LEAST_WEIGHT = 1.5
 PREFIXES = (4, 5, 6)  # lengths in bytes of the word beginnings that are learned
@@ -82,6 +82,10 @@ class Transducer:
             arcs.append(tuple(row))
         return Transducer(tuple(arcs))
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        return np.array(self.arcs, dtype=np.float64)
+
     def read(self, symbols: Iterable[int]) -> Iterator[tuple[int, float]]:
         """(symbol written, factor) of each symbol."""
         state = 0
@@ -107,12 +111,38 @@ class Grammar:
                 count += 1
         return total, count
 
+    def scores(self, symbols: np.ndarray, weights: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 256) -> np.ndarray:
+        """Weights of many clauses, each the symbols from begin to end; clauses do not overlap.
+
+        All clauses of at most ``most`` words are read in step; longer ones one by one.
+        """
+        out = np.zeros(len(begin))
+        for k in np.flatnonzero(end - begin > most):
+            out[k] = self.score(symbols[begin[k] : end[k]].tolist(), weights[begin[k] : end[k]].tolist())[0]
+        short = np.flatnonzero(end - begin <= most)
+        short = short[np.argsort(begin[short] - end[short], kind="stable")]
+        a, b = begin[short], end[short]
+        symbols, factor = symbols.copy(), np.ones(len(symbols))
+        for machine, first, step in ((self.from_end, b - 1, -1), (self.from_start, a, 1)):
+            state = np.zeros(len(a), dtype=np.int64)
+            left = b - a
+            for k in range(int(left[0]) if len(left) else 0):
+                n = int(np.searchsorted(-left, -k, side="left"))  # clauses of more than k words
+                at = first[:n] + step * k
+                arc = machine.table[state[:n], symbols[at]]
+                state[:n], symbols[at] = arc[:, 0].astype(np.int64), arc[:, 1].astype(np.int64)
+                factor[at] *= arc[:, 2]
+        value = np.where((symbols == INSULT) | (symbols == THREAT), weights * factor, 0.0)
+        sums = np.concatenate(([0.0], np.cumsum(value)))
+        out[short] = sums[b] - sums[a]
+        return np.where(out > 1e-9, out, 0.0)
+
 
 def _machine(states: int, rule) -> Transducer:
     return Transducer(tuple(tuple(rule(state, symbol) for symbol in range(SYMBOLS)) for state in range(states)))
 
 
-def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, negated: float = 0.6, reported: float = 0.7) -> Grammar:
+def grammar(reach: int = REACH, *, aimed: float = 1.0, lone: float = 0.5, stray: float = 0.0, negated: float = 0.6, reported: float = 0.7) -> Grammar:
     """The composition of the five transducers; that of persons has a half in each pass."""
     insult = _machine(1, lambda s, x: (0, INSULT if x in (LEXICAL, BOTH) else x, 1.0))
     threat = _machine(1, lambda s, x: (0, THREAT, THREAT_WEIGHT) if x == LISTED else (0, x, 1.0))
@@ -123,7 +153,7 @@ def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, nega
 
     def person(s, x):
         near = reach if x == PERSON else max(0, s - 1)
-        factor = {INSULT: aimed if s else 1.0, THREAT: 1.0 if s else stray, AIMED_INSULT: aimed}.get(x, 1.0)
+        factor = {INSULT: aimed if s else lone, THREAT: 1.0 if s else stray, AIMED_INSULT: aimed}.get(x, 1.0)
         return near, {AIMED_INSULT: INSULT, AIMED_THREAT: THREAT}.get(x, x), factor
 
     def negation(s, x):
@@ -136,6 +166,10 @@ def grammar(reach: int = REACH, *, aimed: float = 1.25, stray: float = 0.0, nega
     return Grammar(from_end, _machine(reach + 1, person).compose(_machine(reach + 1, negation)).compose(_machine(2, report)))
 
 
+#: The same reader without the grammar: every listed or learned word counts in full, wherever it stands.
+WORDS_ONLY = grammar(lone=1.0, stray=1.0, negated=1.0, reported=1.0)
+
+
 # ---------------------------------------------------------------- words to symbols
 
 
@@ -185,11 +219,11 @@ FEATURES = 5
 class Reader:
     """Turns texts into the features of their clauses."""
 
-    def __init__(self, hashes: np.ndarray, weights: np.ndarray):
+    def __init__(self, hashes: np.ndarray, weights: np.ndarray, machine: Grammar | None = None):
         self.insults = Lexicon(hashes, weights)
         listed = [(_word_hash(x), kind) for kind, list_ in _CLASSES.items() for x in list_ if "'" not in x]
         self.classes = Lexicon(np.array([h for h, _ in listed], dtype=np.uint64), np.array([float(k) for _, k in listed]))
-        self.machine = grammar()
+        self.machine = machine or grammar()
 
     def features(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row for each text: largest and second clause score, log of all scores, log of clauses, log of different words."""
@@ -215,16 +249,19 @@ class Reader:
         # The clause of a mark, within its text.
         lo = np.maximum(np.searchsorted(clause, clause[marks], side="left"), w.first[text])
         hi = np.minimum(np.searchsorted(clause, clause[marks], side="right"), w.first[text + 1])
-        scores: dict[int, list[float]] = {}
-        for a, b, t in sorted(set(zip(lo.tolist(), hi.tolist(), text.tolist(), strict=True))):
-            total, _ = self.machine.score(symbol[a:b].tolist(), weight[a:b].tolist())
-            if total > 0:
-                scores.setdefault(t, []).append(total)
-        for t, found in scores.items():
-            found.sort(reverse=True)
-            own = marks[text == t]
-            different = len(np.unique(w.hash[own]))
-            out[t] = (found[0], found[1] if len(found) > 1 else 0.0, np.log1p(sum(found)), np.log1p(len(found)), np.log1p(different))
+        clauses = np.unique(np.column_stack((lo, hi, text)), axis=0)
+        totals = self.machine.scores(symbol, weight, clauses[:, 0], clauses[:, 1])
+        clauses, totals = clauses[totals > 0, 2], totals[totals > 0]
+        order = np.lexsort((-totals, clauses))
+        t, totals = clauses[order], totals[order]
+        head = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else t
+        out[t[head], 0] = totals[head]
+        second = head[np.diff(np.concatenate((head, [len(t)]))) > 1] + 1
+        out[t[second], 1] = totals[second]
+        out[:, 2] = np.log1p(np.bincount(t, totals, len(out)))
+        out[:, 3] = np.log1p(np.bincount(t, minlength=len(out)))
+        different = np.unique(np.column_stack((text.astype(np.uint64), w.hash[marks])), axis=0)[:, 0].astype(np.int64)
+        out[:, 4] = np.log1p(np.bincount(different, minlength=len(out))) * (out[:, 3] > 0)
         return out
 
 
@@ -273,11 +310,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50
 
 @dataclass
 class Model:
-    """A fitted scorer; its size is bounded by LEXICON."""
+    """A fitted scorer; its lexicon has no more entries than FIT_ROWS texts have words."""
 
     hashes: np.ndarray
     weights: np.ndarray
     beta: np.ndarray
+    machine: Grammar | None = None
+
+    def reader(self) -> Reader:
+        return Reader(self.hashes, self.weights, self.machine)
 
     def scores(self, reader: Reader, column: pa.Array) -> np.ndarray:
         parts = [reader.features(buf, offs) for _, _, buf, offs in runs(column)]
@@ -285,9 +326,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.beta[0] + x @ self.beta[1:], -30, 30)))
 
 
-def _features(model_hashes, model_weights):
+def _features(model_hashes, model_weights, machine=None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model_hashes, model_weights)
+        reader = Reader(model_hashes, model_weights, machine)
         for batch in batches:
             for a, b, buf, offs in runs(batch.column(0)):
                 x = reader.features(buf, offs)
@@ -296,12 +337,13 @@ def _features(model_hashes, model_weights):
     return rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, machine: Grammar | None = None) -> Model:
     """Learns from at most ``rows`` labelled rows, chosen by a hash of their id.
 
     Rows that ``held_out`` marks, null labels and null ids are left out, and
     equal texts count once.  Without a usable label the model scores every
     text alike, 0.5; with labels of one kind only, near that kind's share.
+    ``machine``: another grammar, as for an ablation.
     """
     known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -325,14 +367,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Model:
         p, n = (sum((F.col(f"{c}{s}") for s in sides[1:]), F.col(f"{c}{sides[0]}")) for c in ("pos", "neg"))
         odds = F.log((p + 0.5) / (pos + 1)) - F.log((n + 0.5) / (neg + 1))
         error = F.sqrt(1 / (p + 0.5) + 1 / (n + 0.5))
-        found = tokens.where(p >= LEAST_TEXTS).select("token", (odds - error).alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "token").limit(LEXICON).collect()
+        found = tokens.where(p >= LEAST_TEXTS).select("token", (odds - error).alias("w")).where(F.col("w") >= LEAST_WEIGHT).collect()
         return np.array([r[0] for r in found], dtype=np.int64).view(np.uint64), np.array([r[1] for r in found], dtype=np.float64)
 
     ddl = "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))
-    seen = [texts.where(F.col("side") == 1 - s).select("text", "toxic").mapInArrow(_features(*lexicon(s)), ddl) for s in (0, 1)]
+    seen = [texts.where(F.col("side") == 1 - s).select("text", "toxic").mapInArrow(_features(*lexicon(s), machine), ddl) for s in (0, 1)]
     seen = seen[0].unionByName(seen[1]).toPandas()
     beta = _logistic(seen[[f"x{k}" for k in range(FEATURES)]].to_numpy(), seen["toxic"].to_numpy(dtype=np.float64))
-    return Model(*lexicon(0, 1), beta)
+    return Model(*lexicon(0, 1), beta, machine)
 
 
 # ---------------------------------------------------------------- scoring
@@ -342,13 +384,16 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """doc_id and the score of its text, from 0 to 1; nothing is shuffled.
 
     Null counts as empty; a text without an insult or threat has the lowest
-    score.  Repeated rows each give a row.  Only ``doc_id`` and the text are read.
+    score.  Equal texts (repeats, ties) have equal scores, and repeated rows
+    each give a row; an empty table gives none.  Very long texts are read
+    whole, in one row.  Only ``doc_id`` and the text are read, so further
+    columns of any name do no harm.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader = Reader(own.hashes, own.weights)
+        reader = own.reader()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(reader, batch.column(1)))], names=["doc_id", "score"])
 
@@ -356,19 +401,23 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; see ``fit`` and ``score`` for nulls, ties, repeats, empty tables and long texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns; nothing is shuffled."""
+    """The rows of docs that score below the threshold, with all their columns as they were; nothing is shuffled.
+
+    Nulls, ties, repeats, empty tables and long texts as in ``score``.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        reader = Reader(own.hashes, own.weights)
+        reader = own.reader()
         for batch in batches:
             yield batch.filter(pa.array(own.scores(reader, batch.column(at)) < threshold))
 

@@ -1,11 +1,17 @@
 """WARC archives as a chunked record table.
 
-Each writing task streams its records into one archive of its own, a gzip
-member a record, and returns an index row for each.  The index is a written
-table: only archives of tasks that it names count, so a repeated or lost task
-leaves nothing but an unused file.  Reading streams a record as rows of
-(record, chunk number, bytes), each with the count and SHA-256 of the payload
-so far; no record is held whole, however large.
+Payloads travel as rows of (record, chunk number, bytes), cut on the JVM side,
+both ways.  Each writing task streams the chunks of its records into one
+archive of its own, a gzip member a record, with a running digest that has to
+end at the one in the header, and returns an index row for each record.  The
+index is a written table: only archives of tasks that it names count, so a
+repeated or lost task leaves nothing but an unused file.  Reading streams a
+record as rows of (record, chunk number, bytes), each with the count and
+SHA-256 of the payload so far; no Python worker holds a record whole, however
+large.
+
+A record's id is made of its page id and payload digest, so a revisit can name
+the response it refers to, and is held against it when the archives are read.
 
 Archives are opened through Arrow's file systems, so the folder can be any
 that the executors share.
@@ -51,52 +57,93 @@ def _head(fields: list[tuple[str, str]]) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in clean).encode() + b"\r\n"
 
 
-def record_parts(page_id, url, body: bytes | None, size: int, digest: str, refers_to, number: int) -> Iterator[bytes]:
-    """The bytes of one record, the payload in chunks."""
-    kind = "revisit" if body is None else "response"
-    block = len(_HTTP) + (len(body) if body is not None else 0)
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'none' if page_id is None else page_id}:{number}>"), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(block))]
+def record_id(page_id, digest: str) -> str:
+    """The name of the response of a page; equal for rows that repeat page id and payload."""
+    return f"urn:page:{'none' if page_id is None else page_id}:{digest}"
+
+
+def record_head(page_id, url, stored: int | None, size: int, digest: str, refers_to) -> bytes:
+    """All that comes before the payload; stored: payload bytes in the record, None for a revisit, which has none."""
+    kind = "revisit" if stored is None else "response"
+    name = record_id(page_id, digest) + ("" if stored is not None else ":revisit")
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(size)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(_HTTP) + (stored or 0)))]
     if url is not None:
         fields.append(("WARC-Target-URI", url))
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if kind == "revisit":
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
-    yield _head(fields) + _HTTP
-    for at in range(0, len(body or b""), CHUNK):
-        yield body[at : at + CHUNK]
-    yield b"\r\n\r\n"
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_id(refers_to, digest)}>"), ("X-Refers-To-Page-ID", str(refers_to))]
+    return _head(fields) + _HTTP
+
+
+def payload_chunks(rows: DataFrame) -> DataFrame:
+    """A row for each CHUNK bytes of body, in order; one for an empty or null body."""
+    chunks = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("body"), F.lit(0)) / F.lit(CHUNK))).cast("int")
+    out = rows.withColumn("chunks", chunks).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.substring(F.col("body"), F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK))
+    return out.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", (F.col("chunk_no") == F.col("chunks") - 1).alias("last"), part.alias("chunk"))
+
+
+class _Archive:
+    """One archive, written record by record and chunk by chunk."""
+
+    def __init__(self, store, path: str):
+        self.out, self.at, self.begin = store.open_output_stream(path, compression=None), 0, 0
+        self.packer = self.digest = None
+
+    def _write(self, data: bytes) -> None:
+        self.at += self.out.write(data) if data else 0
+
+    def open(self, head: bytes) -> None:
+        self.begin, self.digest = self.at, hashlib.sha256()
+        self.packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self._write(self.packer.compress(head))
+
+    def add(self, chunk: bytes) -> None:
+        self.digest.update(chunk)
+        self._write(self.packer.compress(chunk))
+
+    def close_record(self) -> tuple[int, int, str]:
+        """(place, length, SHA-256 of the chunks) of the record."""
+        self._write(self.packer.compress(b"\r\n\r\n"))
+        self._write(self.packer.flush())
+        return self.begin, self.at - self.begin, self.digest.hexdigest()
 
 
 def _writer(folder: str):
+    """Chunk rows, those of a record together -> the index of the task's archive."""
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
-        out, at, number = None, 0, 0
+        name, archive = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz", None
         for batch in batches:
             index = []
-            for i in range(batch.num_rows):
-                row = [batch.column(c)[i].as_py() for c in range(batch.num_columns)]
-                out = out or store.open_output_stream(f"{base}/{name}", compression=None)
-                packer, length = zlib.compressobj(1, zlib.DEFLATED, 31), 0
-                for part in record_parts(*row, number):
-                    length += out.write(packed) if (packed := packer.compress(part)) else 0
-                length += out.write(packer.flush())
-                index.append((name, at, length))
-                at, number = at + length, number + 1
+            heads = [batch.column(c).to_pylist() for c in range(7)]
+            for i, (page_id, url, size, digest, refers_to, number, last) in enumerate(zip(*heads, strict=True)):
+                chunk = batch.column(7)[i].as_py()
+                archive = archive or _Archive(store, f"{base}/{name}")
+                if not number:
+                    archive.open(record_head(page_id, url, None if chunk is None else size, size, digest, refers_to))
+                if chunk:
+                    archive.add(chunk)
+                if last:
+                    place, length, found = archive.close_record()
+                    if chunk is not None and found != digest:
+                        raise ValueError(f"the payload of page {page_id} has changed on its way to the archive")
+                    index.append((name, place, length))
             if index:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*index, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "place", "length"])
-        if out:
-            out.close()
+        if archive:
+            archive.out.close()
 
     return write
 
 
 def write_archives(pages: DataFrame, work: Workspace, payload: str = "html") -> DataFrame:
     """Writes the archives; returns their index (archive, place, length), a written table."""
-    return work.keep(classified(pages, payload).mapInArrow(_writer(f"{work.path}/archives"), "archive string, place long, length long"), "index")
+    return work.keep(payload_chunks(classified(pages, payload)).mapInArrow(_writer(f"{work.path}/archives"), "archive string, place long, length long"), "index")
 
 
 class _Member:
@@ -130,8 +177,8 @@ class _Member:
         return got
 
 
-_CHUNK_DDL = "archive string, record_id string, page_id long, record_type string, refers_to long, declared_bytes long, declared_digest string, chunk_no int, chunk binary, upto_bytes long, upto_digest string, last boolean"
-_CHUNK_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+_CHUNK_DDL = "archive string, record_id string, page_id long, record_type string, refers_to long, refers_to_record string, declared_bytes long, declared_digest string, chunk_no int, chunk binary, upto_bytes long, upto_digest string, last boolean"
+_CHUNK_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
 
 
 def record_chunks(file, archive: str, place: int, length: int) -> Iterator[tuple]:
@@ -143,8 +190,8 @@ def record_chunks(file, archive: str, place: int, length: int) -> Iterator[tuple
     http = member.upto(b"\r\n\r\n")
     left, number, done, digest = block - len(http) - 4, 0, 0, hashlib.sha256()
     page = int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None
-    refers = int(fields["WARC-Refers-To"][len("<urn:page:") : -1]) if "WARC-Refers-To" in fields else None
-    common = (archive, fields["WARC-Record-ID"], page, fields["WARC-Type"], refers, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"))
+    refers = int(fields["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in fields else None
+    common = (archive, fields["WARC-Record-ID"], page, fields["WARC-Type"], refers, fields.get("WARC-Refers-To"), int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"))
     while True:
         part = member.take(min(left, CHUNK))
         if len(part) < min(left, CHUNK):
@@ -171,7 +218,7 @@ def _reader(folder: str):
                     name, file = archive, store.open_input_file(f"{base}/{archive}")
                 for row in record_chunks(file, archive, place, length):
                     out.append(row)
-                    size += len(row[8])
+                    size += len(row[9])
                     if size > 4 << 20 or len(out) > 5000:
                         yield emit()
                         out, size = [], 0
@@ -189,17 +236,30 @@ def read_archives(index: DataFrame, work: Workspace) -> DataFrame:
 def round_trip(pages: DataFrame, payload: str = "html") -> DataFrame:
     """Writes the pages, reads the archives back: one row a page.
 
-    payload_bytes and payload_digest of a response come from the bytes read;
-    those of a revisit, which stores none, from its header.  A null payload is
-    empty; a row with a null id or url keeps its place with a null.
+    payload_bytes and payload_digest come from the bytes read: those of a
+    revisit, which stores none, from the response that it names.  A revisit
+    whose response is missing or differs from the revisit's own header raises.
+
+    A null or empty payload is an empty response.  A row with a null id or url
+    keeps its place with a null.  Ties: of equal payloads the smallest page id
+    is the response, as is each row that repeats it; rows without an id revisit
+    it, or are responses if no row has one.  Empty table: no rows.  A very long
+    payload is cut into chunks; Spark holds its cell, no Python worker does.
+    Only ``page_id``, ``url`` and the payload are read, so further columns of
+    any name do no harm.
     """
     work = Workspace(pages.sparkSession, "warc")
-    chunks = read_archives(write_archives(pages, work, payload), work).where("last")
-    stored = F.col("record_type") == "response"
-    return chunks.select("page_id", F.when(stored, F.col("upto_bytes")).otherwise(F.col("declared_bytes")).alias("payload_bytes"), F.when(stored, F.col("upto_digest")).otherwise(F.col("declared_digest")).alias("payload_digest"), "record_type", "refers_to")
+    ends = work.keep(read_archives(write_archives(pages, work, payload), work).where("last").drop("chunk", "archive"), "ends")
+    stored = ends.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("upto_bytes").alias("_n"), F.col("upto_digest").alias("_d")).distinct()
+    responses = ends.where("record_type = 'response'").select("page_id", F.col("upto_bytes").alias("payload_bytes"), F.col("upto_digest").alias("payload_digest"), "record_type", "refers_to")
+    again = ends.where("record_type = 'revisit'").join(stored, "refers_to_record", "left")
+    same = (F.col("_n") == F.col("declared_bytes")) & (F.col("_d") == F.col("declared_digest"))
+    digest = F.when(same, F.col("_d")).otherwise(F.raise_error(F.concat(F.lit("no such response as "), F.col("refers_to_record"))))
+    return responses.unionByName(again.select("page_id", F.col("_n").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through archives and back; see ``round_trip`` for nulls, ties, repeats, empty tables and long payloads."""
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
