@@ -34,7 +34,7 @@ from tessella.llm.workspace import Workspace
 
 THRESHOLD = 0.8
 DEPTH = 3
-LEAF = 512
+LEAF = 256
 RECALL = 0.999
 BUCKETS = 256  # of the shingles of a set, by their lowest bits, whose counts bound what two sets share
 
