@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.let import let
+
 CHARSETS = ("utf-8", "utf-16", "latin-1", "ascii")
 STYLES = ("backslash_u", "u_plus", "html_entity", "percent_u")
 MODES = ("auto", "backslash_u", "percent_u", "u_plus", "html_entity")
@@ -51,13 +53,16 @@ def encode_base64(text: Column, *, charset: str = "utf-8", variant: str = "stand
     flat = base64_text(data)
     if variant == "urlsafe":
         flat = F.translate(flat, "+/", "-_")
-    result = F.regexp_replace(flat, f"(.{{{wrap}}})(?!$)", "$1\n") if wrap else flat
-    return F.struct(
-        result.alias("result"),
-        F.octet_length(data).cast("long").alias("input_bytes"),
-        (F.lit(None) if binary else F.length(text)).cast("long").alias("input_chars"),
-        F.length(flat).cast("long").alias("output_chars"),
-    )
+
+    def whole(flat: Column) -> Column:
+        return F.struct(
+            (F.regexp_replace(flat, f"(.{{{wrap}}})(?!$)", "$1\n") if wrap else flat).alias("result"),
+            F.octet_length(data).cast("long").alias("input_bytes"),
+            (F.lit(None) if binary else F.length(text)).cast("long").alias("input_chars"),
+            F.length(flat).cast("long").alias("output_chars"),
+        )
+
+    return let(flat, whole)
 
 
 def decode_base64(text: Column, *, charset: str | None = "utf-8", variant: str = "standard", strict: bool = False) -> Column:
@@ -69,51 +74,64 @@ def decode_base64(text: Column, *, charset: str | None = "utf-8", variant: str =
     _choice(variant, ("standard", "urlsafe"), "variant")
     if charset is not None:
         _choice(charset, CHARSETS, "charset")
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, "")
-    safe, plain = clean.rlike("[-_]"), clean.rlike("[+/]")
     if strict:
-        used = F.lit(variant)
+        used = lambda clean: F.lit(variant)
     elif variant == "standard":
-        used = F.when(safe, "urlsafe").otherwise("standard")
-    else:
-        used = F.when(plain, "standard").otherwise("urlsafe")
-    alphabet = F.when(used == "urlsafe", F.translate(F.regexp_replace(clean, "[+/]", ""), "-_", "+/")).otherwise(F.regexp_replace(clean, "[-_]", ""))
-    body = F.regexp_replace(F.regexp_replace(alphabet, "=.*$", ""), "[^A-Za-z0-9+/]", "")
-    bad = (F.length(body) % 4) == 1
-    if strict:
-        shape = r"^[A-Za-z0-9_-]+={0,2}$" if variant == "urlsafe" else r"^[A-Za-z0-9+/]+={0,2}$"
-        bad = bad | ~clean.rlike(shape)
-    padded = F.rpad(body, (F.ceil(F.length(body) / 4) * 4).cast("int"), "=")
-    raw = F.when((clean != "") & ~bad, F.unbase64(padded))
-    if charset is None:
-        decoded = F.lit(None).cast("string")
-    elif charset == "utf-8":
-        decoded = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
-    elif charset == "utf-16":
-        little = F.hex(F.substring(raw, 1, 2)) == "FFFE"
-        even = F.octet_length(raw) % 2 == 0
-        decoded = F.when(even, F.decode(F.when(little, F.substring(raw, F.lit(3), F.octet_length(raw))).otherwise(raw), "UTF-16LE"))
-    elif charset == "ascii":
-        decoded = F.when(~F.hex(raw).rlike("^(..)*[89A-F]."), raw.cast("string"))
+        used = lambda clean: F.when(clean.rlike("[-_]"), "urlsafe").otherwise("standard")
     else:
-        decoded = F.decode(raw, "ISO-8859-1")
-    if strict and charset:
-        bad = bad | (raw.isNotNull() & decoded.isNull())
-    error = F.when(clean == "", "empty input").when(bad, "invalid Base64")
-    return F.struct(
-        F.coalesce(decoded, F.lit("")).alias("result"),
-        F.lower(F.hex(raw)).alias("raw_hex"),
-        F.octet_length(raw).cast("long").alias("raw_bytes"),
-        used.alias("variant"),
-        F.coalesce(decoded.isNotNull(), F.lit(False)).alias("text_ok"),
-        F.pmod(-F.length(clean), F.lit(4)).cast("long").alias("padding_added"),
-        error.alias("error"),
-    )
+        used = lambda clean: F.when(clean.rlike("[+/]"), "standard").otherwise("urlsafe")
+    shape = r"^[A-Za-z0-9_-]+={0,2}$" if variant == "urlsafe" else r"^[A-Za-z0-9+/]+={0,2}$"
+
+    def alphabet(x: Column) -> Column:
+        only = F.when(x["used"] == "urlsafe", F.translate(x["clean"], "-_+/", "+/")).otherwise(F.translate(x["clean"], "-_", ""))
+        return F.regexp_replace(F.regexp_replace(only, "=.*$", ""), "[^A-Za-z0-9+/]", "")
+
+    def decoded(raw: Column) -> Column:
+        if charset is None:
+            return F.lit(None).cast("string")
+        if charset == "utf-8":
+            return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+        if charset == "utf-16":
+            little = F.hex(F.substring(raw, 1, 2)) == "FFFE"
+            even = F.octet_length(raw) % 2 == 0
+            return F.when(even, F.decode(F.when(little, F.substring(raw, F.lit(3), F.octet_length(raw))).otherwise(raw), "UTF-16LE"))
+        if charset == "ascii":
+            return F.when(~F.hex(raw).rlike("^(..)*[89A-F]."), raw.cast("string"))
+        return F.decode(raw, "ISO-8859-1")
+
+    def with_body(x: Column) -> Column:
+        bad = F.length(x["body"]) % 4 == 1
+        if strict:
+            bad = bad | ~x["clean"].rlike(shape)
+        padded = F.rpad(x["body"], (F.ceil(F.length(x["body"]) / 4) * 4).cast("int"), "=")
+        raw = F.when((x["clean"] != "") & ~bad, F.unbase64(padded))
+        return F.struct(x["clean"].alias("clean"), x["used"].alias("used"), bad.alias("bad"), raw.alias("raw"))
+
+    def result(x: Column) -> Column:
+        bad = x["bad"] | (x["raw"].isNotNull() & x["text"].isNull()) if strict and charset else x["bad"]
+        return F.struct(
+            F.coalesce(x["text"], F.lit("")).alias("result"),
+            F.lower(F.hex(x["raw"])).alias("raw_hex"),
+            F.octet_length(x["raw"]).cast("long").alias("raw_bytes"),
+            x["used"].alias("variant"),
+            x["text"].isNotNull().alias("text_ok"),
+            F.pmod(-F.length(x["clean"]), F.lit(4)).cast("long").alias("padding_added"),
+            F.when(x["clean"] == "", "empty input").when(bad, "invalid Base64").alias("error"),
+        )
+
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, "")
+    seen = let(clean, lambda c: F.struct(c.alias("clean"), used(c).alias("used")))
+    body = let(seen, lambda x: F.struct(x["clean"].alias("clean"), x["used"].alias("used"), alphabet(x).alias("body")))
+    raw = let(body, with_body)
+    return let(let(raw, lambda x: F.struct(x["clean"], x["used"], x["bad"], x["raw"], decoded(x["raw"]).alias("text"))), result)
 
 
 def probe_base64(text: Column) -> Column:
     """Whether a text looks like Base64, and why not."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, "")
+    return let(F.regexp_replace(F.coalesce(text, F.lit("")), _WHITE, ""), _probed)
+
+
+def _probed(clean: Column) -> Column:
     reason = F.when(clean == "", "empty").when(~clean.rlike(r"^[A-Za-z0-9+/_-]+={0,2}$"), "invalid_alphabet").when(F.length(clean) % 4 == 1, "bad_length")
     return F.struct(reason.isNull().alias("looks_like"), reason.alias("reason"), F.length(clean).cast("long").alias("length"), clean.rlike("[-_]").alias("urlsafe_chars"), clean.rlike("[+/]").alias("standard_chars"))
 
@@ -158,9 +176,9 @@ def encode_unicode(text: Column, *, style: str = "backslash_u", uppercase: bool
             escaped = F.when(small, F.concat(F.lit("%u" if style == "percent_u" else "\\u"), four)).otherwise(F.concat(F.lit("\\U"), eight))
         return F.when(F.octet_length(char) == 1, char).otherwise(escaped)
 
-    result = F.array_join(F.transform(F.split(text, ""), one), "")
+    joined = F.array_join(F.transform(F.split(text, ""), one), "")
     wide = F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
-    return F.struct(result.alias("result"), wide.cast("long").alias("escaped_chars"), F.length(text).cast("long").alias("input_chars"), F.length(result).cast("long").alias("output_chars"))
+    return let(joined, lambda result: F.struct(result.alias("result"), wide.cast("long").alias("escaped_chars"), F.length(text).cast("long").alias("input_chars"), F.length(result).cast("long").alias("output_chars")))
 
 
 def probe_unicode(text: Column) -> Column:

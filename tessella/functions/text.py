@@ -83,7 +83,7 @@ def soft_join(left: Column, right: Column, *, normalized: bool = False) -> Colum
     z, s = _last(a), _first(b)
     hyphen = a.endswith("-") & s.rlike(r"\p{L}") & ~has_cjk(s)
     tight = (_cjk_like(z) & (_cjk_like(s) | s.rlike(r"[\p{L}\p{N}]"))) | _cjk_like(s) | _in(OPENERS, s) | _in(CLOSERS, z)
-    joined = F.when(hyphen, F.concat(F.expr("''"), F.substring(a, F.lit(1), F.length(a) - 1), b)).when(tight, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+    joined = F.when(hyphen, F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).when(tight, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
     return F.when(a == "", b).when(b == "", a).otherwise(joined if normalized else normalize_spacing(joined))
 
 

@@ -44,9 +44,11 @@ def navigation(categories: DataFrame, tools: DataFrame) -> DataFrame:
 
 def siblings(tools: DataFrame) -> DataFrame:
     """For each tool the first others of its category, in catalog order."""
-    other = tools.select(F.col("category").alias("_cat"), F.col("slug").alias("sibling"), F.col("pos").alias("_pos"))
-    both = tools.join(other, (F.col("category") == F.col("_cat")) & (F.col("slug") != F.col("sibling")))
-    rank = F.row_number().over(Window.partitionBy("slug").orderBy("_pos", "sibling"))
+    place = F.row_number().over(Window.partitionBy("category").orderBy("pos", "slug"))
+    first = tools.select("category", "slug", "pos", place.alias("_n")).where(F.col("_n") <= SIBLINGS + 1)  # one of them can be the tool itself
+    other = first.select(F.col("category").alias("_cat"), F.col("slug").alias("sibling"), F.col("_n"))
+    both = tools.select("slug", "category").join(other, (F.col("category") == F.col("_cat")) & (F.col("slug") != F.col("sibling")))
+    rank = F.row_number().over(Window.partitionBy("slug").orderBy("_n"))
     return both.withColumn("rank", rank).where(F.col("rank") <= SIBLINGS).select("slug", "sibling", F.col("rank").cast("long").alias("rank"))
 
 
@@ -116,9 +118,20 @@ def canonical_slug(slug: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, slug), slug)
 
 
-def is_public_convert(path: Column, method: Column, markers: tuple[str, ...] = ("/convert", "/compress", "/merge", "/format", "/render", "/encode", "/decode")) -> Column:
-    """A path with one of the markers, asked for by POST or as a download."""
-    marked = F.lit(False)
+# Parts of the paths that take uploads or make jobs.
+HEAVY_PATHS = ("/convert-async", "/convert-batch-async", "/convert-batch", "/convert", "/compress", "/send", "/pickup")
+
+
+def is_heavy_path(path: Column, markers: tuple[str, ...] = HEAVY_PATHS) -> Column:
+    """A path with one of the markers, or the download of a job."""
+    bare = F.rtrim(F.coalesce(path, F.lit("")), F.lit("/"))
+    out = path.startswith("/api/jobs") & bare.endswith("/download")
     for m in markers:
-        marked = marked | F.contains(path, F.lit(m))
-    return marked & ((F.upper(method) == "POST") | path.endswith("/download"))
+        out = out | F.contains(path, F.lit(m))
+    return F.coalesce(out, F.lit(False))
+
+
+def is_public_convert(path: Column, method: Column, markers: tuple[str, ...] = HEAVY_PATHS) -> Column:
+    """Whether a request counts against the limit: a heavy path, posted to, or got as a download."""
+    download = F.rtrim(path, F.lit("/")).endswith("/download")
+    return F.coalesce(is_heavy_path(path, markers) & ((F.upper(method) == "POST") | ((F.upper(method) == "GET") & download)), F.lit(False))

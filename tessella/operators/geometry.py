@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import wrap
 from tessella.functions.numbers import area, horizontal_align, overlap_area, overlap_of_smaller
+from tessella.operators.folds import ordered_fold
 
 PAGE = ("doc_id", "page_no")
 BAND = 20.0
@@ -128,22 +129,26 @@ def numbered_lines(words: DataFrame) -> DataFrame:
     joins the current line or starts the next.  The line's extent and its last
     word are the state of the fold.
     """
+
+    def fresh():
+        number, high, low, last = -1, 0.0, 0.0, 0.0
+
+        def step(top: float, bottom: float) -> tuple[int]:
+            nonlocal number, high, low, last
+            off = abs((top + bottom) / 2 - (high + low) / 2)
+            touching = bottom >= high - 0.5 and top <= low + 0.5
+            if number >= 0 and (off <= LINE_GAP * 1.5 or (touching and off <= max(LINE_GAP * 2.5, 8.0)) or (top - last <= LINE_GAP and off <= 12.0)):
+                high, low = min(high, top), max(low, bottom)
+            else:
+                number, high, low = number + 1, top, bottom
+            last = bottom
+            return (number,)
+
+        return step
+
     _, cy = centre()
-    items = F.array_sort(F.collect_list(F.struct(F.round(cy, 1).alias("y"), F.col("x0"), F.col("word_no"), F.col("top"), F.col("bottom"))))
-    pages = words.groupBy(*PAGE).agg(items.alias("w"))
-    start = F.struct(F.lit(-1).alias("n"), F.lit(0.0).alias("top"), F.lit(0.0).alias("bottom"), F.lit(0.0).alias("last"), F.array().cast("array<struct<word_no:bigint,line_no:int>>").alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
-        mid, own = (s["top"] + s["bottom"]) / 2, (w["top"] + w["bottom"]) / 2
-        off = F.abs(own - mid)
-        touching = ~((w["bottom"] < s["top"] - 0.5) | (w["top"] > s["bottom"] + 0.5))
-        same = (s["n"] >= 0) & ((off <= LINE_GAP * 1.5) | (touching & (off <= max(LINE_GAP * 2.5, 8.0))) | ((w["top"] - s["last"] <= LINE_GAP) & (off <= 12.0)))
-        n = F.when(same, s["n"]).otherwise(s["n"] + 1)
-        row = F.struct(w["word_no"].cast("long").alias("word_no"), n.alias("line_no"))
-        return F.struct(n.alias("n"), F.when(same, F.least(s["top"], w["top"])).otherwise(w["top"]).alias("top"), F.when(same, F.greatest(s["bottom"], w["bottom"])).otherwise(w["bottom"]).alias("bottom"), w["bottom"].alias("last"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    found = pages.select(*PAGE, F.explode(F.aggregate("w", start, step, lambda s: s["out"])).alias("r")).select(*PAGE, F.col("r")["word_no"].alias("word_no"), F.col("r")["line_no"].alias("line_no"))
-    return words.join(found, [*PAGE, "word_no"])
+    ordered = ordered_fold(words.withColumn("_y", F.round(cy, 1)), key=PAGE, order=("_y", "x0", "word_no"), reads=("top", "bottom"), fresh=fresh, adds="line_no int")
+    return ordered.drop("_y")
 
 
 def with_segments(lined: DataFrame, gap: float = SEGMENT_GAP) -> DataFrame:

@@ -1,19 +1,19 @@
 """Ordered folds over events per key: sliding-window limiter, lockout, job state.
 
 A denied hit is not recorded, so these are left folds and no window counts.
-Each key's events are folded within one expression over its sorted times; the
-state of a fold is only what is inside the window.
+The state of a fold is only what is inside the window.
 """
 
 from __future__ import annotations
 
+import math
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def _per_key(events: DataFrame, key: str, time: str, item: str) -> DataFrame:
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(item).cast("long").alias("item")))).alias("hits"))
+from tessella.operators.folds import ordered_fold
 
 
 def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int, window: float) -> DataFrame:
@@ -24,18 +24,22 @@ def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int,
     """
     if limit <= 0:
         return events.select(key, item, F.lit(True).alias("allowed"), F.lit(-1).cast("long").alias("remaining"), F.lit(0).cast("long").alias("retry_after"))
-    empty = F.struct(F.array().cast("array<double>").alias("open"), F.array().cast("array<struct<item:bigint,allowed:boolean,remaining:bigint,retry_after:bigint>>").alias("out"))
 
-    def step(state: Column, hit: Column) -> Column:
-        open_ = F.filter(state["open"], lambda t: t >= hit["t"] - F.lit(float(window)))
-        ok = F.size(open_) < limit
-        after = F.when(ok, F.concat(open_, F.array(hit["t"]))).otherwise(open_)
-        retry = F.when(ok, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.get(open_, F.lit(0)) + F.lit(float(window)) - hit["t"]))).cast("long")
-        row = F.struct(hit["item"].alias("item"), ok.alias("allowed"), F.greatest(F.lit(0), F.lit(limit) - F.size(after)).cast("long").alias("remaining"), retry.alias("retry_after"))
-        return F.struct(after.alias("open"), F.concat(state["out"], F.array(row)).alias("out"))
+    def fresh():
+        hits: deque[float] = deque()
+
+        def step(t: float) -> tuple[bool, int, int]:
+            while hits and hits[0] < t - window:
+                hits.popleft()
+            if len(hits) >= limit:
+                return False, 0, max(1, math.ceil(hits[0] + window - t))
+            hits.append(t)
+            return True, limit - len(hits), 0
 
-    folded = _per_key(events, key, time, item).select(key, F.explode(F.aggregate("hits", empty, step, lambda s: s["out"])).alias("r"))
-    return folded.select(key, F.col("r")["item"].alias(item), F.col("r")["allowed"].alias("allowed"), F.col("r")["remaining"].alias("remaining"), F.col("r")["retry_after"].alias("retry_after"))
+        return step
+
+    rows = events.select(key, item, F.col(time).cast("double").alias("_t"))
+    return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t",), fresh=fresh, adds="allowed boolean, remaining long, retry_after long").drop("_t")
 
 
 def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str, max_failures: int, window: float, lockout: float) -> DataFrame:
@@ -44,19 +48,30 @@ def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str,
     Reaching ``max_failures`` within the window sets a lock and clears the
     window; a locked attempt changes nothing; a success clears the window.
     """
-    grouped = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(item).cast("long").alias("item"), F.col(failed).alias("failed")))).alias("hits"))
-    empty = F.struct(F.array().cast("array<double>").alias("open"), F.lit(float("-inf")).alias("until"), F.array().cast("array<struct<item:bigint,locked:boolean,sets_lock:boolean>>").alias("out"))
-
-    def step(state: Column, hit: Column) -> Column:
-        locked = state["until"] > hit["t"]
-        kept = F.concat(F.filter(state["open"], lambda t: t >= hit["t"] - F.lit(float(window))), F.array(hit["t"]))
-        sets = ~locked & hit["failed"] & (F.size(kept) >= max_failures)
-        open_ = F.when(locked, state["open"]).when(sets | ~hit["failed"], F.array().cast("array<double>")).otherwise(kept)
-        until = F.when(sets, hit["t"] + F.lit(float(lockout))).otherwise(state["until"])
-        return F.struct(open_.alias("open"), until.alias("until"), F.concat(state["out"], F.array(F.struct(hit["item"].alias("item"), locked.alias("locked"), sets.alias("sets_lock")))).alias("out"))
-
-    folded = grouped.select(key, F.explode(F.aggregate("hits", empty, step, lambda s: s["out"])).alias("r"))
-    return folded.select(key, F.col("r")["item"].alias(item), F.col("r")["locked"].alias("locked"), F.col("r")["sets_lock"].alias("sets_lock"))
+
+    def fresh():
+        failures: deque[float] = deque()
+        until = [-math.inf]
+
+        def step(t: float, bad: bool) -> tuple[bool, bool]:
+            if until[0] > t:
+                return True, False
+            if not bad:
+                failures.clear()
+                return False, False
+            while failures and failures[0] < t - window:
+                failures.popleft()
+            failures.append(t)
+            if len(failures) < max_failures:
+                return False, False
+            failures.clear()
+            until[0] = t + lockout
+            return False, True
+
+        return step
+
+    rows = events.select(key, item, F.col(time).cast("double").alias("_t"), F.coalesce(F.col(failed), F.lit(False)).alias("_bad"))
+    return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t", "_bad"), fresh=fresh, adds="locked boolean, sets_lock boolean").drop("_t", "_bad")
 
 
 def client_key(forwarded: Column, host: Column) -> Column:

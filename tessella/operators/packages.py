@@ -88,7 +88,8 @@ def listing(rows: DataFrame, *, limit: int = 50, q: str | None = None, status: s
     order = [F.col("created_at").desc_nulls_last(), F.col("id").desc_nulls_last()]
     page = rows.orderBy(*order).limit(fetched(limit, bool(q or status)))
     if q:
-        page = page.where(F.expr(" OR ".join(f"contains(lower(coalesce({c}, '')), :q)" for c in ("code", "original_name", "note", "id")).replace(":q", "'" + q.replace("\\", "\\\\").replace("'", "\\'") + "'")))
+        fields = [F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(q)) for c in ("code", "original_name", "note", "id")]
+        page = page.where(fields[0] | fields[1] | fields[2] | fields[3])
     if status:
         page = page.where(status_is(status))
     return page.orderBy(*order).limit(limit)
@@ -98,18 +99,21 @@ def claims(packages: DataFrame, asked: DataFrame, now: datetime) -> DataFrame:
     """The outcome of many claims, in their order of arrival per code.
 
     asked: claim_no, code.  Each package's state is joined to the claims on
-    its code, and a claim is granted while its rank is within what is left.
-    Errors, by precedence: invalid, expired, exhausted, missing.
+    its code, and a claim is granted while its rank is within what is left;
+    claims on a package whose file is missing use nothing up.  Errors, by
+    precedence: invalid, expired, exhausted, missing.
     """
     ready = with_state(packages, now).select("code", F.col("id").alias("package_id"), "expired", "max_downloads", "download_count", "file_exists")
     rows = asked.select("claim_no", normalized_code(F.col("code")).alias("code")).join(ready, "code", "left")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("claim_no"))
-    room = (F.coalesce("max_downloads", F.lit(0)) <= 0) | (F.col("rank") <= F.col("max_downloads") - F.coalesce("download_count", F.lit(0)))
+    there = F.coalesce("file_exists", F.lit(False))
+    used = F.coalesce("download_count", F.lit(0)) + F.when(there, F.col("rank") - 1).otherwise(0)
+    room = (F.coalesce("max_downloads", F.lit(0)) <= 0) | (used < F.col("max_downloads"))
     error = (
         F.when(~valid_code(F.col("code")) | F.col("package_id").isNull(), "invalid")
         .when(F.col("expired"), "expired")
         .when(~room, "exhausted")
-        .when(~F.coalesce("file_exists", F.lit(False)), "missing")
+        .when(~there, "missing")
     )
     return rows.withColumn("rank", rank).select("claim_no", "code", "package_id", error.alias("error"), error.isNull().alias("granted"))
 

@@ -96,12 +96,12 @@ def newest(rows: DataFrame) -> DataFrame:
 
 
 def presence_estimate(rows: DataFrame, files: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Present files as the newest ``sample`` records suggest: exact up to that many records, else scaled up."""
+    """Present files as the newest ``sample`` records with a path suggest, scaled up to all records if there are more of them."""
     pathed = rows.where(F.trim(F.coalesce("input_rel", F.lit(""))) != "")
     seen = with_presence(pathed.orderBy(*newest_first(pathed)).limit(sample), files).agg(F.count("*").alias("sampled"), F.count_if("file_exists").alias("present"))
-    both = seen.crossJoin(F.broadcast(pathed.agg(F.count("*").alias("total"))))  # one row each
+    both = seen.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row each
     scaled = F.bround(F.col("total") * F.col("present") / F.greatest("sampled", F.lit(1))).cast("long")
-    return both.select("total", "sampled", F.when(F.col("total") > sample, scaled).otherwise(F.col("present")).alias("present"))
+    return both.select("total", "sampled", F.when((F.col("total") > F.col("sampled")) & (F.col("sampled") > 0), scaled).otherwise(F.col("present")).alias("present"))
 
 
 def presence(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -137,7 +137,10 @@ def found(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def inserted_or_ignored(rows: DataFrame, new: DataFrame) -> DataFrame:
     """All records and, of the new ones, those with an unknown id; of new rows with one id the first by content."""
-    fresh = new.join(rows.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct(*[c for c in new.columns if c != "id"])).alias("r")).select("id", "r.*")
+    rest = [c for c in new.columns if c != "id"]
+    kinds = dict(new.dtypes)
+    order = F.struct(*[F.array_sort(F.map_entries(c)) if kinds[c].startswith("map<") else F.col(c) for c in rest])  # maps have no order
+    fresh = new.join(rows.select("id"), "id", "left_anti").groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("r")).select("id", "r.*")
     return rows.unionByName(fresh.select(*[c for c in rows.columns]))
 
 

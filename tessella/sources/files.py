@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from tessella.operators.folds import ordered_fold
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,10 +27,29 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def entry_names(rows: DataFrame, *, group: str = "batch_id", index: str = "idx", name: str = "stem", suffix: str = ".docx") -> DataFrame:
-    """Adds ``entry``: the stem with a suffix; of equal stems all but the first get their place in the batch."""
-    nth = F.row_number().over(Window.partitionBy(group, name).orderBy(index))
-    taken = F.when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), (F.col(index) + 1).cast("string")))
-    return rows.withColumn("entry", F.concat(taken, F.lit(suffix)))
+    """Adds ``entry``: the stem with a suffix, or with its place in the batch if an earlier entry has that name.
+
+    A name that was made can be taken by a later stem, so each batch is a fold
+    in order; a name that is taken even with its place gets further ones.
+    """
+
+    def fresh():
+        used: set[str] = set()
+
+        def step(stem: str, place: int) -> tuple[str]:
+            entry = f"{stem}{suffix}"
+            if entry in used:
+                entry = f"{stem}_{place + 1}{suffix}"
+            k = 1
+            while entry in used:
+                k += 1
+                entry = f"{stem}_{place + 1}_{k}{suffix}"
+            used.add(entry)
+            return (entry,)
+
+        return step
+
+    return ordered_fold(rows, key=(group,), order=(index,), reads=(name, index), fresh=fresh, adds="entry string")
 
 
 def zipped(rows: DataFrame, *, group: str = "batch_id", index: str = "idx") -> DataFrame:
@@ -39,7 +59,7 @@ def zipped(rows: DataFrame, *, group: str = "batch_id", index: str = "idx") -> D
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for entry, content in pdf.sort_values(index)[["entry", "content"]].itertuples(index=False):
-                z.writestr(zipfile.ZipInfo(entry), content)
+                z.writestr(zipfile.ZipInfo(entry), content, compress_type=zipfile.ZIP_DEFLATED)
         return pd.DataFrame({group: [pdf[group].iloc[0]], "files": [len(pdf)], "content": [out.getvalue()]})
 
     kind = dict(rows.dtypes)[group]
