@@ -6,8 +6,6 @@ what DuckDB runs on the same tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,29 +13,9 @@ from tessella.functions import codecs, formatters, media, money, numbers, text
 from tessella.operators import catalog as tools
 from tessella.operators import geometry, limits, packages, records
 from tessella.plans import tables as t
+from tessella.plans.registry import oracle_sql, queries, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *, using: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = (f"WITH {', '.join(using)} " if using else "") + sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_dashboard(spark, sf_dir)
@@ -50,7 +28,9 @@ _LATEST = "SELECT * FROM records ORDER BY created_at DESC, id DESC LIMIT 200"
 
 @query("SELECT tool, count(*) AS records, CAST(sum(input_bytes) AS BIGINT) AS bytes, max(created_at) AS newest FROM records GROUP BY tool", using=(t.RECORDS,))
 def records_dashboard(spark, sf_dir):
-    return t.records(spark, sf_dir).groupBy("tool").agg(F.count("*").alias("records"), F.sum("input_bytes").alias("bytes"), F.max("created_at").cast("timestamp_ntz").alias("newest"))
+    rows = t.records(spark, sf_dir)
+    more = rows.groupBy("tool").agg(F.sum("input_bytes").alias("bytes"), F.max("created_at").cast("timestamp_ntz").alias("newest"))
+    return records.counts_by_tool(rows).join(more, "tool")
 
 
 @query("SELECT count(*) AS records, CAST(coalesce(sum(input_bytes), 0) AS BIGINT) AS bytes FROM records", using=(t.RECORDS,))
@@ -99,7 +79,7 @@ def records_presence_total(spark, sf_dir):
     return records.presence(t.records(spark, sf_dir), t.files(spark, sf_dir))
 
 
-@query("SELECT total, sampled, CAST(round_even(CAST(total * present AS DOUBLE) / sampled, 0) AS BIGINT) AS present FROM (SELECT (SELECT count(*) FROM records) AS total, count(*) AS sampled, count(*) FILTER (WHERE input_rel IN (SELECT path FROM files)) AS present FROM (SELECT * FROM records ORDER BY created_at DESC, id DESC LIMIT 200))", using=(t.RECORDS, t.FILES))
+@query("SELECT total, sampled, CASE WHEN total > sampled THEN CAST(round_even(CAST(total * present AS DOUBLE) / sampled, 0) AS BIGINT) ELSE present END AS present FROM (SELECT (SELECT count(*) FROM records) AS total, count(*) AS sampled, count(*) FILTER (WHERE input_rel IN (SELECT path FROM files)) AS present FROM (SELECT * FROM records WHERE input_rel <> '' ORDER BY created_at DESC, id DESC LIMIT 200))", using=(t.RECORDS, t.FILES))
 def records_presence_estimate(spark, sf_dir):
     return records.presence_estimate(t.records(spark, sf_dir), t.files(spark, sf_dir))
 
@@ -178,7 +158,7 @@ def packages_unexpired(spark, sf_dir):
 
 @query(
     """SELECT claim_no, code, package_id, error, error IS NULL AS granted FROM (SELECT claim_no, c.code, s.id AS package_id, CASE WHEN NOT regexp_full_match(c.code, '[0-9]{6}') OR s.id IS NULL THEN 'invalid' WHEN s.expired THEN 'expired'
-       WHEN NOT (max_downloads <= 0 OR rnk <= max_downloads - download_count) THEN 'exhausted' WHEN NOT file_exists THEN 'missing' END AS error FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY claim_no) AS rnk FROM claims) c LEFT JOIN state s ON c.code = s.code)""",
+       WHEN max_downloads > 0 AND download_count + CASE WHEN file_exists THEN rnk - 1 ELSE 0 END >= max_downloads THEN 'exhausted' WHEN NOT file_exists THEN 'missing' END AS error FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY claim_no) AS rnk FROM claims) c LEFT JOIN state s ON c.code = s.code)""",
     using=(t.PACKAGES, "claims AS (SELECT event_id AS claim_no, CASE WHEN event_type = 'error' THEN 'x' || user_id ELSE lpad(CAST(user_id AS VARCHAR), 6, '0') END AS code FROM events)"),
 )
 def packages_claims(spark, sf_dir):
@@ -263,12 +243,28 @@ def tool_of_url(spark, sf_dir):
 # ---------------------------------------------------------------- limits and jobs
 
 
-@query()
+@query(
+    """SELECT user_id, event_id, allowed, remaining, retry_after FROM run WHERE n > 0""",
+    using=(
+        "RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
+        """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, true AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM hits WHERE n = 1
+        UNION ALL SELECT user_id, event_id, n, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2, CAST(greatest(0, 1 - len(kept)) AS BIGINT), CASE WHEN len(kept) < 2 THEN 0 ELSE greatest(1, CAST(ceil(kept[1] + 21600 - t) AS BIGINT)) END
+        FROM (SELECT h.user_id, h.event_id, h.n, h.t, list_filter(r.open, lambda x: x >= h.t - 21600) AS kept FROM run r JOIN hits h ON h.user_id = r.user_id AND h.n = r.n + 1))""",
+    ),
+)
 def rate_limited(spark, sf_dir):
     return limits.rate_limit(t.events(spark, sf_dir), key="user_id", time="t", item="event_id", limit=2, window=21600.0)
 
 
-@query()
+@query(
+    """SELECT user_id, event_id, locked, sets_lock FROM run WHERE n > 0""",
+    using=(
+        "RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
+        """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, CAST('-infinity' AS DOUBLE) AS until, false AS locked, false AS sets_lock FROM hits WHERE n = 1
+        UNION ALL SELECT user_id, event_id, n, CASE WHEN shut THEN open WHEN NOT failed OR len(kept) >= 3 THEN CAST([] AS DOUBLE[]) ELSE kept END, CASE WHEN NOT shut AND failed AND len(kept) >= 3 THEN t + 43200 ELSE until END, shut, NOT shut AND failed AND len(kept) >= 3
+        FROM (SELECT h.user_id, h.event_id, h.n, h.t, h.failed, r.open, r.until, r.until > h.t AS shut, list_append(list_filter(r.open, lambda x: x >= h.t - 86400), h.t) AS kept FROM run r JOIN hits h ON h.user_id = r.user_id AND h.n = r.n + 1))""",
+    ),
+)
 def lockouts(spark, sf_dir):
     rows = t.events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
     return limits.lockouts(rows, key="user_id", time="t", item="event_id", failed="failed", max_failures=3, window=86400.0, lockout=43200.0)
@@ -372,7 +368,7 @@ def timeouts(spark, sf_dir):
 
 @query("SELECT page_id, regexp_replace(regexp_replace(trim(html, E' \\n\\t\\r'), '>\\s+<', '><', 'g'), '\\s{2,}', ' ', 'g') AS result FROM pages")
 def html_minified(spark, sf_dir):
-    return t.table(spark, sf_dir, "pages").select("page_id", formatters.minify_html(F.trim(F.regexp_replace("html", r"^\s+|\s+$", ""))).alias("result"))
+    return t.table(spark, sf_dir, "pages").select("page_id", formatters.minify_html(F.concat(F.lit("\n\t "), "html", F.lit(" \r\n"))).alias("result"))
 
 
 @query()
@@ -440,15 +436,17 @@ def word_columns(spark, sf_dir):
     return pages.select("doc_id", geometry.aligned_columns(F.col("xs")).alias("columns"))
 
 
-@query("SELECT doc_id, CAST(greatest(36.0, least(50.0, 144.0)) AS DOUBLE) AS left_margin FROM (SELECT DISTINCT doc_id FROM words WHERE x1 > x0)", using=(t.WORDS,))
+_CLAMP = "CAST(greatest(36.0, least({}, 144.0)) AS DOUBLE)"
+
+
+@query(
+    "SELECT doc_id, CASE WHEN abs(l - r) < 12 THEN (l + r) / 2 ELSE l END AS left_margin, CASE WHEN abs(l - r) < 12 THEN (l + r) / 2 ELSE r END AS right_margin, t AS top_margin, b AS bottom_margin FROM "
+    f"(SELECT doc_id, {_CLAMP.format('min(x0) FILTER (WHERE x1 > x0)')} AS l, {_CLAMP.format('595.0 - max(x1) FILTER (WHERE x1 > x0)')} AS r, {_CLAMP.format('min(top)')} AS t, {_CLAMP.format('842.0 - max(bottom)')} AS b FROM words GROUP BY doc_id)",
+    using=(t.WORDS,),
+)
 def page_margins(spark, sf_dir):
-    blocks = t.words(spark, sf_dir)
-    found = blocks.groupBy("doc_id").agg(F.min(F.when(F.col("x1") > F.col("x0"), F.col("x0"))).alias("l")).where("l IS NOT NULL")
-    return found.select("doc_id", F.greatest(F.lit(36.0), F.least("l", F.lit(144.0))).alias("left_margin"))
+    found = geometry.page_margins(t.words(spark, sf_dir), 595.0, 842.0)
+    return found.select("doc_id", *[F.col(c).alias(f"{c}_margin") for c in ("left", "right", "top", "bottom")])
 
 
-@query("SELECT doc_id, mode_font, n FROM (SELECT doc_id, fontname AS mode_font, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS r FROM (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN 'Song' ELSE 'Hei' END AS fontname FROM flat) GROUP BY doc_id, fontname) WHERE r = 1", using=(t.WORDS,))
-def page_fonts(spark, sf_dir):
-    """The most frequent font; of equal ones the first met."""
-    n = t.words(spark, sf_dir).groupBy("doc_id", "fontname").agg(F.count("*").alias("n"), F.min("word_no").alias("at"))
-    return n.groupBy("doc_id").agg(F.max_by(F.struct("fontname", "n"), F.struct("n", -F.col("at"))).alias("f")).select("doc_id", F.col("f.fontname").alias("mode_font"), F.col("f.n").alias("n"))
+from tessella.plans import pages, rules  # noqa: E402, F401  (they register their queries)

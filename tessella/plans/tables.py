@@ -18,12 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as upload records."""
+    """Orders as upload records; one in nine has no path."""
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("tool"), F.concat(F.lit("Order-"), "o_orderkey", F.lit(".pdf")).alias("original_name"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.concat(F.lit("c/"), "o_custkey").alias("input_rel"), F.floor("o_totalprice").cast("long").alias("input_bytes"))
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("tool"), F.concat(F.lit("Order-"), "o_orderkey", F.lit(".pdf")).alias("original_name"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.concat(F.lit("c/"), "o_custkey")).alias("input_rel"), F.floor("o_totalprice").cast("long").alias("input_bytes"))
 
 
-RECORDS = "records AS (SELECT o_orderkey AS id, o_orderpriority AS tool, 'Order-' || o_orderkey || '.pdf' AS original_name, o_orderdate AS created_at, 'c/' || o_custkey AS input_rel, CAST(floor(o_totalprice) AS BIGINT) AS input_bytes FROM orders)"
+RECORDS = "records AS (SELECT o_orderkey AS id, o_orderpriority AS tool, 'Order-' || o_orderkey || '.pdf' AS original_name, o_orderdate AS created_at, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'c/' || o_custkey END AS input_rel, CAST(floor(o_totalprice) AS BIGINT) AS input_bytes FROM orders)"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
