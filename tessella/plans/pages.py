@@ -72,7 +72,7 @@ def _filled(spark, sf_dir) -> DataFrame:
 
 
 PAGES = "pages_ AS (SELECT p_partkey AS doc_id FROM part)"
-GRID = "grid AS (SELECT doc_id, r, c, CASE WHEN doc_id % 3 = 0 AND r = 0 AND c = 0 THEN 2 ELSE 1 END AS span FROM pages_, range(3) a(r), range(3) b(c) WHERE NOT (doc_id % 3 = 0 AND r = 0 AND c = 1))"
+GRID = "grid AS (SELECT doc_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, CASE WHEN doc_id % 3 = 0 AND r = 0 AND c = 0 THEN 2 ELSE 1 END AS span FROM pages_, range(3) a(r), range(3) b(c) WHERE NOT (doc_id % 3 = 0 AND r = 0 AND c = 1))"
 TEXTS = "texts AS (SELECT *, CASE WHEN doc_id % 5 <> 0 OR r + c = 0 OR r + c = 4 THEN 'r' || r || 'c' || c ELSE '' END AS text FROM grid)"
 
 # ---------------------------------------------------------------- grids, cells, texts
@@ -99,7 +99,7 @@ def table_texts(spark, sf_dir):
     return _filled(spark, sf_dir).select("doc_id", "r", "c", "text", "font_size", "font_name", "align", "valign")
 
 
-@query("SELECT doc_id, count(*) AS anchors, count(*) FILTER (WHERE text <> '') AS filled, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS strong_rows, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END AS strong_cols FROM texts GROUP BY doc_id", using=(PAGES, GRID, TEXTS))
+@query("SELECT doc_id, count(*) AS anchors, count(*) FILTER (WHERE text <> '') AS filled, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END::BIGINT AS strong_rows, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 3 END::BIGINT AS strong_cols FROM texts GROUP BY doc_id", using=(PAGES, GRID, TEXTS))
 def table_fill_counts(spark, sf_dir):
     return layout.fill_counts(_filled(spark, sf_dir)).select("doc_id", "anchors", "filled", "strong_rows", "strong_cols")
 
@@ -133,7 +133,7 @@ def table_line_widths(spark, sf_dir):
     return found.select("doc_id", F.col("outer").alias("outer_"), F.col("inner").alias("inner_"), "dashed")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 32 ELSE 36 END AS edges, CASE WHEN doc_id % 3 = 0 THEN 43 ELSE 48 END::DOUBLE AS width FROM pages_ WHERE doc_id % 2 = 0", using=(PAGES,))
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 32 ELSE 36 END::BIGINT AS edges, CASE WHEN doc_id % 3 = 0 THEN 43 ELSE 48 END::DOUBLE AS width FROM pages_ WHERE doc_id % 2 = 0", using=(PAGES,))
 def cell_edges(spark, sf_dir):
     found = geometry.cell_borders(_cells(spark, sf_dir), _lines(spark, sf_dir))
     return found.groupBy("doc_id").agg(F.count("*").alias("edges"), F.sum("width").alias("width"))
@@ -165,7 +165,7 @@ def rules_between_tables(spark, sf_dir):
     return layout.rules_outside(rules, _tables(spark, sf_dir)).select("doc_id", "top")
 
 
-@query("SELECT doc_id, rule_no FROM pages_, (VALUES (0), (3), (4)) v(rule_no)", using=(PAGES,))
+@query("SELECT doc_id, rule_no::BIGINT AS rule_no FROM pages_, (VALUES (0), (3), (4)) v(rule_no)", using=(PAGES,))
 def rules_kept(spark, sf_dir):
     rules = _rows(_pages(spark, sf_dir), "rule_no long, top double, x0 double, x1 double", (0, 50.0, 60.0, 300.0), (1, 51.0, 61.0, 301.0), (2, 51.4, 59.0, 299.0), (3, 51.2, 160.0, 300.0), (4, 52.0, 60.0, 300.0))
     return geometry.kept_rules(rules).select("doc_id", "rule_no")
@@ -178,7 +178,7 @@ def tables_kept(spark, sf_dir):
     return geometry.kept_tables(found, 80_000.0).select("doc_id", "strategy", "find_no")
 
 
-@query("SELECT doc_id, image_no, place FROM pages_, (VALUES (5, 1), (2, 2), (0, 3)) v(image_no, place)", using=(PAGES,))
+@query("SELECT doc_id, image_no, place::BIGINT AS place FROM pages_, (VALUES (5, 1), (2, 2), (0, 3)) v(image_no, place)", using=(PAGES,))
 def images_placed(spark, sf_dir):
     """Outside tables, neither tiny nor the page itself, by top and left edge."""
     found = _rows(_pages(spark, sf_dir), f"image_no int, {_BOX}", (0, 300.0, 400.0, 400.0, 500.0), (1, 60.0, 105.0, 200.0, 155.0), (2, 100.0, 400.0, 200.0, 500.0), (3, 10.0, 10.0, 40.0, 40.0), (4, 0.0, 0.0, 595.0, 842.0), (5, 60.0, 20.0, 160.0, 90.0))
@@ -205,13 +205,13 @@ def blocks_in_order(spark, sf_dir):
     return geometry.interleaved(*_blocks(spark, sf_dir)).select("doc_id", "block_no", "place")
 
 
-@query("SELECT doc_id, 1 AS pages, 3 AS texts, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS tables, 1 AS images, 0 AS lines FROM pages_", using=(PAGES,))
+@query("SELECT doc_id, 1::BIGINT AS pages, 3::BIGINT AS texts, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS tables, 1::BIGINT AS images, 0::BIGINT AS lines FROM pages_", using=(PAGES,))
 def blocks_counted(spark, sf_dir):
     whole = geometry.interleaved(*_blocks(spark, sf_dir))
     return geometry.count_blocks(whole).select("doc_id", "pages", "texts", "tables", "images", "lines")
 
 
-@query("SELECT doc_id, block_no, CASE block_no WHEN 0 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END ELSE 1 END AS row_no FROM pages_, range(5) v(block_no) WHERE doc_id % 2 = 0 OR block_no <> 3", using=(PAGES,))
+@query("SELECT doc_id, block_no::INT AS block_no, CASE block_no WHEN 0 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END ELSE 1 END AS row_no FROM pages_, range(5) v(block_no) WHERE doc_id % 2 = 0 OR block_no <> 3", using=(PAGES,))
 def blocks_side_by_side(spark, sf_dir):
     far = geometry.interleaved(*_blocks(spark, sf_dir)).withColumn("top", F.when(F.col("kind") == "image", 500.0).otherwise(F.col("top"))).withColumn("bottom", F.when(F.col("kind") == "image", 520.0).otherwise(F.col("bottom")))
     return geometry.visual_rows(far.select("doc_id", "page_no", "block_no", "kind", "top", "bottom")).select("doc_id", "block_no", "row_no")

@@ -138,7 +138,7 @@ def records_asked_ids(spark, sf_dir):
 
 
 @query(
-    "SELECT id, '2001-01-01T00:00:00Z' AS created_at, strftime(TIMESTAMP '2001-01-01' + INTERVAL 1 HOUR * h, '%Y-%m-%dT%H:%M:%SZ') AS expires_at, least(1000, greatest(0, d)) AS max_downloads, 0 AS download_count, repeat('n', CAST(least(200, d) AS INT)) AS note FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 24 ELSE least(168, greatest(1, c_custkey % 300 - 20)) END AS h, c_custkey AS d FROM customer)"
+    "SELECT id, '2001-01-01T00:00:00Z' AS created_at, strftime(TIMESTAMP '2001-01-01' + INTERVAL 1 HOUR * h, '%Y-%m-%dT%H:%M:%SZ') AS expires_at, least(1000, greatest(0, d))::INT AS max_downloads, 0 AS download_count, repeat('n', CAST(least(200, d) AS INT)) AS note FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 24 ELSE least(168, greatest(1, c_custkey % 300 - 20)) END AS h, c_custkey AS d FROM customer)"
 )
 def packages_new(spark, sf_dir):
     """Lifetime, downloads and note within their bounds; a missing lifetime is a day."""
@@ -271,13 +271,13 @@ def upper_medians(spark, sf_dir):
 _PIECES = ("plain", r"\u4e2d\u6587 %u4e2d", "U+4E2D &#x4e2d; &#20013;", r"\u{1F600}", "100%")
 
 
-@query(f"SELECT p_partkey, {_sql_cases('p_partkey', (0, 2, 0, 1, 0))} AS backslash, {_sql_cases('p_partkey', (0, 1, 0, 0, 0))} AS percent, {_sql_cases('p_partkey', (0, 0, 1, 0, 0))} AS plus, {_sql_cases('p_partkey', (0, 0, 2, 0, 0))} AS html, {_sql_picked('p_partkey', ('', 'backslash_u,percent_u', 'u_plus,html_entity', 'backslash_u', ''))} AS detected FROM part")
+@query(f"SELECT p_partkey, {_sql_cases('p_partkey', (0, 2, 0, 1, 0))}::BIGINT AS backslash, {_sql_cases('p_partkey', (0, 1, 0, 0, 0))}::BIGINT AS percent, {_sql_cases('p_partkey', (0, 0, 1, 0, 0))}::BIGINT AS plus, {_sql_cases('p_partkey', (0, 0, 2, 0, 0))}::BIGINT AS html, {_sql_picked('p_partkey', ('', 'backslash_u,percent_u', 'u_plus,html_entity', 'backslash_u', ''))} AS detected FROM part")
 def escape_counts(spark, sf_dir):
     r = codecs.probe_unicode(_picked("p_partkey", _PIECES))
     return t.table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).select("p_partkey", F.col("r.counts.backslash_u").alias("backslash"), F.col("r.counts.percent_u").alias("percent"), F.col("r.counts.u_plus").alias("plus"), F.col("r.counts.html_entity").alias("html"), F.array_join("r.detected", ",").alias("detected"))
 
 
-@query(f"SELECT p_partkey, {_sql_picked('p_partkey', ('plain', '中文 中', '中 中 中', '😀', '100%'))} AS decoded, {_sql_cases('p_partkey', (0, 3, 3, 1, 0))} AS replacements FROM part")
+@query(f"SELECT p_partkey, {_sql_picked('p_partkey', ('plain', '中文 中', '中 中 中', '😀', '100%'))} AS decoded, {_sql_cases('p_partkey', (0, 3, 3, 1, 0))}::BIGINT AS replacements FROM part")
 def escapes_decoded(spark, sf_dir):
     """All families at once: braces, four digits, percent, U+, hexadecimal and decimal entities."""
     r = codecs.decode_unicode(_picked("p_partkey", _PIECES))
