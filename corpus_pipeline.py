@@ -1,8 +1,12 @@
 """From raw documents to a sharded training mix, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and all but the last return the columns
-of ``documents``.  ``run`` writes what each stage returns to the shared folder
-and reads it again, so a lost executor costs one stage at most.
+of ``documents`` as they were, whatever further columns there are.  ``run``
+writes what each stage returns to the shared folder and reads it again, so a
+lost executor costs one stage at most.
+
+In every stage a null text counts as empty, a row without an id is known by its
+text, an empty table gives no rows, and texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -14,27 +18,27 @@ from tessella.llm.workspace import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar rejects go."""
+    """Documents that the grammar rejects go; equal texts (ties, repeats) fare alike, and empty ones stay."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays; of rows that repeat it with an equal text, one."""
     return jaccard_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each copy of them; texts without words stay."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated so that sources reach their weights."""
+    """Documents are left out or repeated so that sources reach their weights; a null source is one, texts without words stay once."""
     return mixing.mixed_documents(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its shard and its place there."""
+    """Every document gets its shard and its place there by a stored slot map; repeated rows each have a place of their own."""
     return sharding.shard(docs)
 
 
