@@ -293,17 +293,33 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), half, dtype=np.int32)), pa.array(np.bincount(at, label == 1, len(keys)).astype(np.int64)), pa.array(np.bincount(at, label != 1, len(keys)).astype(np.int64))], names=["token", "side", "pos", "neg"])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton's method; the first coefficient is the constant and is not shrunk."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Newton's method, each step shortened until it lowers the loss; the first coefficient is the constant and is not shrunk.
+
+    A full step can overshoot where few rows hold much weight, and the next one
+    then leads away for good; the loss is convex, so shortened steps cannot.
+    """
     x = np.column_stack((np.ones(len(x)), x))
     beta = np.zeros(x.shape[1])
     penalty = np.full(len(beta), ridge)
     penalty[0] = 1e-6
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((np.logaddexp(0, z) - y * z).sum() + (penalty * b * b).sum() / 2)
+
+    now = loss(beta)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * beta)
-        beta += step
-        if np.abs(step).max() < 1e-8:
+        size = 1.0
+        while size > 1e-9 and not loss(beta + size * step) < now:
+            size /= 2
+        if size <= 1e-9:
+            break
+        beta, before = beta + size * step, now
+        now = loss(beta)
+        if before - now < 1e-10 * max(1.0, now):
             break
     return beta
 

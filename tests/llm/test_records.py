@@ -210,6 +210,16 @@ def test_grammar_tags_and_weighs_words():
     assert g.score([toxicity.LISTED, toxicity.PERSON], [1.0, 0]) == g.score([toxicity.PERSON, toxicity.LISTED], [0, 1.0]) == (toxicity.THREAT_WEIGHT, 1)
 
 
+def test_logistic_model_does_not_run_away():
+    """Few rows with much weight among many that are parted well: full Newton steps diverge here."""
+    draw = np.random.default_rng(11)
+    y = (np.arange(20_000) % 10 == 0).astype(float)
+    x = np.column_stack((draw.exponential(2, len(y)) * y + (draw.random(len(y)) < 0.001) * 400, y * (1 + draw.random(len(y))), draw.normal(size=len(y))))
+    beta = toxicity._logistic(x, y)
+    score = 1 / (1 + np.exp(-np.clip(beta[0] + x @ beta[1:], -30, 30)))
+    assert np.isfinite(beta).all() and np.abs(beta).max() < 1000 and (score[y == 1] > 0.5).mean() > 0.99 and (score[y == 0] > 0.5).mean() < 0.01
+
+
 def test_toxic_texts_are_found(spark, folder):
     texts = spark.read.parquet(f"{folder}/labelled.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
