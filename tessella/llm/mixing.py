@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 1024
-BUCKET_ROWS = 4096  # rows of a bucket, about; the number of buckets follows the rows
+BUCKET_ROWS = 512  # rows of a bucket, about; the number of buckets follows the rows
 STRETCH = 1 << 14
 _GOLDEN = 1327217885  # the odd number next to 2^31 times the golden ratio's fraction
 _ROUND = 1 << 31
