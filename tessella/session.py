@@ -13,7 +13,8 @@ def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per context.
 
     Spark serves the archive from the driver to every executor, those that
-    join later included, so nothing has to be installed there.
+    join later included, so of this project nothing has to be installed there.
+    The libraries in requirements.txt have to be.
     """
     context = spark.sparkContext
     if getattr(context, "_tessella", False):
