@@ -35,10 +35,10 @@ from tessella.llm.workspace import Workspace
 
 SPAN = 200
 GRAM = 64
-HOT = 512
+HOT = 4096
 SLICE = 17
 BATCH = 1 << 20  # bytes that are sorted together, about
-GROUP_BYTES = 256 << 10
+GROUP_BYTES = 2 << 20
 ROWS = 8192  # suffixes whose bytes are gathered together
 
 _U = np.uint64
