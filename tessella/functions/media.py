@@ -12,6 +12,9 @@ EXTENSIONS = ((r"\.(jpg|jpeg|jpe|jfif)$", "jpeg"), (r"\.png$", "png"), (r"\.gif$
 MORE_EXTENSIONS = ((r"\.webp$", "webp"), (r"\.bmp$", "bmp"), (r"\.tiff?$", "tiff"), (r"\.(ico|cur)$", "ico"))
 ALIASES = {"jpg": "jpeg", "jpe": "jpeg", "jfif": "jpeg", "tif": "tiff", "icon": "ico"}
 OUTPUT_FORMATS = ("jpeg", "png", "webp", "gif", "bmp", "tiff", "ico")
+# Preset: JPEG quality, JPEG subsampling, PNG palette, PNG colours, GIF colours, longest side (0: as it is).
+PRESETS = {"high": (90, 0, False, 256, 256, 0), "balanced": (82, 2, True, 256, 192, 0), "strong": (72, 2, True, 192, 128, 2560)}
+KNOBS = ("jpeg_quality", "jpeg_subsampling", "png_quantize", "png_colors", "gif_colors", "max_side")
 SVG_START = r"(?is)^\x{FEFF}?\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*(<!DOCTYPE[^>]*>\s*)?<svg[\s>]"
 
 
@@ -60,6 +63,12 @@ def formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, f) for k, f in enumerate(OUTPUT_FORMATS)], "pos int, format string")
 
 
+def preset(name: Column) -> Column:
+    """Struct of encoder settings by the name of a preset; blank means balanced, an unknown name gives null."""
+    low = F.lower(F.trim(F.coalesce(F.nullif(name, F.lit("")), F.lit("balanced"))))
+    return F.coalesce(*[F.when(low == k, F.struct(*[F.lit(v).alias(n) for n, v in zip(KNOBS, values, strict=True)])) for k, values in PRESETS.items()])
+
+
 def resized(width: Column, height: Column, most: int) -> Column:
     """Width and height with the long side at most ``most``; 0 changes nothing."""
     long = F.greatest(width, height)

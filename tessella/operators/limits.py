@@ -83,7 +83,7 @@ def client_key(forwarded: Column, host: Column) -> Column:
 # ---------------------------------------------------------------- jobs
 
 TERMINAL = ("done", "error")
-PUBLIC_RESULT = ("filename", "pages", "tables", "images", "lines", "warnings", "size_bytes", "files")
+PUBLIC_RESULT = ("pages", "tables", "text_blocks", "images", "lines", "warnings", "files", "batch", "engine", "bytes")
 
 
 def latest_state(events: DataFrame, *, key: str, time: str, order: str, fields: tuple[str, ...]) -> DataFrame:
@@ -92,6 +92,30 @@ def latest_state(events: DataFrame, *, key: str, time: str, order: str, fields:
     return events.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f) for f in fields], F.min(time).alias("created_at"), F.max(time).alias("updated_at"))
 
 
+def job_changes(actions: DataFrame) -> DataFrame:
+    """What each action does to its job, as fields to merge: status, progress, message, error, output_path, downloaded_at.
+
+    Actions are create, start, finish (with an output_path), fail (with an
+    error) and download, in the columns action, at, error and output_path; null
+    leaves a field as it is, and an empty output_path is one that was removed.
+    """
+    a = F.col("action")
+    by = lambda **values: F.coalesce(*[F.when(a == k, F.lit(v)) for k, v in values.items()])
+    return actions.withColumns({
+        "status": by(create="queued", start="running", finish="done", fail="error"),
+        "progress": by(create=0.0, start=0.05, finish=1.0, fail=1.0),
+        "message": by(create="", start="running", finish="done", fail="error", download="downloaded"),
+        "error": F.when(a == "fail", F.coalesce(F.nullif(F.col("error"), F.lit("")), F.lit("error"))),
+        "output_path": F.when(a == "finish", F.col("output_path")).when(a.isin("fail", "download"), ""),
+        "downloaded_at": F.when(a == "download", F.col("at")),
+    })
+
+
+def has_result(status: Column, output_path: Column, downloaded_at: Column) -> Column:
+    """Whether a job's file can be fetched: it is done, and its file was not fetched before."""
+    return F.coalesce((status == "done") & (output_path != "") & downloaded_at.isNull(), F.lit(False))
+
+
 def reclaimable(now: Column, *, idle: int = 3600, downloaded: int = 30) -> Column:
     """Ended jobs downloaded a while ago, or untouched for long."""
     ended = F.col("status").isin(*TERMINAL)

@@ -129,6 +129,11 @@ def unexpired(rows: DataFrame, now: datetime) -> DataFrame:
     return rows.where(F.coalesce("expires_at", F.lit("")) > iso(F.lit(now)))
 
 
+def cleaned(rows: DataFrame, now: datetime, *, force: bool = False) -> DataFrame:
+    """A purge that only an explicit wish starts; otherwise expiry hides packages and keeps them."""
+    return unexpired(rows, now) if force else rows
+
+
 def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("packages"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("bytes"))
 

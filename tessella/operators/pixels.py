@@ -1,0 +1,153 @@
+"""Images as tables of pixels: backgrounds, transparency, colours, and PNG both ways.
+
+A pixel is (image_id, x, y, r, g, b, a) with channels from 0 to 255, so one
+large image spreads over tasks like many small ones; sizes are (image_id,
+width, height).  Only reading and writing a PNG take an image whole.
+"""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessella.functions.numbers import upper_median
+
+MOST_COLOURS = 257
+CHANNELS = ("r", "g", "b")
+PIXEL = "image_id long, x int, y int, r int, g int, b int, a int"
+PNG_HEAD = b"\x89PNG\r\n\x1a\n"
+
+
+def _over_255(product: Column) -> Column:
+    """A product of two channels back to one channel, rounded."""
+    return F.floor((product + 127) / 255).cast("int")
+
+
+def unique_colours(pixels: DataFrame, most: int = MOST_COLOURS) -> DataFrame:
+    """How many colours an image has, counted up to ``most``."""
+    colours = pixels.select("image_id", *CHANNELS, "a").distinct()
+    return colours.groupBy("image_id").agg(F.least(F.count("*"), F.lit(most)).cast("long").alias("colours"))
+
+
+def corner_background(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The background by the corners and the middles of the edges: per channel the upper median.
+
+    Samples that are nearly transparent (alpha below 16) do not count; without any it is white.
+    """
+    w, h = F.col("width"), F.col("height")
+    across, down = (F.lit(0), F.floor(w / 2), w - 1), (F.lit(0), F.floor(h / 2), h - 1)
+    spots = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+    asked = sizes.select("image_id", F.posexplode(F.array(*[F.struct(across[i].cast("int").alias("x"), down[j].cast("int").alias("y")) for i, j in spots])).alias("spot", "at")).select("image_id", "spot", "at.*")
+    seen = asked.join(pixels, ["image_id", "x", "y"]).where(F.col("a") >= 16)
+    medians = seen.groupBy("image_id").agg(*[upper_median(F.collect_list(c)).alias(c) for c in CHANNELS])
+    return sizes.select("image_id").join(medians, "image_id", "left").select("image_id", *[F.coalesce(c, F.lit(255)).alias(f"key_{c}") for c in CHANNELS])
+
+
+def ramp(distance: Column, tolerance: int = 28, *, soft: bool = True) -> Column:
+    """Alpha by distance from the key colour: none up to the tolerance, full beyond, a slope between if soft."""
+    hard = round(255 * min(100, max(0, tolerance)) / 100)
+    feather = max(4, round(hard * 0.45)) if soft and hard > 0 else 0
+    low, high = max(0, hard - feather), min(255, hard + feather)
+    slope = F.bround((distance - low) * 255 / max(1, high - low)).cast("int")
+    return F.when(distance <= low, 0).when((distance < high) & F.lit(feather > 0), slope).otherwise(255)
+
+
+def without_background(pixels: DataFrame, keys: DataFrame, tolerance: int = 28, *, soft: bool = True) -> DataFrame:
+    """Pixels near the key colour of their image (key_r, key_g, key_b) become transparent; what was so stays so."""
+    far = F.greatest(*[F.abs(F.col(c) - F.col(f"key_{c}")) for c in CHANNELS])
+    return pixels.join(keys, "image_id").withColumn("a", _over_255(F.col("a") * ramp(far, tolerance, soft=soft))).select(*pixels.columns)
+
+
+def flattened(pixels: DataFrame, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """Every pixel laid over one colour, and opaque."""
+    blended = {c: _over_255(F.col(c) * F.col("a") + F.lit(k) * (255 - F.col("a"))) for c, k in zip(CHANNELS, background, strict=True)}
+    return pixels.withColumns(blended | {"a": F.lit(255)})
+
+
+def has_alpha(mode: Column, transparency: Column) -> Column:
+    """Whether an image of a mode has alpha; a palette only with a transparent entry."""
+    return F.coalesce(mode.isin("RGBA", "LA") | ((mode == "P") & transparency), F.lit(False))
+
+
+def header_size(data: Column) -> Column:
+    """Width and height that the header of a PNG, GIF or BMP states; null for others."""
+    digits = F.hex(F.substring(data, 1, 26))
+    number = lambda at, n, small: F.conv(F.concat(*[F.substring(digits, 2 * (at + k) + 1, 2) for k in (reversed(range(n)) if small else range(n))]), 16, 10).cast("long")
+    pair = lambda at, n, small: F.struct(number(at, n, small).alias("width"), number(at + n, n, small).alias("height"))
+    return F.when(digits.startswith(PNG_HEAD.hex().upper()), pair(16, 4, False)).when(digits.rlike("^47494638(37|39)61"), pair(6, 2, True)).when(digits.startswith("424D"), pair(18, 4, True))
+
+
+def _chunk(name: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+
+def to_png(pixels: DataFrame) -> DataFrame:
+    """One PNG with alpha of each image's pixels; pixels that are missing are transparent."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        width, height = int(pdf["x"].max()) + 1, int(pdf["y"].max()) + 1
+        rows = np.zeros((height, 1 + 4 * width), dtype=np.uint8)
+        rows[:, 1:].reshape(height, width, 4)[pdf["y"], pdf["x"]] = pdf[["r", "g", "b", "a"]].to_numpy(np.uint8)
+        head = struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)
+        data = PNG_HEAD + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "content": [data]})
+
+    return pixels.groupBy("image_id").applyInPandas(write, "image_id long, content binary")
+
+
+def _unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of a PNG without their filters (the byte before each row)."""
+    out = np.zeros((raw.shape[0] + 1, raw.shape[1] - 1 + step), dtype=np.int64)
+    for k, row in enumerate(raw.astype(np.int64)):
+        kind, line, above, here = row[0], row[1:], out[k], out[k + 1]
+        if kind in (0, 2):
+            here[step:] = (line + (above[step:] if kind == 2 else 0)) & 255
+            continue
+        for i, v in enumerate(line):
+            a, b, c = int(here[i]), int(above[i + step]), int(above[i])
+            near = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            here[i + step] = (v + (a if kind == 1 else (a + b) // 2 if kind == 3 else near)) & 255
+    return out[1:, step:].astype(np.uint8)
+
+
+def _read_png(data: bytes | None) -> np.ndarray | None:
+    """Height x width x 4; null for what is no plain 8-bit PNG of grey, colour or both with alpha."""
+    if not data or not data.startswith(PNG_HEAD):
+        return None
+    at, body, head = len(PNG_HEAD), [], None
+    while at + 8 <= len(data):
+        size, name = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + size]
+        head = struct.unpack(">IIBBBBB", part) if name == b"IHDR" and size == 13 else head
+        body += [part] if name == b"IDAT" else []
+        at += 12 + size
+    step = {0: 1, 2: 3, 4: 2, 6: 4}.get(head[3]) if head and head[2] == 8 and head[6] == 0 else None
+    if not step:
+        return None
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(body)), dtype=np.uint8)
+        plain = _unfiltered(raw.reshape(head[1], 1 + head[0] * step), step).reshape(head[1], head[0], step)
+    except (zlib.error, ValueError):
+        return None
+    colour = plain[:, :, :3] if step >= 3 else np.repeat(plain[:, :, :1], 3, axis=2)
+    alpha = plain[:, :, step - 1 :] if step in (2, 4) else np.full((*plain.shape[:2], 1), 255, dtype=np.uint8)
+    return np.concatenate([colour, alpha], axis=2)
+
+
+def from_png(files: DataFrame) -> DataFrame:
+    """The pixels of PNG files (image_id, content); files that are not read give none."""
+
+    def read(parts):
+        for pdf in parts:
+            for image_id, data in zip(pdf["image_id"], pdf["content"], strict=True):
+                image = _read_png(data)
+                for y in range(0 if image is None else image.shape[0]):
+                    line = image[y].astype(np.int32)
+                    yield pd.DataFrame({"image_id": image_id, "x": np.arange(len(line), dtype=np.int32), "y": np.int32(y), **{c: line[:, k] for k, c in enumerate("rgba")}})
+
+    return files.select("image_id", "content").mapInPandas(read, PIXEL)

@@ -144,6 +144,22 @@ def inserted_or_ignored(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(fresh.select(*[c for c in rows.columns]))
 
 
+def archived(rows: DataFrame, new: DataFrame, now: datetime, days: int) -> DataFrame:
+    """Retention and the append in one step; a new record without a tool, name or safe path is left out, never an error."""
+    sound = (F.trim(F.coalesce("tool", F.lit(""))) != "") & (F.trim(F.coalesce("original_name", F.lit(""))) != "") & safe_relative(F.col("input_rel"))
+    return inserted_or_ignored(retained(rows, now, days), new.where(sound))
+
+
+def files_of(rows: DataFrame, columns: tuple[str, ...] = ("input_rel", "output_rel")) -> DataFrame:
+    """The different paths that go with deleted records: their files and the preview kept beside the input.
+
+    Paths that are not safe are not touched; neither are those of records that stay, which is the caller's anti join.
+    """
+    named = [(c, "") for c in columns if c in rows.columns] + ([("input_rel", ".preview.pdf")] if "input_rel" in columns else [])
+    paths = F.array(*[F.when(safe_relative(F.col(c)), F.concat(c, F.lit(end))) for c, end in named])
+    return rows.select(F.explode(F.array_compact(paths)).alias("path")).distinct()
+
+
 def upload_status(size: Column, limit: int) -> Column:
     """HTTP status of an upload of ``size`` bytes."""
     return F.when(F.coalesce(size, F.lit(0)) == 0, 400).when(size > limit, 413).otherwise(200)

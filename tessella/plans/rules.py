@@ -167,9 +167,9 @@ def jobs_reclaimable(spark, sf_dir):
     return rows.select("event_id", limits.reclaimable(F.lit("2024-01-20").cast("timestamp")).alias("gone"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'filename,pages' ELSE 'pages' END AS keys FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'text_blocks,pages' ELSE 'pages' END AS keys FROM events")
 def jobs_public(spark, sf_dir):
-    m = F.create_map(F.when(F.col("event_id") % 2 == 0, "filename").otherwise("secret_path"), F.lit("x"), F.lit("pages"), F.lit("3"))
+    m = F.create_map(F.when(F.col("event_id") % 2 == 0, "text_blocks").otherwise("filename"), F.lit("x"), F.lit("pages"), F.lit("3"))
     return t.table(spark, sf_dir, "events").select("event_id", F.array_join(F.map_keys(limits.public_result(m)), ",").alias("keys"))
 
 
