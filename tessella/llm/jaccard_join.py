@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.components import connected
+from tessella.llm.components import connected, with_minimum
 from tessella.llm.kernel import list_array, mix, runs, shingles, words
 from tessella.llm.workspace import Workspace
 
@@ -284,8 +284,8 @@ def _grouped(docs: DataFrame, *, text: str, threshold: float, leaf: int, recall:
     links = found.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("sets").alias("sets"))
     groups = connected(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")), work)
     ends = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    firsts = ends.join(classes.select("node", "rep", "k1", "k2"), "node").groupBy("root").agg(F.min(F.struct("rep", "k1", "k2")).alias("low"))
-    lows = work.keep(ends.join(firsts, "root").select("node", "low"), "lows")
+    named = ends.join(classes.select("node", "rep", "k1", "k2"), "node")
+    lows = work.keep(with_minimum(named, "root", F.struct("rep", "k1", "k2"), F.col("node"), "low").select("node", "low"), "lows")
     known = classes.select("node", "k1", "k2", "rep", "members").join(links, "node", "left").join(lows, "node", "left")
     first = F.col("low").isNull() | ((F.col("low.k1") == F.col("k1")) & (F.col("low.k2") == F.col("k2")))
     known = known.select("k1", "k2", F.coalesce("low.rep", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("sets", F.lit(0)).alias("n_class_links"), F.col("rep").alias("copy_of"), F.col("members").alias("n_copies"), first.alias("first"))
