@@ -25,21 +25,23 @@ NO_LANG = "und"
 SALTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ENDS = ".,;:!?\x0b\x0c\r"
+_ENDS = r"[.,;:!?\x0A-\x0D]"
 
 
 def _pieces(text: Column) -> Column:
     """Words of each piece of a text: A-Z in lower case, pieces between ends of clauses or lines, words between blanks."""
-    plain = F.translate(F.coalesce(text, F.lit("")), _UPPER + _ENDS + "\t", _LOWER + "\n" * len(_ENDS) + " ")
-    return F.transform(F.split(plain, "\n"), lambda p: F.array_remove(F.split(p, " "), ""))
+    text = F.coalesce(text, F.lit(""))
+    # of ASCII alone, lower() changes the same letters and is much cheaper
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.transform(F.split(F.replace(low, F.lit("\t"), F.lit(" ")), _ENDS), lambda p: F.array_remove(F.split(p, " "), ""))
 
 
 def phrases(docs: DataFrame, n: int) -> DataFrame:
     """(lang, phrase): every run of ``n`` words within a piece, one row an occurrence."""
     words = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.explode(_pieces(F.col("text"))).alias("w")).filter(F.size("w") >= n)
-    if n == 1:
-        return words.select("lang", F.explode("w").alias("phrase"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+    runs = F.col("w")
+    for k in range(2, n + 1):  # a run of k words is one of k - 1 and the word after it; the last of those has none
+        runs = F.zip_with(F.slice(runs, F.lit(1), F.size("w") - (k - 1)), F.slice("w", F.lit(k), F.size("w") - (k - 1)), lambda run, word: F.concat(run, F.lit(" "), word))
     return words.select("lang", F.explode(runs).alias("phrase"))
 
 
