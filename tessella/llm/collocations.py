@@ -21,7 +21,8 @@ MIN_COUNT = 10
 COVER_PERCENT = 50
 TOP = 2000
 NO_LANG = "und"
-#: A single word can begin or end very many candidates: their rows are spread over so many places.
+#: Words that make up one in so many of all words, so at most so many, can begin or end very many candidates: their rows are spread over SALTS places.
+HOT = 4096
 SALTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,12 +38,19 @@ def _pieces(text: Column) -> Column:
 
 
 def phrases(docs: DataFrame, n: int) -> DataFrame:
-    """(lang, phrase): every run of ``n`` words within a piece, one row an occurrence."""
-    words = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.explode(_pieces(F.col("text"))).alias("w")).filter(F.size("w") >= n)
-    runs = F.col("w")
+    """(key): language, line feed and ``n`` words, for every run of ``n`` words within a piece, one row an occurrence."""
+    words = docs.select(F.concat(F.coalesce("lang", F.lit(NO_LANG)), F.lit("\n")).alias("lang"), F.explode(_pieces(F.col("text"))).alias("w")).filter(F.size("w") >= n)
+    runs = F.transform("w", lambda word: F.concat(F.col("lang"), word))
     for k in range(2, n + 1):  # a run of k words is one of k - 1 and the word after it; the last of those has none
         runs = F.zip_with(F.slice(runs, F.lit(1), F.size("w") - (k - 1)), F.slice("w", F.lit(k), F.size("w") - (k - 1)), lambda run, word: F.concat(run, F.lit(" "), word))
-    return words.select("lang", F.explode(runs).alias("phrase"))
+    return words.select(F.explode(runs).alias("key"))
+
+
+def _counted(docs: DataFrame, n: int, min_count: int) -> DataFrame:
+    """(lang, phrase, f) of the runs of ``n`` words that occur so often.  One short key is cheaper to count than two columns; no phrase holds a line feed."""
+    counts = phrases(docs, n).groupBy("key").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
+    phrase = F.substring_index("key", "\n", -1)
+    return counts.select(F.left("key", F.char_length("key") - F.char_length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
 
 
 def _words_of(phrase: str, n: Column) -> Column:
@@ -50,16 +58,19 @@ def _words_of(phrase: str, n: Column) -> Column:
     return F.call_function("substring_index", F.col(phrase), F.lit(" "), n.cast("int"))
 
 
-def _with_parts(candidates: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
+def _salts(lang: str, word: str, hot: list[tuple[str, str]]) -> Column:
+    """How many places the rows of a word are spread over."""
+    return F.when(F.concat_ws("\n", lang, word).isin(["\n".join(h) for h in hot]), F.lit(SALTS)).otherwise(1) if hot else F.lit(1)
+
+
+def _with_parts(candidates: DataFrame, frequent: DataFrame, n: int, hot: list[tuple[str, str]]) -> DataFrame:
     """Each candidate of ``n`` words with the counts of the two parts of each of its cuts."""
     cut = candidates.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("k"))
     cut = cut.withColumn("left", _words_of("phrase", F.col("k"))).withColumn("right", _words_of("phrase", F.col("k") - n))
-    salts = F.when(F.col("n") == 1, F.lit(SALTS)).otherwise(1)
-    parts = frequent.filter(F.col("n") < n).select("lang", "phrase", "f", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    for side, name, words in (("left", "l", F.col("k")), ("right", "r", n - F.col("k"))):
+    parts = frequent.filter(F.col("n") < n).select("lang", "phrase", "f", F.explode(F.sequence(F.lit(0), _salts("lang", "phrase", hot) - 1)).alias("salt"))
+    for side, name in (("left", "l"), ("right", "r")):
         other = parts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name), F.col("salt"))
-        spread = F.pmod(F.hash("phrase"), F.lit(SALTS))
-        cut = cut.withColumn("salt", F.when(words == 1, spread).otherwise(0)).join(other, ["lang", side, "salt"]).drop("salt")
+        cut = cut.withColumn("salt", F.pmod(F.hash("phrase"), _salts("lang", side, hot))).join(other, ["lang", side, "salt"]).drop("salt")
     return cut
 
 
@@ -80,16 +91,17 @@ def collocations(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT
     """
     spark = docs.sparkSession
     work = Workspace(spark, "collocations")
-    words = work.keep(phrases(docs, 1).groupBy("lang", "phrase").agg(F.count("*").alias("f")), "1")
+    words = work.keep(_counted(docs, 1, 1), "1")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    n_words = words.agg(F.sum("f")).first()[0] or 0
     frequent = words.filter(F.col("f") >= min_count).withColumn("n", F.lit(1))
+    hot = [(r["lang"], r["phrase"]) for r in frequent.filter(F.col("f") * HOT >= n_words).collect()]
     for n in range(2, max_n + 1):
-        counts = phrases(docs, n).groupBy("lang", "phrase").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
-        frequent = frequent.unionByName(work.keep(counts, str(n)).withColumn("n", F.lit(n)))
+        frequent = frequent.unionByName(work.keep(_counted(docs, n, min_count), str(n)).withColumn("n", F.lit(n)))
 
     best = None
     for n in range(2, max_n + 1):
-        cut = _with_parts(frequent.filter(F.col("n") == n).select("lang", "phrase", F.col("f").alias("a")), frequent, n).withColumn("score", _score())
+        cut = _with_parts(frequent.filter(F.col("n") == n).select("lang", "phrase", F.col("f").alias("a")), frequent, n, hot).withColumn("score", _score())
         # the lowest score, of equal ones the first cut
         lowest = cut.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a")).alias("c")).select("lang", "phrase", "c.*", F.lit(n).alias("words")).drop("k")
         best = lowest if best is None else best.unionByName(lowest)

@@ -194,11 +194,11 @@ def plain_phrases(rows, min_count, top):
                     counts[lang or "und"][tuple(w[i : i + n])] += 1
     out = []
     for lang, f in counts.items():
-        found = []
+        found, often = [], {q: b for q, b in f.items() if b >= min_count}
         for p, a in f.items():
             if len(p) < 2 or a < min_count:
                 continue
-            if any(len(q) > len(p) and b >= min_count and 100 * b >= 50 * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in f.items() if len(q) > len(p)):
+            if any(100 * b >= 50 * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in often.items() if len(q) > len(p)):
                 continue
             score, _, left, right = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
             found.append((-score, -a, " ".join(p).encode(), left, right))
