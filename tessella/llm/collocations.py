@@ -30,27 +30,26 @@ _ENDS = r"[.,;:!?\x0A-\x0D]"
 
 
 def _pieces(text: Column) -> Column:
-    """Words of each piece of a text: A-Z in lower case, pieces between ends of clauses or lines, words between blanks."""
+    """Pieces of a text between ends of clauses or lines, A-Z in lower case, tabs as spaces."""
     text = F.coalesce(text, F.lit(""))
     # of ASCII alone, lower() changes the same letters and is much cheaper
     low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.transform(F.split(F.replace(low, F.lit("\t"), F.lit(" ")), _ENDS), lambda p: F.array_remove(F.split(p, " "), ""))
+    return F.split(F.replace(low, F.lit("\t"), F.lit(" ")), _ENDS)
 
 
 def phrases(docs: DataFrame, n: int) -> DataFrame:
-    """(key): language, line feed and ``n`` words, for every run of ``n`` words within a piece, one row an occurrence."""
-    words = docs.select(F.concat(F.coalesce("lang", F.lit(NO_LANG)), F.lit("\n")).alias("lang"), F.explode(_pieces(F.col("text"))).alias("w")).filter(F.size("w") >= n)
-    runs = F.transform("w", lambda word: F.concat(F.col("lang"), word))
-    for k in range(2, n + 1):  # a run of k words is one of k - 1 and the word after it; the last of those has none
-        runs = F.zip_with(F.slice(runs, F.lit(1), F.size("w") - (k - 1)), F.slice("w", F.lit(k), F.size("w") - (k - 1)), lambda run, word: F.concat(run, F.lit(" "), word))
-    return words.select(F.explode(runs).alias("key"))
+    """(lang, phrase): every run of ``n`` words within a piece, one row an occurrence."""
+    pieces = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.explode(_pieces(F.col("text"))).alias("piece"))
+    words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("w"))
+    if n == 1:
+        return words.select("lang", F.explode("w").alias("phrase"))
+    starts = F.greatest(F.size("w") - (n - 1), F.lit(0))
+    runs = words.select("lang", F.explode(F.arrays_zip(*[F.slice("w", F.lit(k), starts).alias(f"w{k}") for k in range(1, n + 1)])).alias("x"))
+    return runs.select("lang", F.concat_ws(" ", *[F.col(f"x.w{k}") for k in range(1, n + 1)]).alias("phrase"))
 
 
 def _counted(docs: DataFrame, n: int, min_count: int) -> DataFrame:
-    """(lang, phrase, f) of the runs of ``n`` words that occur so often.  One short key is cheaper to count than two columns; no phrase holds a line feed."""
-    counts = phrases(docs, n).groupBy("key").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
-    phrase = F.substring_index("key", "\n", -1)
-    return counts.select(F.left("key", F.char_length("key") - F.char_length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
+    return phrases(docs, n).groupBy("lang", "phrase").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
 
 
 def _words_of(phrase: str, n: Column) -> Column:
