@@ -19,8 +19,9 @@ from tessella.operators.folds import ordered_fold
 def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int, window: float) -> DataFrame:
     """allowed, remaining and retry_after of each event, in the order of (time, item) per key.
 
-    A hit that is exactly ``window`` old still counts.  A limit of 0 or less
-    allows all, with -1 remaining.  ``time`` is in seconds.
+    A hit that is exactly ``window`` old still counts.  ``retry_after`` is the
+    whole seconds left and one more.  A limit of 0 or less allows all, with -1
+    remaining.  ``time`` is in seconds.
     """
     if limit <= 0:
         return events.select(key, item, F.lit(True).alias("allowed"), F.lit(-1).cast("long").alias("remaining"), F.lit(0).cast("long").alias("retry_after"))
@@ -32,7 +33,7 @@ def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int,
             while hits and hits[0] < t - window:
                 hits.popleft()
             if len(hits) >= limit:
-                return False, 0, max(1, math.ceil(hits[0] + window - t))
+                return False, 0, max(1, int(window - (t - hits[0])) + 1)
             hits.append(t)
             return True, limit - len(hits), 0
 
@@ -43,7 +44,7 @@ def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int,
 
 
 def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str, max_failures: int, window: float, lockout: float) -> DataFrame:
-    """Whether each attempt met a lock, and whether it set one.
+    """Whether each attempt met a lock, whether it set one, and the whole seconds to wait, at least 1 where locked.
 
     Reaching ``max_failures`` within the window sets a lock and clears the
     window; a locked attempt changes nothing; a success clears the window.
@@ -53,31 +54,31 @@ def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str,
         failures: deque[float] = deque()
         until = [-math.inf]
 
-        def step(t: float, bad: bool) -> tuple[bool, bool]:
+        def step(t: float, bad: bool) -> tuple[bool, bool, int]:
             if until[0] > t:
-                return True, False
+                return True, False, max(1, int(until[0] - t))
             if not bad:
                 failures.clear()
-                return False, False
+                return False, False, 0
             while failures and failures[0] < t - window:
                 failures.popleft()
             failures.append(t)
             if len(failures) < max_failures:
-                return False, False
+                return False, False, 0
             failures.clear()
             until[0] = t + lockout
-            return False, True
+            return False, True, max(1, int(lockout))
 
         return step
 
     rows = events.select(key, item, F.col(time).cast("double").alias("_t"), F.coalesce(F.col(failed), F.lit(False)).alias("_bad"))
-    return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t", "_bad"), fresh=fresh, adds="locked boolean, sets_lock boolean").drop("_t", "_bad")
+    return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t", "_bad"), fresh=fresh, adds="locked boolean, sets_lock boolean, wait long").drop("_t", "_bad")
 
 
 def client_key(forwarded: Column, host: Column) -> Column:
-    """The first forwarded address, else the host, else ``unknown``."""
+    """The first forwarded address, ``unknown`` if that is blank; without any the host, else ``unknown``."""
     first = F.trim(F.get(F.split(forwarded, ","), F.lit(0)))
-    return F.coalesce(F.when(first != "", first), F.when(host != "", host), F.lit("unknown"))
+    return F.when(forwarded != "", F.when(first != "", first).otherwise("unknown")).when(host != "", host).otherwise("unknown")
 
 
 # ---------------------------------------------------------------- jobs

@@ -138,20 +138,39 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("packages"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def fresh_codes(wanted: DataFrame, taken: DataFrame, *, seed: int = 0, tries: int = 64) -> DataFrame:
-    """A free six-digit code for each id of ``wanted``.
+CODES = 1_000_000
 
-    Codes are drawn by hash; draws that are taken or meet each other are drawn
-    again for the ids that lost, at most ``tries`` times.
+
+def _scattered(n: Column, seed: int) -> Column:
+    """A permutation of 0 to 999,999: four rounds that add a function of one half, of three digits, to the other."""
+    left, right = F.floor(n / 1000).cast("long"), n % 1000
+    for k in range(4):
+        left, right = right, (left + (right * right * (31 + 2 * k) + right * (17 + k) + seed % 1000 + 271 * (k + 1))) % 1000
+    return left * 1000 + right
+
+
+def _ranked(rows: DataFrame, part: Column, order: str) -> DataFrame:
+    """Adds ``place``, from 0, by (part, order); parts are counted first, so no task ranks all rows."""
+    rows = rows.withColumn("part", part)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return rows.withColumn("within", within).join(counts, "part").withColumn("place", F.col("before") + F.col("within")).drop("part", "before", "within")
+
+
+def fresh_codes(wanted: DataFrame, taken: DataFrame, *, seed: int = 0) -> DataFrame:
+    """A free six-digit code for each different id of ``wanted``, in one pass.
+
+    The codes stand in an order that a keyed permutation scatters; the ids, in
+    the order of their digests, take those that are free one after the other.
+    More ids than free codes are an error.
     """
-    done = None
-    left = wanted.select("id")
-    for turn in range(tries):
-        drawn = left.withColumn("code", F.lpad(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(turn)), F.lit(1_000_000)).cast("string"), 6, "0"))
-        free = drawn.join(taken.select("code"), "code", "left_anti").groupBy("code").agg(F.min("id").alias("id")).select("id", "code")
-        done = free if done is None else done.unionByName(free)
-        taken = taken.select("code").unionByName(free.select("code"))
-        left = left.join(free.select("id"), "id", "left_anti")
-        if left.isEmpty():
-            return done
-    raise ValueError("no free code found")
+    spark = wanted.sparkSession
+    codes = spark.range(CODES).select("id", F.lpad(_scattered(F.col("id"), seed).cast("string"), 6, "0").alias("code"))
+    free = codes.join(taken.select("code").distinct(), "code", "left_anti").withColumnRenamed("id", "slot")
+    ids = wanted.select("id").distinct()
+    if ids.count() > free.count():
+        raise ValueError("there are fewer free codes than ids")
+    digest = F.md5(F.col("id").cast("string"))
+    asked = _ranked(ids, F.substring(digest, 1, 3), "id")
+    return asked.join(_ranked(free, F.floor(F.col("slot") / 1000), "slot"), "place").select("id", "code")

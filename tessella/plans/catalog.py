@@ -169,7 +169,15 @@ def packages_claims(spark, sf_dir):
     return packages.claims(rows, asked, t.NOW)
 
 
-@query()
+@query(
+    """SELECT id, code FROM (SELECT id, row_number() OVER (ORDER BY substr(md5(id::VARCHAR), 1, 3), id) AS place FROM (SELECT DISTINCT c_custkey AS id FROM customer))
+    JOIN (SELECT code, row_number() OVER (ORDER BY n) AS place FROM (SELECT n, lpad((l * 1000 + r)::VARCHAR, 6, '0') AS code FROM mixed4) WHERE code NOT IN (SELECT code FROM packages)) USING (place)""",
+    using=(
+        t.PACKAGES,
+        "mixed0 AS (SELECT n, n // 1000 AS l, n % 1000 AS r FROM range(1000000) AS q(n))",
+        *(f"mixed{k + 1} AS (SELECT n, r AS l, (l + r * r * {31 + 2 * k} + r * {17 + k} + {271 * (k + 1)}) % 1000 AS r FROM mixed{k})" for k in range(4)),
+    ),
+)
 def packages_fresh_codes(spark, sf_dir):
     wanted = t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     return packages.fresh_codes(wanted, t.packages(spark, sf_dir))
@@ -248,7 +256,7 @@ def tool_of_url(spark, sf_dir):
     using=(
         "RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
         """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, true AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM hits WHERE n = 1
-        UNION ALL SELECT user_id, event_id, n, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2, CAST(greatest(0, 1 - len(kept)) AS BIGINT), CASE WHEN len(kept) < 2 THEN 0 ELSE greatest(1, CAST(ceil(kept[1] + 21600 - t) AS BIGINT)) END
+        UNION ALL SELECT user_id, event_id, n, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2, CAST(greatest(0, 1 - len(kept)) AS BIGINT), CASE WHEN len(kept) < 2 THEN 0 ELSE greatest(1, CAST(trunc(21600 - (t - kept[1])) AS BIGINT) + 1) END
         FROM (SELECT h.user_id, h.event_id, h.n, h.t, list_filter(r.open, lambda x: x >= h.t - 21600) AS kept FROM run r JOIN hits h ON h.user_id = r.user_id AND h.n = r.n + 1))""",
     ),
 )
@@ -257,11 +265,11 @@ def rate_limited(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id, event_id, locked, sets_lock FROM run WHERE n > 0""",
+    """SELECT user_id, event_id, locked, sets_lock, wait FROM run WHERE n > 0""",
     using=(
         "RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
-        """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, CAST('-infinity' AS DOUBLE) AS until, false AS locked, false AS sets_lock FROM hits WHERE n = 1
-        UNION ALL SELECT user_id, event_id, n, CASE WHEN shut THEN open WHEN NOT failed OR len(kept) >= 3 THEN CAST([] AS DOUBLE[]) ELSE kept END, CASE WHEN NOT shut AND failed AND len(kept) >= 3 THEN t + 43200 ELSE until END, shut, NOT shut AND failed AND len(kept) >= 3
+        """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, CAST('-infinity' AS DOUBLE) AS until, false AS locked, false AS sets_lock, CAST(0 AS BIGINT) AS wait FROM hits WHERE n = 1
+        UNION ALL SELECT user_id, event_id, n, CASE WHEN shut THEN open WHEN NOT failed OR len(kept) >= 3 THEN CAST([] AS DOUBLE[]) ELSE kept END, CASE WHEN NOT shut AND failed AND len(kept) >= 3 THEN t + 43200 ELSE until END, shut, NOT shut AND failed AND len(kept) >= 3, CASE WHEN shut THEN greatest(1, CAST(trunc(until - t) AS BIGINT)) WHEN failed AND len(kept) >= 3 THEN 43200 ELSE 0 END
         FROM (SELECT h.user_id, h.event_id, h.n, h.t, h.failed, r.open, r.until, r.until > h.t AS shut, list_append(list_filter(r.open, lambda x: x >= h.t - 86400), h.t) AS kept FROM run r JOIN hits h ON h.user_id = r.user_id AND h.n = r.n + 1))""",
     ),
 )
@@ -449,4 +457,4 @@ def page_margins(spark, sf_dir):
     return found.select("doc_id", *[F.col(c).alias(f"{c}_margin") for c in ("left", "right", "top", "bottom")])
 
 
-from tessella.plans import outputs, pages, rules  # noqa: E402, F401  (they register their queries)
+from tessella.plans import drawn, outputs, pages, rules  # noqa: E402, F401  (they register their queries)

@@ -154,10 +154,13 @@ def packages_after_claims(spark, sf_dir):
     return packages.after_claims(rows, packages.claims(rows, asked, t.NOW)).select("id", F.col("download_count").cast("long").alias("download_count"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a.b' WHEN event_id % 3 = 1 THEN 'host' ELSE 'unknown' END AS client FROM events")
+@query("""SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN CASE WHEN h <> '' THEN h ELSE 'unknown' END WHEN trim(split_part(html, ',', 1)) = '' THEN 'unknown' ELSE trim(split_part(html, ',', 1)) END AS client
+FROM (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN ' ' || substr(html, 1 + 9 * (page_id % 5), 40) WHEN page_id % 8 = 0 THEN ' , ' || url ELSE '' END AS html, CASE WHEN page_id % 3 > 0 THEN url END AS h FROM pages)""")
 def client_keys(spark, sf_dir):
-    k = F.col("event_id") % 3
-    return t.table(spark, sf_dir, "events").select("event_id", limits.client_key(F.when(k == 0, " a.b , c").when(k == 1, " ,x"), F.when(k == 2, "").otherwise("host")).alias("client"))
+    """Pieces of pages as forwarded addresses, blank, missing or cut at a comma; URLs as hosts."""
+    k = F.col("page_id")
+    sent = F.when(k % 4 > 0, F.concat(F.lit(" "), F.substring("html", 1 + 9 * (k % 5), F.lit(40)))).when(k % 8 == 0, F.concat(F.lit(" , "), "url")).otherwise("")
+    return t.table(spark, sf_dir, "pages").select("page_id", limits.client_key(sent, F.when(k % 3 > 0, F.col("url"))).alias("client"))
 
 
 @query("SELECT event_id, event_type IN ('click', 'error') AND (ts + INTERVAL 30 SECOND <= TIMESTAMP '2024-01-20' AND user_id % 2 = 0 OR ts < TIMESTAMP '2024-01-20' - INTERVAL 1 HOUR) AS gone FROM events")
