@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.numbers import upper_median
 
@@ -69,6 +70,154 @@ def flattened(pixels: DataFrame, background: tuple[int, int, int] = (255, 255, 2
     return pixels.withColumns(blended | {"a": F.lit(255)})
 
 
+# ---------------------------------------------------------------- sizes
+
+#: Weights are whole numbers of so many bits.
+WEIGHT_BITS = 22
+LOBES = 3
+
+
+def fitted_sizes(sizes: DataFrame, most: int) -> DataFrame:
+    """Adds new_width and new_height: the longer side at most ``most``, the other in proportion; 0 or less leaves all as they are."""
+    longest = F.greatest("width", "height")
+    fits = longest <= most if most > 0 else F.lit(True)
+    new = lambda side: F.when(fits, F.col(side)).otherwise(F.greatest(F.lit(1), F.bround(F.col(side) * (most / longest.cast("double"))).cast("int")))
+    return sizes.withColumns({"new_width": new("width"), "new_height": new("height")})
+
+
+def _windowed_sinc(x: Column) -> Column:
+    sinc = lambda v: F.when(v == 0, 1.0).otherwise(F.sin(F.pi() * v) / (F.pi() * v))
+    return F.when(F.abs(x) < LOBES, sinc(x) * sinc(x / LOBES)).otherwise(0.0)
+
+
+def resampling_weights(lengths: DataFrame) -> DataFrame:
+    """(old, new, at, to, weight): how much of each old place a new one takes, for each pair of lengths.
+
+    A Lanczos window of three lobes, as wide as the picture shrinks; the weights
+    of a new place sum to one but for their rounding.
+    """
+    scale = F.col("old") / F.col("new")
+    wide = F.greatest(scale, F.lit(1.0))
+    to = lengths.select("old", "new", scale.alias("scale"), wide.alias("wide"), F.explode(F.sequence(F.lit(0), F.col("new").cast("int") - 1)).alias("to"))
+    to = to.withColumn("centre", (F.col("to") + 0.5) * F.col("scale"))
+    first = F.greatest(F.floor(F.col("centre") - LOBES * F.col("wide") + 0.5), F.lit(0)).cast("int")
+    end = F.least(F.floor(F.col("centre") + LOBES * F.col("wide") + 0.5), F.col("old")).cast("int")
+    taps = to.withColumn("at", F.explode(F.sequence(first, end - 1))).withColumn("w", _windowed_sinc((F.col("at") - F.col("centre") + 0.5) / F.col("wide")))
+    share = F.col("w") / F.sum("w").over(Window.partitionBy("old", "new", "to")) * (1 << WEIGHT_BITS)
+    return taps.select("old", "new", "at", "to", (F.signum("w") * F.floor(F.abs(share) + 0.5)).cast("long").alias("weight"))
+
+
+def _along(pixels: DataFrame, axis: str, lengths: DataFrame, weights: DataFrame) -> DataFrame:
+    """One axis resampled: each pixel goes to the new places it is part of, which add up."""
+    across = "y" if axis == "x" else "x"
+    spread = pixels.join(lengths, "image_id").withColumnRenamed(axis, "at").join(weights, ["old", "new", "at"])
+    channel = lambda c: F.least(F.greatest(F.shiftright(F.sum(F.col(c) * F.col("weight")) + (1 << (WEIGHT_BITS - 1)), WEIGHT_BITS), F.lit(0)), F.lit(255)).cast("int").alias(c)
+    summed = spread.groupBy("image_id", F.col("to").alias(axis), across).agg(*[channel(c) for c in (*CHANNELS, "a")])
+    return summed.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *CHANNELS, "a")
+
+
+def resampled(pixels: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Images made to fit into ``most`` pixels a side, first along their width, then along their height.
+
+    Colours are weighted by alpha, so what is transparent does not bleed.
+    Smaller images stay as they are.  Every pixel of an image must be there.
+    """
+    new = fitted_sizes(sizes, most).where("width <> new_width OR height <> new_height")
+    rest = pixels.join(new.select("image_id"), "image_id", "left_anti")
+    across = new.select("image_id", F.col("width").alias("old"), F.col("new_width").alias("new"))
+    down = new.select("image_id", F.col("height").alias("old"), F.col("new_height").alias("new"))
+    weights = resampling_weights(across.unionByName(down).select("old", "new").distinct())
+    heavy = pixels.withColumns({c: _over_255(F.col(c) * F.col("a")) for c in CHANNELS})
+    small = _along(_along(heavy, "x", across, weights), "y", down, weights)
+    light = {c: F.when(F.col("a").isin(0, 255), F.col(c)).otherwise(F.least(F.floor(255 * F.col(c) / F.greatest("a", F.lit(1))), F.lit(255))).cast("int") for c in CHANNELS}
+    return small.withColumns(light).unionByName(rest.select(*small.columns))
+
+
+def turned(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pixels as an image's ``orientation`` (1 to 8, of ``sizes``) wants them shown; any other value or null changes nothing."""
+    x, y, right, low, o = F.col("x"), F.col("y"), F.col("width") - 1 - F.col("x"), F.col("height") - 1 - F.col("y"), F.col("orientation")
+    new_x = F.when(o.isin(2, 3), right).when(o.isin(5, 8), y).when(o.isin(6, 7), low).otherwise(x)
+    new_y = F.when(o.isin(3, 4), low).when(o.isin(5, 6), x).when(o.isin(7, 8), right).otherwise(y)
+    shown = pixels.join(sizes.select("image_id", "width", "height", "orientation"), "image_id")
+    return shown.withColumns({"x": new_x.cast("int"), "y": new_y.cast("int")}).select(*pixels.columns)
+
+
+# ---------------------------------------------------------------- palettes
+
+
+def histogram(pixels: DataFrame) -> DataFrame:
+    """(image_id, r, g, b, n): how often each colour of an image occurs, fully transparent pixels left out."""
+    return pixels.where("a > 0").groupBy("image_id", *CHANNELS).agg(F.count("*").alias("n"))
+
+
+def palette(colours: DataFrame, levels: int = 8) -> DataFrame:
+    """(image_id, box, pr, pg, pb): at most 2 ** ``levels`` colours of each image, by median cuts.
+
+    Each level halves every box of colours at the middle of its pixels, along
+    the channel that is widest there (green before red before blue).  A box of
+    one colour stays whole.  A palette colour is the mean of its box, rounded
+    down.  The state is the histogram, never the pixels.
+    """
+    now = colours.withColumn("box", F.lit(0))
+    for _ in range(levels):
+        own = Window.partitionBy("image_id", "box")
+        wide = {c: F.max(c).over(own) - F.min(c).over(own) for c in CHANNELS}
+        now = now.withColumns({f"d{c}": w for c, w in wide.items()} | {"total": F.sum("n").over(own)})
+        now = now.withColumn("v", F.when((F.col("dg") >= F.col("dr")) & (F.col("dg") >= F.col("db")), F.col("g")).when(F.col("dr") >= F.col("db"), F.col("r")).otherwise(F.col("b")))
+        below = F.coalesce(F.sum("n").over(own.orderBy("v").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        upper = (F.col("v") > F.min("v").over(own)) & (2 * below >= F.col("total"))
+        now = now.select("image_id", *CHANNELS, "n", (2 * F.col("box") + upper.cast("int")).alias("box"))
+    mean = lambda c: F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("int")
+    return now.groupBy("image_id", "box").agg(*[mean(c).alias(f"p{c}") for c in CHANNELS])
+
+
+def nearest(colours: DataFrame, palettes: DataFrame) -> DataFrame:
+    """Each colour with the palette colour (pr, pg, pb) nearest to it; of equal ones the first box."""
+    far = sum(((F.col(c) - F.col(f"p{c}")) * (F.col(c) - F.col(f"p{c}")) for c in CHANNELS), F.lit(0))
+    best = F.min(F.struct(far.alias("far"), "box", "pr", "pg", "pb")).alias("c")
+    return colours.join(palettes, "image_id").groupBy("image_id", *CHANNELS, "n").agg(best).select("image_id", *CHANNELS, "n", "c.pr", "c.pg", "c.pb")
+
+
+def quantised(pixels: DataFrame, levels: int = 8) -> DataFrame:
+    """Pixels in the colours of their image's palette; alpha stays, and what is fully transparent becomes black."""
+    colours = histogram(pixels)
+    table = nearest(colours, palette(colours, levels)).drop("n")
+    out = pixels.join(table, ["image_id", *CHANNELS], "left")
+    return out.select("image_id", "x", "y", *[F.when(F.col("a") > 0, F.col(f"p{c}")).otherwise(0).alias(c) for c in CHANNELS], "a")
+
+
+# ---------------------------------------------------------------- frames
+
+
+def composed(drawn: DataFrame, frames: DataFrame) -> DataFrame:
+    """(image_id, frame, x, y, r, g, b, a): every frame as it is seen, all of its pixels.
+
+    drawn: image_id, frame, x, y, r, g, b, a of what each frame draws; what is
+    transparent there draws nothing.  frames: image_id, frame, width, height,
+    disposal: after it was shown a frame stays (none), is taken back (previous),
+    or the whole picture is cleared (background).  A pixel shows what was drawn
+    last since the last clearing, else what its own frame draws.
+    """
+    order = Window.partitionBy("image_id").orderBy("frame")
+    cleared = F.max(F.when(F.col("disposal") == "background", F.col("frame"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    known = frames.withColumn("cleared", F.coalesce(cleared, F.lit(-1)))
+    spots = known.select("image_id", "frame", "cleared", "disposal", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"), "height").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).drop("height")
+    here = drawn.where("a > 0").select("image_id", "frame", "x", "y", F.struct(*CHANNELS, "a").alias("own"))
+    rows = spots.join(here, ["image_id", "frame", "x", "y"], "left")
+    lasting = F.when(F.col("disposal") == "none", F.when(F.col("own").isNotNull(), F.struct("frame", "own")))
+    past = F.last(lasting, ignorenulls=True).over(Window.partitionBy("image_id", "x", "y").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("past", past)
+    seen = F.coalesce("own", F.when(F.col("past.frame") > F.col("cleared"), F.col("past.own")))
+    return rows.select("image_id", "frame", "x", "y", *[F.coalesce(seen[c], F.lit(0)).alias(c) for c in (*CHANNELS, "a")])
+
+
+def differences(whole: DataFrame) -> DataFrame:
+    """Of whole frames the pixels that differ from the frame before, the first frame in full."""
+    value = F.struct(*CHANNELS, "a")
+    before = F.lag(value).over(Window.partitionBy("image_id", "x", "y").orderBy("frame"))
+    return whole.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != value)).drop("before")
+
+
 def has_alpha(mode: Column, transparency: Column) -> Column:
     """Whether an image of a mode has alpha; a palette only with a transparent entry."""
     return F.coalesce(mode.isin("RGBA", "LA") | ((mode == "P") & transparency), F.lit(False))

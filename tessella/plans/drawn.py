@@ -1,4 +1,4 @@
-"""Queries on pages that are drawn from the tables: order sheets as strokes.
+"""Queries on what is drawn from the tables: order sheets as strokes, texts as words on pages, vectors as images.
 
 Each order is a page.  Its first table has a row for each of its line items, as
 high as the quantity says, and as many columns, as wide, as the customer's
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import strokes
+from tessella.operators import aligned, pixels, strokes
 from tessella.plans import tables as t
 from tessella.plans.registry import query
 
@@ -79,3 +79,132 @@ def stroke_tables(spark, sf_dir):
     """The box and the number of cells of every table of order sheets."""
     found = strokes.table_boxes(strokes.table_cells(order_strokes(spark, sf_dir)))
     return found.select("doc_id", "table_no", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom")], "cells")
+
+
+def set_words(spark, sf_dir) -> DataFrame:
+    """Texts set in lines of ten words, a page each; of every third the first twelve words stand in four rows and three columns above."""
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    d = t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split).alias("pos", "text"))
+    wide = (5 * F.least(F.length("text"), F.lit(20))).cast("double")
+    d = d.withColumn("wide", wide).withColumn("grid", (F.col("doc_id") % 3 == 0) & (F.col("pos") < 12))
+    line = F.floor(F.col("pos") / 10)
+    before = F.coalesce(F.sum(F.col("wide") + 3).over(Window.partitionBy("doc_id", "grid", line).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    x0 = F.when(F.col("grid"), 60.0 + 150 * (F.col("pos") % 3)).otherwise(50 + before)
+    top = F.when(F.col("grid"), 40.0 + 18 * F.floor(F.col("pos") / 3)).otherwise(150.0 + 14 * line)
+    placed = d.withColumn("x0", x0).withColumn("top", top.cast("double"))
+    return placed.select("doc_id", F.lit(0).alias("page_no"), F.col("pos").cast("long").alias("word_no"), "text", "x0", (F.col("x0") + F.col("wide")).alias("x1"), "top", (F.col("top") + 10).alias("bottom"))
+
+
+@query(r"""SELECT doc_id, 0 AS table_no, CAST(i // 3 AS INT) AS r, CAST(i % 3 AS INT) AS c, w[i + 1] AS text, CAST(60 + 150 * (i % 3) AS DOUBLE) AS x0, CAST(40 + 18 * (i // 3) AS DOUBLE) AS top
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id % 3 = 0), range(0, 12) AS q(i)
+WHERE i < len(w) AND len(w) >= 8 AND NOT (i % 3 = 0 AND i = len(w) - 1)""")
+def word_tables(spark, sf_dir):
+    """Cells of the tables that the places of words show; prose has none, and a word alone on a line is in none."""
+    return aligned.table_cells(set_words(spark, sf_dir)).select("doc_id", "table_no", "r", "c", "text", "x0", "top")
+
+
+def vector_images(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pixels and sizes of vectors as images of eight by eight, or 16 by 4; some pixels are half or fully transparent."""
+    v = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("k", "value"))
+    wide = F.when(F.col("image_id") % 2 == 0, 8).otherwise(16)
+    byte = F.least(F.greatest(F.floor(F.col("value").cast("double") * 256) + 128, F.lit(0)), F.lit(255)).cast("int")
+    alpha = F.when(F.col("image_id") % 5 > 0, 255).otherwise(F.when(byte % 4 == 0, 0).otherwise(byte)).cast("int")
+    px = v.select("image_id", (F.col("k") % wide).cast("int").alias("x"), F.floor(F.col("k") / wide).cast("int").alias("y"), byte.alias("r"), ((byte * 3) % 256).alias("g"), (255 - byte).alias("b"), alpha.alias("a"))
+    sizes = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.when(F.col("vec_id") % 2 == 0, 8).otherwise(16).alias("width"), F.when(F.col("vec_id") % 2 == 0, 8).otherwise(4).alias("height"), (F.col("vec_id") % 10).cast("int").alias("orientation"))
+    return px, sizes
+
+
+IMAGES = """values_ AS (SELECT vec_id AS image_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS k, CASE WHEN vec_id % 2 = 0 THEN 8 ELSE 16 END AS wide FROM embeddings),
+bytes AS (SELECT *, CAST(least(greatest(floor(v::DOUBLE * 256) + 128, 0), 255) AS INT) AS r FROM values_),
+px AS (SELECT image_id, k % wide AS x, k // wide AS y, wide, 64 // wide AS tall, r, r * 3 % 256 AS g, 255 - r AS b, CASE WHEN image_id % 5 > 0 THEN 255 WHEN r % 4 = 0 THEN 0 ELSE r END AS a FROM bytes)"""
+
+
+@query("""SELECT image_id, CAST(CASE WHEN o IN (2, 3) THEN wide - 1 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN tall - 1 - y ELSE x END AS INT) AS x,
+CAST(CASE WHEN o IN (3, 4) THEN tall - 1 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN wide - 1 - x ELSE y END AS INT) AS y, r, a FROM (SELECT *, image_id % 10 AS o FROM px)""", using=(IMAGES,))
+def images_turned(spark, sf_dir):
+    """Vectors as images, shown as their orientation says."""
+    px, sizes = vector_images(spark, sf_dir)
+    return pixels.turned(px, sizes).select("image_id", "x", "y", "r", "a")
+
+
+@query(
+    """SELECT image_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(CASE WHEN a IN (0, 255) THEN r ELSE least(255 * r // greatest(a, 1), 255) END AS INT) AS r, CAST(CASE WHEN a IN (0, 255) THEN g ELSE least(255 * g // greatest(a, 1), 255) END AS INT) AS g,
+    CAST(CASE WHEN a IN (0, 255) THEN b ELSE least(255 * b // greatest(a, 1), 255) END AS INT) AS b, CAST(a AS INT) AS a FROM lowered""",
+    using=(
+        IMAGES,
+        "pairs AS (SELECT * FROM (VALUES (8, 5), (16, 5), (4, 1)) AS p(o, n))",
+        """taps AS (SELECT o, n, t, i, (i - (t + 0.5) * o / n + 0.5) / (o / n::DOUBLE) AS d FROM pairs, range(0, 5) AS q(t), range(0, 16) AS q2(i)
+        WHERE t < n AND i < o AND i >= floor((t + 0.5) * o / n - 3.0 * o / n + 0.5) AND i < floor((t + 0.5) * o / n + 3.0 * o / n + 0.5))""",
+        "raw AS (SELECT *, CASE WHEN abs(d) >= 3 THEN 0 WHEN d = 0 THEN 1 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END AS w FROM taps)",
+        "weights AS (SELECT o, n, t, i, CAST(round(w / sum(w) OVER (PARTITION BY o, n, t) * 4194304) AS BIGINT) AS k FROM raw)",
+        "heavy AS (SELECT image_id, x, y, wide, tall, a, (r * a + 127) // 255 AS r, (g * a + 127) // 255 AS g, (b * a + 127) // 255 AS b FROM px)",
+        *(
+            f"""{name} AS (SELECT image_id, {out}, tall, {", ".join(f"least(greatest((sum({c} * k)::BIGINT + 2097152) >> 22, 0), 255) AS {c}" for c in "rgba")}
+        FROM {source} JOIN weights ON o = {old} AND n = CASE WHEN {old} = 4 THEN 1 ELSE 5 END AND i = {at} GROUP BY image_id, tall, t, {other})"""
+            for name, source, old, at, other, out in (("narrowed", "heavy", "wide", "x", "y", "t AS x, y"), ("lowered", "narrowed", "tall", "y", "x", "x, t AS y"))
+        ),
+    ),
+)
+def images_resampled(spark, sf_dir):
+    """Vectors as images, made to fit into five pixels a side."""
+    px, sizes = vector_images(spark, sf_dir)
+    return pixels.resampled(px, sizes, 5)
+
+
+def _pictures(spark, sf_dir) -> DataFrame:
+    """Vectors as images in two colours' places more than a byte needs: channels of 32 steps."""
+    px, _ = vector_images(spark, sf_dir)
+    return px.withColumns({c: (F.floor(F.col(c) / 8) * 8).cast("int") for c in ("r", "g", "b")}).withColumn("a", F.lit(255))
+
+
+def _palette_sql(levels: int) -> tuple[str, ...]:
+    """Median cut level by level, as the operator describes it, over rows of colours."""
+    parts = ["h0 AS MATERIALIZED (SELECT image_id, r // 8 * 8 AS r, g // 8 * 8 AS g, b // 8 * 8 AS b, count(*) AS n, 0 AS box FROM px GROUP BY ALL)"]
+    for k in range(levels):
+        parts += [
+            f"""s{k} AS (SELECT *, max(r) OVER w - min(r) OVER w AS dr, max(g) OVER w - min(g) OVER w AS dg, max(b) OVER w - min(b) OVER w AS db, sum(n) OVER w AS total FROM h{k} WINDOW w AS (PARTITION BY image_id, box))""",
+            f"v{k} AS (SELECT *, CASE WHEN dg >= dr AND dg >= db THEN g WHEN dr >= db THEN r ELSE b END AS v FROM s{k})",
+            f"c{k} AS (SELECT *, sum(n) OVER (PARTITION BY image_id, box ORDER BY v RANGE UNBOUNDED PRECEDING) AS upto, min(v) OVER (PARTITION BY image_id, box) AS low FROM v{k})",
+            f"h{k + 1} AS MATERIALIZED (SELECT image_id, r, g, b, n, 2 * box + CASE WHEN v > low AND 2 * (upto - m) >= total THEN 1 ELSE 0 END AS box FROM (SELECT *, sum(n) OVER (PARTITION BY image_id, box, v) AS m FROM c{k}))",
+        ]
+    parts.append(f"palette AS (SELECT image_id, box, sum(r * n) // sum(n) AS pr, sum(g * n) // sum(n) AS pg, sum(b * n) // sum(n) AS pb FROM h{levels} GROUP BY ALL)")
+    return tuple(parts)
+
+
+@query(
+    """SELECT image_id, r, g, b, n, CAST(pr AS INT) AS pr, CAST(pg AS INT) AS pg, CAST(pb AS INT) AS pb FROM h3 JOIN palette USING (image_id)
+    QUALIFY row_number() OVER (PARTITION BY image_id, r, g, b ORDER BY (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), palette.box) = 1""",
+    using=(IMAGES, *_palette_sql(3)),
+)
+def images_palettes(spark, sf_dir):
+    """Each colour of vectors as images with the nearest of eight that median cuts find."""
+    colours = pixels.histogram(_pictures(spark, sf_dir))
+    return pixels.nearest(colours, pixels.palette(colours, 3)).select("image_id", "r", "g", "b", "n", "pr", "pg", "pb")
+
+
+def moving(spark, sf_dir) -> DataFrame:
+    """Vectors of one label as the frames of one picture of eight by eight; a frame leaves out what it does not change."""
+    v = t.table(spark, sf_dir, "embeddings").where("vec_id % 10 < 6").select(F.floor(F.col("vec_id") / 10).alias("image_id"), (F.col("vec_id") % 10).cast("int").alias("frame"), F.posexplode("embedding").alias("k", "value"))
+    byte = F.least(F.greatest(F.floor(F.col("value").cast("double") * 256) + 128, F.lit(0)), F.lit(255)).cast("int")
+    px = v.select("image_id", "frame", (F.col("k") % 8).cast("int").alias("x"), F.floor(F.col("k") / 8).cast("int").alias("y"), byte.alias("r"), ((byte * 3) % 256).alias("g"), (255 - byte).alias("b"), F.lit(255).alias("a"))
+    return px.where("r % 3 > 0 OR frame = 0")
+
+
+@query(
+    """SELECT image_id, CAST(frame AS INT) AS frame, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, CAST(a AS INT) AS a FROM (
+      SELECT f.image_id, f.frame, q.k % 8 AS x, q.k // 8 AS y, coalesce(last_value(CASE WHEN s.frame % 3 < 2 OR s.frame = f.frame THEN s.r END IGNORE NULLS) OVER (PARTITION BY f.image_id, f.frame, q.k ORDER BY s.frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS r,
+        CASE WHEN max(CASE WHEN s.frame % 3 < 2 OR s.frame = f.frame THEN 1 END) OVER (PARTITION BY f.image_id, f.frame, q.k) = 1 THEN 255 ELSE 0 END AS a, row_number() OVER (PARTITION BY f.image_id, f.frame, q.k ORDER BY s.frame DESC NULLS LAST) AS n
+      FROM frames_ f CROSS JOIN range(0, 64) AS q(k) LEFT JOIN shown s ON s.image_id = f.image_id AND s.k = q.k AND s.frame <= f.frame AND s.frame > f.cleared) WHERE n = 1""",
+    using=(
+        "shown AS (SELECT vec_id // 10 AS image_id, vec_id % 10 AS frame, k, r FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, CAST(least(greatest(floor(unnest(embedding)::DOUBLE * 256) + 128, 0), 255) AS INT) AS r FROM embeddings WHERE vec_id % 10 < 6) WHERE r % 3 > 0 OR vec_id % 10 = 0)",
+        "frames_ AS (SELECT vec_id // 10 AS image_id, vec_id % 10 AS frame, CASE WHEN vec_id % 10 > 4 THEN 4 ELSE -1 END AS cleared FROM embeddings WHERE vec_id % 10 < 6)",
+    ),
+)
+def images_composed(spark, sf_dir):
+    """Whole frames of moving pictures: every third frame is taken back after it was shown, and after the fifth all is cleared."""
+    px = moving(spark, sf_dir)
+    frame = F.col("vec_id") % 10
+    frames = t.table(spark, sf_dir, "embeddings").where("vec_id % 10 < 6").select(
+        F.floor(F.col("vec_id") / 10).alias("image_id"), frame.cast("int").alias("frame"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.when(frame == 4, "background").when(frame % 3 == 2, "previous").otherwise("none").alias("disposal")
+    )
+    return pixels.composed(px, frames).select("image_id", "frame", "x", "y", "r", "a")
