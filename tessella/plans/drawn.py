@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators import aligned, pixels, strokes
+from tessella.operators import aligned, cellruns, pixels, strokes
 from tessella.plans import tables as t
 from tessella.plans.registry import query
 
@@ -103,6 +103,35 @@ def word_tables(spark, sf_dir):
     return aligned.table_cells(set_words(spark, sf_dir)).select("doc_id", "table_no", "r", "c", "text", "x0", "top")
 
 
+def _plain_words() -> Column:
+    """The first six words of a text that have one to eight letters, without what is no letter."""
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
+    return F.slice(F.filter(words, lambda w: F.length(w).between(1, 8)), 1, 6)
+
+
+def set_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Six words of each text in a cell, three to a line, in two fonts; in every second the first line reaches the cell's edge."""
+    d = t.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_no"), _plain_words().alias("w")).where("size(w) = 6")
+    tight = F.col("doc_id") % 2 == 0
+    cells = d.select("doc_id", "page_no", F.lit(0).alias("cell_id"), F.lit(40.0).alias("x0"), F.lit(20.0).alias("top"), F.when(tight, 250.0).otherwise(400.0).alias("x1"), F.lit(80.0).alias("bottom"))
+    at = d.select("doc_id", "page_no", F.posexplode("w").alias("pos", "text"))
+    x0 = 50.0 + 60 * (F.col("pos") % 3)
+    x1 = F.when(tight & (F.col("pos") == 2), 248.0).otherwise(x0 + 5 * F.length("text"))
+    top = 30.0 + 12 * F.floor(F.col("pos") / 3)
+    words = at.select("doc_id", "page_no", F.col("pos").cast("long").alias("word_no"), "text", x0.alias("x0"), x1.alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), F.lit(10.0).alias("size"), F.when(F.col("pos").isin(0, 5), "Song").otherwise("Hei").alias("fontname"))
+    return cells, words
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Song:' || w[1] || '|Hei:' || array_to_string(w[2:5], ' ') || '|Song:' || w[6]
+ELSE 'Song:' || w[1] || '|Hei:' || w[2] || ' ' || w[3] || '/Hei:' || w[4] || ' ' || w[5] || '|Song:' || w[6] END AS runs
+FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')), lambda x: length(x) BETWEEN 1 AND 8)[1:6] AS w FROM documents) WHERE len(w) = 6""")
+def cell_runs(spark, sf_dir):
+    """Cells as paragraphs of runs, wrapped lines joined."""
+    found = cellruns.cell_paragraphs(*set_cells(spark, sf_dir))
+    said = F.transform("paragraphs", lambda p: F.array_join(F.transform(p, lambda r: F.concat(r["font_name"], F.lit(":"), r["text"])), "|"))
+    return found.select("doc_id", F.array_join(said, "/").alias("runs"))
+
+
 def vector_images(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pixels and sizes of vectors as images of eight by eight, or 16 by 4; some pixels are half or fully transparent."""
     v = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("k", "value"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import aligned, pixels
+from tessella.operators import aligned, cellruns, pixels
 
 WORDS = "doc_id long, page_no int, word_no long, text string, x0 double, x1 double, top double, bottom double"
 
@@ -175,3 +175,25 @@ def test_frames_equal_a_loop(spark, seed):
     for image, frame, x, y, *px in want:
         assert [list(r[4:]) for r in kept[image, x, y] if r.frame <= frame][-1] == px
     assert whole.where(F.col("a") > 0).count() > 50
+
+
+def test_cells_are_paragraphs_of_runs(spark):
+    cells = [(1, 0, k, 40.0 + 300 * k, 20.0, 300.0 + 300 * k, 200.0) for k in range(3)]
+
+    def word(no, text, x0, x1, top, size, font):
+        return (1, 0, no, text, float(x0), float(x1), float(top), top + 10.0, size, font)
+
+    words = [
+        word(0, "Terms", 50, 90, 30, 12.0, "Bold"), word(1, "apply", 95, 130, 30, 12.0, "Bold"), word(2, "to", 140, 150, 30, 10.0, "Text"), word(3, "every-", 250, 295, 30, 10.0, "Text"),
+        word(4, "one", 50, 70, 42, 10.0, "Text"), word(5, "here.", 75, 100, 42.4, 10.0, "Text"),
+        word(6, "Next", 50, 80, 54, None, None), word(7, "", 90, 95, 54, 9.0, "Other"), word(8, None, 97, 99, 54, 9.0, "Other"),
+        word(9, "B", 380, 385, 40, 10.0, "Text"), word(10, "A", 350, 355, 40, 10.0, "Text"), word(11, "C", 350, 355, 120, 10.0, "Text"),
+    ]
+    got = cellruns.cell_paragraphs(
+        spark.createDataFrame(cells, "doc_id long, page_no int, cell_id int, x0 double, top double, x1 double, bottom double"),
+        spark.createDataFrame(words, WORDS + ", size double, fontname string").repartition(3),
+    )
+    runs = {r.cell_id: [[tuple(x) for x in p] for p in r.paragraphs] for r in got.collect()}
+    assert runs[0] == [[("Terms apply", 12.0, "Bold"), ("to everyone here.", 10.0, "Text")], [("Next", None, None)]]
+    assert runs[1] == [[("A B", 10.0, "Text")], [("C", 10.0, "Text")]]
+    assert runs[2] == []
