@@ -370,15 +370,16 @@ def _keep(index, threshold: float, at: int):
 def clean_documents(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns as they were.
 
-    Nulls, ties, repeats, empty tables and long texts as in ``contaminated``;
-    rows that share an id but differ in text are judged each by its text while
-    the items fit ITEM_BYTES, and go together beyond that.
+    Nulls, ties, repeats, empty tables and long texts as in ``contaminated``.
+    A row is judged by its text: of rows that share an id but differ in text
+    only those go that hold an item, whatever the size of the benchmark.
     """
     items = items.select("item_id", "text")
     size = _bytes(items)
     if size <= ITEM_BYTES:
         return docs.mapInArrow(_keep(_shared_index(items), threshold, docs.columns.index("text")), docs.schema)
-    known = docs.select(_key()[0].alias("doc_id"), "text")
+    row_key = F.xxhash64(*_key()).alias("id")  # of id and text, so that equal texts are spread by their ids
+    known = docs.select(row_key.alias("doc_id"), "text")
     gone = _dealt(known, items, size, threshold).select("doc_id").distinct()
-    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), _key()[0])
+    whole = docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"), row_key)
     return whole.join(gone, F.col("id") == F.col("doc_id"), "left_anti").select("row.*")

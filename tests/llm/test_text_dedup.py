@@ -11,6 +11,7 @@ from tessella.llm import decontaminate, jaccard_join, line_dedup, suffix_dedup
 from tessella.llm.components import connected
 from tessella.llm.kernel import gram_of, words
 from tessella.llm.workspace import Workspace
+from tests.llm.conftest import DDL
 
 
 def rows_of(df):
@@ -320,6 +321,18 @@ def test_items_in_blocks(spark, docs, folder, monkeypatch):
     assert sorted(rows_of(decontaminate.clean_documents(docs, items)), key=str) == clean
 
 
+def test_rows_are_judged_by_their_texts_at_any_size_of_the_benchmark(spark, odd, folder, monkeypatch):
+    """Rows that share an id, or have none, stay or go each by its own text."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    leak = next(r.text for r in items.collect() if r.text and len(r.text) > 100)
+    rows = [(1, leak, "en", "a", 1), (1, "nothing to see in this row of plain words", "en", "a", 1), (1, leak, "de", "b", 2), (None, leak, None, None, None), (None, "clean and without an id", "en", "a", 1)]
+    own = spark.createDataFrame(rows, DDL)
+    small = [sorted(rows_of(decontaminate.clean_documents(d, items)), key=str) for d in (own, odd)]
+    assert len(small[0]) == 2
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1)
+    assert [sorted(rows_of(decontaminate.clean_documents(d, items)), key=str) for d in (own, odd)] == small
+
+
 # ---------------------------------------------------------------- odd input
 
 
