@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from tessella.operators import aligned, cellruns, pixels, strokes
 from tessella.plans import tables as t
 from tessella.plans.registry import query
+from tessella.sources import docx
 
 
 def _left(table: Column, first: Column, c: Column) -> Column:
@@ -132,6 +133,27 @@ def cell_runs(spark, sf_dir):
     return found.select("doc_id", F.array_join(said, "/").alias("runs"))
 
 
+@query(r"""SELECT doc_id, 'Song/20:' || w[1] || CASE WHEN doc_id % 2 = 0 THEN '|Hei/20:' || array_to_string(w[2:5], ' ') ELSE '|Hei/20:' || w[2] || ' ' || w[3] || chr(10) || 'Hei/20:' || w[4] || ' ' || w[5] END || '|Song/20:' || w[6]
+|| ' [top,' || 8 * (1 + doc_id % 3) || ',auto,single right,' || 4 * greatest(length(w[1]), length(w[2])) || CASE WHEN length(w[1]) >= length(w[2]) THEN ',auto,single' ELSE ',FF0000,dashed' END || ']' AS first,
+'Hei/24:' || w[2] || ' [left,' || 4 * greatest(length(w[1]), length(w[2])) || CASE WHEN length(w[1]) >= length(w[2]) THEN ',auto,single' ELSE ',FF0000,dashed' END || ']' AS second
+FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')), lambda x: length(x) BETWEEN 1 AND 8)[1:6] AS w FROM documents) WHERE len(w) = 6""")
+def docx_rich_cells(spark, sf_dir):
+    """Word tables read back: runs in cells, and the wider of two lines at the edge that two cells share."""
+    cells, words = set_cells(spark, sf_dir)
+    runs = cellruns.cell_paragraphs(cells, words).select("doc_id", "paragraphs")
+    texts = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word_no", "text"))).alias("w"))
+    word = lambda k: F.get("w", F.lit(k))["text"]
+    edge = lambda width, color, dashed: F.struct(width.cast("double").alias("width"), F.lit(color).cast("string").alias("color"), F.lit(dashed).alias("dashed"))
+    side = lambda **e: F.struct(*[e[s].alias(s) if s in e else F.lit(None).cast(docx.EDGE).alias(s) for s in docx.SIDES])
+    base = lambda c, **more: F.struct(F.lit(0).alias("r"), F.lit(c).alias("c"), *[v.alias(n) for n, v in more.items()])
+    none = F.lit(None)
+    first = base(0, text=none.cast("string"), font_size=none.cast("double"), font_name=none.cast("string"), paragraphs=F.col("paragraphs"), borders=side(top=edge(1 + F.col("doc_id") % 3, None, False), right=edge(F.length(word(0)) / 2, None, False)))
+    second = base(1, text=word(1), font_size=F.lit(12.0), font_name=F.lit("Hei"), paragraphs=none.cast(runs.schema["paragraphs"].dataType), borders=side(left=edge(F.length(word(1)) / 2, "FF0000", True)))
+    blocks = runs.join(texts, "doc_id").select("doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("row_no"), F.lit(0).alias("block_no"), F.lit("table").alias("kind"), F.array(first, second).alias("cells"))
+    read = docx.written(blocks).select("doc_id", docx.cells_read("content").alias("c"))
+    return read.select("doc_id", F.get("c", F.lit(0)).alias("first"), F.get("c", F.lit(1)).alias("second"))
+
+
 def vector_images(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pixels and sizes of vectors as images of eight by eight, or 16 by 4; some pixels are half or fully transparent."""
     v = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("k", "value"))

@@ -7,7 +7,10 @@ into one file runs in Python.
 Blocks have doc_id, page_no, row_no (``geometry.visual_rows``), block_no and
 kind (text, image, line, table); of the other columns what is missing is null:
 text, align, font_size, font_name, x0, x1, top, bottom, width, height, content
-(an image's PNG), color (a line's), col_widths, and cells (a table's).
+(an image's PNG), color (a line's), and a table's col_widths, border_outer,
+border_inner, border_color, border_dashed and cells.  A cell's text has one font
+unless it has paragraphs of runs; a table whose cells have borders of their own
+has no others.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessella.functions.blocks import indent, left_edge, lower_edge, title_like
+from tessella.functions.let import let
 from tessella.functions.numbers import soft_gap
+from tessella.functions.runs import RUN, filled
 from tessella.functions.text import font_family, is_bold
 from tessella.sources.files import zipped
 
-CELL = "struct<r:int,c:int,rowspan:int,colspan:int,text:string,align:string,valign:string,bg_color:string>"
-FIELDS = {"text": "string", "align": "string", "font_size": "double", "font_name": "string", "x0": "double", "x1": "double", "top": "double", "bottom": "double", "width": "double", "height": "double", "content": "binary", "color": "string", "col_widths": "array<double>", "cells": f"array<{CELL}>"}
+EDGE = "struct<width:double,color:string,dashed:boolean>"
+SIDES = ("top", "left", "bottom", "right")
+CELL_FIELDS = {"r": "int", "c": "int", "rowspan": "int", "colspan": "int", "text": "string", "align": "string", "valign": "string", "bg_color": "string", "font_size": "double", "font_name": "string", "paragraphs": f"array<array<{RUN}>>", "borders": f"struct<{','.join(f'{s}:{EDGE}' for s in SIDES)}>"}
+CELL = f"struct<{','.join(f'{n}:{t}' for n, t in CELL_FIELDS.items())}>"
+FIELDS = {"text": "string", "align": "string", "font_size": "double", "font_name": "string", "x0": "double", "x1": "double", "top": "double", "bottom": "double", "width": "double", "height": "double", "content": "binary", "color": "string", "col_widths": "array<double>", "border_outer": "double", "border_inner": "double", "border_color": "string", "border_dashed": "boolean", "cells": f"array<{CELL}>"}
 
 # Namespaces, part names and types of the file format; default font size, gap below a title.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -41,8 +49,8 @@ RELATIONS = f'{HEAD}<Relationships xmlns="{PACKAGE}/relationships">'
 ROOT_RELATIONS = f'{RELATIONS}<Relationship Id="rId1" Type="{REL}/officeDocument" Target="word/document.xml"/></Relationships>'
 DOCUMENT = f'{HEAD}<w:document xmlns:w="{W}" xmlns:r="{REL}" xmlns:wp="{DRAWING}/wordprocessingDrawing" xmlns:a="{DRAWING}/main" xmlns:pic="{DRAWING}/picture"><w:body>'
 BREAK = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
-BORDERS = "<w:tblBorders>" + "".join(f'<w:{side} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV")) + "</w:tblBorders>"
 FONT_SIZE = 10.5
+LINE_WIDTH = 0.5
 AFTER_TITLE = 1.0
 SHEET = (595.27, 841.89)
 EMU = 12700
@@ -100,30 +108,78 @@ def _spacer(points: Column) -> Column:
     return F.when(points > 0.5, _xml('<w:p><w:pPr><w:spacing w:before="0" w:after="0" w:line="', _units(points, 20), '" w:lineRule="exact"/></w:pPr></w:p>'))
 
 
+def _span(cell: Column, name: str) -> Column:
+    return F.greatest(F.coalesce(cell[name], F.lit(1)), F.lit(1))
+
+
+def _edge_xml(side: str, width: Column, color: Column, dashed: Column) -> Column:
+    return _xml(f'<w:{side} w:val="', F.when(F.coalesce(dashed, F.lit(False)), "dashed").otherwise("single"), '" w:sz="', _units(width, 8), '" w:space="0" w:color="', escaped(F.coalesce(color, F.lit("auto"))), '"/>')
+
+
+def settled(cells: Column) -> Column:
+    """Cells with the borders that show: of two neighbours that share an edge the wider line wins, of equal ones that of the left or upper cell."""
+
+    def side(x: Column, name: str) -> Column:
+        across, ahead = name in ("left", "right"), name in ("right", "bottom")
+        at, span, other_at, other_span = ("c", "colspan", "r", "rowspan") if across else ("r", "rowspan", "c", "colspan")
+        facing = {"left": "right", "right": "left", "top": "bottom", "bottom": "top"}[name]
+
+        def beside(y: Column) -> Column:
+            touch = y[at] == x[at] + _span(x, span) if ahead else y[at] + _span(y, span) == x[at]
+            return touch & (y[other_at] < x[other_at] + _span(x, other_span)) & (x[other_at] < y[other_at] + _span(y, other_span))
+
+        rank = lambda e, own: F.struct(F.coalesce(e["width"], F.lit(0.0)).alias("width"), F.lit(own).alias("first"), e.alias("edge"))
+        theirs = F.transform(F.filter(cells, beside), lambda y: rank(y["borders"][facing], 0 if ahead else 1))
+        best = F.array_max(F.filter(F.concat(F.array(rank(x["borders"][name], 1 if ahead else 0)), theirs), lambda e: e["width"] > 0))
+        return best["edge"].alias(name)
+
+    drawn = F.exists(cells, lambda x: x["borders"].isNotNull())
+    fields = [n for n in CELL_FIELDS if n != "borders"]
+    full = F.transform(cells, lambda x: F.struct(*[x[n].alias(n) for n in fields], F.struct(*[side(x, name) for name in SIDES]).alias("borders")).cast(CELL))
+    return F.when(drawn, full).otherwise(cells)
+
+
+def _cell_paragraphs(x: Column) -> Column:
+    """The paragraphs of a cell: runs in their own fonts, or the cell's where they have none; else its text."""
+    look = _xml('<w:p><w:pPr><w:spacing w:before="0" w:after="0"/>', _aligned(x["align"]), "</w:pPr>")
+    one = _xml(look, run(x["text"], x["font_size"], x["font_name"]), "</w:p>")
+    runs = lambda p: F.array_join(F.transform(filled(p), lambda r: run(r["text"], F.coalesce(r["font_size"], x["font_size"]), F.coalesce(r["font_name"], x["font_name"]))), "")
+    many = F.array_join(F.transform(x["paragraphs"], lambda p: _xml(look, runs(p), "</w:p>")), "")
+    return F.when(F.coalesce(F.size(x["paragraphs"]), F.lit(0)) > 0, many).otherwise(one)
+
+
 def table(b: Column, margin: Column) -> Column:
     """A table of its anchors: wide cells span columns, tall ones are continued row by row."""
-    cells = F.array_sort(F.coalesce(b["cells"], F.array().cast(f"array<{CELL}>")))
-    wide, tall = (lambda x: F.greatest(F.coalesce(x["colspan"], F.lit(1)), F.lit(1))), (lambda x: F.greatest(F.coalesce(x["rowspan"], F.lit(1)), F.lit(1)))
-    rows = F.aggregate(cells, F.lit(0), lambda n, x: F.greatest(n, x["r"] + tall(x)))
-    columns = F.aggregate(cells, F.lit(0), lambda n, x: F.greatest(n, x["c"] + wide(x)))
+    return let(settled(F.array_sort(F.coalesce(b["cells"], F.array().cast(f"array<{CELL}>")), lambda x, y: F.when(x["r"] == y["r"], x["c"] - y["c"]).otherwise(x["r"] - y["r"]))), lambda cells: _table(b, cells, margin))
+
+
+def _table(b: Column, cells: Column, margin: Column) -> Column:
+    rows = F.aggregate(cells, F.lit(0), lambda n, x: F.greatest(n, x["r"] + _span(x, "rowspan")))
+    columns = F.aggregate(cells, F.lit(0), lambda n, x: F.greatest(n, x["c"] + _span(x, "colspan")))
     widths = F.coalesce(b["col_widths"], F.transform(F.sequence(F.lit(1), F.greatest(columns, F.lit(1))), lambda _: F.lit(60.0)))
 
     def cell(x: Column, r: Column) -> Column:
         first = x["r"] == r
-        span = F.when(wide(x) > 1, _xml('<w:gridSpan w:val="', wide(x), '"/>'))
-        merge = F.when(tall(x) > 1, F.when(first, '<w:vMerge w:val="restart"/>').otherwise("<w:vMerge/>"))
+        last = r == x["r"] + _span(x, "rowspan") - 1
+        span = F.when(_span(x, "colspan") > 1, _xml('<w:gridSpan w:val="', _span(x, "colspan"), '"/>'))
+        merge = F.when(_span(x, "rowspan") > 1, F.when(first, '<w:vMerge w:val="restart"/>').otherwise("<w:vMerge/>"))
+        shown = {"top": first, "left": F.lit(True), "bottom": last, "right": F.lit(True)}
+        edges = _xml(*[F.when(shown[side] & (x["borders"][side]["width"] > 0), _edge_xml(side, x["borders"][side]["width"], x["borders"][side]["color"], x["borders"][side]["dashed"])) for side in SIDES])
+        borders = F.when(edges != "", _xml("<w:tcBorders>", edges, "</w:tcBorders>"))
         shade = F.when(F.coalesce(x["bg_color"], F.lit("")) != "", _xml('<w:shd w:val="clear" w:color="auto" w:fill="', escaped(x["bg_color"]), '"/>'))
         place = _xml('<w:vAlign w:val="', F.when(x["valign"].isin("center", "bottom"), x["valign"]).otherwise("top"), '"/>')
-        text = F.when(first, run(x["text"], F.lit(None).cast("double"), F.lit(None).cast("string")))
-        return _xml("<w:tc><w:tcPr>", span, merge, shade, place, '</w:tcPr><w:p><w:pPr><w:spacing w:before="0" w:after="0"/>', _aligned(x["align"]), "</w:pPr>", text, "</w:p></w:tc>")
+        empty = _xml('<w:p><w:pPr><w:spacing w:before="0" w:after="0"/>', _aligned(x["align"]), "</w:pPr></w:p>")
+        return _xml("<w:tc><w:tcPr>", span, merge, borders, shade, place, "</w:tcPr>", F.when(first, _cell_paragraphs(x)).otherwise(empty), "</w:tc>")
 
-    covering = lambda r: F.array_sort(F.filter(cells, lambda x: (x["r"] <= r) & (r < x["r"] + tall(x))), lambda x, y: x["c"] - y["c"])
+    covering = lambda r: F.array_sort(F.filter(cells, lambda x: (x["r"] <= r) & (r < x["r"] + _span(x, "rowspan"))), lambda x, y: x["c"] - y["c"])
     line = lambda r: _xml("<w:tr>", F.array_join(F.transform(covering(r), lambda x: cell(x, r)), ""), "</w:tr>")
     body = F.array_join(F.transform(F.sequence(F.lit(0), rows - 1), line), "")
     grid = F.array_join(F.transform(widths, lambda w: _xml('<w:gridCol w:w="', _units(w, 20), '"/>')), "")
     right = indent(left_edge(b["x0"]), margin)
     shift = F.when(right > 0.5, _xml('<w:tblInd w:w="', _units(right, 20), '" w:type="dxa"/>'))
-    return F.when(rows > 0, _xml("<w:tbl><w:tblPr>", shift, BORDERS, "</w:tblPr><w:tblGrid>", grid, "</w:tblGrid>", body, "</w:tbl>"))
+    uniform = _xml("<w:tblBorders>", *[_edge_xml(side, F.coalesce(b[f"border_{kind}"], F.lit(LINE_WIDTH)), b["border_color"], b["border_dashed"]) for side, kind in (*((s, "outer") for s in SIDES), ("insideH", "inner"), ("insideV", "inner"))], "</w:tblBorders>")
+    own = F.exists(cells, lambda x: x["borders"].isNotNull())
+    return F.when(rows > 0, _xml("<w:tbl><w:tblPr>", shift, F.when(~own, uniform), "</w:tblPr><w:tblGrid>", grid, "</w:tblGrid>", body, "</w:tbl>"))
 
 
 def row_xml(blocks: Column, page: Column, margin: Column, gap: Column, after_title: Column) -> Column:
@@ -150,6 +206,10 @@ def written(blocks: DataFrame, margins: DataFrame | None = None, *, page_breaks:
     ``geometry.page_margins`` gives; without it they are 50.4.  Images without
     content are left out.  A document is one file and is put together whole.
     """
+    if "cells" in blocks.columns:  # what cells lack is null
+        has = blocks.schema["cells"].dataType.elementType.names
+        whole = F.transform("cells", lambda x: F.struct(*[(x[n] if n in has else F.lit(None)).cast(t).alias(n) for n, t in CELL_FIELDS.items()]))
+        blocks = blocks.withColumn("cells", whole)
     b = blocks.select("doc_id", "page_no", "row_no", "block_no", "kind", *[(F.col(n) if n in blocks.columns else F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()])
     body = F.struct("block_no", "kind", *FIELDS)
     placed = F.struct(left_edge(F.col("x0")).alias("at"), F.col("block_no").alias("no"), body.alias("b"))
@@ -186,3 +246,27 @@ def paragraphs(content: pd.Series) -> pd.Series:
         return ["".join(x.text or "" if x.tag == f"{{{W}}}t" else marks.get(x.tag, "") for x in runs(p)) for p in root.iter(f"{{{W}}}p")]
 
     return content.map(read)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cells_read(content: pd.Series) -> pd.Series:
+    """The cells of the tables of Word files in order: runs as ``font/size:text`` joined by |, paragraphs by line feeds, then edges as side, eighths of a point, colour, style."""
+    at = lambda name: f"{{{W}}}{name}"
+
+    def font(r) -> str:
+        fonts, size = r.find(f"{at('rPr')}/{at('rFonts')}"), r.find(f"{at('rPr')}/{at('sz')}")
+        return f"{fonts.get(at('ascii'))}/{size.get(at('val'))}:" + "".join(x.text or "" for x in r.iter(at("t")))
+
+    def cell(tc) -> str:
+        edges = tc.find(f"{at('tcPr')}/{at('tcBorders')}")
+        drawn = [",".join((e.tag.split("}")[1], e.get(at("sz")), e.get(at("color")), e.get(at("val")))) for e in (edges if edges is not None else ())]
+        return "\n".join("|".join(font(r) for r in p.iter(at("r"))) for p in tc.iter(at("p"))) + " [" + " ".join(drawn) + "]"
+
+    def read(data):
+        try:
+            root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
+            return None
+        return [cell(tc) for tc in root.iter(at("tc"))]
+
+    return content.map(read)

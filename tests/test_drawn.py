@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import aligned, cellruns, pixels
+from tessella.sources import docx
 
 WORDS = "doc_id long, page_no int, word_no long, text string, x0 double, x1 double, top double, bottom double"
 
@@ -197,3 +198,35 @@ def test_cells_are_paragraphs_of_runs(spark):
     assert runs[0] == [[("Terms apply", 12.0, "Bold"), ("to everyone here.", 10.0, "Text")], [("Next", None, None)]]
     assert runs[1] == [[("A B", 10.0, "Text")], [("C", 10.0, "Text")]]
     assert runs[2] == []
+
+
+def test_the_wider_line_wins_at_a_shared_edge(spark):
+    draw = random.Random(3)
+    places = [(0, 0, 1, 2), (0, 2, 2, 1), (1, 0, 2, 1), (1, 1, 1, 1), (2, 1, 1, 2)]  # r, c, rowspan, colspan
+    facing = {"top": "bottom", "bottom": "top", "left": "right", "right": "left"}
+
+    def lines(p):
+        r, c, tall, wide = p
+        return {"top": {("h", r, k) for k in range(c, c + wide)}, "bottom": {("h", r + tall, k) for k in range(c, c + wide)}, "left": {("v", c, k) for k in range(r, r + tall)}, "right": {("v", c + wide, k) for k in range(r, r + tall)}}
+
+    for _ in range(4):
+        own = {p: {s: (draw.choice([0.5, 1.0, 2.0]), f"{k}{s}", False) if draw.random() < 0.7 else None for s in docx.SIDES} for k, p in enumerate(places)}
+        df = spark.createDataFrame([([(*p, "t", None, None, None, None, None, None, tuple(own[p][s] for s in docx.SIDES)) for p in places],)], f"cells array<{docx.CELL}>")
+        got = {(x.r, x.c): x.borders for x in df.select(docx.settled(F.col("cells")).alias("cells")).first().cells}
+        for p in places:
+            for s in docx.SIDES:
+                rivals = [(own[q][facing[s]], q) for q in places if q != p and lines(q)[facing[s]] & lines(p)[s]] + [(own[p][s], p)]
+                best = [(e[0], q == p if s in ("right", "bottom") else q != p, e) for e, q in rivals if e]
+                shown = got[p[:2]][s]
+                if not best:
+                    assert shown is None
+                else:
+                    top = max(b[:2] for b in best)
+                    assert tuple(shown) in [b[2] for b in best if b[:2] == top]
+
+
+def test_word_tables_without_cells_or_borders(spark):
+    rows = [(1, 0, 0, 0, "table", []), (2, 0, 0, 0, "table", None), (3, 0, 0, 0, "table", [(0, 0, "a\nb")]), (3, 0, 1, 1, "text", None)]
+    df = spark.createDataFrame(rows, "doc_id long, page_no int, row_no int, block_no int, kind string, cells array<struct<r:int,c:int,text:string>>")
+    got = {r.doc_id: r.c for r in docx.written(df).select("doc_id", docx.cells_read("content").alias("c")).collect()}
+    assert got[1] == [] and got[2] == [] and len(got[3]) == 1 and got[3][0].endswith(":ab []")
