@@ -35,8 +35,9 @@ from tessella.sources.files import zipped
 EDGE = "struct<width:double,color:string,dashed:boolean>"
 SIDES = ("top", "left", "bottom", "right")
 CELL_FIELDS = {"r": "int", "c": "int", "rowspan": "int", "colspan": "int", "text": "string", "align": "string", "valign": "string", "bg_color": "string", "font_size": "double", "font_name": "string", "paragraphs": f"array<array<{RUN}>>", "borders": f"struct<{','.join(f'{s}:{EDGE}' for s in SIDES)}>"}
-CELL = f"struct<{','.join(f'{n}:{t}' for n, t in CELL_FIELDS.items())}>"
-FIELDS = {"text": "string", "align": "string", "font_size": "double", "font_name": "string", "x0": "double", "x1": "double", "top": "double", "bottom": "double", "width": "double", "height": "double", "content": "binary", "color": "string", "col_widths": "array<double>", "border_outer": "double", "border_inner": "double", "border_color": "string", "border_dashed": "boolean", "cells": f"array<{CELL}>"}
+CELL = f"struct<{','.join(f'{n}:{t}' for n, t in list(CELL_FIELDS.items())[:8])}>"
+RICH_CELL = f"struct<{','.join(f'{n}:{t}' for n, t in CELL_FIELDS.items())}>"
+FIELDS = {"text": "string", "align": "string", "font_size": "double", "font_name": "string", "x0": "double", "x1": "double", "top": "double", "bottom": "double", "width": "double", "height": "double", "content": "binary", "color": "string", "col_widths": "array<double>", "border_outer": "double", "border_inner": "double", "border_color": "string", "border_dashed": "boolean", "cells": f"array<{RICH_CELL}>"}
 
 # Namespaces, part names and types of the file format; default font size, gap below a title.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -135,7 +136,7 @@ def settled(cells: Column) -> Column:
 
     drawn = F.exists(cells, lambda x: x["borders"].isNotNull())
     fields = [n for n in CELL_FIELDS if n != "borders"]
-    full = F.transform(cells, lambda x: F.struct(*[x[n].alias(n) for n in fields], F.struct(*[side(x, name) for name in SIDES]).alias("borders")).cast(CELL))
+    full = F.transform(cells, lambda x: F.struct(*[x[n].alias(n) for n in fields], F.struct(*[side(x, name) for name in SIDES]).alias("borders")).cast(RICH_CELL))
     return F.when(drawn, full).otherwise(cells)
 
 
@@ -150,7 +151,7 @@ def _cell_paragraphs(x: Column) -> Column:
 
 def table(b: Column, margin: Column) -> Column:
     """A table of its anchors: wide cells span columns, tall ones are continued row by row."""
-    return let(settled(F.array_sort(F.coalesce(b["cells"], F.array().cast(f"array<{CELL}>")), lambda x, y: F.when(x["r"] == y["r"], x["c"] - y["c"]).otherwise(x["r"] - y["r"]))), lambda cells: _table(b, cells, margin))
+    return let(settled(F.array_sort(F.coalesce(b["cells"], F.array().cast(f"array<{RICH_CELL}>")), lambda x, y: F.when(x["r"] == y["r"], x["c"] - y["c"]).otherwise(x["r"] - y["r"]))), lambda cells: _table(b, cells, margin))
 
 
 def _table(b: Column, cells: Column, margin: Column) -> Column:

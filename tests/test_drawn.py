@@ -211,7 +211,7 @@ def test_the_wider_line_wins_at_a_shared_edge(spark):
 
     for _ in range(4):
         own = {p: {s: (draw.choice([0.5, 1.0, 2.0]), f"{k}{s}", False) if draw.random() < 0.7 else None for s in docx.SIDES} for k, p in enumerate(places)}
-        df = spark.createDataFrame([([(*p, "t", None, None, None, None, None, None, tuple(own[p][s] for s in docx.SIDES)) for p in places],)], f"cells array<{docx.CELL}>")
+        df = spark.createDataFrame([([(*p, "t", None, None, None, None, None, None, tuple(own[p][s] for s in docx.SIDES)) for p in places],)], f"cells array<{docx.RICH_CELL}>")
         got = {(x.r, x.c): x.borders for x in df.select(docx.settled(F.col("cells")).alias("cells")).first().cells}
         for p in places:
             for s in docx.SIDES:
