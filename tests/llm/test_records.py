@@ -392,4 +392,4 @@ def test_pipeline(spark, folder, docs):
 
 
 def test_catalog_names():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in catalog.QUERIES if k.startswith("op")} and "pipeline" in catalog.QUERIES
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in catalog.QUERIES if k.startswith("op")} and "pipeline" in catalog.QUERIES
