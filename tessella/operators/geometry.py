@@ -8,6 +8,7 @@ the rows taken so far is an ordered fold over one page.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -258,34 +259,42 @@ def page_margins(blocks: DataFrame, width: float, height: float) -> DataFrame:
 def visual_rows(blocks: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """Adds ``row_no``: blocks side by side; a table has a row of its own.
 
-    A row starts with the first free block and grows until no other block's
-    middle lies near its own, so it needs the rows taken before it: each page
-    is one ordered group.
+    A row starts at the first free block.  The next block in ring order whose
+    middle lies near the row's joins it, until there is none; near is within
+    ``tolerance``, or within twice that where the two meet.  Blocks lie sorted
+    by their middles, so only those within reach are looked at.  What a row
+    takes is lost to later ones: each page is one ordered group.  A block
+    without a bottom, or with one of 0, has no height.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields) + ", row_no int"
-
-    def grow(pdf):
-        items = pdf.sort_values("block_no", kind="stable").reset_index(drop=True)
-        row, number = [-1] * len(items), 0
-        tops, ends, kinds = items["top"].tolist(), items["bottom"].tolist(), items["kind"].tolist()
-        for i in range(len(items)):
-            if row[i] >= 0:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields) + ", row_no int"
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        page = pdf.sort_values("block_no", kind="stable").reset_index(drop=True)
+        top = page["top"].to_numpy(float)
+        end = page["bottom"].to_numpy(float, na_value=0.0)
+        end = np.where((end == 0) | np.isnan(end), top, end)
+        middle = (top + end) / 2
+        by_middle = np.argsort(middle, kind="stable")
+        heights = middle[by_middle]
+        table = (page["kind"] == "table").to_numpy(bool, na_value=False)
+        row_no, rows = np.full(len(page), -1), 0
+
+        def beside(low: float, high: float) -> np.ndarray:
+            at = (low + high) / 2
+            a, b = np.searchsorted(heights, (at - 2 * tolerance - 1e-6, at + 2 * tolerance + 1e-6))
+            near = by_middle[a:b]
+            near = near[(row_no[near] < 0) & ~table[near]]
+            off, meets = np.abs(middle[near] - at), (end[near] >= low - 1) & (top[near] <= high + 1)
+            return near[off <= np.where(meets, 2 * tolerance, tolerance)]
+
+        for seed in range(len(page)):
+            if row_no[seed] >= 0:
                 continue
-            row[i] = number
-            lo, hi = tops[i], ends[i] or tops[i]
-            grown = kinds[i] != "table"
-            while grown:
-                grown = False
-                for j in range(len(items)):
-                    if row[j] >= 0 or kinds[j] == "table":
-                        continue
-                    t, b = tops[j], ends[j] or tops[j]
-                    off = abs((t + b) / 2 - (lo + hi) / 2)
-                    meets = b >= lo - 1 and t <= hi + 1
-                    if off <= tolerance or (meets and off <= 2 * tolerance):
-                        row[j], lo, hi, grown = number, min(lo, t), max(hi, b), True
-            number += 1
-        items["row_no"] = row
-        return items
-
-    return blocks.groupBy(*PAGE).applyInPandas(grow, schema)
+            row_no[seed], last, low, high = rows, -1, top[seed], end[seed]
+            while not table[seed] and len(near := beside(low, high)):
+                last = min(near, key=lambda k: (k <= last, k))
+                row_no[last], low, high = rows, min(low, top[last]), max(high, end[last])
+            rows += 1
+        return page.assign(row_no=row_no)
+
+    return blocks.groupBy(*PAGE).applyInPandas(number, schema)

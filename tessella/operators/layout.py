@@ -7,13 +7,14 @@ cells under wide words, which changes the grid it reads and is a fold.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.numbers import area, horizontal_align, overlap_of_first, render_dpi, upper_median
-from tessella.operators.geometry import PAGE, aligned_columns, bin_of, distinct_within, has_drawn_grid, joined_words
+from tessella.operators.geometry import BAND, PAGE, aligned_columns, banded, bin_of, centre, distinct_within, has_drawn_grid, joined_words
 
 TABLE = (*PAGE, "table_id")
 
@@ -66,55 +67,63 @@ def cell_texts(cells: DataFrame, words: DataFrame) -> DataFrame:
     return out.select(*cells.columns, F.coalesce("text", F.lit("")).alias("text"), F.nullif(F.col("font.s"), F.lit(0.0)).alias("font_size"), F.nullif(F.col("font.f"), F.lit("")).alias("font_name"), F.coalesce("align", F.lit("left")).alias("align"), F.coalesce("valign", F.lit("top")).alias("valign"), "text_x0", "text_x1")
 
 
+def spanning_words(words: DataFrame, grid: DataFrame, cover: float) -> DataFrame:
+    """Of each table row (r) the words over several columns, from a to b, with the edge that b ends at.
+
+    Such a word covers at least 0.15 of its outer columns and half of ``cover`` of those between.
+    """
+    w = words.select(*PAGE, "word_no", *[F.col(c).alias(f"w_{c}") for c in ("x0", "x1", "top", "bottom")])
+    first, last = (lambda e: F.get(e, F.lit(0))), (lambda e: F.element_at(e, -1))
+    inside = (F.col("w_x1") >= first("vx")) & (F.col("w_x0") <= last("vx")) & (F.col("w_bottom") >= first("hy")) & (F.col("w_top") <= last("hy"))
+    once = F.col("band") == F.greatest(F.floor(F.col("w_top") / BAND), F.floor(first("hy") / BAND))  # the first of the bands that both lie in
+    met = banded(w, F.col("w_top"), F.col("w_bottom")).join(banded(grid.where((F.size("vx") > 2) & (F.size("hy") > 1)), first("hy"), last("hy")), [*PAGE, "band"]).where(once & inside)
+    met = met.withColumns({"r": bin_of((F.col("w_top") + F.col("w_bottom")) / 2, F.col("hy")), "a": bin_of(F.col("w_x0") + 0.5, F.col("vx")), "b": bin_of(F.col("w_x1") - 0.5, F.col("vx"))}).where("r IS NOT NULL AND b > a")
+
+    def share(k: Column) -> Column:
+        left, right = F.get("vx", k), F.get("vx", k + 1)
+        return (F.least("w_x1", right) - F.greatest("w_x0", left)) / F.greatest(right - left, F.lit(1e-6))
+
+    between = F.forall(F.slice(F.sequence("a", "b"), F.lit(2), F.col("b") - F.col("a") - 1), lambda k: share(k) >= cover * 0.5)
+    return met.where((share(F.col("a")) >= 0.15) & (share(F.col("b")) >= 0.15) & between).select(*TABLE, "r", "word_no", "a", "b", F.get("vx", F.col("b") + 1).alias("edge"))
+
+
 def merged_under_words(cells: DataFrame, words: DataFrame, grid: DataFrame, cover: float = 0.55) -> DataFrame:
     """Cells after words that span several columns have merged them under the leftmost.
 
     A merge is refused if it would swallow other text or a tall cell.  Words
-    come in their order and each reads the grid the last one left.
+    come in their order and each reads the row the last one left; rows do not
+    act on each other, so a row is the unit, and rows without such words pass
+    as they are.
     """
-    w = words.select(*PAGE, F.struct("word_no", "x0", "x1", "top", "bottom").alias("w")).groupBy(*PAGE).agg(F.array_sort(F.collect_list("w")).alias("words"))
-    rows = cells.join(grid, list(TABLE)).join(w, list(PAGE), "left")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields)
-    columns = cells.columns
-
-    def place(value, bounds):
-        if value < bounds[0]:
-            return None
-        return min(sum(b <= value for b in bounds) - 1, len(bounds) - 2)
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        vx, hy = list(pdf["vx"].iloc[0]), list(pdf["hy"].iloc[0])
-        found = pdf["words"].iloc[0]
-        held = {(int(x["r"]), int(x["c"])): x for x in pdf[columns].to_dict("records")}
-        owner = {(r, c): (r, c) for r in range(len(hy) - 1) for c in range(len(vx) - 1)}
-        for (r, c), x in held.items():
-            owner.update({(r + i, c + j): (r, c) for i in range(int(x["rowspan"])) for j in range(int(x["colspan"]))})
-        for x in found if found is not None else ():
-            ri, a, b = place((x["top"] + x["bottom"]) / 2, hy), place(x["x0"] + 0.5, vx), place(x["x1"] - 0.5, vx)
-            if ri is None or a is None or b is None or b <= a or x["x1"] < vx[0] or x["x0"] > vx[-1] or x["bottom"] < hy[0] or x["top"] > hy[-1]:
-                continue
-            share = [(min(x["x1"], vx[k + 1]) - max(x["x0"], vx[k])) / max(vx[k + 1] - vx[k], 1e-6) for k in range(a, b + 1)]
-            if share[0] < 0.15 or share[-1] < 0.15 or any(s < cover * 0.5 for s in share[1:-1]):
-                continue
-            anchor = owner[ri, a]
-            if anchor[0] != ri or anchor not in held:
+    names, row = cells.columns, [*TABLE, "r"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
+    spans = spanning_words(words, grid, cover)
+
+    def unite(held: pd.DataFrame, wide: pd.DataFrame) -> pd.DataFrame:
+        held = held.reset_index(drop=True)
+        start, stop = held["c"].to_numpy(int), (held["c"] + held["colspan"]).to_numpy(int)
+        text, tall, right = held["text"].fillna("").str.strip().to_numpy(object), (held["rowspan"] > 1).to_numpy(bool), held["x1"].to_numpy(float)
+        at = np.full(max(stop.max(), wide["b"].max() + 1), -1)
+        for k in range(len(held)):
+            at[start[k] : stop[k]] = k
+        for a, b, edge in wide.sort_values("word_no")[["a", "b", "edge"]].itertuples(index=False):
+            own = at[a]
+            if own < 0:
                 continue
-            cell = held[anchor]
-            last = max(anchor[1] + int(cell["colspan"]) - 1, b)
-            span = range(anchor[1], last + 1)
-            others = [held[owner[ri, k]] for k in span if owner[ri, k][0] == ri and owner[ri, k] != anchor and owner[ri, k] in held]
-            own = (cell["text"] or "").strip()
-            if any(((o["text"] or "").strip() not in ("", own)) or o["rowspan"] > 1 for o in others):
+            united = slice(start[own], max(stop[own], b + 1))
+            others = np.setdiff1d(at[united], (-1, own))
+            if tall[others].any() or not set(text[others]) <= {"", text[own]}:
                 continue
-            for k in span:
-                if owner[ri, k] != anchor:
-                    if owner[ri, k][0] == ri:
-                        held.pop(owner[ri, k], None)
-                    owner[ri, k] = anchor
-            cell["colspan"], cell["x1"] = last - anchor[1] + 1, vx[last + 1]
-        return pd.DataFrame(list(held.values()), columns=columns)
+            right[own] = edge if b + 1 > stop[own] else right[own]
+            at[np.isin(at, others)] = -1
+            at[united], stop[own] = own, united.stop
+        kept = np.unique(at[at >= 0])
+        return held.assign(colspan=stop - start, x1=right).iloc[kept][names]
 
-    return rows.groupBy(*TABLE).applyInPandas(grow, schema)
+    busy = spans.select(*row).distinct()
+    wide = spans.select(*[F.col(c).alias(f"w_{c}") for c in row], "word_no", "a", "b", "edge")
+    changed = cells.join(busy, row, "left_semi").groupBy(*row).cogroup(wide.groupBy(*[f"w_{c}" for c in row])).applyInPandas(lambda held, wide: unite(held, wide) if len(held) else held, schema)
+    return cells.join(busy, row, "left_anti").select(*names).unionByName(changed)
 
 
 # ---------------------------------------------------------------- is it a table
@@ -138,32 +147,58 @@ def text_gaps(cells: DataFrame) -> DataFrame:
     return filled.withColumn("gap", gap).where("gap IS NOT NULL").groupBy(*TABLE).agg(F.collect_list("gap").alias("gaps"))
 
 
+# Between which bounds a measure of a form lies, each bound included.
+FORM_BOUNDS = {
+    "rows": (2, 25), "cols": (2, 6), "cells": (None, 40), "filled": (4, None), "strong_cols": (2, None), "strong_rows": (2, None),
+    "empty": (None, 0.65), "tiny": (None, 0.2), "n_words": (4, None), "split_words": (None, 1), "aligned": (2, None), "spare_cols": (None, 0),
+}
+# Of forms with three columns and more, the most empty cells and short texts.
+WIDE_FORM_BOUNDS = {"empty": (None, 0.55), "short": (None, 0.45)}
+# The least middle gap, and what share of gaps below which width makes a text of it.
+FORM_GAP, TIGHT_GAP, TIGHT_SHARE = 18.0, 12.0, 0.4
+# Above which share of empty rows the middle gap must be how wide.
+SPARSE_ROWS, SPARSE_GAP = 0.35, 40.0
+# Two columns of texts longer than this on average, half of them long, in fewer strong rows, are prose.
+PROSE_LENGTH, PROSE_SHARE, PROSE_ROWS = 48, 0.5, 3
+
+
+def within(bounds: dict) -> Column:
+    """Whether all measures are there and within their bounds."""
+    held = [F.col(m) >= low for m, (low, _) in bounds.items() if low is not None] + [F.col(m) <= high for m, (_, high) in bounds.items() if high is not None]
+    return F.forall(F.array(*held), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def form_measures(cells: DataFrame, grid: DataFrame, words: DataFrame) -> DataFrame:
+    """What the bounds of forms speak of, one row a table."""
+    first, last = (lambda e: F.get(e, F.lit(0)) - 1), (lambda e: F.element_at(e, -1) + 1)
+    x, y = centre()
+    placed = words.select(*PAGE, F.col("x0").alias("w_x0"), x.alias("w_x"), y.alias("w_y"))
+    inside = F.col("w_x").between(first("vx"), last("vx")) & F.col("w_y").between(first("hy"), last("hy"))
+    met = banded(placed, F.col("w_y"), F.col("w_y")).join(banded(grid, first("hy"), last("hy")), [*PAGE, "band"]).where(inside)
+    seen = met.groupBy(*TABLE).agg(F.count("*").alias("n_words"), aligned_columns(F.collect_list("w_x0")).alias("aligned"))
+    of_filled = lambda c: F.col(c) / F.greatest("filled", F.lit(1))
+    t = grid.select(*TABLE, (F.size("vx") - 1).alias("cols"), (F.size("hy") - 1).alias("rows")).join(fill_counts(cells), list(TABLE)).join(text_gaps(cells), list(TABLE), "left").join(seen, list(TABLE), "left")
+    t = t.withColumns({"gaps": F.coalesce("gaps", F.array().cast("array<double>")), "n_words": F.coalesce("n_words", F.lit(0)), "aligned": F.coalesce("aligned", F.lit(0))})
+    return t.withColumns({
+        "cells": F.col("rows") * F.col("cols"),
+        "empty": (F.col("anchors") - F.col("filled")) / F.greatest("anchors", F.lit(1)),
+        "tiny": of_filled("tiny"), "short": of_filled("short"), "long": of_filled("long"),
+        "split_words": F.col("filled") - F.col("n_words"),
+        "spare_cols": F.col("cols") - F.greatest(F.col("aligned") + 1, F.floor(F.col("aligned") * 1.5) + 1),
+        "empty_rows": F.col("empty_rows") / F.greatest("rows", F.lit(1)),
+        "middle": upper_median(F.col("gaps")),
+        "tight": F.size(F.filter("gaps", lambda g: g < TIGHT_GAP)) / F.greatest(F.size("gaps"), F.lit(1)),
+    })
+
+
 def plausible_forms(cells: DataFrame, grid: DataFrame, words: DataFrame) -> DataFrame:
     """Whether a table without drawn lines looks like a form and not like prose."""
-    inside = words.alias("w").join(grid.alias("g"), [F.col(f"w.{p}") == F.col(f"g.{p}") for p in PAGE] + [((F.col("w.x0") + F.col("w.x1")) / 2).between(F.get("g.vx", F.lit(0)) - 1, F.element_at("g.vx", -1) + 1), ((F.col("w.top") + F.col("w.bottom")) / 2).between(F.get("g.hy", F.lit(0)) - 1, F.element_at("g.hy", -1) + 1)])
-    seen = inside.groupBy(*[F.col(f"g.{c}").alias(c) for c in TABLE]).agg(F.count("*").alias("n_words"), aligned_columns(F.collect_list("w.x0")).alias("aligned"))
-    t = grid.withColumn("cols", F.size("vx") - 1).withColumn("rows", F.size("hy") - 1).join(fill_counts(cells), list(TABLE)).join(text_gaps(cells), list(TABLE), "left").join(seen, list(TABLE), "left")
-    gaps = F.coalesce("gaps", F.array().cast("array<double>"))
-    middle = upper_median(gaps)
-    empty = (F.col("anchors") - F.col("filled")) / F.greatest("anchors", F.lit(1))
-    share = lambda c: F.col(c) / F.greatest("filled", F.lit(1))
-    tight = F.size(F.filter(gaps, lambda g: g < 12.0)) / F.greatest(F.size(gaps), F.lit(1))
-    words_n, columns = F.coalesce("n_words", F.lit(0)), F.coalesce("aligned", F.lit(0))
-    rules = [
-        F.col("rows").between(2, 25) & F.col("cols").between(2, 6) & (F.col("rows") * F.col("cols") <= 40),
-        (F.col("filled") >= 4) & (F.col("strong_cols") >= 2) & (F.col("strong_rows") >= 2),
-        ~((empty > 0.55) & (F.col("cols") >= 3)) & (empty <= 0.65),
-        (share("tiny") <= 0.2) & ~((share("short") > 0.45) & (F.col("cols") >= 3)),
-        (words_n >= 4) & (F.col("filled") <= words_n + 1),
-        (columns > 1) & (F.col("cols") <= F.greatest(columns + 1, F.floor(columns * 1.5) + 1)),
-        (F.size(gaps) == 0) | ((middle >= 18.0) & (tight < 0.4)),
-        ~((F.col("empty_rows") / F.greatest("rows", F.lit(1)) > 0.35) & F.coalesce(middle < 40.0, F.lit(True))),
-        ~((F.col("cols") == 2) & (F.col("avg_len") > 48) & (F.col("strong_rows") < 3) & (share("long") >= 0.5)),
-    ]
-    ok = F.lit(True)
-    for rule in rules:
-        ok = ok & F.coalesce(rule, F.lit(False))
-    return t.select(*TABLE, (F.col("filled") > 0).alias("has_text"), ok.alias("plausible"))
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    spaced = (F.size("gaps") == 0) | sure((F.col("middle") >= FORM_GAP) & (F.col("tight") < TIGHT_SHARE))
+    filled_out = sure(F.col("empty_rows") <= SPARSE_ROWS) | sure(F.col("middle") >= SPARSE_GAP)
+    prose = (F.col("cols") == 2) & sure(F.col("avg_len") > PROSE_LENGTH) & (F.col("strong_rows") < PROSE_ROWS) & sure(F.col("long") >= PROSE_SHARE)
+    form = within(FORM_BOUNDS) & ((F.col("cols") < 3) | within(WIDE_FORM_BOUNDS)) & spaced & filled_out & ~prose
+    return form_measures(cells, grid, words).select(*TABLE, (F.col("filled") > 0).alias("has_text"), form.alias("plausible"))
 
 
 def accepted(plausible: DataFrame, drawn: DataFrame) -> DataFrame:
