@@ -457,4 +457,4 @@ def page_margins(spark, sf_dir):
     return found.select("doc_id", *[F.col(c).alias(f"{c}_margin") for c in ("left", "right", "top", "bottom")])
 
 
-from tessella.plans import drawn, outputs, pages, rules  # noqa: E402, F401  (they register their queries)
+from tessella.plans import drawn, marked, outputs, pages, rules  # noqa: E402, F401  (they register their queries)
