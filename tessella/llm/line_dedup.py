@@ -257,7 +257,7 @@ class LineIndex:
         self.work = Workspace(spark, "lines")
         self.version, self.shards = 0, 1
         self._held: list[tuple[int, DataFrame]] = []  # references, by the version that inserted them
-        self._gone: list[tuple[int, DataFrame]] = []  # doc_id, by the version that deleted them
+        self._gone: list[tuple[int, DataFrame]] = []  # doc_id, or without one _text, by the version that deleted them
         self._counted: list[tuple[int, DataFrame]] = []
         self._filtered: list[tuple[int, DataFrame]] = []
 
@@ -276,9 +276,14 @@ class LineIndex:
     def references(self) -> DataFrame:
         held = self._versions(self._held)
         if self._gone:
-            gone = self._versions(self._gone).select(F.col("doc_id").alias("_id"), F.col("_v").alias("_when"))
-            held = held.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_v") < F.col("_when")), "left_anti")
-        return held.drop("_v")
+            gone = self._versions(self._gone).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), F.col("_v").alias("_when"))
+            held = held.withColumn("_text", self._text_of()).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_of")) & (F.col("_v") < F.col("_when")), "left_anti")
+        return held.select(*_REFERENCE)
+
+    @staticmethod
+    def _text_of() -> Column:
+        """What tells rows without an id apart."""
+        return F.when(F.col("doc_id").isNull(), F.col("body"))
 
     def _newest(self, parts: list[tuple[int, DataFrame]], key: list[str]) -> DataFrame:
         if len(parts) == 1:
@@ -297,7 +302,7 @@ class LineIndex:
     @staticmethod
     def _count(rows: DataFrame) -> DataFrame:
         """Documents of each key: different ids, and of rows without one different texts."""
-        each = rows.groupBy("k1", "k2", "doc_id", F.when(F.col("doc_id").isNull(), F.col("body")).alias("_text")).agg(F.lit(1).alias("_one"))
+        each = rows.groupBy("k1", "k2", "doc_id", LineIndex._text_of().alias("_text")).agg(F.lit(1).alias("_one"))
         return each.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("last"))
 
     def _shard(self) -> Column:
@@ -310,12 +315,23 @@ class LineIndex:
         self._filtered = [(self.version, self._keep(rows.mapInArrow(_filter_of, "shard long, filter binary"), "filters"))]
 
     def insert(self, docs: DataFrame, text: str = "text") -> None:
-        """Add documents, which must not be in already; what is written follows what is added."""
+        """Add documents; what is written follows what is added.
+
+        A reference that is held already is not counted again, so documents may
+        be inserted more than once and a job that failed be run again.
+        """
         self.version += 1
-        new = self._keep(references(docs, text, self.least), "inserted")
+        new = references(docs, text, self.least)
         first = not self._held
+        if not first:
+            new = self._keep(new.withColumn("_text", self._text_of()), "read")
+            old = self.references.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("doc_id").alias("_id"), F.col("body").alias("_body"), self._text_of().alias("_of"))
+            key = (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+            counted = new.join(old, key & F.col("_text").eqNullSafe(F.col("_of")), "left_anti").select(*_REFERENCE)
+            new = new.join(old, key & F.col("body").eqNullSafe(F.col("_body")), "left_anti").select(*_REFERENCE)
+        new = self._keep(new, "inserted")
+        own = self._count(new if first else counted)
         self._held.append((self.version, new))
-        own = self._count(new)
         if first:
             self._counted = [(self.version, self._keep(own, "counted"))]
             self._build_filters()
@@ -324,11 +340,19 @@ class LineIndex:
         fresh = own.join(before, ["k1", "k2"], "left").select("k1", "k2", (F.col("refs") + F.coalesce("was", F.lit(0))).alias("refs"), F.greatest("last", "_last").alias("last"), F.coalesce("was", F.lit(0)).alias("was"))
         self._changed(self._keep(fresh, "fresh"))
 
-    def delete(self, ids: DataFrame) -> None:
-        """Take documents out again: ids has their doc_id; those not in are passed over."""
+    def delete(self, ids: DataFrame, text: str | None = None) -> None:
+        """Take documents out again: ids has their doc_id; those not in are passed over.
+
+        With ``text``, rows without an id are taken out by that column's text;
+        without it they stay.
+        """
         self.version += 1
-        ids = self._keep(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "ids")
-        gone = self._keep(self._count(self.references.join(ids, "doc_id", "left_semi")), "gone")
+        known = ids.select("doc_id", (_body(text) if text else F.lit(None).cast("long")).alias("body"))
+        known = known.where("doc_id IS NOT NULL OR body IS NOT NULL").select("doc_id", self._text_of().alias("_text"))
+        ids = self._keep(known.distinct(), "ids")
+        out = ids.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"))
+        held = self.references.withColumn("_text", self._text_of())
+        gone = self._keep(self._count(held.join(out, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_of")), "left_semi")), "gone")
         self._gone.append((self.version, ids))
         less = gone.select("k1", "k2", F.col("refs").alias("less"), F.col("last").alias("_last"))
         touched = self.refcounts.join(less, ["k1", "k2"])

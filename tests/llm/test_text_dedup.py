@@ -92,6 +92,29 @@ def test_line_index_forgets_and_learns(spark, docs, corpus):
     assert again == plain_lines([(r[0], r[1]) for r in corpus])
 
 
+def test_line_index_counts_a_document_once(spark):
+    """Repeated inserts change nothing, deletes undo them whole, and rows without an id go by their text."""
+    line, other = "a line of more than twenty letters", "another line of more than twenty letters"
+    ddl = "doc_id long, text string"
+    docs = spark.createDataFrame([(7, line), (8, f"{line}\n{other}"), (None, line), (None, other)], ddl)
+    refs = lambda index: sorted((r.refs, r.last) for r in index.refcounts.collect())
+    index = line_dedup.LineIndex(spark)
+    index.insert(docs)
+    before = refs(index)
+    assert before == [(2, 8), (3, 8)]
+    for again in (docs, docs.where("doc_id = 7"), spark.createDataFrame([(7, f"{line}\nx")], ddl)):
+        index.insert(again)
+        assert refs(index) == before
+    index.delete(spark.createDataFrame([(7,)], "doc_id long"))
+    assert refs(index) == [(2, 8), (2, 8)]
+    index.delete(spark.createDataFrame([(None, line)], ddl), text="text")
+    assert refs(index) == [(1, 8), (2, 8)]
+    index.delete(docs.select("doc_id", "text"), text="text")
+    assert refs(index) == [] and index.references.isEmpty()
+    index.insert(docs)
+    assert refs(index) == before
+
+
 def test_cuckoo_filter_holds_and_forgets():
     keys = np.random.default_rng(1).integers(-(2**62), 2**62, 3000)
     made = line_dedup.CuckooFilter.build(keys)
