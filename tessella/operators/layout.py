@@ -51,9 +51,10 @@ def cell_texts(cells: DataFrame, words: DataFrame) -> DataFrame:
     line votes for an alignment by its room on both sides.
     """
     cx, cy = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.top") + F.col("w.bottom")) / 2
-    on = [F.col(f"k.{p}") == F.col(f"w.{p}") for p in PAGE] + [cx >= F.col("k.x0"), cx < F.col("k.x1"), cy >= F.col("k.top"), cy < F.col("k.bottom")]
+    on = [F.col(f"k.{p}") == F.col(f"w.{p}") for p in (*PAGE, "band")] + [cx >= F.col("k.x0"), cx < F.col("k.x1"), cy >= F.col("k.top"), cy < F.col("k.bottom")]
     key = [*TABLE, "r", "c"]
-    met = cells.alias("k").join(words.alias("w"), on).select(*[F.col(f"k.{c}").alias(c) for c in key], *[F.col(f"k.{c}").alias(f"k_{c}") for c in ("x0", "x1", "top", "bottom")], *[F.col(f"w.{c}").alias(c) for c in ("word_no", "text", "x0", "x1", "top", "bottom", "size", "fontname")])
+    by_height = words.withColumn("band", F.floor(centre()[1] / BAND))
+    met = banded(cells, F.col("top"), F.col("bottom")).alias("k").join(by_height.alias("w"), on).select(*[F.col(f"k.{c}").alias(c) for c in key], *[F.col(f"k.{c}").alias(f"k_{c}") for c in ("x0", "x1", "top", "bottom")], *[F.col(f"w.{c}").alias(c) for c in ("word_no", "text", "x0", "x1", "top", "bottom", "size", "fontname")])
     lines = met.groupBy(*key, F.round("top").alias("line")).agg(F.min("x0").alias("a"), F.max("x1").alias("b"), F.min("k_x0").alias("l"), F.max("k_x1").alias("r_"), joined_words(F.array_sort(F.collect_list(F.struct("x0", "top", "text", "x1")))).alias("t"))
     left, right = F.col("a") - F.col("l"), F.col("r_") - F.col("b")
     lines = lines.withColumn("vote", F.when(right > left * 2.5, "left").when(left > right * 2.5, "right").otherwise("center"))
@@ -220,7 +221,7 @@ def strokes(lines: DataFrame, edges: DataFrame, rects: DataFrame, *, thick: floa
 
 
 def stroke_counts(boxes: DataFrame, drawn: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Different upright and level strokes that cross each table's box."""
+    """Different upright and level strokes that cross each table's box; tables that no stroke comes near have no row."""
     s = drawn.select(*PAGE, *[F.col(c).alias(f"s_{c}") for c in ("x0", "top", "x1", "bottom")])
     upright, level = F.abs(F.col("s_x0") - F.col("s_x1")) < 0.75, F.abs(F.col("s_top") - F.col("s_bottom")) < 0.75
     x, y = (F.col("s_x0") + F.col("s_x1")) / 2, (F.col("s_top") + F.col("s_bottom")) / 2
@@ -228,19 +229,23 @@ def stroke_counts(boxes: DataFrame, drawn: DataFrame, tolerance: float = 2.0) ->
     wide = F.least(F.greatest("s_x0", "s_x1"), F.col("x1")) - F.greatest(F.least("s_x0", "s_x1"), F.col("x0"))
     v = upright & x.between(F.col("x0") - tolerance, F.col("x1") + tolerance) & (tall >= F.greatest(F.lit(8.0), (F.col("bottom") - F.col("top")) * 0.15))
     h = ~upright & level & y.between(F.col("top") - tolerance, F.col("bottom") + tolerance) & (wide >= F.greatest(F.lit(12.0), (F.col("x1") - F.col("x0")) * 0.15))
-    met = boxes.join(s, list(PAGE)).groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.when(v, x))).alias("v"), F.array_sort(F.collect_list(F.when(h, y))).alias("h"))
+    low, high = F.least("s_top", "s_bottom"), F.greatest("s_top", "s_bottom")
+    once = F.col("band") == F.greatest(F.floor(low / BAND), F.floor((F.col("top") - tolerance) / BAND))  # the first of the bands that both lie in
+    met = banded(boxes, F.col("top") - tolerance, F.col("bottom") + tolerance).join(banded(s, low, high), [*PAGE, "band"]).where(once)
+    met = met.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.when(v, x))).alias("v"), F.array_sort(F.collect_list(F.when(h, y))).alias("h"))
     return met.select(*TABLE, F.size(distinct_within(F.col("v"), tolerance)).alias("vertical"), F.size(distinct_within(F.col("h"), tolerance)).alias("horizontal"))
 
 
 def table_borders(boxes: DataFrame, lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Widest outer and inner line of each table, and whether any is dashed; half a point without lines."""
+    """Widest outer and inner line of each table, and whether any is dashed; half a point without lines.  Lines have top <= bottom."""
     n = lines.select(*PAGE, *[F.col(c).alias(f"l_{c}") for c in ("x0", "top", "x1", "bottom", "linewidth", "dashed")])
     within = (F.col("l_x0") >= F.col("x0") - tolerance) & (F.col("l_x1") <= F.col("x1") + tolerance) & (F.col("l_top") >= F.col("top") - tolerance) & (F.col("l_bottom") <= F.col("bottom") + tolerance)
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= tolerance
     upright = F.abs(F.col("l_x0") - F.col("l_x1")) < 0.5
     outer = F.when(upright, near("l_x0", "x0") | near("l_x0", "x1")).otherwise(near("l_top", "top") | near("l_bottom", "bottom"))
     width = F.when((F.col("l_linewidth") > 0), F.col("l_linewidth")).otherwise(0.5)
-    found = boxes.join(n, list(PAGE)).where(within).groupBy(*TABLE).agg(F.max(F.when(outer, width)).alias("o"), F.max(F.when(~outer, width)).alias("i"), F.bool_or(F.coalesce("l_dashed", F.lit(False))).alias("d"))
+    n = n.withColumn("band", F.floor(F.col("l_top") / BAND))
+    found = banded(boxes, F.col("top") - tolerance, F.col("bottom") + tolerance).join(n, [*PAGE, "band"]).where(within).groupBy(*TABLE).agg(F.max(F.when(outer, width)).alias("o"), F.max(F.when(~outer, width)).alias("i"), F.bool_or(F.coalesce("l_dashed", F.lit(False))).alias("d"))
     out = boxes.select(*TABLE).distinct().join(found, list(TABLE), "left")
     edge = F.coalesce("o", "i", F.lit(0.5))
     return out.select(*TABLE, edge.alias("outer"), F.coalesce(F.col("i"), edge).alias("inner"), F.coalesce("d", F.lit(False)).alias("dashed"))
@@ -249,17 +254,20 @@ def table_borders(boxes: DataFrame, lines: DataFrame, tolerance: float = 1.0) ->
 def rules_outside(rules: DataFrame, tables: DataFrame, pad: float = 1.0) -> DataFrame:
     """Rules (top, x0, x1, thickness) whose middle lies in no table."""
     t = tables.select(*[F.col(c).alias(f"t_{c}") for c in (*PAGE, "x0", "top", "x1", "bottom")])
+    t = banded(t, F.col("t_top") - pad, F.col("t_bottom") + pad)
     x, y = (rules["x0"] + rules["x1"]) / 2, rules["top"] + rules["thickness"] / 2
     inside = x.between(t["t_x0"] - pad, t["t_x1"] + pad) & y.between(t["t_top"] - pad, t["t_bottom"] + pad)
-    return rules.join(t, [rules[p] == t[f"t_{p}"] for p in PAGE] + [inside], "left_anti")
+    return rules.join(t, [rules[p] == t[f"t_{p}"] for p in PAGE] + [F.floor(y / BAND) == t["band"], inside], "left_anti")
 
 
 def page_images(images: DataFrame, tables: DataFrame, page_area: float, *, most: int = 15) -> DataFrame:
     """A page's images outside its tables, not tiny and not the page itself, in reading order."""
     t = tables.select(*[F.col(c).alias(f"t_{c}") for c in (*PAGE, "x0", "top", "x1", "bottom")])
+    t = banded(t, F.col("t_top"), F.col("t_bottom"))
     box = tuple(images[c] for c in ("x0", "top", "x1", "bottom"))
     other = tuple(t[f"t_{c}"] for c in ("x0", "top", "x1", "bottom"))
-    kept = images.join(t, [images[p] == t[f"t_{p}"] for p in PAGE] + [overlap_of_first(box, other) > 0.5], "left_anti")
+    middle = F.floor((images["top"] + images["bottom"]) / 2 / BAND)  # what covers over half of an image covers its middle
+    kept = images.join(t, [images[p] == t[f"t_{p}"] for p in PAGE] + [middle == t["band"], overlap_of_first(box, other) > 0.5], "left_anti")
     own = tuple(F.col(c) for c in ("x0", "top", "x1", "bottom"))
     kept = kept.where((F.col("x1") - F.col("x0") > 1) & (F.col("bottom") - F.col("top") > 1) & (area(own) >= 1600.0) & (area(own) / page_area <= 0.85))
     place = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.round("top", 1), F.round("x0", 1), "image_no"))
