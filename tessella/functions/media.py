@@ -96,3 +96,38 @@ def least_candidate(candidates: Column) -> Column:
     """The shortest of an array of (bytes, name); of equal ones the first."""
     placed = F.transform(candidates, lambda c, i: F.struct(F.octet_length(c["data"]).alias("n"), i.alias("i"), c["name"].alias("name")))
     return F.array_min(placed)["name"]
+
+
+# ---------------------------------------------------------------- orientation
+
+# The tag that holds the orientation, the size of a directory's entry, the mark before EXIF data in JPEG and PNG files.
+ORIENTATION_TAG, ENTRY_BYTES = 0x0112, 12
+EXIF_MARKS = (("FFD8FF", "Exif\0\0"), ("89504E470D0A1A0A", "eXIf"))
+
+
+def exif_block(data: Column, within: int = 1 << 20) -> Column:
+    """The EXIF data of a JPEG, PNG or TIFF file or of itself, from its byte order on; null without any in the first ``within`` bytes."""
+    head, text = _head(data, 8), F.decode(F.substring(data, 1, within), "ISO-8859-1")
+    at = F.when(head.startswith("49492A00") | head.startswith("4D4D002A"), 1)
+    for signature, mark in EXIF_MARKS:
+        found = F.instr(text, mark)
+        at = at.when(head.startswith(signature) & (found > 0), found + len(mark))
+    return F.substr(data, at)
+
+
+def exif_orientation(data: Column) -> Column:
+    """How an image wants to be turned, 1 to 8, by the first directory of its EXIF data; 1 where that says nothing usable."""
+    block = exif_block(data)
+    little = _head(block, 2) == "4949"
+
+    def number(at: Column, size: int) -> Column:
+        digits = F.hex(F.substr(block, at + 1, F.lit(size)))
+        turned = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+        return F.when(F.length(digits) == 2 * size, F.conv(F.when(little, turned).otherwise(digits), 16, 10).cast("long"))
+
+    start = number(F.lit(4), 4)
+    start = F.when(start < F.length(block), start.cast("int"))
+    count = number(start, 2).cast("int")
+    places = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda k: start + 2 + ENTRY_BYTES * k))
+    value = number(F.get(F.filter(places, lambda p: number(p, 2) == ORIENTATION_TAG), F.lit(0)) + 8, 2)
+    return F.coalesce(F.when(value.between(1, 8), value), F.lit(1)).cast("int")

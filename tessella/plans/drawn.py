@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.functions import media
 from tessella.operators import aligned, cellruns, pixels, strokes
 from tessella.plans import tables as t
 from tessella.plans.registry import query
@@ -170,6 +171,32 @@ bytes AS (SELECT *, CAST(least(greatest(floor(v::DOUBLE * 256) + 128, 0), 255) A
 px AS (SELECT image_id, k % wide AS x, k // wide AS y, wide, 64 // wide AS tall, r, r * 3 % 256 AS g, 255 - r AS b, CASE WHEN image_id % 5 > 0 THEN 255 WHEN r % 4 = 0 THEN 0 ELSE r END AS a FROM bytes)"""
 
 
+def exif_files(spark, sf_dir) -> DataFrame:
+    """Vectors as EXIF data: as many entries before the orientation as the number says, in either byte order, alone, in JPEG or in PNG."""
+    v, little = F.col("vec_id"), F.col("vec_id") % 2 == 0
+
+    def number(value: Column, size: int) -> Column:
+        digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+        return F.when(little, F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])).otherwise(digits)
+
+    def entry(tag: Column, value: Column) -> Column:
+        return F.concat(number(tag, 2), number(F.lit(3), 2), number(F.lit(1), 4), number(value, 2), F.lit("0000"))
+
+    gap, fillers = v % 3, v % 4
+    filler = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), fillers), lambda k: F.when(k < fillers, entry(256 + k, F.lit(6))).otherwise("")), "")
+    directory = F.concat(number(fillers + 1, 2), filler, F.when(v % 11 == 0, entry(F.lit(0x0113), F.lit(5))).otherwise(entry(F.lit(0x0112), v % 10)), F.lit("00000000"))
+    order = F.when(little, "49492A00").otherwise("4D4D002A")
+    exif = F.concat(order, number(8 + gap, 4), F.repeat(F.lit("AA"), gap.cast("int")), directory)
+    wrapped = F.when(v % 5 == 1, F.concat(F.lit("FFD8FFE1FFFF"), F.hex(F.lit("Exif")), F.lit("0000"), exif, F.lit("FFD9"))).when(v % 5 == 2, F.concat(F.lit("89504E470D0A1A0A00000040"), F.hex(F.lit("eXIf")), exif)).when(v % 5 == 3, F.substring(exif, 1, 24)).otherwise(exif)
+    return t.table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(wrapped).alias("data"))
+
+
+@query("SELECT vec_id, CAST(CASE WHEN vec_id % 5 = 3 OR vec_id % 11 = 0 OR vec_id % 10 NOT BETWEEN 1 AND 8 THEN 1 ELSE vec_id % 10 END AS INT) AS orientation FROM embeddings")
+def exif_orientations(spark, sf_dir):
+    """One file in five is cut off before the tag's value."""
+    return exif_files(spark, sf_dir).select("vec_id", media.exif_orientation(F.col("data")).alias("orientation"))
+
+
 @query("""SELECT image_id, CAST(CASE WHEN o IN (2, 3) THEN wide - 1 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN tall - 1 - y ELSE x END AS INT) AS x,
 CAST(CASE WHEN o IN (3, 4) THEN tall - 1 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN wide - 1 - x ELSE y END AS INT) AS y, r, a FROM (SELECT *, image_id % 10 AS o FROM px)""", using=(IMAGES,))
 def images_turned(spark, sf_dir):
