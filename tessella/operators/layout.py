@@ -7,8 +7,9 @@ cells under wide words, which changes the grid it reads and is a fold.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,34 +98,45 @@ def merged_under_words(cells: DataFrame, words: DataFrame, grid: DataFrame, cove
     as they are.
     """
     names, row = cells.columns, [*TABLE, "r"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
-    spans = spanning_words(words, grid, cover)
-
-    def unite(held: pd.DataFrame, wide: pd.DataFrame) -> pd.DataFrame:
-        held = held.reset_index(drop=True)
-        start, stop = held["c"].to_numpy(int), (held["c"] + held["colspan"]).to_numpy(int)
-        text, tall, right = held["text"].fillna("").str.strip().to_numpy(object), (held["rowspan"] > 1).to_numpy(bool), held["x1"].to_numpy(float)
-        at = np.full(max(stop.max(), wide["b"].max() + 1), -1)
-        for k in range(len(held)):
-            at[start[k] : stop[k]] = k
-        for a, b, edge in wide.sort_values("word_no")[["a", "b", "edge"]].itertuples(index=False):
-            own = at[a]
-            if own < 0:
-                continue
-            united = slice(start[own], max(stop[own], b + 1))
-            others = np.setdiff1d(at[united], (-1, own))
-            if tall[others].any() or not set(text[others]) <= {"", text[own]}:
-                continue
-            right[own] = edge if b + 1 > stop[own] else right[own]
-            at[np.isin(at, others)] = -1
-            at[united], stop[own] = own, united.stop
-        kept = np.unique(at[at >= 0])
-        return held.assign(colspan=stop - start, x1=right).iloc[kept][names]
-
-    busy = spans.select(*row).distinct()
-    wide = spans.select(*[F.col(c).alias(f"w_{c}") for c in row], "word_no", "a", "b", "edge")
-    changed = cells.join(busy, row, "left_semi").groupBy(*row).cogroup(wide.groupBy(*[f"w_{c}" for c in row])).applyInPandas(lambda held, wide: unite(held, wide) if len(held) else held, schema)
-    return cells.join(busy, row, "left_anti").select(*names).unionByName(changed)
+    wide = spanning_words(words, grid, cover).groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("word_no", "a", "b", "edge"))).alias("wide"))
+    held = F.struct(*[F.col(f"`{c}`") for c in names])
+    rows = cells.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("c", held.alias("cell")))).alias("held")).join(wide, row, "left")
+    cell = lambda f: F.transform("held", lambda k: k["cell"][f])
+    busy = rows.where("wide IS NOT NULL").select("held", *[cell(f).alias(f) for f in ("c", "colspan", "rowspan", "x1")], F.transform("held", lambda k: F.regexp_replace(F.coalesce(k["cell"]["text"], F.lit("")), r"^\s+|\s+$", "")).alias("text"), "wide")
+    united = busy.mapInArrow(_united, f"held {rows.schema['held'].dataType.simpleString()}, kept array<struct<k:int,colspan:int,x1:double>>")
+    changed = united.select("held", F.explode("kept").alias("n")).select(F.get("held", F.col("n.k"))["cell"].alias("cell"), "n")
+    put = {"colspan": F.col("n.colspan").cast(cells.schema["colspan"].dataType), "x1": F.col("n.x1")}
+    changed = changed.select(*[put[c].alias(c) if c in put else F.col("cell")[c].alias(c) for c in names])
+    same = rows.where("wide IS NULL").select(F.explode("held").alias("h")).select("h.cell.*")
+    return same.unionByName(changed)
+
+
+_KEPT = pa.list_(pa.struct([("k", pa.int32()), ("colspan", pa.int32()), ("x1", pa.float64())]))
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of a table the cells that its wide words leave, by place, with their new widths and right edges."""
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("c", "colspan", "rowspan", "x1", "text", "wide")]
+        kept = []
+        for start, width, height, right, text, wide in zip(*columns, strict=True):
+            stop = [a + n for a, n in zip(start, width, strict=True)]
+            at = [-1] * max(*stop, *(w["b"] + 1 for w in wide))
+            for k, (a, b) in enumerate(zip(start, stop, strict=True)):
+                at[a:b] = [k] * (b - a)
+            for w in wide:
+                own = at[w["a"]]
+                if own < 0:
+                    continue
+                end = max(stop[own], w["b"] + 1)
+                others = set(at[start[own] : end]) - {-1, own}
+                if any(height[k] > 1 or text[k] not in ("", text[own]) for k in others):
+                    continue
+                right[own] = w["edge"] if w["b"] + 1 > stop[own] else right[own]
+                at = [-1 if k in others else k for k in at]
+                at[start[own] : end], stop[own] = [own] * (end - start[own]), end
+            kept.append([{"k": k, "colspan": stop[k] - start[k], "x1": right[k]} for k in sorted(set(at) - {-1})])
+        yield pa.RecordBatch.from_arrays([batch.column("held"), pa.array(kept, _KEPT)], names=["held", "kept"])
 
 
 # ---------------------------------------------------------------- is it a table
