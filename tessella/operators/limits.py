@@ -16,12 +16,50 @@ from pyspark.sql.window import Window
 from tessella.operators.folds import ordered_fold
 
 
-def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int, window: float) -> DataFrame:
+#: A slice of time holds so many horizons; its rows and their neighbours meet in one task.
+SLICE_HORIZONS = 8
+
+
+def _stretches(rows: DataFrame, *, key: str, item: str, window: float, horizon: float, most: int) -> DataFrame:
+    """rows (_t, _bad) with _count, _open, _folded and _part: a busy key cut into stretches that need not know of each other.
+
+    _count is how many bad rows lie within ``window`` up to the row.  As a limit
+    only ever refuses some of them, a row is settled where no row of the
+    ``horizon`` before it counts more than ``most``; others are _open.  Only
+    open rows and those within a horizon before them have to be folded
+    (_folded), and a fold starts anew after a gap of a horizon.  All of this is
+    found in slices of time that see their neighbours' rows, so what meets in a
+    task is a few horizons of a key and never its whole past.
+    """
+    width, reach = max(SLICE_HORIZONS * horizon, 1.0), horizon * 1.001
+    slices = F.sequence(F.floor((F.col("_t") - reach) / width), F.floor((F.col("_t") + 3 * reach) / width))
+    near = rows.withColumn("_own", F.floor(F.col("_t") / width)).withColumn("_slice", F.explode(slices))
+    ordered = Window.partitionBy(key, "_slice").orderBy("_t", item)
+    upto, before = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, -1)
+    spanned = lambda value, bounds: F.expr(f"{value} OVER (PARTITION BY `{key}`, _slice ORDER BY _t RANGE BETWEEN {bounds})")
+    past, ahead = f"{horizon!r}D PRECEDING AND CURRENT ROW", f"CURRENT ROW AND {horizon!r}D FOLLOWING"
+    seen = near.withColumn("_sum", F.sum(F.col("_bad").cast("long")).over(upto))
+    seen = seen.withColumn("_count", F.col("_sum") - spanned("min(_sum - CAST(_bad AS LONG))", f"{window!r}D PRECEDING AND CURRENT ROW")).withColumn("_over", F.col("_bad") & (F.col("_count") > most))
+    seen = seen.withColumn("_open", spanned("max(_over)", past)).withColumn("_folded", spanned("max(_open)", ahead))
+    last = F.last(F.when(F.col("_folded"), F.col("_t")), ignorenulls=True).over(before)
+    starts = F.when(F.col("_folded") & F.coalesce(last < F.col("_t") - horizon, F.lit(True)), F.col("_t"))
+    own = seen.withColumn("_start", starts).where("_slice = _own").withColumn("_latest", F.max("_start").over(upto))
+    # the last start of an earlier slice, from one row a slice
+    ends = own.groupBy(F.col(key).alias("_key"), F.col("_own").alias("_at")).agg(F.max("_start").alias("_end"))
+    carried = ends.withColumn("_carry", F.max("_end").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    joined = own.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_at")), "left")
+    part = F.when(F.col("_folded"), F.coalesce("_latest", "_carry")).otherwise(F.col("_own").cast("double"))
+    return joined.select(*rows.columns, "_count", "_open", "_folded", part.alias("_part"))
+
+
+def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int, window: float, spread: bool = False) -> DataFrame:
     """allowed, remaining and retry_after of each event, in the order of (time, item) per key.
 
     A hit that is exactly ``window`` old still counts.  ``retry_after`` is the
     whole seconds left and one more.  A limit of 0 or less allows all, with -1
-    remaining.  ``time`` is in seconds.
+    remaining.  ``time`` is in seconds.  ``spread`` is for keys with more hits
+    than one task should read: the same rows, found stretch by stretch; only a
+    stretch in which a key keeps passing its limit stays in one task.
     """
     if limit <= 0:
         return events.select(key, item, F.lit(True).alias("allowed"), F.lit(-1).cast("long").alias("remaining"), F.lit(0).cast("long").alias("retry_after"))
@@ -29,25 +67,30 @@ def rate_limit(events: DataFrame, *, key: str, time: str, item: str, limit: int,
     def fresh():
         hits: deque[float] = deque()
 
-        def step(t: float) -> tuple[bool, int, int]:
+        def step(t: float, count: int | None = None, unsure: bool = True) -> tuple[bool, int, int]:
             while hits and hits[0] < t - window:
                 hits.popleft()
             if len(hits) >= limit:
                 return False, 0, max(1, int(window - (t - hits[0])) + 1)
             hits.append(t)
-            return True, limit - len(hits), 0
+            return True, limit - (len(hits) if unsure else count), 0
 
         return step
 
-    rows = events.select(key, item, F.col(time).cast("double").alias("_t"))
-    return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t",), fresh=fresh, adds="allowed boolean, remaining long, retry_after long").drop("_t")
+    rows, adds = events.select(key, item, F.col(time).cast("double").alias("_t")), "allowed boolean, remaining long, retry_after long"
+    if not spread:
+        return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t",), fresh=fresh, adds=adds).drop("_t")
+    cut = _stretches(rows.withColumn("_bad", F.lit(True)), key=key, item=item, window=float(window), horizon=float(window), most=limit)
+    return ordered_fold(cut.drop("_bad"), key=(key, "_folded", "_part"), order=("_t", item), reads=("_t", "_count", "_open"), fresh=fresh, adds=adds).select(key, item, "allowed", "remaining", "retry_after")
 
 
-def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str, max_failures: int, window: float, lockout: float) -> DataFrame:
+def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str, max_failures: int, window: float, lockout: float, spread: bool = False) -> DataFrame:
     """Whether each attempt met a lock, whether it set one, and the whole seconds to wait, at least 1 where locked.
 
     Reaching ``max_failures`` within the window sets a lock and clears the
     window; a locked attempt changes nothing; a success clears the window.
+    ``spread`` is for keys with more attempts than one task should read, as in
+    ``rate_limit``.
     """
 
     def fresh():
@@ -72,7 +115,11 @@ def lockouts(events: DataFrame, *, key: str, time: str, item: str, failed: str,
         return step
 
     rows = events.select(key, item, F.col(time).cast("double").alias("_t"), F.coalesce(F.col(failed), F.lit(False)).alias("_bad"))
-    return ordered_fold(rows, key=(key,), order=("_t", item), reads=("_t", "_bad"), fresh=fresh, adds="locked boolean, sets_lock boolean, wait long").drop("_t", "_bad")
+    parts = (key,)
+    if spread:
+        rows = _stretches(rows, key=key, item=item, window=float(window), horizon=float(max(window, lockout)), most=max_failures - 1)
+        parts = (key, "_folded", "_part")
+    return ordered_fold(rows, key=parts, order=("_t", item), reads=("_t", "_bad"), fresh=fresh, adds="locked boolean, sets_lock boolean, wait long").select(key, item, "locked", "sets_lock", "wait")
 
 
 def client_key(forwarded: Column, host: Column) -> Column:

@@ -251,33 +251,55 @@ def tool_of_url(spark, sf_dir):
 # ---------------------------------------------------------------- limits and jobs
 
 
-@query(
-    """SELECT user_id, event_id, allowed, remaining, retry_after FROM run WHERE n > 0""",
-    using=(
-        "RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
-        """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, true AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM hits WHERE n = 1
-        UNION ALL SELECT user_id, event_id, n, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END, len(kept) < 2, CAST(greatest(0, 1 - len(kept)) AS BIGINT), CASE WHEN len(kept) < 2 THEN 0 ELSE greatest(1, CAST(trunc(21600 - (t - kept[1])) AS BIGINT) + 1) END
-        FROM (SELECT h.user_id, h.event_id, h.n, h.t, list_filter(r.open, lambda x: x >= h.t - 21600) AS kept FROM run r JOIN hits h ON h.user_id = r.user_id AND h.n = r.n + 1))""",
-    ),
-)
+def _limit_sql(key: str, limit: int, window: int) -> dict:
+    """Hit after hit of each key, as the limiter takes them."""
+    return {
+        "sql": f"SELECT {key}, event_id, allowed, remaining, retry_after FROM run WHERE n > 0",
+        "using": (
+            f"RECURSIVE hits AS (SELECT {key}, event_id, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events)",
+            f"""run AS (SELECT {key}, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, true AS allowed, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after FROM hits WHERE n = 1
+        UNION ALL SELECT {key}, event_id, n, CASE WHEN len(kept) < {limit} THEN list_append(kept, t) ELSE kept END, len(kept) < {limit}, CAST(greatest(0, {limit - 1} - len(kept)) AS BIGINT), CASE WHEN len(kept) < {limit} THEN 0 ELSE greatest(1, CAST(trunc({window} - (t - kept[1])) AS BIGINT) + 1) END
+        FROM (SELECT h.{key}, h.event_id, h.n, h.t, list_filter(r.open, lambda x: x >= h.t - {window}) AS kept FROM run r JOIN hits h ON h.{key} = r.{key} AND h.n = r.n + 1))""",
+        ),
+    }
+
+
+def _lockout_sql(key: str, most: int, window: int, lockout: int) -> dict:
+    return {
+        "sql": f"SELECT {key}, event_id, locked, sets_lock, wait FROM run WHERE n > 0",
+        "using": (
+            f"RECURSIVE hits AS (SELECT {key}, event_id, epoch_us(ts) / 1000000.0 AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM (SELECT *, event_id % 2 AS half FROM events))",
+            f"""run AS (SELECT {key}, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, CAST('-infinity' AS DOUBLE) AS until, false AS locked, false AS sets_lock, CAST(0 AS BIGINT) AS wait FROM hits WHERE n = 1
+        UNION ALL SELECT {key}, event_id, n, CASE WHEN shut THEN open WHEN NOT failed OR len(kept) >= {most} THEN CAST([] AS DOUBLE[]) ELSE kept END, CASE WHEN NOT shut AND failed AND len(kept) >= {most} THEN t + {lockout} ELSE until END, shut, NOT shut AND failed AND len(kept) >= {most}, CASE WHEN shut THEN greatest(1, CAST(trunc(until - t) AS BIGINT)) WHEN failed AND len(kept) >= {most} THEN {lockout} ELSE 0 END
+        FROM (SELECT h.{key}, h.event_id, h.n, h.t, h.failed, r.open, r.until, r.until > h.t AS shut, list_append(list_filter(r.open, lambda x: x >= h.t - {window}), h.t) AS kept FROM run r JOIN hits h ON h.{key} = r.{key} AND h.n = r.n + 1))""",
+        ),
+    }
+
+
+@query(**_limit_sql("user_id", 2, 21600))
 def rate_limited(spark, sf_dir):
     return limits.rate_limit(t.events(spark, sf_dir), key="user_id", time="t", item="event_id", limit=2, window=21600.0)
 
 
-@query(
-    """SELECT user_id, event_id, locked, sets_lock, wait FROM run WHERE n > 0""",
-    using=(
-        "RECURSIVE hits AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0 AS t, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)",
-        """run AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS open, CAST('-infinity' AS DOUBLE) AS until, false AS locked, false AS sets_lock, CAST(0 AS BIGINT) AS wait FROM hits WHERE n = 1
-        UNION ALL SELECT user_id, event_id, n, CASE WHEN shut THEN open WHEN NOT failed OR len(kept) >= 3 THEN CAST([] AS DOUBLE[]) ELSE kept END, CASE WHEN NOT shut AND failed AND len(kept) >= 3 THEN t + 43200 ELSE until END, shut, NOT shut AND failed AND len(kept) >= 3, CASE WHEN shut THEN greatest(1, CAST(trunc(until - t) AS BIGINT)) WHEN failed AND len(kept) >= 3 THEN 43200 ELSE 0 END
-        FROM (SELECT h.user_id, h.event_id, h.n, h.t, h.failed, r.open, r.until, r.until > h.t AS shut, list_append(list_filter(r.open, lambda x: x >= h.t - 86400), h.t) AS kept FROM run r JOIN hits h ON h.user_id = r.user_id AND h.n = r.n + 1))""",
-    ),
-)
+@query(**_limit_sql("event_type", 3, 3600))
+def rate_limited_busy(spark, sf_dir):
+    """A few keys with all hits, cut into stretches of time."""
+    return limits.rate_limit(t.events(spark, sf_dir), key="event_type", time="t", item="event_id", limit=3, window=3600.0, spread=True)
+
+
+@query(**_lockout_sql("user_id", 3, 86400, 43200))
 def lockouts(spark, sf_dir):
     rows = t.events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error")
     return limits.lockouts(rows, key="user_id", time="t", item="event_id", failed="failed", max_failures=3, window=86400.0, lockout=43200.0)
 
 
+@query(**_lockout_sql("half", 2, 3600, 1800))
+def lockouts_busy(spark, sf_dir):
+    """Two keys with all attempts, cut into stretches of time."""
+    rows = t.events(spark, sf_dir).withColumns({"failed": F.col("event_type") == "error", "half": F.col("event_id") % 2})
+    return limits.lockouts(rows, key="half", time="t", item="event_id", failed="failed", max_failures=2, window=3600.0, lockout=1800.0, spread=True)
+
+
 @query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY user_id")
 def latest_states(spark, sf_dir):
     return limits.latest_state(t.table(spark, sf_dir, "events"), key="user_id", time="ts", order="event_id", fields=("event_type", "value"))
