@@ -14,6 +14,8 @@ from tessella.operators import catalog as tools
 from tessella.operators import geometry, limits, packages, records
 from tessella.plans import tables as t
 from tessella.plans.registry import oracle_sql, queries, query
+from tessella.streaming import state
+from tessella.streaming.replay import replayed
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
@@ -300,6 +302,25 @@ def lockouts_busy(spark, sf_dir):
     return limits.lockouts(rows, key="half", time="t", item="event_id", failed="failed", max_failures=2, window=3600.0, lockout=1800.0, spread=True)
 
 
+def _keyed_events(spark, sf_dir):
+    e = t.events(spark, sf_dir)
+    return e.select(F.col("user_id").cast("string").alias("key"), F.col("t").cast("double").alias("t"), F.col("event_id").alias("item"), (F.col("event_type") == "error").alias("failed"))
+
+
+@query(**_limit_sql("user_id", 2, 21600))
+def rate_limited_replay(spark, sf_dir):
+    """The limiter on events that come as a stream, with state that expires."""
+    found = replayed(_keyed_events(spark, sf_dir), lambda s: state.limited(s, limit=2, window=21600.0), time="t")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("item").alias("event_id"), "allowed", "remaining", "retry_after")
+
+
+@query(**_lockout_sql("user_id", 3, 86400, 43200))
+def lockouts_replay(spark, sf_dir):
+    """Lockouts on attempts that come as a stream."""
+    found = replayed(_keyed_events(spark, sf_dir), lambda s: state.locked(s, max_failures=3, window=86400.0, lockout=43200.0), time="t")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.col("item").alias("event_id"), "locked", "sets_lock", "wait")
+
+
 @query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY user_id")
 def latest_states(spark, sf_dir):
     return limits.latest_state(t.table(spark, sf_dir, "events"), key="user_id", time="ts", order="event_id", fields=("event_type", "value"))

@@ -1,52 +1,163 @@
-"""Streaming forms of the per-key folds: a sliding-window limiter and jobs that expire."""
+"""Streaming forms of the per-key folds: limiter, lockout and jobs, with state that expires.
+
+Times are event times.  A timer drops a key's state once the watermark has
+passed the last moment at which it could matter, so what is held follows the
+keys that are alive; an initial state carries on where a batch or another
+stream ended.  Within a batch the events of a key are taken in order.  Rows
+that come later than the watermark allows, which starts at 0, are left out by
+the engine.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers need, for the queries that start within."""
+    old = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if old is None else spark.conf.set(STORE, old)
+
+
+class _Expiring(StatefulProcessor):
+    """One value per key, which a timer drops."""
+
+    schema = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", self.schema)
+
+    def keep(self, value: tuple, until: float) -> None:
+        """Holds a value until the watermark has passed ``until`` (seconds), in place of what was held."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.held.update(value)
+        self.handle.registerTimer(math.floor(until * 1000) + 1)
 
+    def drop(self) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.held.clear()
 
-def limited(events: DataFrame, *, limit: int, window: float) -> DataFrame:
-    """allowed and remaining of each event (key string, t double seconds, item long).
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values(["t", "item"], kind="stable")
+
+
+class _Limiter(_Expiring):
+    schema = "open array<double>"
+
+    def __init__(self, limit: int, window: float) -> None:
+        self.limit, self.window = limit, window
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        times = sorted(float(t) for t in initialState["t"])
+        self.keep((times,), times[-1] + self.window)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        held = list(self.held.get()[0]) if self.held.exists() else []
+        out = []
+        for t, item in _in_order(rows)[["t", "item"]].itertuples(index=False):
+            held = [x for x in held if x >= t - self.window]
+            allowed = len(held) < self.limit
+            wait = 0 if allowed else max(1, int(self.window - (t - held[0])) + 1)
+            held += [float(t)] * allowed
+            out.append((key[0], int(item), allowed, self.limit - len(held), wait))
+        self.keep((held,), held[-1] + self.window)
+        yield pd.DataFrame(out, columns=["key", "item", "allowed", "remaining", "retry_after"])
+
+
+class _Lockout(_Expiring):
+    schema = "open array<double>, until double"
+
+    def __init__(self, most: int, window: float, lockout: float) -> None:
+        self.most, self.window, self.lockout = most, window, lockout
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        open_, until = self.held.get() if self.held.exists() else ([], -math.inf)
+        failures, out = list(open_), []
+        for t, item, failed in _in_order(rows)[["t", "item", "failed"]].itertuples(index=False):
+            locked = until > t
+            sets = False
+            if not locked and failed is not None and bool(failed):
+                failures = [x for x in failures if x >= t - self.window] + [float(t)]
+                sets = len(failures) >= self.most
+            elif not locked:
+                failures = []
+            if sets:
+                failures, until = [], float(t) + self.lockout
+            out.append((key[0], int(item), locked, sets, max(1, int(until - t)) if locked else max(1, int(self.lockout)) if sets else 0))
+        ends = [until] * (until > -math.inf) + [x + self.window for x in failures[-1:]]
+        self.keep((failures, until), max(ends)) if ends else self.drop()
+        yield pd.DataFrame(out, columns=["key", "item", "locked", "sets_lock", "wait"])
+
+
+class _Jobs(_Expiring):
+    schema = "status string, t double"
+
+    def __init__(self, ttl: float) -> None:
+        self.ttl = ttl
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        last = _in_order(rows).iloc[-1]
+        status, t = str(last["status"]), float(last["t"])
+        if self.held.exists() and self.held.get()[1] > t:
+            status, t = self.held.get()
+        self.keep((status, t), t + self.ttl)
+        yield pd.DataFrame([(key[0], status)], columns=["job", "status"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self.held.clear()
+        yield pd.DataFrame([(key[0], "reclaimed")], columns=["job", "status"])
+
+
+def _timed(events: DataFrame, late: str, *columns: Column | str) -> DataFrame:
+    return events.select(*columns, F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("_at")).withWatermark("_at", late)
+
+
+def limited(events: DataFrame, *, limit: int, window: float, late: str = "10 minutes", initial: DataFrame | None = None) -> DataFrame:
+    """allowed, remaining and retry_after of each event (key string, t double seconds, item long); limit at least 1.
 
     State per key is the times still inside the window, at most ``limit`` of
-    them.  Within a batch events are taken in the order of (t, item).
+    them.  ``initial`` (key, t) has the hits that were allowed before.
     """
+    timed = _timed(events, late, "key", "t", "item").groupBy("key")
+    return timed.transformWithStateInPandas(_Limiter(limit, window), "key string, item long, allowed boolean, remaining long, retry_after long", "append", "EventTime", initial.select("key", "t").groupBy("key") if initial is not None else None)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["t", "item"])
-        out = []
-        for t, item in rows[["t", "item"]].itertuples(index=False):
-            held = [x for x in held if x >= t - window]
-            ok = len(held) < limit
-            if ok:
-                held.append(float(t))
-            out.append((key[0], int(item), ok, max(0, limit - len(held))))
-        state.update((held,))
-        yield pd.DataFrame(out, columns=["key", "item", "allowed", "remaining"])
-
-    return events.groupBy("key").applyInPandasWithState(step, "key string, item long, allowed boolean, remaining long", "open array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def job_states(events: DataFrame, *, ttl_ms: int = 3_600_000) -> DataFrame:
-    """The latest status of each job (job string, status string, ts timestamp); a job untouched for ``ttl_ms`` is ``reclaimed``."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(key[0], "reclaimed")], columns=["job", "status"])
-            return
-        last = pd.concat(list(batches)).sort_values("ts").iloc[-1]
-        state.update((str(last["status"]),))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(key[0], str(last["status"]))], columns=["job", "status"])
-
-    return events.groupBy("job").applyInPandasWithState(step, "job string, status string", "status string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+def locked(events: DataFrame, *, max_failures: int, window: float, lockout: float, late: str = "10 minutes") -> DataFrame:
+    """locked, sets_lock and wait of each attempt (key string, t double seconds, item long, failed boolean)."""
+    timed = _timed(events, late, "key", "t", "item", "failed").groupBy("key")
+    return timed.transformWithStateInPandas(_Lockout(max_failures, window, lockout), "key string, item long, locked boolean, sets_lock boolean, wait long", "append", "EventTime")
+
+
+def job_states(events: DataFrame, *, ttl: float = 3600.0, late: str = "10 minutes") -> DataFrame:
+    """The latest status of each job (job string, t double seconds, item long, status string); once the watermark has passed ``ttl`` seconds without a change it is ``reclaimed``."""
+    timed = _timed(events, late, "job", "t", "item", "status").groupBy("job")
+    return timed.transformWithStateInPandas(_Jobs(ttl), "job string, status string", "update", "EventTime")
 
 
 def counted_in_windows(events: DataFrame, *, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

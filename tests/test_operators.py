@@ -206,13 +206,3 @@ def test_missing_engines_are_named():
         if engine.missing():
             with pytest.raises(gated.Unavailable, match=engine.name):
                 engine.require()
-
-
-def test_streams(spark, tmp_path):
-    hits = [("k", 0.0, 1), ("k", 1.0, 2), ("k", 2.0, 3), ("j", 2.0, 4)]
-    source, path = spark.createDataFrame(hits, "key string, t double, item long"), f"file://{tmp_path}/in"
-    source.coalesce(1).write.parquet(path)
-    stream = state.limited(spark.readStream.schema(source.schema).parquet(path), limit=2, window=60.0)
-    q = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r.item: r.allowed for r in spark.table("limited").collect()} == {1: True, 2: True, 3: False, 4: True}
