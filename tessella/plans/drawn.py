@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions import media
+from tessella.functions import media, pdf
 from tessella.operators import aligned, cellruns, pixels, strokes
 from tessella.plans import tables as t
 from tessella.plans.registry import query
@@ -268,21 +268,79 @@ def moving(spark, sf_dir) -> DataFrame:
     return px.where("r % 3 > 0 OR frame = 0")
 
 
-@query(
-    """SELECT image_id, CAST(frame AS INT) AS frame, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, CAST(a AS INT) AS a FROM (
+_COMPOSED = {
+    "sql": """SELECT image_id, CAST(frame AS INT) AS frame, CAST(x AS INT) AS x, CAST(y AS INT) AS y, r, CAST(a AS INT) AS a FROM (
       SELECT f.image_id, f.frame, q.k % 8 AS x, q.k // 8 AS y, coalesce(last_value(CASE WHEN s.frame % 3 < 2 OR s.frame = f.frame THEN s.r END IGNORE NULLS) OVER (PARTITION BY f.image_id, f.frame, q.k ORDER BY s.frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS r,
         CASE WHEN max(CASE WHEN s.frame % 3 < 2 OR s.frame = f.frame THEN 1 END) OVER (PARTITION BY f.image_id, f.frame, q.k) = 1 THEN 255 ELSE 0 END AS a, row_number() OVER (PARTITION BY f.image_id, f.frame, q.k ORDER BY s.frame DESC NULLS LAST) AS n
       FROM frames_ f CROSS JOIN range(0, 64) AS q(k) LEFT JOIN shown s ON s.image_id = f.image_id AND s.k = q.k AND s.frame <= f.frame AND s.frame > f.cleared) WHERE n = 1""",
-    using=(
+    "using": (
         "shown AS (SELECT vec_id // 10 AS image_id, vec_id % 10 AS frame, k, r FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, CAST(least(greatest(floor(unnest(embedding)::DOUBLE * 256) + 128, 0), 255) AS INT) AS r FROM embeddings WHERE vec_id % 10 < 6) WHERE r % 3 > 0 OR vec_id % 10 = 0)",
         "frames_ AS (SELECT vec_id // 10 AS image_id, vec_id % 10 AS frame, CASE WHEN vec_id % 10 > 4 THEN 4 ELSE -1 END AS cleared FROM embeddings WHERE vec_id % 10 < 6)",
     ),
-)
-def images_composed(spark, sf_dir):
-    """Whole frames of moving pictures: every third frame is taken back after it was shown, and after the fifth all is cleared."""
+}
+
+
+def _whole_frames(spark, sf_dir) -> DataFrame:
     px = moving(spark, sf_dir)
     frame = F.col("vec_id") % 10
     frames = t.table(spark, sf_dir, "embeddings").where("vec_id % 10 < 6").select(
         F.floor(F.col("vec_id") / 10).alias("image_id"), frame.cast("int").alias("frame"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.when(frame == 4, "background").when(frame % 3 == 2, "previous").otherwise("none").alias("disposal")
     )
-    return pixels.composed(px, frames).select("image_id", "frame", "x", "y", "r", "a")
+    return pixels.composed(px, frames)
+
+
+@query(**_COMPOSED)
+def images_composed(spark, sf_dir):
+    """Whole frames of moving pictures: every third frame is taken back after it was shown, and after the fifth all is cleared."""
+    return _whole_frames(spark, sf_dir).select("image_id", "frame", "x", "y", "r", "a")
+
+
+@query(**_COMPOSED)
+def images_animated(spark, sf_dir):
+    """The same frames written as animated PNG files and read back."""
+    packed = pixels.to_apng(_whole_frames(spark, sf_dir).withColumn("delay_ms", 40 + F.col("frame")))
+    return pixels.from_apng(packed).where("delay_ms = 40 + frame").select("image_id", "frame", "x", "y", "r", "a")
+
+
+@query(
+    """SELECT image_id, 3::BIGINT AS kind, count(DISTINCT (pr, pg, pb)) AS colours, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * (pr + 2 * pg + 3 * pb)) AS BIGINT) AS total FROM (SELECT image_id, r, g, b, n, pr, pg, pb FROM h3 JOIN palette USING (image_id)
+    QUALIFY row_number() OVER (PARTITION BY image_id, r, g, b ORDER BY (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), palette.box) = 1) GROUP BY image_id""",
+    using=(IMAGES, *_palette_sql(3)),
+)
+def images_indexed(spark, sf_dir):
+    """Vectors as images in eight colours, written as PNG files with a palette and read back."""
+    packed = pixels.to_png(pixels.quantised(_pictures(spark, sf_dir), 3), palettes=True)
+    kinds = packed.select("image_id", F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).cast("long").alias("kind"))
+    back = pixels.from_png(packed).groupBy("image_id").agg(F.count_distinct("r", "g", "b").alias("colours"), F.count("*").alias("n"), F.sum(F.expr("r + 2 * g + 3 * b")).cast("long").alias("total"))
+    return back.join(kinds, "image_id").select("image_id", "kind", "colours", "n", "total")
+
+
+_SPACES = ("/DeviceGray", "/DeviceRGB", "/DeviceCMYK", "/Indexed")
+
+
+def image_streams(spark, sf_dir) -> DataFrame:
+    """Vectors as embedded images in four colour spaces, in turn plain and as hexadecimal text."""
+    v = F.col("vec_id")
+    byte = lambda x: F.least(F.greatest(F.floor(x.cast("double") * 256) + 128, F.lit(0)), F.lit(255))
+    digits = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(byte(x).cast("long")), 2, "0")), "")
+    colours = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (i, 255 - i, i * 7 % 256)])), ""))
+    plain, side = F.floor(v / 4) % 2 == 0, lambda *sizes: F.element_at(F.array(*map(F.lit, sizes)), (v % 4 + 1).cast("int"))
+    space = F.array(side(*_SPACES))
+    return t.table(spark, sf_dir, "embeddings").select(
+        v.alias("image_id"), F.when(plain, F.unhex(digits)).otherwise(F.encode(F.concat(digits, F.lit(">")), "UTF-8")).alias("data"), pdf.filter_names(F.when(~plain, F.array(F.lit("/ASCIIHexDecode")))).alias("filters"),
+        side(8, 7, 4, 8).alias("width"), side(8, 3, 4, 8).alias("height"), F.lit(8).alias("bits"), pdf.colour_kind(space).alias("kind"), (v % 13 == 12).alias("mask"), F.lit(1).alias("predictor"), colours.alias("colours"),
+    )
+
+
+@query(
+    """SELECT image_id, CAST(p % w AS INT) AS x, CAST(p // w AS INT) AS y, CAST(CASE kind WHEN 2 THEN n - (c0 * n + 127) // 255 ELSE c0 END AS INT) AS r,
+    CAST(CASE kind WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN n - (c1 * n + 127) // 255 ELSE 255 - c0 END AS INT) AS g, CAST(CASE kind WHEN 0 THEN c0 WHEN 1 THEN c2 WHEN 2 THEN n - (c2 * n + 127) // 255 ELSE c0 * 7 % 256 END AS INT) AS b, 255 AS a FROM spots""",
+    using=(
+        "raw AS (SELECT vec_id AS image_id, vec_id % 4 AS kind, list_transform(embedding, lambda v: CAST(least(greatest(floor(v::DOUBLE * 256) + 128, 0), 255) AS INT)) AS s FROM embeddings WHERE vec_id % 13 <> 12)",
+        "sized AS (SELECT *, CASE kind WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 1 END AS step, CASE kind WHEN 1 THEN 7 WHEN 2 THEN 4 ELSE 8 END AS w, CASE kind WHEN 1 THEN 21 WHEN 2 THEN 16 ELSE 64 END AS places FROM raw)",
+        "spots AS (SELECT image_id, kind, w, p, s[p * step + 1] AS c0, s[p * step + 2] AS c1, s[p * step + 3] AS c2, 255 - s[p * step + 4] AS n FROM (SELECT *, unnest(range(places)) AS p FROM sized WHERE len(s) >= places * step))",
+    ),
+)
+def images_embedded(spark, sf_dir):
+    """Image streams as documents embed them, as pixels; one in thirteen is a mask and has none."""
+    return pixels.from_streams(image_streams(spark, sf_dir))
