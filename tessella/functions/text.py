@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.let import let
+
 # Character classes of the layout rules.
 CJK = r"\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef"
 CJK_PUNCT = "，。！？；：、…—·「」『』【】《》（）'［］｛｝～\u2018\u2019\u201c\u201d"
@@ -90,16 +92,42 @@ def soft_join(left: Column, right: Column, *, normalized: bool = False) -> Colum
 def normalize_newlines(text: Column) -> Column:
     """Line breaks of wrapping go; those after a sentence or before a list item stay.
 
-    A fold over the lines: what is decided at a break reads the text so far.
+    A break is judged by the last mark before it, which is the line break itself
+    after a blank line, and by the line that follows; so all breaks of a text
+    are judged at once.
     """
     lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), normalize_spacing)
 
-    def step(out: Column, line: Column) -> Column:
-        a, b = F.rtrim(out), F.ltrim(line)
-        soft = (a != "") & (b != "") & ~ends_sentence(a) & ~starts_list_item(b)
-        return F.when(soft, soft_join(a, b, normalized=True)).otherwise(F.concat(a, F.lit("\n"), F.rtrim(b)))
+    def joined(lines: Column) -> Column:
+        ends = F.transform(lines, lambda line, i: F.when((F.ltrim(line) == "") & (i > 0), "\n").otherwise(_last(F.rtrim(line))))
+        starts = F.transform(lines, lambda line: F.ltrim(line))
+        before = F.concat(F.array(F.lit("")), F.slice(ends, F.lit(1), F.size(ends) - 1))
+
+        def seam(z: Column, b: Column) -> Column:
+            """What a break becomes: a line break, nothing in place of a hyphen (-), nothing, or a space."""
+            s = _first(b)
+            soft = (z != "") & (b != "") & ~_in(SENTENCE_ENDS, z) & ~starts_list_item(b)
+            hyphen = (z == "-") & s.rlike(r"\p{L}") & ~has_cjk(s)
+            tight = (_cjk_like(z) & (_cjk_like(s) | s.rlike(r"[\p{L}\p{N}]"))) | _cjk_like(s) | _in(OPENERS, s) | _in(CLOSERS, z)
+            return F.when(~soft, "\n").when(hyphen, "-").when(tight, "").otherwise(" ")
+
+        return let(F.zip_with(before, starts, seam), lambda seams: laid(lines, starts, seams))
+
+    def laid(lines: Column, starts: Column, seams: Column) -> Column:
+        after = F.concat(F.slice(seams, F.lit(2), F.size(seams) - 1), F.array(F.lit("end")))
+        bodies = F.concat(F.slice(lines, 1, 1), F.slice(starts, F.lit(2), F.size(starts) - 1))
+        rows = F.arrays_zip(seams.alias("seam"), after.alias("after"), bodies.alias("body"))
+
+        def piece(row: Column, i: Column) -> Column:
+            # a last line that was joined keeps its spaces, as nothing follows that would close them up
+            whole = (row["after"] == "end") & ((i == 0) | (row["seam"] != "\n"))
+            body = F.when(whole, row["body"]).otherwise(F.rtrim(row["body"]))
+            cut = F.when(row["after"] == "-", F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+            return F.when((i == 0) | (row["seam"] == "-"), cut).otherwise(F.concat(row["seam"], cut))
+
+        return F.array_join(F.transform(rows, piece), "")
 
-    return F.aggregate(F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1)), F.element_at(lines, 1), step)
+    return let(lines, joined)
 
 
 # ---------------------------------------------------------------- names, paths, headers

@@ -391,7 +391,28 @@ def spacing(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select("doc_id", text.normalize_spacing(F.col("text")).alias("spaced"))
 
 
-@query()
+_SPACED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '[\\x{{00a0}}\\x{{2000}}-\\x{{200b}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g'), ' +({_MARKS})', '\\1', 'g'), '({_MARKS}) +', '\\1', 'g'), ' {{2,}}', ' ', 'g')"
+_IDEOGRAPH = f"[{text.CJK.encode().decode('unicode_escape')}]"
+
+
+def _near_cjk(c: str) -> str:
+    marks = (text.CJK_PUNCT + text.CLOSERS_BY_CJK).replace("'", "''")
+    return f"(regexp_matches({c}, '{_IDEOGRAPH}') OR ({c} <> '' AND contains('{marks}', {c})))"
+
+
+@query(
+    "SELECT doc_id, CASE WHEN text IS NOT NULL THEN joined END AS joined FROM documents LEFT JOIN (SELECT doc_id, string_agg(CASE WHEN seam IN ('', '-') THEN '' ELSE seam END || piece, '' ORDER BY i) AS joined FROM pieces GROUP BY doc_id) USING (doc_id)",
+    using=(
+        "flat AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL))",
+        f"spaced AS (SELECT doc_id, i, {_SPACED} AS l FROM flat)",
+        "ends AS (SELECT doc_id, i, l, ltrim(l, ' ') AS b, left(ltrim(l, ' '), 1) AS s, lag(CASE WHEN i > 0 AND trim(l, ' ') = '' THEN chr(10) ELSE right(rtrim(l, ' '), 1) END) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM spaced)",
+        f"""seams AS (SELECT *, CASE WHEN i = 0 THEN '' WHEN z = '' OR b = '' OR contains('{text.SENTENCE_ENDS}', z) OR regexp_matches(b, '{text.LIST_START}') THEN chr(10)
+        WHEN z = '-' AND regexp_matches(s, '\\p{{L}}') AND NOT regexp_matches(s, '{_IDEOGRAPH}') THEN '-'
+        WHEN ({_near_cjk("z")} AND ({_near_cjk("s")} OR regexp_matches(s, '[\\p{{L}}\\p{{N}}]'))) OR {_near_cjk("s")} OR contains('{text.OPENERS}', s) OR contains('{text.CLOSERS}', z) THEN '' ELSE ' ' END AS seam FROM ends)""",
+        """next_ AS (SELECT *, lead(seam) OVER (PARTITION BY doc_id ORDER BY i) AS after, CASE WHEN i = 0 THEN l ELSE b END AS body FROM seams)""",
+        "pieces AS (SELECT doc_id, i, seam, CASE WHEN after IS NULL AND (i = 0 OR seam <> chr(10)) THEN body WHEN after = '-' THEN left(rtrim(body, ' '), -1) ELSE rtrim(body, ' ') END AS piece FROM next_)",
+    ),
+)
 def newlines(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select("doc_id", text.normalize_newlines(F.col("text")).alias("joined"))
 
