@@ -144,6 +144,25 @@ def inserted_or_ignored(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(fresh.select(*[c for c in rows.columns]))
 
 
+def legacy_records(archives: DataFrame, text: str) -> DataFrame:
+    """Records of JSON archives, each a text that holds an array; what is no array, and items that are no objects, give none.
+
+    A missing text is empty, a size that is no number 0, a time that cannot be
+    read null; fields beyond the fixed ones go to ``extra``, as texts.
+    """
+    items = archives.where(F.ltrim(text).startswith("[")).select(F.explode(F.from_json(F.col(text), "array<string>")).alias("item")).where(F.ltrim("item").startswith("{"))
+    m = items.select(F.from_json("item", "map<string,string>").alias("m")).where("m IS NOT NULL")
+    field = lambda name: F.coalesce(F.col("m")[name], F.lit(""))
+    size = F.coalesce(F.expr("TRY_CAST(TRY_CAST(m['input_bytes'] AS DECIMAL(38, 6)) AS BIGINT)"), F.lit(0).cast("long"))
+    fixed = {"created_at": F.try_to_timestamp(field("created_at")), "input_bytes": size}
+    return m.select(*[fixed.get(c, field(c)).alias(c) for c in FIXED], F.map_filter("m", lambda k, _: ~k.isin(*FIXED)).alias("extra"))
+
+
+def migrated(rows: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Legacy records, if the table is still empty; a table with rows had its migration and stays as it is."""
+    return inserted_or_ignored(rows, legacy) if rows.isEmpty() else rows
+
+
 def archived(rows: DataFrame, new: DataFrame, now: datetime, days: int) -> DataFrame:
     """Retention and the append in one step; a new record without a tool, name or safe path is left out, never an error."""
     sound = (F.trim(F.coalesce("tool", F.lit(""))) != "") & (F.trim(F.coalesce("original_name", F.lit(""))) != "") & safe_relative(F.col("input_rel"))

@@ -250,6 +250,18 @@ def tool_of_url(spark, sf_dir):
     return t.table(spark, sf_dir, "pages").select("page_id", tools.slug_of_path(path).alias("slug"))
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS tool, 'Order-' || o_orderkey AS original_name, CAST(o_orderdate AS TIMESTAMP) AS created_at, '' AS input_rel, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS input_bytes, o_orderstatus AS note FROM orders")
+def records_migrated(spark, sf_dir):
+    """Orders of a customer as a legacy archive; every fifth stands there twice, and one item is no record."""
+    k = F.col("o_orderkey")
+    at = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    item = lambda tool: F.to_json(F.struct(k.cast("string").alias("id"), tool.alias("tool"), F.concat(F.lit("Order-"), k).alias("original_name"), at.alias("created_at"), F.when(k % 3 > 0, F.floor("o_totalprice").cast("long").cast("string")).otherwise("none").alias("input_bytes"), F.col("o_orderstatus").alias("note")))
+    items = t.table(spark, sf_dir, "orders").select("o_custkey", F.explode(F.array_compact(F.array(item(F.col("o_orderpriority")), F.when(k % 5 == 0, item(F.lit("late")))))).alias("item"))
+    archives = items.groupBy("o_custkey").agg(F.concat(F.lit("[7, "), F.array_join(F.collect_list("item"), ","), F.lit("]")).alias("text"))
+    legacy = records.legacy_records(archives, "text")
+    return records.migrated(legacy.limit(0), legacy).select(*records.FIXED, F.col("extra")["note"].alias("note"))
+
+
 # ---------------------------------------------------------------- limits and jobs
 
 

@@ -206,3 +206,14 @@ def test_missing_engines_are_named():
         if engine.missing():
             with pytest.raises(gated.Unavailable, match=engine.name):
                 engine.require()
+
+
+def test_migration(spark):
+    texts = [('[{"id": "a", "tool": "t", "input_bytes": 3.7, "created_at": "2024-01-02T03:04:05", "pages": 4}, 7, "x", null, {"id": "b", "input_bytes": "many", "created_at": "soon"}]',), ('{"id": "c"}',), ("[oops",), (None,), ('[{"id": "a", "tool": "u"}]',), ("[]",)]
+    legacy = records.legacy_records(spark.createDataFrame(texts, "text string"), "text")
+    assert legacy.where("id NOT IN ('a', 'b')").count() == 0
+    empty = legacy.limit(0)
+    got = {r.id: (r.tool, r.created_at, r.input_bytes, r.extra) for r in records.migrated(empty, legacy).collect()}
+    assert got == {"a": ("t", datetime(2024, 1, 2, 3, 4, 5), 3, {"pages": "4"}), "b": ("", None, 0, {})}
+    held = legacy.where("tool = 'u'")
+    assert records.migrated(held, legacy).count() == 1
