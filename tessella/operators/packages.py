@@ -98,14 +98,15 @@ def listing(rows: DataFrame, *, limit: int = 50, q: str | None = None, status: s
 def claims(packages: DataFrame, asked: DataFrame, now: datetime) -> DataFrame:
     """The outcome of many claims, in their order of arrival per code.
 
-    asked: claim_no, code.  Each package's state is joined to the claims on
-    its code, and a claim is granted while its rank is within what is left;
-    claims on a package whose file is missing use nothing up.  Errors, by
-    precedence: invalid, expired, exhausted, missing.
+    asked: claim_no, code.  Claims are ranked per code before each package's
+    state is joined to those on its code, so packages that share a code do not
+    count against each other; a claim is granted while its rank is within what
+    is left, and claims on a package whose file is missing use nothing up.
+    Errors, by precedence: invalid, expired, exhausted, missing.
     """
     ready = with_state(packages, now).select("code", F.col("id").alias("package_id"), "expired", "max_downloads", "download_count", "file_exists")
-    rows = asked.select("claim_no", normalized_code(F.col("code")).alias("code")).join(ready, "code", "left")
     rank = F.row_number().over(Window.partitionBy("code").orderBy("claim_no"))
+    rows = asked.select("claim_no", normalized_code(F.col("code")).alias("code")).withColumn("rank", rank).join(ready, "code", "left")
     there = F.coalesce("file_exists", F.lit(False))
     used = F.coalesce("download_count", F.lit(0)) + F.when(there, F.col("rank") - 1).otherwise(0)
     room = (F.coalesce("max_downloads", F.lit(0)) <= 0) | (used < F.col("max_downloads"))
@@ -115,7 +116,7 @@ def claims(packages: DataFrame, asked: DataFrame, now: datetime) -> DataFrame:
         .when(~room, "exhausted")
         .when(~there, "missing")
     )
-    return rows.withColumn("rank", rank).select("claim_no", "code", "package_id", error.alias("error"), error.isNull().alias("granted"))
+    return rows.select("claim_no", "code", "package_id", error.alias("error"), error.isNull().alias("granted"))
 
 
 def after_claims(packages: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -158,18 +159,19 @@ def _ranked(rows: DataFrame, part: Column, order: str) -> DataFrame:
     return rows.withColumn("within", within).join(counts, "part").withColumn("place", F.col("before") + F.col("within")).drop("part", "before", "within")
 
 
-def fresh_codes(wanted: DataFrame, taken: DataFrame, *, seed: int = 0) -> DataFrame:
+def fresh_codes(wanted: DataFrame, taken: DataFrame, *, seed: int = 0, strict: bool = True) -> DataFrame:
     """A free six-digit code for each different id of ``wanted``, in one pass.
 
     The codes stand in an order that a keyed permutation scatters; the ids, in
     the order of their digests, take those that are free one after the other.
-    More ids than free codes are an error.
+    More ids than free codes are an error; if not ``strict``, the ids that come
+    last then have no row.
     """
     spark = wanted.sparkSession
     codes = spark.range(CODES).select("id", F.lpad(_scattered(F.col("id"), seed).cast("string"), 6, "0").alias("code"))
     free = codes.join(taken.select("code").distinct(), "code", "left_anti").withColumnRenamed("id", "slot")
     ids = wanted.select("id").distinct()
-    if ids.count() > free.count():
+    if strict and ids.count() > free.count():
         raise ValueError("there are fewer free codes than ids")
     digest = F.md5(F.col("id").cast("string"))
     asked = _ranked(ids, F.substring(digest, 1, 3), "id")
