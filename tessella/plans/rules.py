@@ -141,9 +141,9 @@ def records_asked_ids(spark, sf_dir):
     "SELECT id, '2001-01-01T00:00:00Z' AS created_at, strftime(TIMESTAMP '2001-01-01' + INTERVAL 1 HOUR * h, '%Y-%m-%dT%H:%M:%SZ') AS expires_at, least(1000, greatest(0, d))::INT AS max_downloads, 0 AS download_count, repeat('n', CAST(least(200, d) AS INT)) AS note FROM (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 24 ELSE least(168, greatest(1, c_custkey % 300 - 20)) END AS h, c_custkey AS d FROM customer)"
 )
 def packages_new(spark, sf_dir):
-    """Lifetime, downloads and note within their bounds; a missing lifetime is a day."""
+    """Lifetime, downloads and note within their bounds; a missing lifetime is a day, and the longest notes are a letter too long."""
     k = F.col("c_custkey")
-    rows = t.table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("000000").alias("code"), F.lit("f").alias("original_name"), F.lit("r").alias("stored_rel"), F.lit(1).alias("size_bytes"), F.lit("x").alias("content_type"), F.when(k % 5 != 0, k % 300 - 20).cast("int").alias("ttl_hours"), k.cast("int").alias("max_downloads"), F.repeat(F.lit("n"), k.cast("int")).alias("note"))
+    rows = t.table(spark, sf_dir, "customer").select(k.alias("id"), F.lit("000000").alias("code"), F.lit("f").alias("original_name"), F.lit("r").alias("stored_rel"), F.lit(1).alias("size_bytes"), F.lit("x").alias("content_type"), F.when(k % 5 != 0, k % 300 - 20).cast("int").alias("ttl_hours"), k.cast("int").alias("max_downloads"), F.repeat(F.lit("n"), F.least(k, F.lit(packages.NOTE + 1)).cast("int")).alias("note"))
     return packages.new_package(rows, t.NOW).select("id", "created_at", "expires_at", "max_downloads", "download_count", "note")
 
 
