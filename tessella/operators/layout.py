@@ -35,7 +35,7 @@ def grid_cells(rects: DataFrame) -> DataFrame:
     A rectangle over several bands is a merged cell; one that reaches the
     bottom goes on to the last row.  Of two with one anchor the first counts.
     """
-    both = rects.join(grids(rects), list(TABLE)).where((F.size("vx") > 1) & (F.size("hy") > 1))
+    both = rects.join(grids(rects).hint("merge"), list(TABLE)).where((F.size("vx") > 1) & (F.size("hy") > 1))
     at = both.withColumns({"c": bin_of(F.col("x0") + 0.5, F.col("vx")), "c1": bin_of(F.col("x1") - 0.5, F.col("vx")), "r": bin_of(F.col("top") + 0.5, F.col("hy")), "r1": bin_of(F.col("bottom") - 0.5, F.col("hy"))}).where("c IS NOT NULL AND r IS NOT NULL AND c1 IS NOT NULL AND r1 IS NOT NULL")
     low = F.abs(F.col("bottom") - F.element_at("hy", -1)) < 1.0
     at = at.withColumn("rowspan", F.when(low, F.size("hy") - 1 - F.col("r")).otherwise(F.col("r1") - F.col("r") + 1)).withColumn("colspan", F.col("c1") - F.col("c") + 1)
@@ -55,7 +55,7 @@ def cell_texts(cells: DataFrame, words: DataFrame) -> DataFrame:
     on = [F.col(f"k.{p}") == F.col(f"w.{p}") for p in (*PAGE, "band")] + [cx >= F.col("k.x0"), cx < F.col("k.x1"), cy >= F.col("k.top"), cy < F.col("k.bottom")]
     key = [*TABLE, "r", "c"]
     by_height = words.withColumn("band", F.floor(centre()[1] / BAND))
-    met = banded(cells, F.col("top"), F.col("bottom")).alias("k").join(by_height.alias("w"), on).select(*[F.col(f"k.{c}").alias(c) for c in key], *[F.col(f"k.{c}").alias(f"k_{c}") for c in ("x0", "x1", "top", "bottom")], *[F.col(f"w.{c}").alias(c) for c in ("word_no", "text", "x0", "x1", "top", "bottom", "size", "fontname")])
+    met = banded(cells, F.col("top"), F.col("bottom")).alias("k").join(by_height.alias("w").hint("merge"), on).select(*[F.col(f"k.{c}").alias(c) for c in key], *[F.col(f"k.{c}").alias(f"k_{c}") for c in ("x0", "x1", "top", "bottom")], *[F.col(f"w.{c}").alias(c) for c in ("word_no", "text", "x0", "x1", "top", "bottom", "size", "fontname")])
     lines = met.groupBy(*key, F.round("top").alias("line")).agg(F.min("x0").alias("a"), F.max("x1").alias("b"), F.min("k_x0").alias("l"), F.max("k_x1").alias("r_"), joined_words(F.array_sort(F.collect_list(F.struct("x0", "top", "text", "x1")))).alias("t"))
     left, right = F.col("a") - F.col("l"), F.col("r_") - F.col("b")
     lines = lines.withColumn("vote", F.when(right > left * 2.5, "left").when(left > right * 2.5, "right").otherwise("center"))
@@ -65,7 +65,9 @@ def cell_texts(cells: DataFrame, words: DataFrame) -> DataFrame:
     fonts = fonts.groupBy(*key).agg(F.max_by(F.struct("s", "f"), F.struct("n", -F.col("at"))).alias("font"))
     above, below = F.min("top") - F.min("k_top"), F.max("k_bottom") - F.max("bottom")
     boxes = met.groupBy(*key).agg(F.when(below > above * 2.5, "top").when(above > below * 2.5, "bottom").otherwise("center").alias("valign"), F.min("x0").alias("text_x0"), F.max("x1").alias("text_x1"))
-    out = cells.join(texts, key, "left").join(ballot, key, "left").join(fonts, key, "left").join(boxes, key, "left")
+    out = cells
+    for part in (texts, ballot, fonts, boxes):
+        out = out.join(part.hint("merge"), key, "left")
     return out.select(*cells.columns, F.coalesce("text", F.lit("")).alias("text"), F.nullif(F.col("font.s"), F.lit(0.0)).alias("font_size"), F.nullif(F.col("font.f"), F.lit("")).alias("font_name"), F.coalesce("align", F.lit("left")).alias("align"), F.coalesce("valign", F.lit("top")).alias("valign"), "text_x0", "text_x1")
 
 
@@ -78,7 +80,7 @@ def spanning_words(words: DataFrame, grid: DataFrame, cover: float) -> DataFrame
     first, last = (lambda e: F.get(e, F.lit(0))), (lambda e: F.element_at(e, -1))
     inside = (F.col("w_x1") >= first("vx")) & (F.col("w_x0") <= last("vx")) & (F.col("w_bottom") >= first("hy")) & (F.col("w_top") <= last("hy"))
     once = F.col("band") == F.greatest(F.floor(F.col("w_top") / BAND), F.floor(first("hy") / BAND))  # the first of the bands that both lie in
-    met = banded(w, F.col("w_top"), F.col("w_bottom")).join(banded(grid.where((F.size("vx") > 2) & (F.size("hy") > 1)), first("hy"), last("hy")), [*PAGE, "band"]).where(once & inside)
+    met = banded(w, F.col("w_top"), F.col("w_bottom")).join(banded(grid.where((F.size("vx") > 2) & (F.size("hy") > 1)), first("hy"), last("hy")).hint("merge"), [*PAGE, "band"]).where(once & inside)
     met = met.withColumns({"r": bin_of((F.col("w_top") + F.col("w_bottom")) / 2, F.col("hy")), "a": bin_of(F.col("w_x0") + 0.5, F.col("vx")), "b": bin_of(F.col("w_x1") - 0.5, F.col("vx"))}).where("r IS NOT NULL AND b > a")
 
     def share(k: Column) -> Column:
@@ -100,7 +102,7 @@ def merged_under_words(cells: DataFrame, words: DataFrame, grid: DataFrame, cove
     names, row = cells.columns, [*TABLE, "r"]
     wide = spanning_words(words, grid, cover).groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("word_no", "a", "b", "edge"))).alias("wide"))
     held = F.struct(*[F.col(f"`{c}`") for c in names])
-    rows = cells.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("c", held.alias("cell")))).alias("held")).join(wide, row, "left")
+    rows = cells.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("c", held.alias("cell")))).alias("held")).join(wide.hint("merge"), row, "left")
     cell = lambda f: F.transform("held", lambda k: k["cell"][f])
     busy = rows.where("wide IS NOT NULL").select("held", *[cell(f).alias(f) for f in ("c", "colspan", "rowspan", "x1")], F.transform("held", lambda k: F.regexp_replace(F.coalesce(k["cell"]["text"], F.lit("")), r"^\s+|\s+$", "")).alias("text"), "wide")
     united = busy.mapInArrow(_united, f"held {rows.schema['held'].dataType.simpleString()}, kept array<struct<k:int,colspan:int,x1:double>>")
@@ -149,7 +151,7 @@ def fill_counts(cells: DataFrame) -> DataFrame:
     cols = cells.groupBy(*TABLE, "c").agg(F.sum(full).alias("n")).groupBy(*TABLE).agg(F.count_if(F.col("n") >= 2).alias("strong_cols"))
     size = F.length(F.trim("text"))
     whole = cells.groupBy(*TABLE).agg(F.count("*").alias("anchors"), F.sum(full).alias("filled"), F.count_if((full == 1) & (size <= 1)).alias("tiny"), F.count_if((full == 1) & (size <= 2)).alias("short"), F.count_if(size > 36).alias("long"), F.avg(F.when(full == 1, size)).alias("avg_len"))
-    return whole.join(rows, list(TABLE)).join(cols, list(TABLE))
+    return whole.join(rows.hint("merge"), list(TABLE)).join(cols.hint("merge"), list(TABLE))
 
 
 def text_gaps(cells: DataFrame) -> DataFrame:
@@ -187,10 +189,10 @@ def form_measures(cells: DataFrame, grid: DataFrame, words: DataFrame) -> DataFr
     x, y = centre()
     placed = words.select(*PAGE, F.col("x0").alias("w_x0"), x.alias("w_x"), y.alias("w_y"))
     inside = F.col("w_x").between(first("vx"), last("vx")) & F.col("w_y").between(first("hy"), last("hy"))
-    met = banded(placed, F.col("w_y"), F.col("w_y")).join(banded(grid, first("hy"), last("hy")), [*PAGE, "band"]).where(inside)
+    met = banded(placed, F.col("w_y"), F.col("w_y")).join(banded(grid, first("hy"), last("hy")).hint("merge"), [*PAGE, "band"]).where(inside)
     seen = met.groupBy(*TABLE).agg(F.count("*").alias("n_words"), aligned_columns(F.collect_list("w_x0")).alias("aligned"))
     of_filled = lambda c: F.col(c) / F.greatest("filled", F.lit(1))
-    t = grid.select(*TABLE, (F.size("vx") - 1).alias("cols"), (F.size("hy") - 1).alias("rows")).join(fill_counts(cells), list(TABLE)).join(text_gaps(cells), list(TABLE), "left").join(seen, list(TABLE), "left")
+    t = grid.select(*TABLE, (F.size("vx") - 1).alias("cols"), (F.size("hy") - 1).alias("rows")).join(fill_counts(cells).hint("merge"), list(TABLE)).join(text_gaps(cells).hint("merge"), list(TABLE), "left").join(seen.hint("merge"), list(TABLE), "left")
     t = t.withColumns({"gaps": F.coalesce("gaps", F.array().cast("array<double>")), "n_words": F.coalesce("n_words", F.lit(0)), "aligned": F.coalesce("aligned", F.lit(0))})
     return t.withColumns({
         "cells": F.col("rows") * F.col("cols"),
@@ -216,7 +218,7 @@ def plausible_forms(cells: DataFrame, grid: DataFrame, words: DataFrame) -> Data
 
 def accepted(plausible: DataFrame, drawn: DataFrame) -> DataFrame:
     """Tables to keep: with text, and drawn or plausible.  drawn: vertical and horizontal stroke counts."""
-    both = plausible.join(drawn, list(TABLE), "left")
+    both = plausible.join(drawn.hint("merge"), list(TABLE), "left")
     grid = F.coalesce(has_drawn_grid(F.col("vertical"), F.col("horizontal")), F.lit(False))
     return both.select(*TABLE, (F.col("has_text") & (grid | F.col("plausible"))).alias("accepted"))
 
@@ -243,7 +245,7 @@ def stroke_counts(boxes: DataFrame, drawn: DataFrame, tolerance: float = 2.0) ->
     h = ~upright & level & y.between(F.col("top") - tolerance, F.col("bottom") + tolerance) & (wide >= F.greatest(F.lit(12.0), (F.col("x1") - F.col("x0")) * 0.15))
     low, high = F.least("s_top", "s_bottom"), F.greatest("s_top", "s_bottom")
     once = F.col("band") == F.greatest(F.floor(low / BAND), F.floor((F.col("top") - tolerance) / BAND))  # the first of the bands that both lie in
-    met = banded(boxes, F.col("top") - tolerance, F.col("bottom") + tolerance).join(banded(s, low, high), [*PAGE, "band"]).where(once)
+    met = banded(boxes, F.col("top") - tolerance, F.col("bottom") + tolerance).join(banded(s, low, high).hint("merge"), [*PAGE, "band"]).where(once)
     met = met.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.when(v, x))).alias("v"), F.array_sort(F.collect_list(F.when(h, y))).alias("h"))
     return met.select(*TABLE, F.size(distinct_within(F.col("v"), tolerance)).alias("vertical"), F.size(distinct_within(F.col("h"), tolerance)).alias("horizontal"))
 
@@ -257,8 +259,8 @@ def table_borders(boxes: DataFrame, lines: DataFrame, tolerance: float = 1.0) ->
     outer = F.when(upright, near("l_x0", "x0") | near("l_x0", "x1")).otherwise(near("l_top", "top") | near("l_bottom", "bottom"))
     width = F.when((F.col("l_linewidth") > 0), F.col("l_linewidth")).otherwise(0.5)
     n = n.withColumn("band", F.floor(F.col("l_top") / BAND))
-    found = banded(boxes, F.col("top") - tolerance, F.col("bottom") + tolerance).join(n, [*PAGE, "band"]).where(within).groupBy(*TABLE).agg(F.max(F.when(outer, width)).alias("o"), F.max(F.when(~outer, width)).alias("i"), F.bool_or(F.coalesce("l_dashed", F.lit(False))).alias("d"))
-    out = boxes.select(*TABLE).distinct().join(found, list(TABLE), "left")
+    found = banded(boxes, F.col("top") - tolerance, F.col("bottom") + tolerance).join(n.hint("merge"), [*PAGE, "band"]).where(within).groupBy(*TABLE).agg(F.max(F.when(outer, width)).alias("o"), F.max(F.when(~outer, width)).alias("i"), F.bool_or(F.coalesce("l_dashed", F.lit(False))).alias("d"))
+    out = boxes.select(*TABLE).distinct().join(found.hint("merge"), list(TABLE), "left")
     edge = F.coalesce("o", "i", F.lit(0.5))
     return out.select(*TABLE, edge.alias("outer"), F.coalesce(F.col("i"), edge).alias("inner"), F.coalesce("d", F.lit(False)).alias("dashed"))
 
@@ -269,7 +271,7 @@ def rules_outside(rules: DataFrame, tables: DataFrame, pad: float = 1.0) -> Data
     t = banded(t, F.col("t_top") - pad, F.col("t_bottom") + pad)
     x, y = (rules["x0"] + rules["x1"]) / 2, rules["top"] + rules["thickness"] / 2
     inside = x.between(t["t_x0"] - pad, t["t_x1"] + pad) & y.between(t["t_top"] - pad, t["t_bottom"] + pad)
-    return rules.join(t, [rules[p] == t[f"t_{p}"] for p in PAGE] + [F.floor(y / BAND) == t["band"], inside], "left_anti")
+    return rules.join(t.hint("merge"), [rules[p] == t[f"t_{p}"] for p in PAGE] + [F.floor(y / BAND) == t["band"], inside], "left_anti")
 
 
 def page_images(images: DataFrame, tables: DataFrame, page_area: float, *, most: int = 15) -> DataFrame:
@@ -279,7 +281,7 @@ def page_images(images: DataFrame, tables: DataFrame, page_area: float, *, most:
     box = tuple(images[c] for c in ("x0", "top", "x1", "bottom"))
     other = tuple(t[f"t_{c}"] for c in ("x0", "top", "x1", "bottom"))
     middle = F.floor((images["top"] + images["bottom"]) / 2 / BAND)  # what covers over half of an image covers its middle
-    kept = images.join(t, [images[p] == t[f"t_{p}"] for p in PAGE] + [middle == t["band"], overlap_of_first(box, other) > 0.5], "left_anti")
+    kept = images.join(t.hint("merge"), [images[p] == t[f"t_{p}"] for p in PAGE] + [middle == t["band"], overlap_of_first(box, other) > 0.5], "left_anti")
     own = tuple(F.col(c) for c in ("x0", "top", "x1", "bottom"))
     kept = kept.where((F.col("x1") - F.col("x0") > 1) & (F.col("bottom") - F.col("top") > 1) & (area(own) >= 1600.0) & (area(own) / page_area <= 0.85))
     place = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.round("top", 1), F.round("x0", 1), "image_no"))

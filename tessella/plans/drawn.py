@@ -312,7 +312,7 @@ def images_indexed(spark, sf_dir):
     packed = pixels.to_png(pixels.quantised(_pictures(spark, sf_dir), 3), palettes=True)
     kinds = packed.select("image_id", F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).cast("long").alias("kind"))
     back = pixels.from_png(packed).groupBy("image_id").agg(F.count_distinct("r", "g", "b").alias("colours"), F.count("*").alias("n"), F.sum(F.expr("r + 2 * g + 3 * b")).cast("long").alias("total"))
-    return back.join(kinds, "image_id").select("image_id", "kind", "colours", "n", "total")
+    return back.join(kinds.hint("merge"), "image_id").select("image_id", "kind", "colours", "n", "total")
 
 
 _SPACES = ("/DeviceGray", "/DeviceRGB", "/DeviceCMYK", "/Indexed")

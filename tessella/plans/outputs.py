@@ -45,7 +45,7 @@ def docx_layout(spark, sf_dir):
     rows = rows.withColumn("cells", F.when(F.col("kind") == "table", F.array(cell(0, 0, 1, 2, "head"), cell(1, 0, 2, 1, "l"), cell(2, 1, 1, 1, "r"))))
     # A row's number follows its first block; tables stand where their top says.
     first = rows.groupBy("doc_id", "page_no", "row_no").agg(F.min("top").alias("_top"))
-    placed = rows.join(first, ["doc_id", "page_no", "row_no"]).withColumn("row_no", F.dense_rank().over(geometry.Window.partitionBy("doc_id", "page_no").orderBy("_top", "row_no")))
+    placed = rows.join(first.hint("merge"), ["doc_id", "page_no", "row_no"]).withColumn("row_no", F.dense_rank().over(geometry.Window.partitionBy("doc_id", "page_no").orderBy("_top", "row_no")))
     return docx.written(placed).select("doc_id", F.array_join(docx.paragraphs("content"), "|").alias("parts"))
 
 
@@ -72,7 +72,7 @@ def _images(spark, sf_dir):
     """A flat ground by the part's size with a square of other reds on it; one pixel is half transparent."""
     i, size = F.col("i"), F.col("p_size").cast("int")
     x, y = (i % SIDE).cast("int"), F.floor(i / SIDE).cast("int")
-    rows = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
+    rows = t.dealt(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), "p_size"), "image_id").select("image_id", "p_size", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
     red = F.when(x.between(2, 5) & y.between(2, 5), ((F.col("image_id") * 7 + i) % 256).cast("int")).otherwise(size)
     return rows.select("image_id", x.alias("x"), y.alias("y"), red.alias("r"), size.alias("g"), (size * 2).alias("b"), F.when(i == 27, 128).otherwise(255).alias("a"))
 
@@ -110,7 +110,7 @@ def image_round_trip(spark, sf_dir):
     packed = pixels.to_png(_images(spark, sf_dir))
     back = pixels.from_png(packed).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.expr("r * (x + 1) + g * (y + 1) + b * 3 + a")).cast("long").alias("total"))
     size = pixels.header_size(F.col("content"))
-    return back.join(packed.select("image_id", size["width"].alias("width"), size["height"].alias("height")), "image_id")
+    return back.join(packed.select("image_id", size["width"].alias("width"), size["height"].alias("height")).hint("merge"), "image_id")
 
 
 _PRESETS = ("high", " Balanced ", "STRONG", "", "best")

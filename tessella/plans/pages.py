@@ -20,7 +20,7 @@ LEFT, TOP, WIDE, TALL = 50.0, 100.0, 100.0, 20.0
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page_no"))
+    return t.dealt(t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id")), "doc_id").select("doc_id", F.lit(0).alias("page_no"))
 
 
 def _rows(pages: DataFrame, fields: str, *values: tuple) -> DataFrame:

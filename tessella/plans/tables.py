@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that grow into many are dealt to tasks of about so many.
+DEALT = 10_000
+
+
+def dealt(rows: DataFrame, key: str, most: int = DEALT) -> DataFrame:
+    """Rows by their key in as many tasks as they need; a file of some MB is read by one task, whatever its rows grow into."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as upload records; one in nine has no path."""
     o = table(spark, sf_dir, "orders")
