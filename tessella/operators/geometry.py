@@ -2,14 +2,19 @@
 
 Words have doc_id, page_no, word_no, text, x0, x1, top, bottom, size and
 fontname.  Range joins go through bands of the vertical axis, so both sides
-meet by an equality and only rows of one band are compared.  What depends on
-the rows taken so far is an ordered fold over one page.
+meet by an equality and only rows of one band are compared.  Joins of rows that
+grow on their way are merge joins by hint, as Spark takes them for as few as the
+file held and would send them to every executor through the driver.  What
+depends on the rows taken so far is an ordered fold over one page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import wrap
 from tessella.functions.numbers import area, horizontal_align, overlap_area, overlap_of_smaller
-from tessella.operators.folds import ordered_fold
+from tessella.operators.folds import ordered_fold, whole_keys
 
 PAGE = ("doc_id", "page_no")
 BAND = 20.0
@@ -42,7 +47,7 @@ def words_in_rects(words: DataFrame, rects: DataFrame, pad: float = 1.0) -> Data
     cx, cy = centre()
     w = words.withColumn("cx", cx).withColumn("cy", cy).withColumn("band", F.floor(F.col("cy") / BAND))
     inside = F.col("cx").between(F.col("r_x0") - pad, F.col("r_x1") + pad) & F.col("cy").between(F.col("r_top") - pad, F.col("r_bottom") + pad)
-    return w.join(r, [*PAGE, "band"]).where(inside).select("rect_id", *words.columns)
+    return w.join(r.hint("merge"), [*PAGE, "band"]).where(inside).select("rect_id", *words.columns)
 
 
 def words_outside_rects(words: DataFrame, rects: DataFrame, pad: float = 1.0) -> DataFrame:
@@ -53,7 +58,7 @@ def words_outside_rects(words: DataFrame, rects: DataFrame, pad: float = 1.0) ->
     w = words.withColumn("cx", cx).withColumn("cy", cy).withColumn("band", F.floor(F.col("cy") / BAND))
     on = [w[c] == r[c] for c in (*PAGE, "band")]
     inside = w["cx"].between(r["r_x0"] - pad, r["r_x1"] + pad) & w["cy"].between(r["r_top"] - pad, r["r_bottom"] + pad)
-    return w.join(r, [*on, inside], "left_anti").select(*words.columns)
+    return w.join(r.hint("merge"), [*on, inside], "left_anti").select(*words.columns)
 
 
 def bin_of(value: Column, bounds: Column) -> Column:
@@ -82,7 +87,7 @@ def cell_borders(cells: DataFrame, lines: DataFrame, tolerance: float = 1.0) ->
     wide = F.least(F.greatest("l_x0", "l_x1"), F.col("x1")) - F.greatest(F.least("l_x0", "l_x1"), F.col("x0"))
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= tolerance
     edges = F.array_compact(F.array(F.when(upright & near("l_x0", "x0"), "left"), F.when(upright & near("l_x0", "x1"), "right"), F.when(~upright & near("l_top", "top"), "top"), F.when(~upright & near("l_top", "bottom"), "bottom")))
-    met = c.join(n, [*PAGE, "band"]).withColumn("overlap", F.when(upright, tall).otherwise(wide)).where("overlap > 0")
+    met = c.join(n.hint("merge"), [*PAGE, "band"]).withColumn("overlap", F.when(upright, tall).otherwise(wide)).where("overlap > 0")
     met = met.withColumn("edge", F.explode(edges)).dropDuplicates([*PAGE, "cell_id", "edge", "l_line_no"])
     best = F.struct("overlap", "l_linewidth", -F.col("l_line_no"))
     return met.groupBy(*PAGE, "cell_id", "edge").agg(F.max_by(F.struct(F.col("l_linewidth").alias("width"), F.col("l_color").alias("color"), F.col("l_dashed").alias("dashed")), best).alias("b")).select(*PAGE, "cell_id", "edge", "b.*")
@@ -94,7 +99,7 @@ def cell_fills(cells: DataFrame, fills: DataFrame) -> DataFrame:
     c, n = banded(cells, F.col("top"), F.col("bottom")), banded(f, F.col("f_top"), F.col("f_bottom"))
     own = tuple(F.col(x) for x in ("x0", "top", "x1", "bottom"))
     box = tuple(F.col(f"f_{x}") for x in ("x0", "top", "x1", "bottom"))
-    met = c.join(n, [*PAGE, "band"]).where((area(own) > 0) & (overlap_area(own, box) >= area(own) * 0.5))
+    met = c.join(n.hint("merge"), [*PAGE, "band"]).where((area(own) > 0) & (overlap_area(own, box) >= area(own) * 0.5))
     return met.groupBy(*PAGE, "cell_id").agg(F.max_by("f_color", F.struct(area(box), -F.col("f_fill_no"))).alias("color"))
 
 
@@ -174,7 +179,7 @@ def text_blocks(words: DataFrame, page_width: float) -> DataFrame:
     fonts = segs.groupBy(*keys, "_size", "_font").agg(F.count("*").alias("_n"), F.min("_pos").alias("_at"))
     fonts = fonts.groupBy(*keys).agg(F.max_by(F.struct("_size", "_font"), F.struct("_n", -F.col("_at"))).alias("f"))
     found = segs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "text", "x0", "x1"))).alias("items"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-    out = found.join(fonts, keys).withColumn("text", F.trim(joined_words(F.col("items")))).where("text <> ''")
+    out = found.join(fonts.hint("merge"), keys).withColumn("text", F.trim(joined_words(F.col("items")))).where("text <> ''")
     return out.select(*keys, "text", "top", "bottom", "x0", "x1", F.when(F.col("f")["_size"] != 0, F.col("f")["_size"]).alias("font_size"), F.when(F.col("f")["_font"] != "", F.col("f")["_font"]).alias("font_name"), horizontal_align(F.col("x0"), F.col("x1"), F.lit(page_width)).alias("align"))
 
 
@@ -187,26 +192,27 @@ def paragraphs(blocks: DataFrame, *, page_right: float | None = None, order: tup
     fields = ["text", "top", "bottom", "x0", "x1", "font_size", "font_name", "align"]
     kinds = dict(blocks.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(list(order), kind="stable")
-        page = rows[list(PAGE)].iloc[0].tolist()
+    def fold(rows: list[dict]) -> list[dict]:
         done, cur, last = [], None, None
-        for nxt in rows[fields].astype(object).where(rows[fields].notna(), None).to_dict("records"):
+        for nxt in rows:
             if cur is not None and wrap.is_wrap(cur, last, nxt, page_right):
-                cur = cur | {"text": wrap.join(cur["text"], nxt["text"]), "bottom": nxt["bottom"], "x0": min(cur["x0"], nxt["x0"]), "x1": max(cur["x1"], nxt["x1"]), "font_size": cur["font_size"] or nxt["font_size"], "font_name": cur["font_name"] or nxt["font_name"]}
+                cur = cur | {"text": wrap.joined(cur["text"], nxt["text"]), "bottom": nxt["bottom"], "x0": min(cur["x0"], nxt["x0"]), "x1": max(cur["x1"], nxt["x1"]), "font_size": cur["font_size"] or nxt["font_size"], "font_name": cur["font_name"] or nxt["font_name"]}
             else:
                 done += [cur] if cur is not None else []
                 cur = nxt
             last = nxt
-        out = pd.DataFrame([*done, cur], columns=fields)
-        out["text"] = out["text"].map(wrap.spaced)
-        out.insert(0, "block_no", range(len(out)))
-        for k, name in enumerate(PAGE):
-            out.insert(k, name, page[k])
-        return out
+        return [{**block, "text": wrap.spaced(block["text"]), "block_no": k} for k, block in enumerate([*done, cur])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, pages in whole_keys(batches, PAGE):
+            rows = whole.select([*PAGE, *fields]).to_pylist()
+            out = [block for a, b in pages for block in fold(rows[a:b])]
+            types = {**{f.name: f.type for f in whole.schema}, "block_no": pa.int32()}
+            names = [*PAGE, "block_no", *fields]
+            yield pa.RecordBatch.from_arrays([pa.array([block[n] for block in out], types[n]) for n in names], names=names)
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in PAGE), "block_no int", *(f"{c} {kinds[c]}" for c in fields)])
-    return blocks.groupBy(*PAGE).applyInPandas(fold, schema)
+    return blocks.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
 
 
 def kept_rules(rules: DataFrame) -> DataFrame:
@@ -268,33 +274,38 @@ def visual_rows(blocks: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFram
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields) + ", row_no int"
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = pdf.sort_values("block_no", kind="stable").reset_index(drop=True)
-        top = page["top"].to_numpy(float)
-        end = page["bottom"].to_numpy(float, na_value=0.0)
-        end = np.where((end == 0) | np.isnan(end), top, end)
-        middle = (top + end) / 2
-        by_middle = np.argsort(middle, kind="stable")
-        heights = middle[by_middle]
-        table = (page["kind"] == "table").to_numpy(bool, na_value=False)
-        row_no, rows = np.full(len(page), -1), 0
-
-        def beside(low: float, high: float) -> np.ndarray:
-            at = (low + high) / 2
-            a, b = np.searchsorted(heights, (at - 2 * tolerance - 1e-6, at + 2 * tolerance + 1e-6))
-            near = by_middle[a:b]
-            near = near[(row_no[near] < 0) & ~table[near]]
-            off, meets = np.abs(middle[near] - at), (end[near] >= low - 1) & (top[near] <= high + 1)
-            return near[off <= np.where(meets, 2 * tolerance, tolerance)]
-
-        for seed in range(len(page)):
-            if row_no[seed] >= 0:
-                continue
-            row_no[seed], last, low, high = rows, -1, top[seed], end[seed]
-            while not table[seed] and len(near := beside(low, high)):
-                last = min(near, key=lambda k: (k <= last, k))
-                row_no[last], low, high = rows, min(low, top[last]), max(high, end[last])
-            rows += 1
-        return page.assign(row_no=row_no)
-
-    return blocks.groupBy(*PAGE).applyInPandas(number, schema)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, pages in whole_keys(batches, PAGE):
+            top, end = (whole.column(c).cast("float64").to_numpy(zero_copy_only=False) if whole.num_rows else np.zeros(0) for c in ("top", "bottom"))
+            end = np.where((end == 0) | np.isnan(end), top, end)
+            table = np.array([k == "table" for k in whole.column("kind").to_pylist()], dtype=bool)
+            row_no = np.concatenate([_page_rows(top[a:b], end[a:b], table[a:b], tolerance) for a, b in pages])
+            yield from whole.append_column("row_no", pa.array(row_no.astype(np.int32))).combine_chunks().to_batches()
+
+    return blocks.repartition(*PAGE).sortWithinPartitions(*PAGE, "block_no").mapInArrow(number, schema)
+
+
+def _page_rows(top: np.ndarray, end: np.ndarray, table: np.ndarray, tolerance: float) -> np.ndarray:
+    """The row of each block of one page."""
+    middle = (top + end) / 2
+    by_middle = np.argsort(middle, kind="stable")
+    heights = middle[by_middle]
+    row_no, rows = np.full(len(top), -1), 0
+
+    def beside(low: float, high: float) -> np.ndarray:
+        at = (low + high) / 2
+        a, b = np.searchsorted(heights, (at - 2 * tolerance - 1e-6, at + 2 * tolerance + 1e-6))
+        near = by_middle[a:b]
+        near = near[(row_no[near] < 0) & ~table[near]]
+        off, meets = np.abs(middle[near] - at), (end[near] >= low - 1) & (top[near] <= high + 1)
+        return near[off <= np.where(meets, 2 * tolerance, tolerance)]
+
+    for seed in range(len(top)):
+        if row_no[seed] >= 0:
+            continue
+        row_no[seed], last, low, high = rows, -1, top[seed], end[seed]
+        while not table[seed] and len(near := beside(low, high)):
+            last = min(near, key=lambda k: (k <= last, k))
+            row_no[last], low, high = rows, min(low, top[last]), max(high, end[last])
+        rows += 1
+    return row_no
