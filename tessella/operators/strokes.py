@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.operators.geometry import BAND, PAGE, banded
+from tessella.operators.geometry import BAND, PAGE
 
 # fixed values: tolerances and sizes in points
 SNAP = 3.0
@@ -61,11 +61,71 @@ def joined(found: DataFrame, tolerance: float = SNAP) -> DataFrame:
 
 
 def crossings(whole: DataFrame, tolerance: float = SNAP) -> DataFrame:
-    """(page, v, h, x, y): each upright edge with each level one that it meets, ends within the tolerance included."""
-    upright = banded(whole.where("kind = 'v'").select(*PAGE, F.col("edge_no").alias("v"), F.col("pos").alias("x"), F.col("lo").alias("v_lo"), F.col("hi").alias("v_hi")), F.col("v_lo") - tolerance, F.col("v_hi") + tolerance)
-    level = whole.where("kind = 'h'").select(*PAGE, F.col("edge_no").alias("h"), F.col("pos").alias("y"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), F.floor(F.col("pos") / BAND).alias("band"))
-    meet = F.col("y").between(F.col("v_lo") - tolerance, F.col("v_hi") + tolerance) & F.col("x").between(F.col("h_lo") - tolerance, F.col("h_hi") + tolerance)
-    return upright.join(level, [*PAGE, "band"]).where(meet).select(*PAGE, "v", "h", "x", "y")
+    """(page, v, h, x, y): each upright edge with each level one that it meets, ends within the tolerance included.
+
+    Edges meet in lists by page and band, which are read where the page's edges already are.
+    """
+    band = lambda c: F.floor(c / BAND)
+    bands = F.when(F.col("kind") == "v", F.sequence(band(F.col("lo") - tolerance), band(F.col("hi") + tolerance))).otherwise(F.array(band(F.col("pos"))))
+    mine = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("edge_no", "pos", "lo", "hi")))
+    met = whole.where(" AND ".join(f"{c} IS NOT NULL" for c in PAGE)).withColumn("band", F.explode(bands)).groupBy(*PAGE, "band").agg(mine("v").alias("vs"), mine("h").alias("hs"))
+    meet = lambda v, h: h["pos"].between(v["lo"] - tolerance, v["hi"] + tolerance) & v["pos"].between(h["lo"] - tolerance, h["hi"] + tolerance)
+    point = lambda v, h: F.struct(v["edge_no"].alias("v"), h["edge_no"].alias("h"), v["pos"].alias("x"), h["pos"].alias("y"))
+    points = F.flatten(F.transform("vs", lambda v: F.transform(F.filter("hs", lambda h: meet(v, h)), lambda h: point(v, h))))
+    return met.select(*PAGE, F.explode(points).alias("p")).select(*PAGE, "p.*")
+
+
+def _corners(points: DataFrame) -> DataFrame:
+    """A row for each page: the crossings that can be an upper left corner with their nearest others and whether a fourth closes them; all crossings where one is left open.
+
+    Crossings and those asked for meet in a window by their two edges, so each is
+    made once and stays with its page.
+    """
+    upright, level = Window.partitionBy(*PAGE, "v").orderBy("y", "h"), Window.partitionBy(*PAGE, "h").orderBy("x", "v")
+    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
+    back = Window.partitionBy(*PAGE, "h").orderBy(F.desc("x"), F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy(*PAGE, "v").orderBy(F.desc("y"), F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
+    p = points.withColumn("down", F.max("y").over(upright.rowsBetween(*whole)) > F.col("y")).withColumn("right", F.max("x").over(level.rowsBetween(*whole)) > F.col("x"))
+    p = p.withColumn("r", F.last(F.when(F.col("down"), F.struct("x", "v")), ignorenulls=True).over(back)).withColumn("b", F.last(F.when(F.col("right"), F.struct("y", "h")), ignorenulls=True).over(up))
+    there = F.struct(F.col("v").alias("at_v"), F.col("h").alias("at_h"), F.lit(False).alias("asks"))
+    asked = F.when(F.col("down") & F.col("right"), F.struct(F.col("r.v").alias("at_v"), F.col("b.h").alias("at_h"), F.lit(True).alias("asks")))
+    met = p.withColumn("k", F.explode(F.array(there, asked))).where("k IS NOT NULL").select(*PAGE, "v", "h", "x", "y", F.col("r.x").alias("x1"), F.col("b.y").alias("bottom"), "k.*")
+    closed = F.max(~F.col("asks")).over(Window.partitionBy(*PAGE, "at_v", "at_h")) & (F.col("x1") > F.col("x")) & (F.col("bottom") > F.col("y"))
+    met = met.withColumn("closed", F.coalesce(closed, F.lit(False)))
+    pages = met.groupBy(*PAGE).agg(F.collect_list(F.when(F.col("asks"), F.struct("v", "h", "x", "y", "x1", "bottom", "closed"))).alias("asked"), F.collect_list(F.when(~F.col("asks"), F.struct("v", "h", "x", "y"))).alias("points"))
+    return pages.withColumn("points", F.when(F.exists("asked", lambda a: ~a["closed"]), F.col("points")))
+
+
+def _flat(lists: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of lists of records the place of each record's list, and the records' fields."""
+    flat, size = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), size), [flat.field(c).to_numpy(zero_copy_only=False) for c in names]
+
+
+def _found(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and boxes of the cells of many pages, sorted; what is left open is searched along both edges."""
+    page, (v, h, x, y, x1, bottom, closed) = _flat(b["asked"], ("v", "h", "x", "y", "x1", "bottom", "closed"))
+    closed = closed.astype(bool)
+    rows = [np.stack([page, y, x, bottom, x1], axis=1)[closed].astype(float)]
+    of, (pv, ph, px, py) = _flat(b["points"], ("v", "h", "x", "y"))
+    code = pv.astype(np.int64) << 32 | ph.astype(np.int64)
+    for k in np.flatnonzero(~closed):
+        mine = slice(*np.searchsorted(of, [page[k], page[k] + 1]))
+        low, right = np.flatnonzero((pv[mine] == v[k]) & (py[mine] > y[k])), np.flatnonzero((ph[mine] == h[k]) & (px[mine] > x[k]))
+        low, right = (a.reshape(-1) + mine.start for a in np.meshgrid(low, right, indexing="ij"))
+        met = np.isin(pv[right].astype(np.int64) << 32 | ph[low].astype(np.int64), code[mine])
+        if met.any():
+            rows.append(np.array([[page[k], y[k], x[k], *min(zip(py[low][met], px[right][met], strict=True))]]))
+    cell = np.concatenate(rows)
+    cell = cell[np.lexsort((cell[:, 4], cell[:, 3], cell[:, 2], cell[:, 1], cell[:, 0]))]
+    first = np.ones(len(cell), bool)
+    first[1:] = (cell[1:, :3] != cell[:-1, :3]).any(axis=1)
+    return cell[first, 0].astype(np.int64), cell[first][:, [2, 1, 4, 3]]
+
+
+def _pages_of(b: pa.RecordBatch, page: np.ndarray, cell: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
+    own = [b[c].take(pa.array(page)) for c in PAGE]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in cell.T), *more], names=[*PAGE, *_CELL, "table_no"][: 6 + len(more)])
 
 
 def cells(points: DataFrame) -> DataFrame:
@@ -76,23 +136,16 @@ def cells(points: DataFrame) -> DataFrame:
     If the nearest two are closed by a fourth, no smaller cell is there; what a
     loose stroke leaves open is searched along both edges.
     """
-    upright, level = Window.partitionBy(*PAGE, "v"), Window.partitionBy(*PAGE, "h")
-    p = points.withColumn("down", F.max("y").over(upright) > F.col("y")).withColumn("right", F.max("x").over(level) > F.col("x"))
-    beyond = (1, Window.unboundedFollowing)
-    to_right = F.min(F.when(F.col("down"), F.struct("x", "v"))).over(level.orderBy("x", "v").rowsBetween(*beyond))
-    below = F.min(F.when(F.col("right"), F.struct("y", "h"))).over(upright.orderBy("y", "h").rowsBetween(*beyond))
-    asked = p.withColumn("r", to_right).withColumn("b", below).where("down AND right")
-    corner = points.select(*PAGE, F.col("v").alias("r_v"), F.col("h").alias("b_h"), F.lit(True).alias("closed"))
-    asked = asked.select(*PAGE, "v", "h", "x", "y", F.col("r.x").alias("x1"), F.col("r.v").alias("r_v"), F.col("b.y").alias("bottom"), F.col("b.h").alias("b_h"))
-    near = asked.join(corner, [*PAGE, "r_v", "b_h"], "left").withColumn("closed", F.coalesce(F.col("closed") & (F.col("x1") > F.col("x")) & (F.col("bottom") > F.col("y")), F.lit(False)))
-    done = near.where("closed").select(*PAGE, "x", "y", "x1", "bottom")
-    loose = near.where("NOT closed").select(*PAGE, "v", "h", "x", "y")
-    lower = points.select(*PAGE, "v", F.col("h").alias("b_h"), F.col("y").alias("bottom"))
-    farther = points.select(*PAGE, "h", F.col("v").alias("r_v"), F.col("x").alias("x1"))
-    wide = loose.join(lower, [*PAGE, "v"]).where("bottom > y").join(farther, [*PAGE, "h"]).where("x1 > x").join(corner, [*PAGE, "r_v", "b_h"])
-    every = done.unionByName(wide.select(*PAGE, "x", "y", "x1", "bottom"))
-    first = every.groupBy(*PAGE, "x", "y").agg(F.min(F.struct("bottom", "x1")).alias("c"))
-    return first.select(*PAGE, F.col("x").alias("x0"), F.col("y").alias("top"), F.col("c.x1").alias("x1"), F.col("c.bottom").alias("bottom"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _pages_of(b, *_found(b))
+
+    return _corners(points).mapInArrow(run, _types(points))
+
+
+def _types(rows: DataFrame) -> str:
+    return ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in PAGE), *(f"{c} double" for c in _CELL)])
 
 
 def _components(corners: np.ndarray) -> np.ndarray:
@@ -111,39 +164,57 @@ def _components(corners: np.ndarray) -> np.ndarray:
     return label
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``part``, for each cell of a page the place of the first cell of its component; many pages at a time."""
-    for b in batches:
-        lists = b["cells"]
-        flat, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
-        x0, top, x1, bottom = (flat.field(c).to_numpy(zero_copy_only=False) for c in _CELL)
-        first = np.repeat(np.cumsum(size) - size, size)
-        spots = np.stack([np.concatenate([first] * 4), np.concatenate([x0, x1, x0, x1]), np.concatenate([top, top, bottom, bottom])], axis=1)
-        place = np.unique(spots, axis=0, return_inverse=True)[1].reshape(4, -1).T if len(flat) else np.zeros((0, 4), dtype=np.int64)
-        part = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array((_components(place) - first).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([*b.columns, part], names=[*b.schema.names, "part"])
+def _numbered(page: np.ndarray, cell: np.ndarray, smallest: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Which cells are in a table, and its number within the page; cells come by page, top and left, many pages at a time."""
+    owner = np.tile(np.arange(len(page)), 4)
+    across, along = cell[:, [0, 0, 2, 2]].T.reshape(-1), cell[:, [1, 3, 1, 3]].T.reshape(-1)
+    order = np.lexsort((across, along, page[owner]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([v[order][1:] != v[order][:-1] for v in (across, along, page[owner])])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    part = _components(place.reshape(4, -1).T)
+    low = [np.full(len(page), np.inf) for _ in _CELL[:2]]
+    high = [np.full(len(page), -np.inf) for _ in _CELL[:2]]
+    for k in (0, 1):
+        np.minimum.at(low[k], part, cell[:, k])
+        np.maximum.at(high[k], part, cell[:, k + 2])
+    fine = (np.bincount(part, minlength=len(page)) > 1) & (high[0] - low[0] >= smallest[0]) & (high[1] - low[1] >= smallest[1])
+    keep = fine[part]
+    roots, own = np.unique(part[keep], return_inverse=True)
+    return keep, (np.arange(len(roots)) - np.searchsorted(page[roots], page[roots]))[own].astype(np.int32)
+
+
+def _in_tables(pages: DataFrame, found, smallest: tuple[float, float]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            page, cell = found(b)
+            keep, no = _numbered(page, cell, smallest)
+            yield _pages_of(b, page[keep], cell[keep], pa.array(no))
+
+    return pages.mapInArrow(run, _types(pages) + ", table_no int")
+
+
+def _given(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    page, fields = _flat(b["cells"], _CELL)
+    return page, np.stack(fields, axis=1).astype(float)
 
 
 def in_tables(found: DataFrame, smallest: tuple[float, float] = SMALLEST) -> DataFrame:
     """Cells with ``table_no`` from 0 within the page, by top and left; lone cells and tiny tables are none."""
     pages = found.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("top", "x0", "x1", "bottom"))).alias("cells"))
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema)
-    parts = pages.mapInArrow(_labelled, types + ", part array<int>")
-    rows = parts.select(*PAGE, F.explode(F.arrays_zip("cells", "part")).alias("z")).select(*PAGE, "z.cells.*", "z.part")
-    own = Window.partitionBy(*PAGE, "part")
-    extent = lambda a, b: F.max(b).over(own) - F.min(a).over(own)
-    rows = rows.withColumn("keep", (F.count("*").over(own) > 1) & (extent("x0", "x1") >= smallest[0]) & (extent("top", "bottom") >= smallest[1])).where("keep")
-    return rows.select(*PAGE, *_CELL, (F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("part")) - 1).cast("int").alias("table_no"))
+    return _in_tables(pages, _given, smallest)
 
 
 def table_cells(strokes: DataFrame, tolerance: float = SNAP) -> DataFrame:
     """(page, x0, top, x1, bottom, table_no): the cells of every table that strokes draw.
 
     Strokes without coordinates draw nothing, those drawn twice count once, and
-    a page without crossings has no tables.
+    a page without crossings has no tables.  All steps keep to the page, so
+    strokes that are dealt by a column of it are not shuffled again.
     """
     there = strokes.where("x0 IS NOT NULL AND x1 IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL")
-    return in_tables(cells(crossings(joined(snapped(edges(there), tolerance), tolerance), tolerance)))
+    return _in_tables(_corners(crossings(joined(snapped(edges(there), tolerance), tolerance), tolerance)), _found, SMALLEST)
 
 
 def table_boxes(found: DataFrame) -> DataFrame:

@@ -29,10 +29,10 @@ def _left(table: Column, first: Column, c: Column) -> Column:
 def order_rows(spark, sf_dir) -> DataFrame:
     """A row for each line of each table: page, table, row, its height and place, columns."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
-    items = t.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (12 + F.floor("l_quantity") % 9).cast("long").alias("high"))
+    items = t.dealt(t.table(spark, sf_dir, "lineitem"), "l_orderkey", 50_000).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", (12 + F.floor("l_quantity") % 9).cast("long").alias("high"))
     items = items.withColumn("r", F.row_number().over(by) - 1).withColumn("low", F.sum("high").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("high").over(Window.partitionBy("l_orderkey")))
     items = items.withColumn("rows", F.count("*").over(Window.partitionBy("l_orderkey")))
-    both = items.join(t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    both = items.join(t.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     kind = lambda no, y, columns, first: F.struct(F.lit(no).alias("t"), y.cast("long").alias("y"), columns.cast("long").alias("columns"), first.cast("long").alias("first"))
     one, two = kind(0, F.lit(100), 2 + F.col("o_custkey") % 3, F.col("o_custkey")), kind(1, 130 + F.col("all"), F.lit(2), F.lit(2))
     out = both.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_no"), "r", "rows", "high", "low", F.explode(F.when(F.col("l_orderkey") % 2 == 0, F.array(one, two)).otherwise(F.array(one))).alias("k"))
@@ -43,15 +43,14 @@ def order_strokes(spark, sf_dir) -> DataFrame:
     rows = order_rows(spark, sf_dir)
     c = F.col("c")
     columns = rows.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns"))))
-    x = _left(F.col("t"), F.col("first"), c)
+    columns = columns.withColumn("x", _left(F.col("t"), F.col("first"), c)).withColumn("end", _left(F.col("t"), F.col("first"), c + 1) - F.when(c + 1 < F.col("columns"), 2).otherwise(0))
+    stroke = lambda *box: F.struct(*[v.cast("double").alias(n) for v, n in zip(box, ("x0", "x1", "top", "bottom"), strict=True)])
     merged = (F.col("doc_id") % 5 == 0) & (F.col("t") == 0) & (F.col("r") == 0) & (c == 1)
-    lean = x + 0.25 * ((F.col("r") + c) % 2)
-    upright = columns.where(~merged).select("doc_id", "page_no", lean.alias("x0"), lean.alias("x1"), F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"))
-    ends = _left(F.col("t"), F.col("first"), c + 1) - F.when(c + 1 < F.col("columns"), 2).otherwise(0)
-    ys = F.when(F.col("r") == F.col("rows") - 1, F.array("top", "bottom")).otherwise(F.array("top"))
-    flat = columns.where("c < columns").withColumn("y", F.explode(ys)).withColumn("y", F.col("y") + 0.5 * (c % 2))
-    flat = flat.select("doc_id", "page_no", x.alias("x0"), ends.alias("x1"), F.col("y").alias("top"), (F.col("y") + 1).alias("bottom"))
-    return upright.unionByName(flat)
+    lean = F.col("x") + 0.25 * ((F.col("r") + c) % 2)
+    upright = F.when(~merged, stroke(lean, lean, F.col("top"), F.col("bottom")))
+    level = lambda y: stroke(F.col("x"), F.col("end"), y + 0.5 * (c % 2), y + 0.5 * (c % 2) + 1)
+    over, under = F.when(c < F.col("columns"), level(F.col("top"))), F.when((c < F.col("columns")) & (F.col("r") == F.col("rows") - 1), level(F.col("bottom")))
+    return columns.select("doc_id", "page_no", F.explode(F.array(upright, over, under)).alias("s")).where("s IS NOT NULL").select("doc_id", "page_no", "s.*")
 
 
 DRAWN = """items AS (SELECT l_orderkey, o_custkey, row_number() OVER w - 1 AS r, 12 + CAST(floor(l_quantity) AS BIGINT) % 9 AS high, sum(12 + CAST(floor(l_quantity) AS BIGINT) % 9) OVER w AS low,
