@@ -36,11 +36,17 @@ def _stretches(rows: DataFrame, *, key: str, item: str, window: float, horizon:
     near = rows.withColumn("_own", F.floor(F.col("_t") / width)).withColumn("_slice", F.explode(slices))
     ordered = Window.partitionBy(key, "_slice").orderBy("_t", item)
     upto, before = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(Window.unboundedPreceding, -1)
-    spanned = lambda value, bounds: F.expr(f"{value} OVER (PARTITION BY `{key}`, _slice ORDER BY _t RANGE BETWEEN {bounds})")
-    past, ahead = f"{horizon!r}D PRECEDING AND CURRENT ROW", f"CURRENT ROW AND {horizon!r}D FOLLOWING"
-    seen = near.withColumn("_sum", F.sum(F.col("_bad").cast("long")).over(upto))
-    seen = seen.withColumn("_count", F.col("_sum") - spanned("min(_sum - CAST(_bad AS LONG))", f"{window!r}D PRECEDING AND CURRENT ROW")).withColumn("_over", F.col("_bad") & (F.col("_count") > most))
-    seen = seen.withColumn("_open", spanned("max(_over)", past)).withColumn("_folded", spanned("max(_open)", ahead))
+    # each row also asks, a window earlier, how many bad rows came before; so no row reads a window's rows again
+    asked = near.withColumn("_probe", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_at", F.when(F.col("_probe"), F.col("_t") - window).otherwise(F.col("_t")))
+    told = Window.partitionBy(key, "_slice").orderBy("_at", F.desc("_probe"), "_t", item).rowsBetween(Window.unboundedPreceding, 0)
+    summed = asked.withColumn("_sum", F.sum(F.when(F.col("_probe"), 0).otherwise(F.col("_bad").cast("long"))).over(told))
+    pair = Window.partitionBy(key, "_slice").orderBy("_t", item, F.desc("_probe")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = summed.withColumn("_count", F.col("_sum") - F.last(F.when(F.col("_probe"), F.col("_sum")), ignorenulls=True).over(pair)).where("NOT _probe").drop("_probe", "_at")
+    seen = seen.withColumn("_over", F.col("_bad") & (F.col("_count") > most))
+    peers = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(key, "_slice").orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumn("_open", F.coalesce(F.max(F.when(F.col("_over"), F.col("_t"))).over(peers) >= F.col("_t") - horizon, F.lit(False)))
+    seen = seen.withColumn("_folded", F.coalesce(F.min(F.when(F.col("_open"), F.col("_t"))).over(ahead) <= F.col("_t") + horizon, F.lit(False)))
     last = F.last(F.when(F.col("_folded"), F.col("_t")), ignorenulls=True).over(before)
     starts = F.when(F.col("_folded") & F.coalesce(last < F.col("_t") - horizon, F.lit(True)), F.col("_t"))
     own = seen.withColumn("_start", starts).where("_slice = _own").withColumn("_latest", F.max("_start").over(upto))
