@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 Step = Callable[..., tuple]
 
 
-def ordered_fold(rows: DataFrame, *, key: tuple[str, ...], order: tuple[str, ...], reads: tuple[str, ...], fresh: Callable[[], Step], adds: str) -> DataFrame:
+def ordered_fold(rows: DataFrame, *, key: tuple[str, ...], order: tuple[str, ...], reads: tuple[str, ...], fresh: Callable[[], Step], adds: str, parts: int | None = None) -> DataFrame:
     """rows with the columns ``adds`` (DDL) that a step function gives for each row.
 
     ``fresh`` makes the step of a new key; a step takes the values of ``reads``
-    and returns those of ``adds``.
+    and returns those of ``adds``.  ``parts`` tasks are used if it is given, else
+    as many as the rows' bytes ask for.
     """
     names = [x.split()[0] for x in adds.split(", ")]
     place = {c: rows.columns.index(c) for c in (*key, *reads)}
@@ -41,7 +42,7 @@ def ordered_fold(rows: DataFrame, *, key: tuple[str, ...], order: tuple[str, ...
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
     types = {x.split()[0]: kinds[x.split()[1]] for x in adds.split(", ")}
-    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, f"{schema}, {adds}")
+    return rows.repartition(*([parts] if parts else []), *key).sortWithinPartitions(*key, *order).mapInArrow(run, f"{schema}, {adds}")
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:

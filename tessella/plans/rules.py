@@ -192,7 +192,7 @@ _LEFT, _RIGHT = ("exam-", "汉字 ", "word", "call(", "", "数"), ("ple", "汉
 
 @query(f"SELECT p_partkey, {_sql_picked('p_partkey', ('example', '汉字汉字', 'word next', 'call( x', 'only', '数word'))} AS joined FROM part")
 def text_joins(spark, sf_dir):
-    return t.table(spark, sf_dir, "part").select("p_partkey", text.soft_join(_picked("p_partkey", _LEFT), _picked("p_partkey", _RIGHT)).alias("joined"))
+    return t.dealt(t.table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", text.soft_join(_picked("p_partkey", _LEFT), _picked("p_partkey", _RIGHT)).alias("joined"))
 
 
 @query("SELECT p_partkey, 'f_' || p_partkey || '_.pdf' AS ascii, 'inline; filename=\"f_' || p_partkey || '_.pdf\"; filename*=UTF-8''''f%C3%A9%22' || p_partkey || '%2A.pdf' AS header, '/app/x' AS url, CASE WHEN p_partkey % 2 = 0 THEN '/a/b' ELSE '' END AS root FROM part")
@@ -382,6 +382,8 @@ def zip_entries(spark, sf_dir):
     from pyspark.sql.window import Window
 
     idx = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("int")
-    rows = t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id"), idx.alias("idx")).withColumn("stem", F.when(F.col("idx") <= 1, "a").otherwise("b")).withColumn("content", F.encode(F.col("idx").cast("string"), "utf-8"))
-    packed = files.zipped(files.entry_names(rows))
+    orders = t.table(spark, sf_dir, "orders")
+    parts = t.parts(orders, 20_000)
+    rows = t.dealt(orders, "o_custkey", 20_000).select(F.col("o_custkey").alias("batch_id"), idx.alias("idx")).withColumn("stem", F.when(F.col("idx") <= 1, "a").otherwise("b")).withColumn("content", F.encode(F.col("idx").cast("string"), "utf-8"))
+    packed = files.zipped(files.entry_names(rows, parts=parts), parts=parts)
     return packed.select(F.col("batch_id").alias("batch"), F.col("files").alias("n"), F.array_join(files.zip_entries("content"), ",").alias("entries"), files.has_macros(F.col("content")).alias("macros"))

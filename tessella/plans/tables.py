@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 DEALT = 10_000
 
 
+def parts(rows: DataFrame, most: int = DEALT) -> int:
+    """As many tasks as rows need."""
+    return max(1, -(-rows.count() // most))
+
+
 def dealt(rows: DataFrame, key: str, most: int = DEALT) -> DataFrame:
     """Rows by their key in as many tasks as they need; a file of some MB is read by one task, whatever its rows grow into."""
-    return rows.repartition(max(1, -(-rows.count() // most)), key)
+    return rows.repartition(parts(rows, most), key)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators.folds import ordered_fold
+from tessella.operators.folds import ordered_fold, whole_keys
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +28,7 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def entry_names(rows: DataFrame, *, group: str = "batch_id", index: str = "idx", name: str = "stem", suffix: str = ".docx") -> DataFrame:
+def entry_names(rows: DataFrame, *, group: str = "batch_id", index: str = "idx", name: str = "stem", suffix: str = ".docx", parts: int | None = None) -> DataFrame:
     """Adds ``entry``: the stem with a suffix, or with its place in the batch if an earlier entry has that name.
 
     A name that was made can be taken by a later stem, so each batch is a fold
@@ -49,21 +51,28 @@ def entry_names(rows: DataFrame, *, group: str = "batch_id", index: str = "idx",
 
         return step
 
-    return ordered_fold(rows, key=(group,), order=(index,), reads=(name, index), fresh=fresh, adds="entry string")
+    return ordered_fold(rows, key=(group,), order=(index,), reads=(name, index), fresh=fresh, adds="entry string", parts=parts)
 
 
-def zipped(rows: DataFrame, *, group: str = "batch_id", index: str = "idx") -> DataFrame:
-    """One ZIP for each group, of its entries (entry, content) in order; a group is one download and small."""
+def zipped(rows: DataFrame, *, group: str = "batch_id", index: str = "idx", parts: int | None = None) -> DataFrame:
+    """One ZIP for each group, of its entries (entry, content) in order; a group is one download and small.  ``parts``: tasks to deal groups to."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for entry, content in pdf.sort_values(index)[["entry", "content"]].itertuples(index=False):
-                z.writestr(zipfile.ZipInfo(entry), content, compress_type=zipfile.ZIP_DEFLATED)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "files": [len(pdf)], "content": [out.getvalue()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, runs in whole_keys(batches, (group,)):
+            entries, contents = whole.column("entry").to_pylist(), whole.column("content").to_pylist()
+            packed = []
+            for start, stop in runs:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    for entry, content in zip(entries[start:stop], contents[start:stop], strict=True):
+                        z.writestr(zipfile.ZipInfo(entry), content, compress_type=zipfile.ZIP_DEFLATED)
+                packed.append(out.getvalue())
+            keys = whole.column(group).take(pa.array([start for start, _ in runs])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([keys, pa.array([b - a for a, b in runs], pa.int64()), pa.array(packed, pa.binary())], names=[group, "files", "content"])
 
     kind = dict(rows.dtypes)[group]
-    return rows.groupBy(group).applyInPandas(pack, f"{group} {kind}, files long, content binary")
+    dealt = rows.select(group, index, "entry", "content").repartition(*([parts] if parts else []), group)
+    return dealt.sortWithinPartitions(group, index).mapInArrow(run, f"{group} {kind}, files long, content binary")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
