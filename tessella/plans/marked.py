@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions.let import let
 from tessella.operators import markdown
 from tessella.plans import tables as t
 from tessella.plans.registry import query
 
 def planted(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = t.dealt(t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 500)
     words = lambda x: F.trim(F.concat(F.lit("w "), F.trim(F.regexp_replace(x, "[^A-Za-z]+", " "))))
 
-    def piece(x, i):
-        x = words(x)
-        forms = [
-            F.concat(F.lit("# "), x),
-            F.concat(F.lit("- "), x, F.lit("\n- **"), x, F.lit("** `a<b`\n    1. in\n- out")),
-            F.concat(F.lit("> "), x, F.lit("\nlazy & _on_")),
-            F.concat(F.lit("```py\n# "), x, F.lit("\n\n- x\n```")),
-            F.concat(F.lit("| a | b |\n|---|:-:|\n| "), x, F.lit(" | *c* |")),
-            F.concat(x, F.lit('\nsecond *line* [to](http://e.org/a_b_c) <script>no</script> <b onclick="x">yes</b>')),
-        ]
-        return F.element_at(F.array(*forms), (i % len(forms) + 1).cast("int"))
+    def piece(line, i):
+        # one form is made of each line, of words that are found once
+        kind = lambda k: i % 6 == k
+        return let(words(line), lambda x: (
+            F.when(kind(0), F.concat(F.lit("# "), x))
+            .when(kind(1), F.concat(F.lit("- "), x, F.lit("\n- **"), x, F.lit("** `a<b`\n    1. in\n- out")))
+            .when(kind(2), F.concat(F.lit("> "), x, F.lit("\nlazy & _on_")))
+            .when(kind(3), F.concat(F.lit("```py\n# "), x, F.lit("\n\n- x\n```")))
+            .when(kind(4), F.concat(F.lit("| a | b |\n|---|:-:|\n| "), x, F.lit(" | *c* |")))
+            .otherwise(F.concat(x, F.lit('\nsecond *line* [to](http://e.org/a_b_c) <script>no</script> <b onclick="x">yes</b>')))
+        ))
 
     return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), piece), "\n\n"))
 
