@@ -81,12 +81,16 @@ def looks_full_line(text: Column) -> Column:
 def soft_join(left: Column, right: Column, *, normalized: bool = False) -> Column:
     """Two fragments of one wrapped line as one: hyphens close up, CJK stays tight, Latin gets a space."""
     clean = (lambda c: c) if normalized else normalize_spacing
-    a, b = F.rtrim(clean(F.coalesce(left, F.lit("")))), F.ltrim(clean(F.coalesce(right, F.lit(""))))
-    z, s = _last(a), _first(b)
-    hyphen = a.endswith("-") & s.rlike(r"\p{L}") & ~has_cjk(s)
-    tight = (_cjk_like(z) & (_cjk_like(s) | s.rlike(r"[\p{L}\p{N}]"))) | _cjk_like(s) | _in(OPENERS, s) | _in(CLOSERS, z)
-    joined = F.when(hyphen, F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).when(tight, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
-    return F.when(a == "", b).when(b == "", a).otherwise(joined if normalized else normalize_spacing(joined))
+
+    def joined(a: Column, b: Column) -> Column:
+        z, s = _last(a), _first(b)
+        hyphen = a.endswith("-") & s.rlike(r"\p{L}") & ~has_cjk(s)
+        tight = (_cjk_like(z) & (_cjk_like(s) | s.rlike(r"[\p{L}\p{N}]"))) | _cjk_like(s) | _in(OPENERS, s) | _in(CLOSERS, z)
+        whole = F.when(hyphen, F.concat(F.substring(a, F.lit(1), F.length(a) - 1), b)).when(tight, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+        return F.when(a == "", b).when(b == "", a).otherwise(whole if normalized else let(whole, normalize_spacing))
+
+    # each side is cleaned once, however often it is named
+    return let(F.rtrim(clean(F.coalesce(left, F.lit("")))), lambda a: let(F.ltrim(clean(F.coalesce(right, F.lit("")))), lambda b: joined(a, b)))
 
 
 def normalize_newlines(text: Column) -> Column:
