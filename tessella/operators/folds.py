@@ -11,10 +11,21 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 Step = Callable[..., tuple]
 
 
+def placed(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], name: str = "_place") -> DataFrame:
+    """rows with ``name``, their place in their key from 1, each key whole in a task and in order.
+
+    Where rows lie by their key, or by a part of it, they are not shuffled
+    again.  They are in order only as long as the place is read.
+    """
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+
+
 def ordered_fold(rows: DataFrame, *, key: tuple[str, ...], order: tuple[str, ...], reads: tuple[str, ...], fresh: Callable[[], Step], adds: str, parts: int | None = None) -> DataFrame:
     """rows with the columns ``adds`` (DDL) that a step function gives for each row.
 

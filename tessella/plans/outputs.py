@@ -31,7 +31,7 @@ def _layout(spark, sf_dir):
 @query("SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n, md5(coalesce(text, '')) AS digest, 4::BIGINT AS files FROM documents")
 def docx_round_trip(spark, sf_dir):
     """Every whole text as a Word file, a paragraph for each line, and read back."""
-    lines = t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("row_no", "text"))
+    lines = t.dealt(t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2_000).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("row_no", "text"))
     whole = docx.written(lines.select("doc_id", F.lit(0).alias("page_no"), "row_no", F.col("row_no").alias("block_no"), F.lit("text").alias("kind"), "text"))
     read = whole.select("doc_id", "files", docx.paragraphs("content").alias("p"))
     return read.select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\n").cast("binary")).alias("digest"), "files")

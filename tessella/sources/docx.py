@@ -19,7 +19,7 @@ import io
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,21 +220,31 @@ def written(blocks: DataFrame, margins: DataFrame | None = None, *, page_breaks:
     before = Window.partitionBy("doc_id", "page_no").orderBy("row_no")
     rows = rows.withColumn("blocks", F.transform(F.array_sort("p", order), lambda x: x["b"])).withColumn("gap", F.greatest(F.lit(0.0), F.col("top") - F.lag("low").over(before))).withColumn("after", F.coalesce(F.lag("title").over(before), F.lit(False)))
     sides = ("left", "right", "top", "bottom")
-    m = (margins if margins is not None else blocks.select("doc_id").distinct()).select("doc_id", *[(F.col(s) if margins is not None else F.lit(50.4)).alias(f"m_{s}") for s in sides])
     xml = row_xml(F.col("blocks"), F.col("page_no"), F.col("m_left"), F.col("gap"), F.col("after"))
-    pages = rows.join(m, "doc_id", "left").fillna(50.4, [f"m_{s}" for s in sides]).select("doc_id", "page_no", "row_no", xml.alias("xml"), *[f"m_{s}" for s in sides])
-    pages = pages.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "xml"))), lambda x: F.coalesce(x["xml"], F.lit(""))), "").alias("xml"), *[F.first(f"m_{s}").alias(f"m_{s}") for s in sides])
-    docs = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "xml"))), lambda x: x["xml"]), BREAK if page_breaks else "").alias("xml"), *[F.first(f"m_{s}").alias(f"m_{s}") for s in sides])
+    if margins is None:
+        rows = rows.withColumns({f"m_{s}": F.lit(50.4) for s in sides})
+    else:
+        m = margins.select("doc_id", *[F.col(s).alias(f"m_{s}") for s in sides])
+        rows = rows.join(m.hint("merge"), "doc_id", "left").fillna(50.4, [f"m_{s}" for s in sides])
+    images = F.transform(F.filter("blocks", lambda x: (x["kind"] == "image") & x["content"].isNotNull()), lambda x: F.struct(_image_name(F.col("page_no"), x["block_no"]).alias("name"), x["content"].alias("content")))
+    pages = rows.select("doc_id", "page_no", "row_no", xml.alias("xml"), images.alias("images"), *[f"m_{s}" for s in sides])
+    # the parts of each level are sorted once; pictures stay with their document, so nothing is joined
+    whole = lambda no: F.array_sort(F.collect_list(F.struct(no, F.coalesce("xml", F.lit("")).alias("xml"), "images"))).alias("parts")
+    put = lambda between: (F.array_join(F.transform("parts", lambda x: x["xml"]), between).alias("xml"), F.flatten(F.transform("parts", lambda x: x["images"])).alias("images"))
+    first = [F.first(f"m_{s}").alias(f"m_{s}") for s in sides]
+    pages = pages.groupBy("doc_id", "page_no").agg(whole("row_no"), *first).select("doc_id", "page_no", *put(""), *[f"m_{s}" for s in sides])
+    docs = pages.groupBy("doc_id").agg(whole("page_no"), *first).select("doc_id", *put(BREAK if page_breaks else ""), *[f"m_{s}" for s in sides])
     section = _xml(f'<w:sectPr><w:pgSz w:w="{round(SHEET[0] * 20)}" w:h="{round(SHEET[1] * 20)}"/><w:pgMar', *[p for s in sides for p in (f' w:{s}="', _units(F.col(f"m_{s}"), 20), '"')], "/></w:sectPr></w:body></w:document>")
-    images = b.where("kind = 'image' AND content IS NOT NULL").select("doc_id", _image_name(F.col("page_no"), F.col("block_no")).alias("name"), "content")
-    named = images.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(_xml('<Relationship Id="', F.col("name"), f'" Type="{REL}/image" Target="media/', F.col("name"), '.png"/>'))), "").alias("links"))
-    parts = docs.join(named, "doc_id", "left").select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("idx"), F.lit(entry).alias("entry"), content.cast("binary").alias("content")) for k, (entry, content) in enumerate((("[Content_Types].xml", F.lit(TYPES)), ("_rels/.rels", F.lit(ROOT_RELATIONS)), ("word/document.xml", _xml(DOCUMENT, F.col("xml"), section)), ("word/_rels/document.xml.rels", _xml(RELATIONS, F.col("links"), "</Relationships>"))))])))
-    media = images.select("doc_id", F.lit(4).alias("idx"), _xml("word/media/", F.col("name"), ".png").alias("entry"), "content")
-    return zipped(parts.unionByName(media), group="doc_id")
+    links = F.array_join(F.array_sort(F.transform("images", lambda x: _xml('<Relationship Id="', x["name"], f'" Type="{REL}/image" Target="media/', x["name"], '.png"/>'))), "")
+    part = lambda k, entry, content: F.struct(F.lit(k).alias("idx"), entry.alias("entry"), content.cast("binary").alias("content"))
+    fixed = (("[Content_Types].xml", F.lit(TYPES)), ("_rels/.rels", F.lit(ROOT_RELATIONS)), ("word/document.xml", _xml(DOCUMENT, F.col("xml"), section)), ("word/_rels/document.xml.rels", _xml(RELATIONS, links, "</Relationships>")))
+    media = F.transform("images", lambda x: part(4, _xml("word/media/", x["name"], ".png"), x["content"]))
+    parts = docs.select("doc_id", F.inline(F.concat(F.array(*[part(k, F.lit(entry), content) for k, (entry, content) in enumerate(fixed)]), media)))
+    return zipped(parts, group="doc_id")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def paragraphs(content: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def paragraphs(content: pa.Array) -> pa.Array:
     """The paragraphs of Word files, those of cells too, with tabs and line breaks; null for other files."""
     marks = {f"{{{W}}}tab": "\t", f"{{{W}}}br": "\n"}
 
@@ -246,11 +256,11 @@ def paragraphs(content: pd.Series) -> pd.Series:
         runs = lambda p: (x for r in p.iter(f"{{{W}}}r") for x in r)
         return ["".join(x.text or "" if x.tag == f"{{{W}}}t" else marks.get(x.tag, "") for x in runs(p)) for p in root.iter(f"{{{W}}}p")]
 
-    return content.map(read)
+    return pa.array(map(read, content.to_pylist()), pa.list_(pa.string()))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def cells_read(content: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def cells_read(content: pa.Array) -> pa.Array:
     """The cells of the tables of Word files in order: runs as ``font/size:text`` joined by |, paragraphs by line feeds, then edges as side, eighths of a point, colour, style."""
     at = lambda name: f"{{{W}}}{name}"
 
@@ -270,4 +280,4 @@ def cells_read(content: pd.Series) -> pd.Series:
             return None
         return [cell(tc) for tc in root.iter(at("tc"))]
 
-    return content.map(read)
+    return pa.array(map(read, content.to_pylist()), pa.list_(pa.string()))

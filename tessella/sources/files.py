@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.operators.folds import ordered_fold, whole_keys
+from tessella.operators.folds import ordered_fold, placed, whole_keys
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +71,9 @@ def zipped(rows: DataFrame, *, group: str = "batch_id", index: str = "idx", part
             yield pa.RecordBatch.from_arrays([keys, pa.array([b - a for a, b in runs], pa.int64()), pa.array(packed, pa.binary())], names=[group, "files", "content"])
 
     kind = dict(rows.dtypes)[group]
-    dealt = rows.select(group, index, "entry", "content").repartition(*([parts] if parts else []), group)
-    return dealt.sortWithinPartitions(group, index).mapInArrow(run, f"{group} {kind}, files long, content binary")
+    wanted = rows.select(group, index, "entry", "content")
+    dealt = wanted.repartition(parts, group).sortWithinPartitions(group, index) if parts else placed(wanted, (group,), (index,))
+    return dealt.mapInArrow(run, f"{group} {kind}, files long, content binary")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
