@@ -7,7 +7,7 @@ far, is a fold over the few lines of a cell.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,9 +69,10 @@ def _paragraphs(lines: list[dict], right: float | None) -> list[list[dict]]:
 _RUN = T.StructType([T.StructField("text", T.StringType()), T.StructField("font_size", T.DoubleType()), T.StructField("font_name", T.StringType())])
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(_RUN)))
-def _folded(lines: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([_paragraphs([dict(x) for x in cell], r) for cell, r in zip(lines, right, strict=True)])
+@F.arrow_udf(T.ArrayType(T.ArrayType(_RUN)))
+def _folded(lines: pa.Array, right: pa.Array) -> pa.Array:
+    folded = [_paragraphs(cell or [], r) for cell, r in zip(lines.to_pylist(), right.to_pylist(), strict=True)]
+    return pa.array(folded, pa.list_(pa.list_(pa.struct([("text", pa.string()), ("font_size", pa.float64()), ("font_name", pa.string())]))))
 
 
 def cell_paragraphs(cells: DataFrame, words: DataFrame) -> DataFrame:
@@ -81,8 +82,6 @@ def cell_paragraphs(cells: DataFrame, words: DataFrame) -> DataFrame:
     one's font.  A cell without words has no paragraphs; words without text make
     no runs.
     """
-    lines = run_lines(cells, words).join(cells.select(*CELL, F.col("x1").alias("cell_right")), [*CELL])
     ordered = F.array_sort(F.collect_list(F.struct("line", "runs", "top", "bottom", "x0", "x1")))
-    folded = lines.groupBy(*CELL, "cell_right").agg(ordered.alias("lines")).select(*CELL, _folded("lines", "cell_right").alias("paragraphs"))
-    none = F.array().cast(f"array<array<{RUN}>>")
-    return cells.join(folded, [*CELL], "left").withColumn("paragraphs", F.coalesce("paragraphs", none))
+    lines = run_lines(cells, words).groupBy(*CELL).agg(ordered.alias("_lines"))
+    return cells.join(lines.hint("merge"), [*CELL], "left").withColumn("paragraphs", _folded("_lines", "x1")).drop("_lines")

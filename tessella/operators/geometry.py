@@ -164,10 +164,13 @@ def with_segments(lined: DataFrame, gap: float = SEGMENT_GAP) -> DataFrame:
     return lined.withColumn("_wide", wide).withColumn("seg_no", F.sum("_wide").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_wide")
 
 
-@F.pandas_udf(T.StringType())
-def joined_words(items: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def joined_words(items: pa.Array) -> pa.Array:
     """Text of each array of words in order (struct of text, x0, x1): spaces by script and gap."""
-    return items.map(lambda words: None if words is None else wrap.gap_join(list(words)))
+    return pa.array([None if words is None else wrap.gap_join(words) for words in items.to_pylist()], pa.string())
+
+
+joined_words = joined_words.asNondeterministic()  # else a filter on the text would join each line twice
 
 
 def text_blocks(words: DataFrame, page_width: float) -> DataFrame:

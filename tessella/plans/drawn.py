@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions import media, pdf
+from tessella.functions.let import let
 from tessella.operators import aligned, cellruns, pixels, strokes
 from tessella.plans import tables as t
 from tessella.plans.registry import query
@@ -104,15 +105,22 @@ def word_tables(spark, sf_dir):
     return aligned.table_cells(set_words(spark, sf_dir)).select("doc_id", "table_no", "r", "c", "text", "x0", "top")
 
 
+#: So many characters are looked at first, up to the last space; a text that has too few plain words among them is looked at whole.
+FIRST = 256
+
+
 def _plain_words() -> Column:
     """The first six words of a text that have one to eight letters, without what is no letter."""
-    words = F.transform(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
-    return F.slice(F.filter(words, lambda w: F.length(w).between(1, 8)), 1, 6)
+    text, space = F.coalesce("text", F.lit("")), r"\x20\x09-\x0D"
+    plain = lambda part: F.slice(F.filter(F.split(F.regexp_replace(part, f"[^A-Za-z{space}]+", ""), f"[{space}]+"), lambda w: F.length(w).between(1, 8)), 1, 6)
+    first = plain(F.regexp_replace(F.substring(text, 1, FIRST), f"[^{space}]*\\z", ""))
+    return let(first, lambda found: F.when(F.size(found) == 6, found).otherwise(plain(text)))
 
 
 def set_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Six words of each text in a cell, three to a line, in two fonts; in every second the first line reaches the cell's edge."""
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_no"), _plain_words().alias("w")).where("size(w) = 6")
+    documents = t.table(spark, sf_dir, "documents")
+    d = documents.select("doc_id", F.lit(0).alias("page_no"), _plain_words().alias("w")).where("size(w) = 6").repartition(t.joinable(spark, documents, 2_000), "doc_id")
     tight = F.col("doc_id") % 2 == 0
     cells = d.select("doc_id", "page_no", F.lit(0).alias("cell_id"), F.lit(40.0).alias("x0"), F.lit(20.0).alias("top"), F.when(tight, 250.0).otherwise(400.0).alias("x1"), F.lit(80.0).alias("bottom"))
     at = d.select("doc_id", "page_no", F.posexplode("w").alias("pos", "text"))
@@ -149,7 +157,7 @@ def docx_rich_cells(spark, sf_dir):
     none = F.lit(None)
     first = base(0, text=none.cast("string"), font_size=none.cast("double"), font_name=none.cast("string"), paragraphs=F.col("paragraphs"), borders=side(top=edge(1 + F.col("doc_id") % 3, None, False), right=edge(F.length(word(0)) / 2, None, False)))
     second = base(1, text=word(1), font_size=F.lit(12.0), font_name=F.lit("Hei"), paragraphs=none.cast(runs.schema["paragraphs"].dataType), borders=side(left=edge(F.length(word(1)) / 2, "FF0000", True)))
-    blocks = runs.join(texts, "doc_id").select("doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("row_no"), F.lit(0).alias("block_no"), F.lit("table").alias("kind"), F.array(first, second).alias("cells"))
+    blocks = runs.join(texts.hint("merge"), "doc_id").select("doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("row_no"), F.lit(0).alias("block_no"), F.lit("table").alias("kind"), F.array(first, second).alias("cells"))
     read = docx.written(blocks).select("doc_id", docx.cells_read("content").alias("c"))
     return read.select("doc_id", F.get("c", F.lit(0)).alias("first"), F.get("c", F.lit(1)).alias("second"))
 

@@ -31,6 +31,11 @@ def dealt(rows: DataFrame, key: str, most: int = DEALT) -> DataFrame:
     return rows.repartition(parts(rows, most), key)
 
 
+def joinable(spark: SparkSession, rows: DataFrame, most: int = DEALT) -> int:
+    """As many tasks as rows need, and no fewer than Spark joins with; with fewer it would shuffle them anew for each join."""
+    return max(parts(rows, most), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as upload records; one in nine has no path."""
     o = table(spark, sf_dir, "orders")
