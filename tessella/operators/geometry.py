@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import wrap
 from tessella.functions.numbers import area, horizontal_align, overlap_area, overlap_of_smaller
-from tessella.operators.folds import ordered_fold, whole_keys
+from tessella.operators.folds import placed, whole_keys
 
 PAGE = ("doc_id", "page_no")
 BAND = 20.0
@@ -128,33 +128,58 @@ def aligned_columns(xs: Column, gap: float = 18.0) -> Column:
     return F.aggregate(F.array_sort(xs), start, step, lambda s: s["n"])
 
 
+def _same(a: np.ndarray) -> np.ndarray:
+    """Whether a value equals the one before it; the first does not."""
+    return np.concatenate([[False], a[1:] == a[:-1]])
+
+
+@F.pandas_udf(T.IntegerType())
+def _line_numbers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Numbers of lines; place is 1 where a page starts, and a page may go on in the next batch.
+
+    Words of one extent that follow each other are taken together: once one has
+    joined a line without changing it, so do the others.
+    """
+    number, high, low, last = -1, 0.0, 0.0, 0.0
+    for place, tops, bottoms in batches:
+        new, top, bottom = place.to_numpy() == 1, tops.to_numpy(float), bottoms.to_numpy(float)
+        starts = np.flatnonzero(new | ~_same(top) | ~_same(bottom))
+        sizes = np.diff(np.append(starts, len(top)))
+        out = []
+        for first, t, b, size in zip(new[starts].tolist(), top[starts].tolist(), bottom[starts].tolist(), sizes.tolist(), strict=True):
+            if first:
+                number = -1
+            while size:
+                off = abs((t + b) / 2 - (high + low) / 2)
+                touching = b >= high - 0.5 and t <= low + 0.5
+                settled = False
+                if number >= 0 and (off <= LINE_GAP * 1.5 or (touching and off <= max(LINE_GAP * 2.5, 8.0)) or (t - last <= LINE_GAP and off <= 12.0)):
+                    settled = last == b and high <= t and low >= b
+                    high, low = min(high, t), max(low, b)
+                else:
+                    number, high, low = number + 1, t, b
+                last = b
+                taken = size if settled else 1
+                out.append((number, taken))
+                size -= taken
+        numbers, counts = (np.array(x, dtype=np.int32) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int32),) * 2
+        yield pd.Series(np.repeat(numbers, counts))
+
+
+_line_numbers = _line_numbers.asNondeterministic()  # it reads rows in their order, so nothing may be filtered below it
+
+
 def numbered_lines(words: DataFrame) -> DataFrame:
     """Adds ``line_no``: words of a page that share a visual line, top to bottom.
 
     Words come by the height of their middle and then from left to right; each
     joins the current line or starts the next.  The line's extent and its last
-    word are the state of the fold.
+    word are the state of the fold.  Words without a place are lines of their
+    own.  Where words lie by their page, or by a part of it, they stay there.
     """
-
-    def fresh():
-        number, high, low, last = -1, 0.0, 0.0, 0.0
-
-        def step(top: float, bottom: float) -> tuple[int]:
-            nonlocal number, high, low, last
-            off = abs((top + bottom) / 2 - (high + low) / 2)
-            touching = bottom >= high - 0.5 and top <= low + 0.5
-            if number >= 0 and (off <= LINE_GAP * 1.5 or (touching and off <= max(LINE_GAP * 2.5, 8.0)) or (top - last <= LINE_GAP and off <= 12.0)):
-                high, low = min(high, top), max(low, bottom)
-            else:
-                number, high, low = number + 1, top, bottom
-            last = bottom
-            return (number,)
-
-        return step
-
     _, cy = centre()
-    ordered = ordered_fold(words.withColumn("_y", F.round(cy, 1)), key=PAGE, order=("_y", "x0", "word_no"), reads=("top", "bottom"), fresh=fresh, adds="line_no int")
-    return ordered.drop("_y")
+    ordered = placed(words.withColumn("_y", F.round(cy, 1)), PAGE, ("_y", "x0", "word_no"))
+    return ordered.withColumn("line_no", _line_numbers("_place", F.col("top").cast("double"), F.col("bottom").cast("double"))).drop("_y", "_place")
 
 
 def with_segments(lined: DataFrame, gap: float = SEGMENT_GAP) -> DataFrame:

@@ -101,7 +101,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents set ten to a line, a page for each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "text"))
+    d = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2_000).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("pos", "text"))
     x0, top = 50.0 + 48.0 * (F.col("pos") % 10), 16.0 * F.floor(F.col("pos") / 10)
     return d.select("doc_id", F.lit(0).alias("page_no"), F.col("pos").cast("long").alias("word_no"), "text", x0.alias("x0"), (x0 + 5.0 * F.length("text")).alias("x1"), top.cast("double").alias("top"), (top + 10.0).cast("double").alias("bottom"), F.when(F.col("pos") % 10 == 0, 12.0).otherwise(10.0).alias("size"), F.when(F.col("pos") % 3 == 0, "Song").otherwise("Hei").alias("fontname"))
 
