@@ -36,15 +36,20 @@ def _lines(words: DataFrame) -> DataFrame:
     return words.withColumn("starts", starts).withColumn("line", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("starts")
 
 
-def _regions(lined: DataFrame) -> DataFrame:
-    """(page, line, region): lines of two segments and more, one region while they follow each other closely."""
-    parts = _runs(lined, (*PAGE, "line"), "x0", "x1", SEGMENT, "segment")
-    lines = parts.groupBy(*PAGE, "line").agg(F.max("segment").alias("segments"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-    order = Window.partitionBy(*PAGE).orderBy("line")
-    follows = (F.lag("segments").over(order) > 1) & (F.col("top") - F.lag("bottom").over(order) <= APART)
-    marked = lines.withColumn("starts", (~F.coalesce(follows, F.lit(False))).cast("int"))
-    marked = marked.withColumn("region", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("segments > 1")
-    return marked.select(*PAGE, "line", "region")
+def _in_regions(lined: DataFrame) -> DataFrame:
+    """Words of lines of two segments and more, with ``region``: one while such lines follow each other closely.
+
+    Windows over a page tell each word of the line before, so words stay with their page and no line is joined back.
+    """
+    parts = _runs(lined, (*PAGE, "line"), "x0", "x1", SEGMENT, "_segment")
+    line, along = Window.partitionBy(*PAGE, "line"), Window.partitionBy(*PAGE, "line").orderBy("x0", "x1", "word_no")
+    lines = parts.withColumns({"_segments": F.max("_segment").over(line), "_top": F.min("top").over(line), "_bottom": F.max("bottom").over(line), "_first": F.row_number().over(along) == 1})
+    down = Window.partitionBy(*PAGE).orderBy("line")
+    above = lambda c: F.first(c).over(down.rangeBetween(-1, -1))
+    follows = (above("_segments") > 1) & (F.col("_top") - above("_bottom") <= APART)
+    marked = lines.withColumn("_starts", (F.col("_first") & ~F.coalesce(follows, F.lit(False))).cast("int"))
+    marked = marked.withColumn("region", F.sum("_starts").over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return marked.where("_segments > 1").select(*lined.columns, "region")
 
 
 def table_cells(words: DataFrame, lines: int = LINES) -> DataFrame:
@@ -56,9 +61,7 @@ def table_cells(words: DataFrame, lines: int = LINES) -> DataFrame:
     text are left out.
     """
     there = words.where("text <> '' AND x0 IS NOT NULL AND x1 IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL")
-    lined = _lines(there)
-    found = lined.join(_regions(lined), [*PAGE, "line"])
-    found = _runs(found, (*PAGE, "region"), "x0", "x1", GUTTER, "column")
+    found = _runs(_in_regions(_lines(there)), (*PAGE, "region"), "x0", "x1", GUTTER, "column")
     region = Window.partitionBy(*PAGE, "region")
     cells = found.groupBy(*PAGE, "region", "line", "column").agg(
         F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"), F.array_sort(F.collect_list(F.struct("x0", "word_no", "text"))).alias("w")

@@ -86,7 +86,7 @@ def stroke_tables(spark, sf_dir):
 def set_words(spark, sf_dir) -> DataFrame:
     """Texts set in lines of ten words, a page each; of every third the first twelve words stand in four rows and three columns above."""
     split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(split).alias("pos", "text"))
+    d = t.dealt(t.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 2_000).select("doc_id", F.posexplode(split).alias("pos", "text"))
     wide = (5 * F.least(F.length("text"), F.lit(20))).cast("double")
     d = d.withColumn("wide", wide).withColumn("grid", (F.col("doc_id") % 3 == 0) & (F.col("pos") < 12))
     line = F.floor(F.col("pos") / 10)

@@ -77,3 +77,8 @@ def test_words_of_one_extent_are_numbered_as_one_by_one(spark):
 def test_words_lie_by_their_text_until_lines_are_numbered(spark):
     plan = _plan(base.queries()["word_segments"](spark, FOLDER))
     assert "MapInArrow" not in plan and plan.count("Exchange") == 3 and "text" not in re.search(r"ArrowEvalPython.*", plan).group()
+
+
+def test_words_stay_with_their_page_until_tables_are_found(spark):
+    plan = _plan(base.queries()["word_tables"](spark, FOLDER))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
