@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.numbers import upper_median
-from tessella.operators.folds import whole_keys
+from tessella.operators.folds import placed, whole_keys
 
 MOST_COLOURS = 257
 CHANNELS = ("r", "g", "b")
@@ -286,7 +286,7 @@ def to_png(pixels: DataFrame, *, palettes: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.combine_chunks().cast("int64"), content], names=["image_id", "content"])
 
     px = pixels.select(F.col("image_id").cast("long").alias("image_id"), "x", "y", *CHANNELS, "a")
-    return px.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(write, "image_id long, content binary")
+    return placed(px, ("image_id",), ("y", "x")).mapInArrow(write, "image_id long, content binary")
 
 
 def to_apng(frames: DataFrame) -> DataFrame:

@@ -162,9 +162,11 @@ def docx_rich_cells(spark, sf_dir):
     return read.select("doc_id", F.get("c", F.lit(0)).alias("first"), F.get("c", F.lit(1)).alias("second"))
 
 
-def vector_images(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def vector_images(spark, sf_dir, *, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pixels and sizes of vectors as images of eight by eight, or 16 by 4; some pixels are half or fully transparent."""
-    v = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("k", "value"))
+    vectors = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vectors = vectors.repartition(t.joinable(spark, vectors), "vec_id") if dealt else vectors
+    v = vectors.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("k", "value"))
     wide = F.when(F.col("image_id") % 2 == 0, 8).otherwise(16)
     byte = F.least(F.greatest(F.floor(F.col("value").cast("double") * 256) + 128, F.lit(0)), F.lit(255)).cast("int")
     alpha = F.when(F.col("image_id") % 5 > 0, 255).otherwise(F.when(byte % 4 == 0, 0).otherwise(byte)).cast("int")
@@ -238,7 +240,7 @@ def images_resampled(spark, sf_dir):
 
 def _pictures(spark, sf_dir) -> DataFrame:
     """Vectors as images in two colours' places more than a byte needs: channels of 32 steps."""
-    px, _ = vector_images(spark, sf_dir)
+    px, _ = vector_images(spark, sf_dir, dealt=True)
     return px.withColumns({c: (F.floor(F.col(c) / 8) * 8).cast("int") for c in ("r", "g", "b")}).withColumn("a", F.lit(255))
 
 
@@ -318,7 +320,9 @@ def images_indexed(spark, sf_dir):
     """Vectors as images in eight colours, written as PNG files with a palette and read back."""
     packed = pixels.to_png(pixels.quantised(_pictures(spark, sf_dir), 3), palettes=True)
     kinds = packed.select("image_id", F.conv(F.hex(F.substring("content", 26, 1)), 16, 10).cast("long").alias("kind"))
-    back = pixels.from_png(packed).groupBy("image_id").agg(F.count_distinct("r", "g", "b").alias("colours"), F.count("*").alias("n"), F.sum(F.expr("r + 2 * g + 3 * b")).cast("long").alias("total"))
+    # pixels of one colour are counted before they meet, so few rows of an image are shuffled
+    colours = pixels.from_png(packed).groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+    back = colours.groupBy("image_id").agg(F.count("*").alias("colours"), F.sum("n").alias("n"), F.sum(F.expr("n * (r + 2 * g + 3 * b)")).cast("long").alias("total"))
     return back.join(kinds.hint("merge"), "image_id").select("image_id", "kind", "colours", "n", "total")
 
 

@@ -82,3 +82,8 @@ def test_words_lie_by_their_text_until_lines_are_numbered(spark):
 def test_words_stay_with_their_page_until_tables_are_found(spark):
     plan = _plan(base.queries()["word_tables"](spark, FOLDER))
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_colours_of_pictures_are_counted_before_they_meet(spark):
+    plan = _plan(base.queries()["images_indexed"](spark, FOLDER))
+    assert "distinct" not in plan and "REPARTITION_BY_COL" not in plan
