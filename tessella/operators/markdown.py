@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from tessella.operators.folds import ordered_fold
 
-#: Longer texts are an error.
+#: Longer texts are an error of ``rendered``, unless it is told otherwise.
 MOST_CHARS = 512 * 1024
 
 # What may stay in the HTML.
@@ -144,9 +144,9 @@ def inline(text: Column) -> Column:
 
 
 def lines_of(texts: DataFrame, *, key: str, text: str) -> DataFrame:
-    """A row for each line; a null text has none, an overlong one neither."""
+    """A row for each line, however long the text; a null one has none."""
     clean = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\t", "    ")
-    return texts.where(F.length(text) <= MOST_CHARS).select(F.col(key).alias("key"), F.posexplode(F.split(clean, "\n")).alias(_LINES, "line"))
+    return texts.select(F.col(key).alias("key"), F.posexplode(F.split(clean, "\n")).alias(_LINES, "line"))
 
 
 def _fences(lines: DataFrame) -> DataFrame:
@@ -291,19 +291,20 @@ def blocks(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     return plain.unionByName(whole.join(depth, by).select(*by, "kind", "depth", F.regexp_replace("html", "\n\n+", "\n").alias("html")))
 
 
-def rendered(texts: DataFrame, *, key: str, text: str) -> DataFrame:
+def rendered(texts: DataFrame, *, key: str, text: str, most_chars: int | None = MOST_CHARS) -> DataFrame:
     """key, html and error of each text: quotes opened and closed around their blocks.
 
-    A null text is an error, and one of over ``MOST_CHARS``; an empty one gives
-    an empty html.  Keys are taken as different.
+    A null text is an error, and one of over ``most_chars``, unless that is
+    None; an empty one gives an empty html.  Keys are taken as different.
     """
-    b = blocks(texts, key=key, text=text)
+    long = F.lit(False) if most_chars is None else F.coalesce(F.length(text) > most_chars, F.lit(False))
+    b = blocks(texts.where(~long), key=key, text=text)
     order = Window.partitionBy("key").orderBy("block")
     deeper = F.col("depth") - F.coalesce(F.lag("depth").over(order), F.lit(0))
     closing = F.col("depth") - F.coalesce(F.lead("depth").over(order), F.lit(0))
     times = lambda t, n: F.repeat(F.lit(t), F.greatest(n, F.lit(0)).cast("int"))
     b = b.withColumn("h", F.concat(times("<blockquote>\n", deeper), F.col("html"), times("\n</blockquote>", closing)))
     whole = b.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda k: k["h"]), "\n").alias("html"))
-    error = F.when(F.col(text).isNull(), "no input").when(F.length(text) > MOST_CHARS, "input too long")
+    error = F.when(F.col(text).isNull(), "no input").when(long, "input too long")
     out = texts.select(F.col(key).alias("key"), error.alias("error")).join(whole, "key", "left")
     return out.select(F.col("key").alias(key), F.when(F.col("error").isNull(), F.coalesce("html", F.lit(""))).alias("html"), "error")

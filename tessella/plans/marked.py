@@ -44,7 +44,7 @@ HTML = """htmls AS (SELECT doc_id, i, CASE k
 
 @query("SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(a.html, '') END AS html, CASE WHEN d.text IS NULL THEN 'no input' END AS error FROM documents d LEFT JOIN (SELECT doc_id, string_agg(h, chr(10) ORDER BY i) AS html FROM htmls GROUP BY doc_id) a USING (doc_id)", using=(LINES, HTML))
 def markdown_html(spark, sf_dir):
-    return markdown.rendered(planted(spark, sf_dir), key="doc_id", text="text")
+    return markdown.rendered(planted(spark, sf_dir), key="doc_id", text="text", most_chars=None)
 
 
 @query("SELECT doc_id, CASE k WHEN 0 THEN 'heading' WHEN 1 THEN 'list' WHEN 3 THEN 'fence' WHEN 4 THEN 'table' ELSE 'paragraph' END AS kind, count(*) AS n, count(*) FILTER (WHERE k = 2) AS quoted FROM xs GROUP BY 1, 2", using=(LINES,))
