@@ -1,10 +1,10 @@
-"""Markdown to sanitised HTML as tables: texts into lines, lines into blocks, blocks into HTML.
+"""Markdown to sanitised HTML: texts into lines, lines into blocks, blocks into HTML.
 
-Lines are rows (key, line_no, line).  Which lines belong together is found by
-windows over the lines of a text; only fences and list items, whose meaning
-depends on what is open, go through an ordered fold, and only those lines do.
-Marks within a line are column expressions: code, tags and links are taken out
-first, so that emphasis and quotes never touch them.
+A text stays one row with an array of its blocks, so nothing is shuffled.  Which
+lines belong together depends on the lines before and is found by one pass over
+them in a worker, many texts at a time.  Marks within a line are column
+expressions: code, tags and links are taken out first, so that emphasis and
+quotes never touch them.
 
 Not done: paragraphs within list items, reference links, footnotes, nested
 tables.  Private characters U+E000 are dropped, as one marks what was taken out.
@@ -12,13 +12,12 @@ tables.  Private characters U+E000 are dropped, as one marks what was taken out.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from tessella.operators.folds import ordered_fold
+from pyspark.sql import types as T
 
 #: Longer texts are an error of ``rendered``, unless it is told otherwise.
 MOST_CHARS = 512 * 1024
@@ -28,11 +27,15 @@ TAGS = "a abbr acronym b blockquote br code dd del details div dl dt em h1 h2 h3
 ATTRIBUTES = "align alt class colspan height href id name rel rowspan src title width".split()
 SCHEMES = "http https mailto data".split()
 
-_FENCE = r"^(`{3,}|~{3,}) *([\w#.+-]*) *$"
-_RULE = r"^ {0,3}(?:(?:-+ {0,2}){3,}|(?:_+ {0,2}){3,}|(?:\*+ {0,2}){3,})$"
-_ITEM = r"^( *)([*+-]|\d+\.) +(.*)$"
-_HEADING = r"^(#{1,6})(.*?)#*\s*$"
-_DELIMITER = r"^ *\|? *:?-+:? *(\| *:?-+:? *)*\|? *$"
+# what . and $ are to Java's expressions
+_ANY, _END = r"[^\n\r\x85\u2028\u2029]", r"(?=[\x85\u2028\u2029]?\Z)"
+_FENCE = re.compile(rf"(`{{3,}}|~{{3,}}) *([\w#.+-]*) *{_END}", re.ASCII)
+_QUOTES = re.compile(r"(?: {0,3}> ?)*")
+_RULE = re.compile(rf" {{0,3}}(?:-(?: {{0,2}}-){{2,}}|_(?: {{0,2}}_){{2,}}|\*(?: {{0,2}}\*){{2,}}) {{0,2}}{_END}")
+_ITEM = re.compile(rf"( *)([*+-]|[0-9]+\.) +({_ANY}*){_END}")
+_HEADING = re.compile(rf"(#{{1,6}})({_ANY}*?)#*\s*{_END}", re.ASCII)
+_DELIMITER = re.compile(rf" *+\|? *:?-+:? *(?:\| *:?-+:? *)*\|? *{_END}")
+_UNDERLINE = re.compile(rf"(?:=+|-+) *{_END}")
 
 _HOLE = "\ue000"
 _LINK = r"""!?\[[^\]\n]*\]\([^()\s]*(?:\s+"[^"\n]*")?\)"""
@@ -40,8 +43,6 @@ _TAKEN = "|".join((r"(`+)(?!`)[\s\S]+?(?<!`)\1(?!`)", r"\\[\\`*_{}\[\]()#+.!|>~-
 _ATTRIBUTE = r"""(?i)\b[a-z][a-z0-9-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 _SAFE = rf"(?i)^(?:(?:{'|'.join(SCHEMES)}):|[^:&]*$|[^:&]*[/?#])"
 
-_LINES = "line_no"
-
 
 #: A text to try the renderer on.
 SAMPLE = """# Sheet
@@ -143,107 +144,177 @@ def inline(text: Column) -> Column:
 # ---------------------------------------------------------------- lines and blocks
 
 
-def lines_of(texts: DataFrame, *, key: str, text: str) -> DataFrame:
-    """A row for each line, however long the text; a null one has none."""
-    clean = F.regexp_replace(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\t", "    ")
-    return texts.select(F.col(key).alias("key"), F.posexplode(F.split(clean, "\n")).alias(_LINES, "line"))
-
-
-def _fences(lines: DataFrame) -> DataFrame:
-    """Lines with ``fence``: open or close where one starts or ends code.  A fence that nothing closes is text."""
-    mark, language = F.regexp_extract("line", _FENCE, 1), F.regexp_extract("line", _FENCE, 2)
-    marks = lines.where(mark != "").select("key", _LINES, mark.alias("mark"), (language == "").alias("bare"))
-    last = F.max(F.when(F.col("bare"), F.col(_LINES))).over(Window.partitionBy("key", "mark"))
-    marks = marks.withColumn("closes", F.coalesce(last > F.col(_LINES), F.lit(False)))
-
-    def fresh() -> Callable[..., tuple]:
-        open_mark: list[str] = []
+def _lines_of(text: str) -> list[str]:
+    return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", "    ").split("\n")
 
-        def step(mark: str, bare: bool, closes: bool) -> tuple[str | None]:
-            if not open_mark:
-                if closes:
-                    open_mark.append(mark)
-                return ("open" if closes else None,)
-            if bare and open_mark[0] == mark:
-                open_mark.clear()
-                return ("close",)
-            return (None,)
 
-        return step
+def _fences(lines: list[str]) -> dict[int, str]:
+    """Where code opens and closes by line number.  A fence that nothing closes is text."""
+    marks = [(no, *m.groups()) for no, line in enumerate(lines) if line[:1] in ("`", "~") and (m := _FENCE.match(line))]
+    last = {mark: no for no, mark, language in marks if not language}
+    found, open_mark = {}, None
+    for no, mark, language in marks:
+        if open_mark is None and last.get(mark, -1) > no:
+            found[no], open_mark = "open", mark
+        elif not language and mark == open_mark:
+            found[no], open_mark = "close", None
+    return found
 
-    found = ordered_fold(marks, key=("key",), order=(_LINES,), reads=("mark", "bare", "closes"), fresh=fresh, adds="fence string")
-    return lines.join(found.where("fence IS NOT NULL").select("key", _LINES, "fence"), ["key", _LINES], "left")
 
+def _parts(lines: list[str]) -> list[list[tuple[str, int, str | None, str | None]]]:
+    """Lines that show, as what is left of the line, quote marks before it, fence and what it is alone.
 
-def block_lines(lines: DataFrame) -> DataFrame:
-    """Lines that show, with kind, block number, quote depth and what is left of the line.
+    A part starts after a blank line, and at and after whatever stands alone.
+    """
+    fences, parts, inside, before, after_blank = _fences(lines), [], False, None, True
+    for no, line in enumerate(lines):
+        fence = fences.get(no)
+        if inside or fence:
+            inside, rest, own, alone = fence != "close", line, 0, "fence"
+        else:
+            prefix = _QUOTES.match(line)[0]
+            rest, own = line[len(prefix) :], prefix.count(">")
+            if not rest.strip(" "):
+                before, after_blank = None, True
+                continue
+            alone = "rule" if _RULE.match(rest) else "heading" if _HEADING.match(rest) else None
+        if after_blank or alone in ("rule", "heading") or fence == "open" or (before and alone != "fence"):
+            parts.append([])
+        parts[-1].append((rest, own, fence, alone))
+        before, after_blank = alone, False
+    return parts
+
+
+def _kind(rests: list[str]) -> str:
+    """What the first line says that the lines of a part are."""
+    head, second = rests[0], rests[1] if len(rests) > 1 else ""
+    indented = head.startswith("    ")
+    if not indented and _ITEM.match(head):
+        return "list"
+    if "|" in head and "|" in second and _DELIMITER.match(second):
+        return "table"
+    return "code" if indented else "setext" if _UNDERLINE.match(second) else "paragraph"
+
+
+def _blocks_of(text: str) -> list[tuple[str, int, list[tuple[str, str | None]]]]:
+    """Kind, quote depth and lines (what is left of them, and fence) of each block.
 
     Kinds are heading, rule, fence, code, list, table and paragraph.  Between
     blank lines the first line says what the following ones are, until a
     heading or rule.
     """
-    order = Window.partitionBy("key").orderBy(_LINES)
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    fenced = (F.last("fence", ignorenulls=True).over(so_far) == "open") | (F.col("fence") == "close")
-    x = _fences(lines).withColumn("fenced", F.coalesce(fenced, F.lit(False)))
-    prefix = F.when(F.col("fenced"), "").otherwise(F.regexp_extract("line", r"^((?: {0,3}> ?)*)", 1))
-    x = x.withColumns({"rest": F.when(F.col("fenced"), F.col("line")).otherwise(F.substr("line", F.length(prefix) + 1)), "own": F.length(F.regexp_replace(prefix, "[^>]", ""))})
-    rest = F.col("rest")
-    x = x.withColumn("blank", ~F.col("fenced") & (F.trim(rest) == ""))
-    alone = F.when(F.col("fenced"), "fence").when(rest.rlike(_RULE), "rule").when(rest.rlike(_HEADING), "heading")
-    x = x.withColumn("alone", F.when(~F.col("blank"), alone))
-    before = lambda c: F.lag(c).over(order)
-    # a part starts after a blank line, and at and after whatever stands alone
-    starts = before("blank").isNull() | before("blank") | (F.col("alone").isNotNull() & ~((F.col("alone") == "fence") & (F.col("fence").isNull() | (F.col("fence") == "close")))) | (before("alone").isNotNull() & F.coalesce(F.col("alone") != "fence", F.lit(True)))
-    x = x.withColumn("part", F.sum(starts.cast("long")).over(so_far)).where(~F.col("blank"))
-    part = Window.partitionBy("key", "part").orderBy(_LINES)
-    head, second = F.first("rest").over(part), F.nth_value("rest", 2).over(part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    piped = head.contains("|") & second.contains("|") & second.rlike(_DELIMITER)
-    setext = F.coalesce(second.rlike("^(=+|-+) *$"), F.lit(False))
-    x = x.withColumns({"kind": F.coalesce(F.first("alone").over(part), F.when(head.rlike(_ITEM) & ~head.rlike(r"^ {4}"), "list").when(piped, "table").when(head.rlike(r"^ {4}"), "code").when(setext, "setext").otherwise("paragraph")), "place": F.row_number().over(part), "depth": F.max("own").over(part.rowsBetween(Window.unboundedPreceding, 0))})
-    # an underlined line is a heading of its own; what follows it in the part is a paragraph
-    x = x.withColumns({"kind": F.when(F.col("kind") != "setext", F.col("kind")).when(F.col("place") <= 2, "heading").otherwise("paragraph")})
-    # indented lines after a list go on with it
-    known = F.last(F.when(~F.col("kind").isin("code"), F.col("kind")), ignorenulls=True).over(so_far)
-    x = x.withColumn("kind", F.when((F.col("kind") == "code") & F.coalesce(known == "list", F.lit(False)), "list").otherwise(F.col("kind")))
-    same = (before("kind") == F.col("kind")) & (before("depth") == F.col("depth")) & ((before("part") == F.col("part")) | F.col("kind").isin("list", "code"))
-    return x.withColumn("block", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(so_far)).select("key", _LINES, "block", "kind", "depth", "fence", "rest")
-
-
-def _list_items(lines: DataFrame) -> DataFrame:
-    """List items with their text and the tags before and after them; lines that are no item belong to the one before."""
-    order = Window.partitionBy("key", "block").orderBy(_LINES)
-    item = F.col("rest").rlike(_ITEM)
-    x = lines.withColumn("item", F.sum(item.cast("long")).over(order))
-    one = x.groupBy("key", "block", "item").agg(F.min(_LINES).alias(_LINES), F.min_by("rest", _LINES).alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_LINES, F.when(item, F.regexp_extract("rest", _ITEM, 3)).otherwise(F.trim("rest")).alias("t")))), lambda k: k["t"]), "\n").alias("text"))
-    lead, mark = F.length(F.regexp_extract("head", _ITEM, 1)), F.regexp_extract("head", _ITEM, 2)
-    one = one.withColumns({"raw": F.floor(lead / 4).cast("long"), "tag": F.when(mark.rlike(r"\d"), "ol").otherwise("ul")})
-    following = lambda c: F.lead(c).over(order)
-    one = one.withColumns({"next_raw": following("raw"), "next_tag": following("tag")})
-
-    def fresh() -> Callable[..., tuple]:
-        stack: list[str] = []
-
-        def step(raw: int, tag: str, next_raw: int | None, next_tag: str | None) -> tuple[str, str]:
-            level = min(raw, len(stack) - 1) if len(stack) > raw else len(stack)
-            opened, closed = "", []
-            if level == len(stack):
-                stack.append(tag)
-                opened = f"<{tag}>\n"
-            upcoming = -1 if next_raw is None else min(next_raw, len(stack))
-            if upcoming == len(stack):
-                return opened, "\n"
-            closed.append("</li>")
-            while len(stack) - 1 > upcoming:
-                closed.append(f"</{stack.pop()}>" + ("</li>" if stack else ""))
-            if stack and next_tag is not None and stack[-1] != next_tag:
-                closed.append(f"</{stack.pop()}>")
-            return opened, "\n".join(closed).replace("></li>", ">\n</li>")
-
-        return step
-
-    rows = one.select("key", "block", _LINES, "text", "raw", "tag", "next_raw", "next_tag")
-    return ordered_fold(rows, key=("key", "block"), order=(_LINES,), reads=("raw", "tag", "next_raw", "next_tag"), fresh=fresh, adds="opened string, closed string")
+    found, known = [], None
+    for part in _parts(_lines_of(text)):
+        whole, depth = part[0][3] or _kind([line[0] for line in part[:2]]), 0
+        for place, (rest, own, fence, _) in enumerate(part):
+            depth = max(depth, own)
+            # an underlined line is a heading of its own; what follows it in the part is a paragraph
+            kind = whole if whole != "setext" else "heading" if place < 2 else "paragraph"
+            # indented lines after a list go on with it
+            if kind != "code":
+                known = kind
+            elif known == "list":
+                kind = "list"
+            if not (found and found[-1][:2] == (kind, depth) and (place or kind in ("list", "code"))):
+                found.append((kind, depth, []))
+            found[-1][2].append((rest, fence))
+    return found
+
+
+def _items(rests: list[str]) -> list[tuple[str, str, str]]:
+    """List items: the tags before, their text and the tags after; lines that are no item belong to the one before."""
+    found: list[tuple[int, str, list[str]]] = []
+    for rest in rests:
+        if m := _ITEM.match(rest):
+            found.append((len(m[1]) // 4, "ol" if m[2][0].isdigit() else "ul", [m[3]]))
+        elif found:
+            found[-1][2].append(rest.strip(" "))
+        else:
+            found.append((0, "ul", [rest.strip(" ")]))
+    out, stack = [], []
+    for (raw, tag, words), (next_raw, next_tag, _) in zip(found, [*found[1:], (None, None, None)], strict=True):
+        level, opened, closed = min(raw, len(stack) - 1) if len(stack) > raw else len(stack), "", []
+        if level == len(stack):
+            stack.append(tag)
+            opened = f"<{tag}>\n"
+        upcoming = -1 if next_raw is None else min(next_raw, len(stack))
+        if upcoming == len(stack):
+            out.append((opened, "\n".join(words), "\n"))
+            continue
+        closed.append("</li>")
+        while len(stack) - 1 > upcoming:
+            closed.append(f"</{stack.pop()}>" + ("</li>" if stack else ""))
+        if stack and next_tag is not None and stack[-1] != next_tag:
+            closed.append(f"</{stack.pop()}>")
+        out.append((opened, "\n".join(words), "\n".join(closed).replace("></li>", ">\n</li>")))
+    return out
+
+
+def _heading(lines: list[str], seen: dict[str, int]) -> tuple[int, str, str]:
+    """Level, mark and title of a heading; marks that are seen again are numbered."""
+    if m := _HEADING.match(lines[0]):
+        level, title = len(m[1]), m[2].strip(" ")
+    else:
+        level, title = 1 if len(lines) > 1 and lines[1].startswith("=") else 2, lines[0].strip(" ")
+    slug = re.sub(r"(?a)[\s-]+", "-", re.sub(r"(?a)[^a-z0-9_\s-]", "", title.lower()).strip(" "))
+    again = seen.get(slug, 1 if slug == "" else 0)
+    seen[slug] = again + 1
+    return level, f"{slug}_{again}" if again else slug, title
+
+
+_ITEM_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in ("opened", "text", "closed")])
+_BLOCK_TYPE = T.StructType([
+    *(T.StructField(c, kind()) for c, kind in (("kind", T.StringType), ("depth", T.IntegerType), ("opens", T.IntegerType), ("closes", T.IntegerType), ("level", T.IntegerType), ("mark", T.StringType), ("head", T.StringType), ("body", T.StringType))),
+    T.StructField("rows", T.ArrayType(T.StringType())), T.StructField("items", T.ArrayType(_ITEM_TYPE)),
+])
+
+
+def _records(text: str) -> list[tuple]:
+    """The blocks of a text as ``_BLOCK_TYPE``: the mark is a fence's language too, and the body a heading's title."""
+    found, out, seen = _blocks_of(text), [], {}
+    depths = [0, *(depth for _, depth, _ in found), 0]
+    for k, (kind, depth, lines) in enumerate(found, 1):
+        rests = [rest for rest, _ in lines]
+        level, mark, body, rows, items = None, None, None, [], []
+        if kind == "heading":
+            level, mark, body = _heading(rests, seen)
+        elif kind == "fence":
+            mark, body = _FENCE.match(rests[0])[2], "\n".join(rest for rest, fence in lines if fence is None)
+        elif kind == "table":
+            rows = rests[2:]
+        elif kind == "list":
+            items = _items(rests)
+        else:
+            body = "\n".join(rests)
+        out.append((kind, depth, max(0, depth - depths[k - 1]), max(0, depth - depths[k + 1]), level, mark, rests[0] if kind == "table" else None, body, rows, items))
+    return out
+
+
+def _listed(lists: list[list], of: T.DataType) -> pa.Array:
+    """Lists of values or records as an array, records field by field."""
+    ends, flat = [0], []
+    for one in lists:
+        flat += one
+        ends.append(len(flat))
+    if isinstance(of, T.StructType):
+        columns = list(zip(*flat, strict=True)) or [()] * len(of)
+        fields = [_listed(c, f.dataType.elementType) if isinstance(f.dataType, T.ArrayType) else pa.array(c, _ARROW[type(f.dataType)]) for c, f in zip(columns, of, strict=True)]
+        values = pa.StructArray.from_arrays(fields, names=of.names)
+    else:
+        values = pa.array(flat, _ARROW[type(of)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+_ARROW = {T.StringType: pa.string(), T.IntegerType: pa.int32()}
+
+
+@F.arrow_udf(T.ArrayType(_BLOCK_TYPE))
+def _parsed(texts: pa.Array) -> pa.Array:
+    """The blocks of each text in order; a null text has none."""
+    return _listed([[] if text is None else _records(text) for text in texts.to_pylist()], _BLOCK_TYPE)
+
+
+_parsed = _parsed.asNondeterministic()  # else each reader of the blocks would parse its text again
 
 
 def _cells(line: Column, tag: str, align: Column | None = None) -> Column:
@@ -252,59 +323,38 @@ def _cells(line: Column, tag: str, align: Column | None = None) -> Column:
     return F.concat(F.lit("<tr>\n"), F.array_join(cells, "\n"), F.lit("\n</tr>"))
 
 
-def blocks(texts: DataFrame, *, key: str, text: str) -> DataFrame:
-    """key, block, kind, depth and html of each block of each text."""
-    lines = block_lines(lines_of(texts, key=key, text=text))
-    by = ["key", "block"]
-    together = lambda value, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_LINES, value.alias("t")))), lambda k: k["t"]), sep)
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(_LINES))
-    numbered = lines.withColumn("n", first)
-    body = numbered.where(~F.col("kind").isin("list")).groupBy(*by, "kind", "depth").agg(
-        F.min_by("rest", _LINES).alias("head"),
-        F.max(F.when(F.col("n") == 2, F.col("rest"))).alias("second"),
-        together(F.when(~F.col("kind").isin("fence", "table") | ((F.col("kind") == "fence") & F.col("fence").isNull()), F.col("rest")), "\n").alias("body"),
-        together(F.when((F.col("kind") == "table") & (F.col("n") > 2), _cells(F.col("rest"), "td")), "\n").alias("rows"),
-    )
-    hashes = F.regexp_extract("head", _HEADING, 1)
-    level = F.when(hashes != "", F.length(hashes)).when(F.col("second").startswith("="), 1).otherwise(2)
-    title = F.trim(F.when(hashes != "", F.regexp_extract("head", _HEADING, 2)).otherwise(F.col("head")))
-    body = body.withColumns({"level": F.when(F.col("kind") == "heading", level), "title": F.when(F.col("kind") == "heading", title)})
-    slug = F.regexp_replace(F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9_\s-]", "")), r"[\s-]+", "-")
-    body = body.withColumn("slug", slug)
-    again = F.row_number().over(Window.partitionBy("key", "kind", "slug").orderBy("block")) - F.when(F.col("slug") == "", 0).otherwise(1)
-    mark = F.when(again > 0, F.concat("slug", F.lit("_"), again)).otherwise(F.col("slug"))
-    tag = lambda name, inner: F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name}>"))
-    language = F.regexp_extract("head", _FENCE, 2)
-    shown = F.when(language != "", F.concat(F.lit('<code class="language-'), language, F.lit('">'))).otherwise("<code>")
+def _html(block: Column) -> Column:
+    """The HTML of a block, without the quotes around it."""
+    body, level = block["body"], block["level"]
     code = lambda t: escaped(F.replace(t, F.lit("&"), F.lit("&amp;")))
-    fenced = F.concat(F.lit("<pre>"), shown, code(F.col("body")), F.lit("\n</code></pre>"))
-    indented = F.concat(F.lit("<pre><code>"), code(F.regexp_replace("body", r"(?m)^ {4}", "")), F.lit("\n</code></pre>"))
-    table = F.concat(F.lit("<table>\n<thead>\n"), _cells(F.col("head"), "th"), F.lit("\n</thead>\n<tbody>\n"), F.col("rows"), F.when(F.col("rows") != "", "\n").otherwise(""), F.lit("</tbody>\n</table>"))
-    heading = F.concat(F.lit("<h"), F.col("level"), F.lit(' id="'), mark, F.lit('">'), inline(F.col("title")), F.lit("</h"), F.col("level"), F.lit(">"))
-    kind = F.col("kind")
-    html = F.when(kind == "heading", heading).when(kind == "rule", "<hr>").when(kind == "fence", fenced).when(kind == "code", indented).when(kind == "table", table).otherwise(tag("p", inline(F.trim("body"))))
-    plain = body.select(*by, "kind", "depth", html.alias("html"))
-    listed = lines.where("kind = 'list'")
-    items = _list_items(listed).withColumn("h", F.concat("opened", F.lit("<li>"), inline(F.col("text")), "closed"))
-    whole = items.groupBy(*by).agg(together(F.col("h"), "\n").alias("html"))
-    depth = listed.groupBy(*by).agg(F.first("kind").alias("kind"), F.max("depth").alias("depth"))
-    return plain.unionByName(whole.join(depth, by).select(*by, "kind", "depth", F.regexp_replace("html", "\n\n+", "\n").alias("html")))
+    shown = F.when(block["mark"] != "", F.concat(F.lit('<code class="language-'), block["mark"], F.lit('">'))).otherwise("<code>")
+    fenced = F.concat(F.lit("<pre>"), shown, code(body), F.lit("\n</code></pre>"))
+    indented = F.concat(F.lit("<pre><code>"), code(F.regexp_replace(body, r"(?m)^ {4}", "")), F.lit("\n</code></pre>"))
+    rows = F.transform(block["rows"], lambda r: F.concat(_cells(r, "td"), F.lit("\n")))
+    table = F.concat(F.lit("<table>\n<thead>\n"), _cells(block["head"], "th"), F.lit("\n</thead>\n<tbody>\n"), F.array_join(rows, ""), F.lit("</tbody>\n</table>"))
+    heading = F.concat(F.lit("<h"), level, F.lit(' id="'), block["mark"], F.lit('">'), inline(body), F.lit("</h"), level, F.lit(">"))
+    items = F.transform(block["items"], lambda k: F.concat(k["opened"], F.lit("<li>"), inline(k["text"]), k["closed"]))
+    listed = F.regexp_replace(F.array_join(items, "\n"), "\n\n+", "\n")
+    kind = block["kind"]
+    paragraph = F.concat(F.lit("<p>"), inline(F.trim(body)), F.lit("</p>"))
+    return F.when(kind == "heading", heading).when(kind == "rule", "<hr>").when(kind == "fence", fenced).when(kind == "code", indented).when(kind == "table", table).when(kind == "list", listed).otherwise(paragraph)
+
+
+def blocks(texts: DataFrame, *, key: str, text: str) -> DataFrame:
+    """key, block, kind, depth and html of each block of each text, however long; a null text has none."""
+    found = texts.select(F.col(key).alias("key"), F.posexplode(_parsed(F.col(text))).alias("block", "b"))
+    return found.select("key", (F.col("block") + 1).cast("long").alias("block"), "b.kind", "b.depth", _html(F.col("b")).alias("html"))
 
 
 def rendered(texts: DataFrame, *, key: str, text: str, most_chars: int | None = MOST_CHARS) -> DataFrame:
     """key, html and error of each text: quotes opened and closed around their blocks.
 
     A null text is an error, and one of over ``most_chars``, unless that is
-    None; an empty one gives an empty html.  Keys are taken as different.
+    None; an empty one gives an empty html.
     """
     long = F.lit(False) if most_chars is None else F.coalesce(F.length(text) > most_chars, F.lit(False))
-    b = blocks(texts.where(~long), key=key, text=text)
-    order = Window.partitionBy("key").orderBy("block")
-    deeper = F.col("depth") - F.coalesce(F.lag("depth").over(order), F.lit(0))
-    closing = F.col("depth") - F.coalesce(F.lead("depth").over(order), F.lit(0))
-    times = lambda t, n: F.repeat(F.lit(t), F.greatest(n, F.lit(0)).cast("int"))
-    b = b.withColumn("h", F.concat(times("<blockquote>\n", deeper), F.col("html"), times("\n</blockquote>", closing)))
-    whole = b.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda k: k["h"]), "\n").alias("html"))
     error = F.when(F.col(text).isNull(), "no input").when(long, "input too long")
-    out = texts.select(F.col(key).alias("key"), error.alias("error")).join(whole, "key", "left")
-    return out.select(F.col("key").alias(key), F.when(F.col("error").isNull(), F.coalesce("html", F.lit(""))).alias("html"), "error")
+    times = lambda t, n: F.repeat(F.lit(t), n)
+    quoted = lambda b: F.concat(times("<blockquote>\n", b["opens"]), _html(b), times("\n</blockquote>", b["closes"]))
+    out = texts.select(F.col(key).alias("key"), error.alias("error"), _parsed(F.when(~long, F.col(text))).alias("blocks"))
+    return out.select(F.col("key").alias(key), F.when(F.col("error").isNull(), F.array_join(F.transform("blocks", quoted), "\n")).alias("html"), "error")
