@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,10 @@ def placed(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...], name:
     """rows with ``name``, their place in their key from 1, each key whole in a task and in order.
 
     Where rows lie by their key, or by a part of it, they are not shuffled
-    again.  They are in order only as long as the place is read.
+    again.  They are in order only as long as the place is read.  Without an
+    order the rows of a key come as they are.
     """
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order or (F.lit(0),))))
 
 
 def ordered_fold(rows: DataFrame, *, key: tuple[str, ...], order: tuple[str, ...], reads: tuple[str, ...], fresh: Callable[[], Step], adds: str, parts: int | None = None) -> DataFrame:
@@ -82,3 +84,24 @@ def whole_keys(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Itera
             held.append(batch)
     if held:
         yield table()
+
+
+def whole_places(batches: Iterator[pa.RecordBatch], least: int = 20_000, name: str = "_place") -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of ``placed`` as tables of at least so many that hold each key whole, with whether a row is the first of its key."""
+    held, size = [], 0
+
+    def table() -> tuple[pa.Table, np.ndarray]:
+        whole = pa.Table.from_batches(held)
+        return whole, whole.column(name).to_numpy() == 1
+
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(batch.schema.get_field_index(name)).to_numpy() == 1) if size + batch.num_rows > least else ()
+        if len(starts) and size + starts[-1]:
+            held.append(batch.slice(0, starts[-1]))
+            yield table()
+            held, size = [batch.slice(starts[-1])], batch.num_rows - int(starts[-1])
+        elif batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+    if held:
+        yield table()

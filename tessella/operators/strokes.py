@@ -2,22 +2,23 @@
 
 Strokes have doc_id, page_no, x0, x1, top and bottom.  Thin ones are an edge,
 boxes four.  Edges of nearly one place are snapped to their mean and joined
-where they touch; crossings are met through bands of the vertical axis.  A cell
-hangs on the crossing at its upper left and ends at the nearest crossings to the
-right and below whose edges close it.  Cells that share a corner are a table.
+where they touch; an upright edge is met by the level ones between its ends.  A
+cell hangs on the crossing at its upper left and ends at the nearest crossings
+to the right and below whose edges close it.  Cells that share a corner are a
+table.  Pages are dealt and sorted once; a task takes many at a time, as arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessella.operators.geometry import BAND, PAGE
+from tessella.operators.folds import placed, whole_places
+from tessella.operators.geometry import PAGE
 
 # fixed values: tolerances and sizes in points
 SNAP = 3.0
@@ -25,127 +26,141 @@ THIN = 3.75
 SHORTEST = 3.0
 SMALLEST = (20.0, 10.0)
 
-_CELL = ("x0", "top", "x1", "bottom")
-
-
-def edges(strokes: DataFrame, thin: float = THIN, shortest: float = SHORTEST) -> DataFrame:
-    """(page, kind h or v, pos, lo, hi) of thin strokes by their middle, and of the four sides of boxes."""
-    x0, x1, y0, y1 = F.least("x0", "x1"), F.greatest("x0", "x1"), F.least("top", "bottom"), F.greatest("top", "bottom")
-    wide, tall = x1 - x0, y1 - y0
-
-    def edge(kind: str, pos: Column, lo: Column, hi: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), pos.cast("double").alias("pos"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
-
-    flat, upright = F.array(edge("h", (y0 + y1) / 2, x0, x1)), F.array(edge("v", (x0 + x1) / 2, y0, y1))
-    box = F.array(edge("h", y0, x0, x1), edge("h", y1, x0, x1), edge("v", x0, y0, y1), edge("v", x1, y0, y1))
-    found = F.when((tall <= thin) & (wide >= tall), flat).when(wide <= thin, upright).otherwise(box)
-    return strokes.select(*PAGE, F.explode(found).alias("e")).select(*PAGE, "e.*").where(F.col("hi") - F.col("lo") >= shortest)
-
-
-def snapped(found: DataFrame, tolerance: float = SNAP) -> DataFrame:
-    """Edges of a chain whose neighbours lie within the tolerance move to the mean of their places."""
-    along = Window.partitionBy(*PAGE, "kind").orderBy("pos", "lo", "hi")
-    starts = F.coalesce(F.col("pos") - F.lag("pos").over(along) > tolerance, F.lit(True))
-    chain = found.withColumn("starts", starts.cast("int")).withColumn("chain", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return chain.withColumn("pos", F.avg("pos").over(Window.partitionBy(*PAGE, "kind", "chain"))).drop("starts", "chain")
+#: So many pairs of edges are looked at together.
+PAIRS = 1 << 20
 
+_CELL = ("x0", "top", "x1", "bottom")
+_BOX = ("x0", "x1", "top", "bottom")
 
-def joined(found: DataFrame, tolerance: float = SNAP) -> DataFrame:
-    """Edges of one place that touch or nearly so become one; adds ``edge_no``, a number within page and kind."""
-    line = Window.partitionBy(*PAGE, "kind", "pos").orderBy("lo", "hi")
-    reach = F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.coalesce(F.col("lo") > reach + tolerance, F.lit(True))
-    part = found.withColumn("starts", starts.cast("int")).withColumn("part", F.sum("starts").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = part.groupBy(*PAGE, "kind", "pos", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("part")
-    return whole.withColumn("edge_no", F.row_number().over(Window.partitionBy(*PAGE, "kind").orderBy("pos", "lo")))
-
-
-def crossings(whole: DataFrame, tolerance: float = SNAP) -> DataFrame:
-    """(page, v, h, x, y): each upright edge with each level one that it meets, ends within the tolerance included.
-
-    Edges meet in lists by page and band, which are read where the page's edges already are.
-    """
-    band = lambda c: F.floor(c / BAND)
-    bands = F.when(F.col("kind") == "v", F.sequence(band(F.col("lo") - tolerance), band(F.col("hi") + tolerance))).otherwise(F.array(band(F.col("pos"))))
-    mine = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("edge_no", "pos", "lo", "hi")))
-    met = whole.where(" AND ".join(f"{c} IS NOT NULL" for c in PAGE)).withColumn("band", F.explode(bands)).groupBy(*PAGE, "band").agg(mine("v").alias("vs"), mine("h").alias("hs"))
-    meet = lambda v, h: h["pos"].between(v["lo"] - tolerance, v["hi"] + tolerance) & v["pos"].between(h["lo"] - tolerance, h["hi"] + tolerance)
-    point = lambda v, h: F.struct(v["edge_no"].alias("v"), h["edge_no"].alias("h"), v["pos"].alias("x"), h["pos"].alias("y"))
-    points = F.flatten(F.transform("vs", lambda v: F.transform(F.filter("hs", lambda h: meet(v, h)), lambda h: point(v, h))))
-    return met.select(*PAGE, F.explode(points).alias("p")).select(*PAGE, "p.*")
-
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Draws = Callable[..., tuple[np.ndarray, list[np.ndarray]]]
 
-def _corners(points: DataFrame) -> DataFrame:
-    """A row for each page: the crossings that can be an upper left corner with their nearest others and whether a fourth closes them; all crossings where one is left open.
 
-    Crossings and those asked for meet in a window by their two edges, so each is
-    made once and stays with its page.
-    """
-    upright, level = Window.partitionBy(*PAGE, "v").orderBy("y", "h"), Window.partitionBy(*PAGE, "h").orderBy("x", "v")
-    whole = (Window.unboundedPreceding, Window.unboundedFollowing)
-    back = Window.partitionBy(*PAGE, "h").orderBy(F.desc("x"), F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
-    up = Window.partitionBy(*PAGE, "v").orderBy(F.desc("y"), F.desc("h")).rowsBetween(Window.unboundedPreceding, -1)
-    p = points.withColumn("down", F.max("y").over(upright.rowsBetween(*whole)) > F.col("y")).withColumn("right", F.max("x").over(level.rowsBetween(*whole)) > F.col("x"))
-    p = p.withColumn("r", F.last(F.when(F.col("down"), F.struct("x", "v")), ignorenulls=True).over(back)).withColumn("b", F.last(F.when(F.col("right"), F.struct("y", "h")), ignorenulls=True).over(up))
-    there = F.struct(F.col("v").alias("at_v"), F.col("h").alias("at_h"), F.lit(False).alias("asks"))
-    asked = F.when(F.col("down") & F.col("right"), F.struct(F.col("r.v").alias("at_v"), F.col("b.h").alias("at_h"), F.lit(True).alias("asks")))
-    met = p.withColumn("k", F.explode(F.array(there, asked))).where("k IS NOT NULL").select(*PAGE, "v", "h", "x", "y", F.col("r.x").alias("x1"), F.col("b.y").alias("bottom"), "k.*")
-    closed = F.max(~F.col("asks")).over(Window.partitionBy(*PAGE, "at_v", "at_h")) & (F.col("x1") > F.col("x")) & (F.col("bottom") > F.col("y"))
-    met = met.withColumn("closed", F.coalesce(closed, F.lit(False)))
-    pages = met.groupBy(*PAGE).agg(F.collect_list(F.when(F.col("asks"), F.struct("v", "h", "x", "y", "x1", "bottom", "closed"))).alias("asked"), F.collect_list(F.when(~F.col("asks"), F.struct("v", "h", "x", "y"))).alias("points"))
-    return pages.withColumn("points", F.when(F.exists("asked", lambda a: ~a["closed"]), F.col("points")))
-
-
-def _flat(lists: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of lists of records the place of each record's list, and the records' fields."""
-    flat, size = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(lists)), size), [flat.field(c).to_numpy(zero_copy_only=False) for c in names]
-
-
-def _found(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Pages and boxes of the cells of many pages, sorted; what is left open is searched along both edges."""
-    page, (v, h, x, y, x1, bottom, closed) = _flat(b["asked"], ("v", "h", "x", "y", "x1", "bottom", "closed"))
-    closed = closed.astype(bool)
-    rows = [np.stack([page, y, x, bottom, x1], axis=1)[closed].astype(float)]
-    of, (pv, ph, px, py) = _flat(b["points"], ("v", "h", "x", "y"))
-    code = pv.astype(np.int64) << 32 | ph.astype(np.int64)
-    for k in np.flatnonzero(~closed):
-        mine = slice(*np.searchsorted(of, [page[k], page[k] + 1]))
-        low, right = np.flatnonzero((pv[mine] == v[k]) & (py[mine] > y[k])), np.flatnonzero((ph[mine] == h[k]) & (px[mine] > x[k]))
-        low, right = (a.reshape(-1) + mine.start for a in np.meshgrid(low, right, indexing="ij"))
-        met = np.isin(pv[right].astype(np.int64) << 32 | ph[low].astype(np.int64), code[mine])
-        if met.any():
-            rows.append(np.array([[page[k], y[k], x[k], *min(zip(py[low][met], px[right][met], strict=True))]]))
-    cell = np.concatenate(rows)
-    cell = cell[np.lexsort((cell[:, 4], cell[:, 3], cell[:, 2], cell[:, 1], cell[:, 0]))]
-    first = np.ones(len(cell), bool)
-    first[1:] = (cell[1:, :3] != cell[:-1, :3]).any(axis=1)
-    return cell[first, 0].astype(np.int64), cell[first][:, [2, 1, 4, 3]]
-
-
-def _pages_of(b: pa.RecordBatch, page: np.ndarray, cell: np.ndarray, *more: pa.Array) -> pa.RecordBatch:
-    own = [b[c].take(pa.array(page)) for c in PAGE]
-    return pa.RecordBatch.from_arrays([*own, *(pa.array(c) for c in cell.T), *more], names=[*PAGE, *_CELL, "table_no"][: 6 + len(more)])
-
-
-def cells(points: DataFrame) -> DataFrame:
-    """(page, x0, top, x1, bottom) of the smallest closed cell below and right of each crossing.
+def _edges(page: np.ndarray, box: list[np.ndarray]) -> tuple[Edges, Edges]:
+    """(page, pos, lo, hi) of upright and of level edges: thin strokes by their middle, and the four sides of boxes."""
+    x0, x1, y0, y1 = np.minimum(*box[:2]), np.maximum(*box[:2]), np.minimum(*box[2:]), np.maximum(*box[2:])
+    wide, tall = x1 - x0, y1 - y0
+    level = (tall <= THIN) & (wide >= tall)
+    upright = ~level & (wide <= THIN)
+    four = ~level & ~upright
+
+    def sides(thin: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Edges:
+        parts = [(page[thin], (a[thin] + b[thin]) / 2, lo[thin], hi[thin]), *((page[four], pos[four], lo[four], hi[four]) for pos in (a, b))]
+        found = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return tuple(c[found[3] - found[2] >= SHORTEST] for c in found)
+
+    return sides(upright, x0, x1, y0, y1), sides(level, y0, y1, x0, x1)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first does."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _whole(edges: Edges, tolerance: float) -> Edges:
+    """Edges by page, place and start: a chain whose neighbours lie within the tolerance is moved to the mean of its places, and what touches or nearly so there becomes one."""
+    page, pos, lo, hi = edges
+    if not len(page):
+        return edges
+    order = np.lexsort((hi, lo, pos, page))
+    page, pos, lo, hi = (c[order] for c in (page, pos, lo, hi))
+    starts = _changes(page)
+    starts[1:] |= pos[1:] - pos[:-1] > tolerance
+    chain = np.cumsum(starts) - 1
+    mean = np.bincount(chain, weights=pos) / np.bincount(chain)
+    order = np.lexsort((hi, lo, chain))
+    page, lo, hi, chain = page[order], lo[order], hi[order], chain[order]
+    # how far the edges of a chain reach so far: the highest rank of an end, higher in later chains
+    by_end = np.argsort(hi, kind="stable")
+    rank = np.empty(len(hi), np.int64)
+    rank[by_end] = np.arange(len(hi))
+    reach = hi[by_end[np.maximum.accumulate(chain * len(hi) + rank) % len(hi)]]
+    starts = _changes(chain)
+    starts[1:] |= lo[1:] > reach[:-1] + tolerance
+    first = np.flatnonzero(starts)
+    return page[first], mean[chain[first]], lo[first], np.maximum.reduceat(hi, first)
+
+
+def _before(page: np.ndarray, value: np.ndarray, of: np.ndarray, limit: np.ndarray, equal: bool) -> np.ndarray:
+    """How many rows, sorted by page and value, come before a limit in page ``of``, those at it included or not."""
+    n = len(page)
+    asks = np.arange(n + len(of)) >= n
+    order = np.lexsort((asks == equal, np.concatenate([value, limit]), np.concatenate([page, of])))
+    out, at = np.empty(len(of), np.int64), asks[order]
+    out[order[at] - n] = np.cumsum(~at)[at]
+    return out
+
+
+def _crossings(upright: Edges, level: Edges, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each upright edge and each level one that it meets, ends within the tolerance included, sorted."""
+    (page, x, top, bottom), (on, y, left, right) = upright, level
+    low, high = _before(on, y, page, top - tolerance, False), _before(on, y, page, bottom + tolerance, True)
+    count = np.maximum(high - low, 0)
+    found, start, total = [], 0, np.cumsum(count)
+    while start < len(count):
+        stop = max(start + 1, int(np.searchsorted(total, PAIRS + (total[start - 1] if start else 0), side="right")))
+        n = count[start:stop]
+        v = np.repeat(np.arange(start, stop), n)
+        h = np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n) + low[v]
+        meet = (x[v] >= left[h] - tolerance) & (x[v] <= right[h] + tolerance)
+        found.append((v[meet], h[meet]))
+        start = stop
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+
+
+def _cells(upright: Edges, level: Edges, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and boxes of the smallest closed cell below and right of each crossing, by page, top and left.
 
     Only a crossing from which an upright edge goes down can be the upper right
     corner, and only one from which a level edge goes right the lower left one.
     If the nearest two are closed by a fourth, no smaller cell is there; what a
     loose stroke leaves open is searched along both edges.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _pages_of(b, *_found(b))
-
-    return _corners(points).mapInArrow(run, _types(points))
-
-
-def _types(rows: DataFrame) -> str:
-    return ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in PAGE), *(f"{c} double" for c in _CELL)])
+    v, h = _crossings(upright, level, tolerance)
+    n, x, y = len(v), upright[1][v], level[1][h]
+    if not n:
+        return np.empty(0, np.int64), np.empty((0, 4))
+    # crossings lie along upright edges from top to bottom; along is their order along level ones, from left to right
+    along = np.argsort(h, kind="stable")
+    place = np.empty(n, np.int64)
+    place[along] = np.arange(n)
+    end_v, end_h = np.searchsorted(v, v, side="right") - 1, np.searchsorted(h[along], h, side="right") - 1
+    down, right = y[end_v] > y, x[along[end_h]] > x
+
+    def following(fits: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The next place that fits, up to the end; else -1."""
+        at = np.append(np.minimum.accumulate(np.where(fits, np.arange(n), n)[::-1])[::-1][1:], n)
+        return np.where(at <= end, at, -1)
+
+    asks = np.flatnonzero(down & right)
+    to_right, below = following(down[along], end_h[along])[place[asks]], following(right, end_v)[asks]
+    corner = along[to_right]
+    code = v * len(level[0]) + h
+    fourth = v[corner] * len(level[0]) + h[below]
+    closed = (to_right >= 0) & (below >= 0) & (code[np.minimum(np.searchsorted(code, fourth), n - 1)] == fourth) & (x[corner] > x[asks]) & (y[below] > y[asks])
+    full = [(asks[closed], y[below[closed]], x[corner[closed]])]
+    for k in asks[~closed]:
+        rights = along[place[k] + 1 : end_h[k] + 1]
+        rights, best = v[rights[x[rights] > x[k]]], None
+        for j in range(k + 1, end_v[k] + 1):
+            if y[j] <= y[k]:
+                continue
+            if best and y[j] > best[0]:
+                break
+            met = v[along[place[j] + 1 : end_h[j] + 1]]
+            met = met[np.isin(met, rights)]
+            if len(met) and (best is None or upright[1][met[0]] < best[1]):
+                best = (y[j], upright[1][met[0]])
+        if best:
+            full.append(tuple(np.array([value]) for value in (k, *best)))
+    at, bottom, x1 = (np.concatenate(c) for c in zip(*full, strict=True))
+    page, cell = upright[0][v[at]], np.stack([x[at], y[at], x1, bottom], axis=1)
+    order = np.lexsort((cell[:, 2], cell[:, 3], cell[:, 0], cell[:, 1], page))
+    page, cell = page[order], cell[order]
+    first = _changes(page, cell[:, 1], cell[:, 0])
+    return page[first], cell[first]
 
 
 def _components(corners: np.ndarray) -> np.ndarray:
@@ -185,36 +200,35 @@ def _numbered(page: np.ndarray, cell: np.ndarray, smallest: tuple[float, float])
     return keep, (np.arange(len(roots)) - np.searchsorted(page[roots], page[roots]))[own].astype(np.int32)
 
 
-def _in_tables(pages: DataFrame, found, smallest: tuple[float, float]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            page, cell = found(b)
-            keep, no = _numbered(page, cell, smallest)
-            yield _pages_of(b, page[keep], cell[keep], pa.array(no))
-
-    return pages.mapInArrow(run, _types(pages) + ", table_no int")
-
-
-def _given(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    page, fields = _flat(b["cells"], _CELL)
-    return page, np.stack(fields, axis=1).astype(float)
-
-
-def in_tables(found: DataFrame, smallest: tuple[float, float] = SMALLEST) -> DataFrame:
-    """Cells with ``table_no`` from 0 within the page, by top and left; lone cells and tiny tables are none."""
-    pages = found.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("top", "x0", "x1", "bottom"))).alias("cells"))
-    return _in_tables(pages, _given, smallest)
-
-
-def table_cells(strokes: DataFrame, tolerance: float = SNAP) -> DataFrame:
+def table_cells(rows: DataFrame, tolerance: float = SNAP, *, reads: tuple[str, ...] = _BOX, draws: Draws | None = None) -> DataFrame:
     """(page, x0, top, x1, bottom, table_no): the cells of every table that strokes draw.
 
-    Strokes without coordinates draw nothing, those drawn twice count once, and
-    a page without crossings has no tables.  All steps keep to the page, so
-    strokes that are dealt by a column of it are not shuffled again.
+    ``table_no`` counts from 0 within the page, by top and left; lone cells and
+    tiny tables are none.  Strokes without coordinates draw nothing, those drawn
+    twice count once, and a page without crossings has no tables.  Rows that
+    are dealt by a column of their page are not shuffled again.
+
+    Where rows are no strokes but say how to draw some, ``draws`` takes their
+    columns ``reads``, none of them null, and gives the row and the place of
+    each stroke; so only the rows travel to the workers.
     """
-    there = strokes.where("x0 IS NOT NULL AND x1 IS NOT NULL AND top IS NOT NULL AND bottom IS NOT NULL")
-    return _in_tables(_corners(crossings(joined(snapped(edges(there), tolerance), tolerance), tolerance)), _found, SMALLEST)
+    kept = PAGE if draws else (*PAGE, *reads)
+    there = rows.select(*PAGE, *(F.col(c) if draws else F.col(c).cast("double").alias(c) for c in reads)).where(" AND ".join(f"{c} IS NOT NULL" for c in kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, first in whole_places(batches):
+            own, box = np.arange(len(first)), [whole.column(c).to_numpy() for c in reads]
+            own, box = draws(*box) if draws else (own, box)
+            fine = ~np.isnan(box).any(axis=0)
+            page, box = (np.cumsum(first) - 1)[own[fine]], [c[fine] for c in box]
+            upright, level = (_whole(e, tolerance) for e in _edges(page, box))
+            page, cell = _cells(upright, level, tolerance)
+            keep, no = _numbered(page, cell, SMALLEST)
+            at = pa.array(np.flatnonzero(first)[page[keep]])
+            yield pa.RecordBatch.from_arrays([*(whole.column(c).take(at).combine_chunks() for c in PAGE), *(pa.array(c) for c in cell[keep].T), pa.array(no)], names=[*PAGE, *_CELL, "table_no"])
+
+    types = [*(f"{c} {there.schema[c].dataType.simpleString()}" for c in PAGE), *(f"{c} double" for c in _CELL)]
+    return placed(there, PAGE, ()).mapInArrow(run, ", ".join([*types, "table_no int"]))
 
 
 def table_boxes(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ drawn in pieces that do not quite touch and do not quite agree on their place.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,12 +22,6 @@ from tessella.plans.registry import query
 from tessella.sources import docx
 
 
-def _left(table: Column, first: Column, c: Column) -> Column:
-    """Where column ``c`` of a table begins, its widths chosen by ``first``; the second table lies further right."""
-    widths = F.when(c > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(c - 1, F.lit(0)).cast("long")), F.lit(0).cast("long"), lambda n, i: n + 40 + 10 * ((first + i) % 4))).otherwise(0)
-    return (50 + 400 * table + widths).cast("double")
-
-
 def order_rows(spark, sf_dir) -> DataFrame:
     """A row for each line of each table: page, table, row, its height and place, columns."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
@@ -40,18 +35,38 @@ def order_rows(spark, sf_dir) -> DataFrame:
     return out.select("doc_id", "page_no", "r", "rows", "k.*", (F.col("k.y") + F.col("low") - F.col("high")).alias("top"), (F.col("k.y") + F.col("low")).alias("bottom"))
 
 
-def order_strokes(spark, sf_dir) -> DataFrame:
-    rows = order_rows(spark, sf_dir)
-    c = F.col("c")
-    columns = rows.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns"))))
-    columns = columns.withColumn("x", _left(F.col("t"), F.col("first"), c)).withColumn("end", _left(F.col("t"), F.col("first"), c + 1) - F.when(c + 1 < F.col("columns"), 2).otherwise(0))
-    stroke = lambda *box: F.struct(*[v.cast("double").alias(n) for v, n in zip(box, ("x0", "x1", "top", "bottom"), strict=True)])
-    merged = (F.col("doc_id") % 5 == 0) & (F.col("t") == 0) & (F.col("r") == 0) & (c == 1)
-    lean = F.col("x") + 0.25 * ((F.col("r") + c) % 2)
-    upright = F.when(~merged, stroke(lean, lean, F.col("top"), F.col("bottom")))
-    level = lambda y: stroke(F.col("x"), F.col("end"), y + 0.5 * (c % 2), y + 0.5 * (c % 2) + 1)
-    over, under = F.when(c < F.col("columns"), level(F.col("top"))), F.when((c < F.col("columns")) & (F.col("r") == F.col("rows") - 1), level(F.col("bottom")))
-    return columns.select("doc_id", "page_no", F.explode(F.array(upright, over, under)).alias("s")).where("s IS NOT NULL").select("doc_id", "page_no", "s.*")
+def _drawn(r: np.ndarray, rows: np.ndarray, t: np.ndarray, columns: np.ndarray, first: np.ndarray, merged: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The strokes of rows of tables: whose they are, and x0, x1, top and bottom.
+
+    Column widths are chosen by ``first``; the second table lies further right.
+    Each column has an upright stroke at its left and a level one above, and
+    below the last row; the upright one within merged cells is left out.
+    """
+    own = np.repeat(np.arange(len(r)), columns + 1)
+    c = np.arange(len(own)) - np.repeat(np.cumsum(columns + 1) - columns - 1, columns + 1)
+    wide = 40 + 10 * np.fmod(first[own] + c, 4)
+    before = np.cumsum(wide) - wide
+    x = (50 + 400 * t[own] + before - before[np.cumsum(columns + 1) - columns - 1][own]).astype(float)
+    end = x + wide - np.where(c + 1 < columns[own], 2, 0)
+    lean, down = x + 0.25 * ((r[own] + c) % 2), 0.5 * (c % 2)
+    inner = c < columns[own]
+    upright, under = ~(merged[own] & (c == 1)), inner & (r == rows - 1)[own]
+
+    def level(which: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+        place = y[own[which]] + down[which]
+        return own[which], x[which], end[which], place, place + 1
+
+    parts = ((own[upright], lean[upright], lean[upright], top[own[upright]], bottom[own[upright]]), level(inner, top), level(under, bottom))
+    whose, *box = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return whose, box
+
+
+def order_cells(spark, sf_dir) -> DataFrame:
+    """The cells of the tables that the strokes of order sheets draw; a row without a height draws what can be placed."""
+    place = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    merged = ((F.col("doc_id") % 5 == 0) & (F.col("t") == 0) & (F.col("r") == 0)).alias("merged")
+    rows = order_rows(spark, sf_dir).where("columns IS NOT NULL").select("doc_id", "page_no", "r", "rows", "t", "columns", "first", merged, place("top"), place("bottom"))
+    return strokes.table_cells(rows, reads=("r", "rows", "t", "columns", "first", "merged", "top", "bottom"), draws=_drawn)
 
 
 DRAWN = """items AS (SELECT l_orderkey, o_custkey, row_number() OVER w - 1 AS r, 12 + CAST(floor(l_quantity) AS BIGINT) % 9 AS high, sum(12 + CAST(floor(l_quantity) AS BIGINT) % 9) OVER w AS low,
@@ -72,14 +87,14 @@ numbered AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY t) - 1 AS
 @query("SELECT doc_id, CAST(table_no AS INT) AS table_no, round(x0, 4) AS x0, round(top, 4) AS top, round(x1, 4) AS x1, round(bottom, 4) AS bottom FROM numbered", using=(DRAWN,))
 def stroke_cells(spark, sf_dir):
     """Every cell of every table that the strokes of order sheets draw."""
-    found = strokes.table_cells(order_strokes(spark, sf_dir))
+    found = order_cells(spark, sf_dir)
     return found.select("doc_id", "table_no", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom")])
 
 
 @query("SELECT doc_id, CAST(table_no AS INT) AS table_no, round(min(x0), 4) AS x0, round(min(top), 4) AS top, round(max(x1), 4) AS x1, round(max(bottom), 4) AS bottom, count(*) AS cells FROM numbered GROUP BY doc_id, table_no", using=(DRAWN,))
 def stroke_tables(spark, sf_dir):
     """The box and the number of cells of every table of order sheets."""
-    found = strokes.table_boxes(strokes.table_cells(order_strokes(spark, sf_dir)))
+    found = strokes.table_boxes(order_cells(spark, sf_dir))
     return found.select("doc_id", "table_no", *[F.round(c, 4).alias(c) for c in ("x0", "top", "x1", "bottom")], "cells")
 
 
