@@ -10,7 +10,9 @@ depends on the rows taken so far is an ordered fold over one page.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import wrap
 from tessella.functions.numbers import area, horizontal_align, overlap_area, overlap_of_smaller
-from tessella.operators.folds import placed, whole_keys
+from tessella.operators.folds import placed, whole_keys, whole_places
 
 PAGE = ("doc_id", "page_no")
 BAND = 20.0
@@ -133,16 +135,14 @@ def _same(a: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], a[1:] == a[:-1]])
 
 
-@F.pandas_udf(T.IntegerType())
-def _line_numbers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Numbers of lines; place is 1 where a page starts, and a page may go on in the next batch.
+def _lines(batches: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """Numbers of lines of words in order: whether a page starts, top and bottom; a page may go on in the next batch.
 
     Words of one extent that follow each other are taken together: once one has
     joined a line without changing it, so do the others.
     """
     number, high, low, last = -1, 0.0, 0.0, 0.0
-    for place, tops, bottoms in batches:
-        new, top, bottom = place.to_numpy() == 1, tops.to_numpy(float), bottoms.to_numpy(float)
+    for new, top, bottom in batches:
         starts = np.flatnonzero(new | ~_same(top) | ~_same(bottom))
         sizes = np.diff(np.append(starts, len(top)))
         out = []
@@ -163,7 +163,14 @@ def _line_numbers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) ->
                 out.append((number, taken))
                 size -= taken
         numbers, counts = (np.array(x, dtype=np.int32) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int32),) * 2
-        yield pd.Series(np.repeat(numbers, counts))
+        yield np.repeat(numbers, counts)
+
+
+@F.pandas_udf(T.IntegerType())
+def _line_numbers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """``_lines``; place is 1 where a page starts."""
+    for numbers in _lines((place.to_numpy() == 1, top.to_numpy(float), bottom.to_numpy(float)) for place, top, bottom in batches):
+        yield pd.Series(numbers)
 
 
 _line_numbers = _line_numbers.asNondeterministic()  # it reads rows in their order, so nothing may be filtered below it
@@ -211,30 +218,55 @@ def text_blocks(words: DataFrame, page_width: float) -> DataFrame:
     return out.select(*keys, "text", "top", "bottom", "x0", "x1", F.when(F.col("f")["_size"] != 0, F.col("f")["_size"]).alias("font_size"), F.when(F.col("f")["_font"] != "", F.col("f")["_font"]).alias("font_name"), horizontal_align(F.col("x0"), F.col("x1"), F.lit(page_width)).alias("align"))
 
 
+_BLOCK = {"text": "string", "top": "double", "bottom": "double", "x0": "double", "x1": "double", "font_size": "double", "font_name": "string", "align": "string"}
+
+
+class SetWords(NamedTuple):
+    """Words and their places, by column."""
+
+    number: np.ndarray
+    text: list[str]
+    x0: np.ndarray
+    x1: np.ndarray
+    top: np.ndarray
+    bottom: np.ndarray
+    size: np.ndarray
+    font: np.ndarray
+
+
+def _unwrapped(rows: list[dict], page_right: float | None) -> list[dict]:
+    """The blocks of a page in order, wrapped lines joined, with ``block_no``."""
+    done, cur, last, calm = [], None, None, False
+
+    def end() -> None:
+        if cur is not None:
+            done.append({**cur, "text": cur["text"] if calm else wrap.spaced(cur["text"]), "block_no": len(done)})
+
+    for nxt in rows:
+        if cur is not None and wrap.is_wrap(cur, last, nxt, page_right):
+            text, calm = wrap.appended(cur["text"], nxt["text"], calm)
+            cur = cur | {"text": text, "bottom": nxt["bottom"], "x0": min(cur["x0"], nxt["x0"]), "x1": max(cur["x1"], nxt["x1"]), "font_size": cur["font_size"] or nxt["font_size"], "font_name": cur["font_name"] or nxt["font_name"]}
+        else:
+            end()
+            cur, calm = nxt, wrap.settled(nxt["text"])
+        last = nxt
+    end()
+    return done
+
+
 def paragraphs(blocks: DataFrame, *, page_right: float | None = None, order: tuple[str, ...] = ("line_no", "seg_no")) -> DataFrame:
     """Blocks of a page, wrapped lines joined.
 
     What is decided at a break reads the text so far but the box of the last
     line only, so each page is folded in order; a page is one small group.
     """
-    fields = ["text", "top", "bottom", "x0", "x1", "font_size", "font_name", "align"]
+    fields = list(_BLOCK)
     kinds = dict(blocks.dtypes)
 
-    def fold(rows: list[dict]) -> list[dict]:
-        done, cur, last = [], None, None
-        for nxt in rows:
-            if cur is not None and wrap.is_wrap(cur, last, nxt, page_right):
-                cur = cur | {"text": wrap.joined(cur["text"], nxt["text"]), "bottom": nxt["bottom"], "x0": min(cur["x0"], nxt["x0"]), "x1": max(cur["x1"], nxt["x1"]), "font_size": cur["font_size"] or nxt["font_size"], "font_name": cur["font_name"] or nxt["font_name"]}
-            else:
-                done += [cur] if cur is not None else []
-                cur = nxt
-            last = nxt
-        return [{**block, "text": wrap.spaced(block["text"]), "block_no": k} for k, block in enumerate([*done, cur])]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole, pages in whole_keys(batches, PAGE):
             rows = whole.select([*PAGE, *fields]).to_pylist()
-            out = [block for a, b in pages for block in fold(rows[a:b])]
+            out = [block for a, b in pages for block in _unwrapped(rows[a:b], page_right)]
             types = {**{f.name: f.type for f in whole.schema}, "block_no": pa.int32()}
             names = [*PAGE, "block_no", *fields]
             yield pa.RecordBatch.from_arrays([pa.array([block[n] for block in out], types[n]) for n in names], names=names)
@@ -243,6 +275,100 @@ def paragraphs(blocks: DataFrame, *, page_right: float | None = None, order: tup
     return blocks.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
 
 
+#: So many characters of texts are set and read together.
+CHARS = 1 << 21
+
+
+def _coded(values: np.ndarray) -> tuple[list, np.ndarray]:
+    """The different values, and which of them each is."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def _tenths(values: np.ndarray) -> np.ndarray:
+    """Numbers to one digit as Spark rounds them, halves away from zero by what is written."""
+    one, where = _coded(values)
+    return np.array([float(Decimal(repr(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)) for v in one])[where]
+
+
+def _aligned(x0: np.ndarray, x1: np.ndarray, width: float) -> np.ndarray:
+    """``horizontal_align`` of arrays on a page that has a width."""
+    left, right, middle = np.maximum(x0, 0.0), np.maximum(width - x1, 0.0), (x0 + x1) / 2 / width
+    uneven = np.abs(left - right)
+    even = (uneven <= max(width * 0.12, 18.0)) | ((middle > 0.38) & (middle < 0.62))
+    inset = (left > width * 0.18) | (uneven <= width * 0.12)
+    wide = np.maximum(x1 - x0, 1.0) / width >= 0.7
+    return np.select([wide, even & inset, (left > right * 2) & (left / width > 0.45)], ["left", "center", "right"], "left")
+
+
+def _read_blocks(first: np.ndarray, own: np.ndarray, words: SetWords, page_width: float) -> Iterator[list[dict]]:
+    """The blocks of each page, as ``text_blocks`` gives them, of words that are set."""
+    page = (np.cumsum(first) - 1)[own]
+    # by the height of their middle, then from left to right
+    order = np.lexsort((words.number, words.x0, _tenths((words.top + words.bottom) / 2), page))
+    new = np.ones(len(order), bool)
+    new[1:] = page[order][1:] != page[order][:-1]
+    line = np.empty(len(order), np.int64)
+    line[order] = next(_lines(iter([(new, words.top[order], words.bottom[order])]))) + (np.cumsum(new) - 1) * (len(order) + 1)
+    order = np.lexsort((words.number, words.top, words.x0, line))
+    line, page, x0, x1, top, bottom = (c[order] for c in (line, page, words.x0, words.x1, words.top, words.bottom))
+    starts = np.ones(len(order), bool)
+    starts[1:] = (line[1:] != line[:-1]) | (x0[1:] - x1[:-1] > SEGMENT_GAP)
+    at = np.flatnonzero(starts)
+    # the most frequent font, the first seen of equal ones
+    fonts, font = _coded(words.font[order])
+    sizes, size = _coded(_tenths(words.size[order]))
+    kinds = len(fonts) * len(sizes)
+    kind, seen, count = np.unique((np.cumsum(starts) - 1) * kinds + size.astype(np.int64) * len(fonts) + font, return_index=True, return_counts=True)
+    best = np.lexsort((seen, -count, kind // kinds))
+    block = kind[best] // kinds
+    kind = kind[best[np.append(True, block[1:] != block[:-1])]] % kinds
+    text = [words.text[k] for k in order.tolist()]
+    gap = np.append(0.0, x0[1:] - x1[:-1])
+    apart = np.where(starts | ~(gap > 1.0), 0, np.where(gap > 8.0, 2, 1))
+    marks = ("", wrap.NARROW, " ")
+    spaced = [marks[k] + w for k, w in zip(apart.tolist(), text, strict=True)]
+    hard = np.logical_or.reduceat(np.fromiter((not w or wrap.NARROW in w for w in text), bool, len(text)), at).tolist()
+    left, right = np.minimum.reduceat(x0, at), np.maximum.reduceat(x1, at)
+    boxes = zip(np.minimum.reduceat(top, at).tolist(), np.maximum.reduceat(bottom, at).tolist(), left.tolist(), right.tolist(), [sizes[k // len(fonts)] for k in kind.tolist()], [fonts[k % len(fonts)] for k in kind.tolist()], _aligned(left, right, page_width).tolist(), strict=True)
+    ends, pages, held, last = [*at[1:].tolist(), len(text)], page[at].tolist(), [], 0
+    for of, a, b, hard_one, (y0, y1, l, r, size_of, font_of, align) in zip(pages, at.tolist(), ends, hard, boxes, strict=True):
+        while last < of:
+            yield held
+            held, last = [], last + 1
+        joined = None if hard_one else wrap.easily_joined("".join(spaced[a:b]))
+        if joined is None:
+            joined = wrap.gap_joined(text[a:b], x0[a:b].tolist(), x1[a:b].tolist()).strip(" ")
+        if joined:
+            held.append({"text": joined, "top": y0, "bottom": y1, "x0": l, "x1": r, "font_size": size_of or None, "font_name": font_of or None, "align": align})
+    yield held
+
+
+def set_paragraphs(rows: DataFrame, *, text: str, sets: Callable[[list[str]], tuple[np.ndarray, SetWords]], page_width: float, page_right: float | None = None) -> DataFrame:
+    """``paragraphs`` of the ``text_blocks`` of pages whose words are set by a rule from the text of their rows.
+
+    ``sets`` gives the row and the place of each word of texts, so only texts
+    are sorted and travel to the workers, and of words there are never more at
+    a time than some texts have.  Rows that are dealt by a column of their page
+    are not shuffled again.
+    """
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in PAGE), "block_no int", *(f"{c} {kind}" for c, kind in _BLOCK.items())])
+    types = [pa.string() if kind == "string" else pa.float64() for kind in _BLOCK.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, first in whole_places(batches, 1):
+            texts, at = [t or "" for t in whole.column(text).to_pylist()], np.flatnonzero(first)
+            done = np.cumsum([len(t) for t in texts])[np.append(at[1:], len(first)) - 1] // CHARS
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(done)) + 1):
+                a, b = at[part[0]], at[part[-1] + 1] if part[-1] + 1 < len(at) else len(first)
+                pages = [_unwrapped(page, page_right) for page in _read_blocks(first[a:b], *sets(texts[a:b]), page_width)]
+                of = pa.array(np.repeat(at[part[: len(pages)]], [len(page) for page in pages]))
+                fields = [pa.array([block[c] for page in pages for block in page], kind) for c, kind in zip(_BLOCK, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(whole.column(c).take(of).combine_chunks() for c in PAGE), pa.array([k for page in pages for k in range(len(page))], pa.int32()), *fields], names=[*PAGE, "block_no", *_BLOCK])
+
+    return placed(rows.select(*PAGE, text), PAGE, ()).mapInArrow(run, schema)
+
+
 def kept_rules(rules: DataFrame) -> DataFrame:
     """Horizontal rules from top to bottom, without near repeats of one already kept."""
     item = "struct<top:double,x0:double,x1:double,rule_no:bigint>"

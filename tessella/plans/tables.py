@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.geometry import SetWords
+
 NOW = datetime(2001, 1, 1)
 
 
@@ -106,6 +109,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.lit(0).alias("page_no"), F.col("pos").cast("long").alias("word_no"), "text", x0.alias("x0"), (x0 + 5.0 * F.length("text")).alias("x1"), top.cast("double").alias("top"), (top + 10.0).cast("double").alias("bottom"), F.when(F.col("pos") % 10 == 0, 12.0).otherwise(10.0).alias("size"), F.when(F.col("pos") % 3 == 0, "Song").otherwise("Hei").alias("fontname"))
 
 
+def set_words(texts: list[str]) -> tuple[np.ndarray, SetWords]:
+    """The words of ``words`` for texts in a worker: whose they are, and their places."""
+    split = [text.split(" ") for text in texts]
+    counts = np.array([len(w) for w in split])
+    own, flat = np.repeat(np.arange(len(split)), counts), [w for one in split for w in one]
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+    x0, top = 50.0 + 48.0 * (pos % 10), 16.0 * (pos // 10)
+    wide = 5.0 * np.fromiter(map(len, flat), np.int64, len(flat))
+    return own, SetWords(pos, flat, x0, x0 + wide, top, top + 10.0, np.where(pos % 10 == 0, 12.0, 10.0), np.where(pos % 3 == 0, "Song", "Hei"))
+
+
 WORDS = """split AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents),
 flat AS (SELECT doc_id, unnest(w) AS text, unnest(range(len(w))) AS pos FROM split),
 words AS (SELECT doc_id, pos AS word_no, text, 50.0 + 48.0 * (pos % 10) AS x0, 50.0 + 48.0 * (pos % 10) + 5.0 * length(text) AS x1, 16.0 * (pos // 10) AS top, 16.0 * (pos // 10) + 10.0 AS bottom FROM flat)"""
