@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.let import let
+
 #: Longer texts are an error of ``rendered``, unless it is told otherwise.
 MOST_CHARS = 512 * 1024
 
@@ -73,21 +75,28 @@ def sample(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("sample", SAMPLE)], "name string, text string")
 
 
+def _replaced(text: Column, holds: str, pattern: str, put: str) -> Column:
+    """Text with a pattern replaced; only a text that holds what the pattern needs is searched for it."""
+    return let(text, lambda t: F.when(t.contains(holds), F.regexp_replace(t, pattern, put)).otherwise(t))
+
+
 def escaped(text: Column) -> Column:
     """Text with the characters of markup as entities; entities stay."""
-    out = F.regexp_replace(text, r"&(?!#?\w+;)", "&amp;")
+    out = _replaced(text, "&", r"&(?!#?\w+;)", "&amp;")
     return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
 def _emphasis(text: Column) -> Column:
-    for pattern, put in ((r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "<strong>$1</strong>"), (r"(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", "<strong>$1</strong>"), (r"\*(?=\S)(.+?)(?<=\S)\*", "<em>$1</em>"), (r"(?<!\w)_(?=\S)(.+?)(?<=\S)_(?!\w)", "<em>$1</em>")):
-        text = F.regexp_replace(text, f"(?s){pattern}", put)
+    for holds, pattern, put in (("**", r"\*\*(?=\S)(.+?)(?<=\S)\*\*", "<strong>$1</strong>"), ("__", r"(?<!\w)__(?=\S)(.+?)(?<=\S)__(?!\w)", "<strong>$1</strong>"), ("*", r"\*(?=\S)(.+?)(?<=\S)\*", "<em>$1</em>"), ("_", r"(?<!\w)_(?=\S)(.+?)(?<=\S)_(?!\w)", "<em>$1</em>")):
+        text = _replaced(text, holds, f"(?s){pattern}", put)
     return text
 
 
 def _typographic(text: Column) -> Column:
-    for pattern, put in (("---", "—"), ("--", "–"), (r"\.\.\.", "…"), (r'(^|[\s(\[])"', "$1“"), ('"', "”"), (r"(^|[\s(\[“])'", "$1‘"), ("'", "’")):
-        text = F.regexp_replace(text, pattern, put)
+    for marks, put in (("---", "—"), ("--", "–"), ("...", "…")):
+        text = F.replace(text, F.lit(marks), F.lit(put))
+    for mark, pattern, opens, closes in (('"', r'(^|[\s(\[])"', "$1“", "”"), ("'", r"(^|[\s(\[“])'", "$1‘", "’")):
+        text = F.replace(_replaced(text, mark, pattern, opens), F.lit(mark), F.lit(closes))
     return text
 
 
@@ -134,11 +143,15 @@ def _put_back(piece: Column) -> Column:
 
 def inline(text: Column) -> Column:
     """The HTML of marks within a text; a line end is a break."""
-    text = F.replace(text, F.lit(_HOLE), F.lit(""))
-    taken = F.transform(F.regexp_extract_all(text, F.lit(_TAKEN), F.lit(0)), _put_back)
-    rest = F.replace(_emphasis(_typographic(escaped(F.regexp_replace(text, _TAKEN, _HOLE)))), F.lit("\n"), F.lit("<br>\n"))
-    parts = F.split(rest, _HOLE)
-    return F.array_join(F.zip_with(parts, taken, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+    def whole(t: Column) -> Column:
+        some = t.contains("`") | t.contains("\\") | t.contains("[") | t.contains("<")  # one of them is in whatever is taken out
+        taken = F.transform(F.regexp_extract_all(t, F.lit(_TAKEN), F.lit(0)), _put_back)
+        rest = _emphasis(_typographic(escaped(F.when(some, F.regexp_replace(t, _TAKEN, _HOLE)).otherwise(t))))
+        joined = lambda r: F.array_join(F.zip_with(F.split(r, _HOLE), taken, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+        return let(F.replace(rest, F.lit("\n"), F.lit("<br>\n")), lambda r: F.when(some, joined(r)).otherwise(r))
+
+    return let(F.replace(text, F.lit(_HOLE), F.lit("")), whole)
 
 
 # ---------------------------------------------------------------- lines and blocks
